@@ -2,6 +2,6 @@
 
 
 def load():
-    from contract import base, sales  # noqa: F401
+    from contract import audit, base, sales  # noqa: F401
 
     return base.QUERIES, base.ORACLE
