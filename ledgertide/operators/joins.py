@@ -52,12 +52,12 @@ def best_promotion(orders: DataFrame, items: DataFrame, products: DataFrame, pro
     return offers.groupBy("order_id").agg(best.alias("_best")).select("order_id", "_best.*")
 
 
-def parent_chains(nodes: DataFrame, key: str, parent: str, label: str, doublings: int = 4) -> DataFrame:
-    """Depth, root and path of every node, from parent pointers.
+def parent_chains(nodes: DataFrame, key: str, parent: str, label: str, levels: int = 6) -> DataFrame:
+    """Depth, root and path of every node, following parent pointers up to `levels` steps.
 
-    Each round joins a node to its current ancestor's own jump, so `n` rounds cover chains of
-    2 ** n levels. Nodes that reached their root leave the join. A chain that is longer, or that
-    runs in a circle, keeps `complete` = false.
+    A root keeps its own key on the left side of each further join, so roots neither match nor
+    pile up in one task. A chain that is longer, runs in a circle or points to a missing parent
+    keeps `complete` = false.
     """
     rows = nodes.select(
         F.col(key).alias("id"),
@@ -66,21 +66,20 @@ def parent_chains(nodes: DataFrame, key: str, parent: str, label: str, doublings
         F.col(key).alias("root_id"),
         F.col(label).alias("path"),
     )
-    for _ in range(doublings):
-        jumps = rows.select(
-            F.col("id").alias("j_id"), F.col("up").alias("j_up"), F.col("depth").alias("j_depth"),
-            F.col("root_id").alias("j_root"), F.col("path").alias("j_path"),
-        )
-        climbing = rows.filter(F.col("up").isNotNull()).join(jumps, F.col("up") == F.col("j_id"), "left")
-        found = F.col("j_id").isNotNull()
-        climbed = climbing.select(
+    parents = nodes.select(
+        F.struct(F.lit(True).alias("climbs"), F.col(key).alias("id")).alias("p_key"),
+        F.col(key).alias("p_id"), F.col(parent).alias("p_up"), F.col(label).alias("p_label"),
+    )
+    found = F.col("p_id").isNotNull()
+    for _ in range(levels):
+        step = F.struct(F.col("up").isNotNull().alias("climbs"), F.coalesce("up", "id").alias("id"))
+        rows = rows.join(parents, step == F.col("p_key"), "left").select(
             "id",
-            F.when(found, F.col("j_up")).otherwise(F.col("up")).alias("up"),
-            (F.col("depth") + F.coalesce("j_depth", F.lit(0))).alias("depth"),
-            F.coalesce("j_root", "root_id").alias("root_id"),
-            F.when(found, F.concat_ws(" / ", "j_path", "path")).otherwise(F.col("path")).alias("path"),
+            F.when(found, F.col("p_up")).otherwise(F.col("up")).alias("up"),
+            F.when(found, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.coalesce("p_id", "root_id").alias("root_id"),
+            F.when(found, F.concat_ws(" / ", "p_label", "path")).otherwise(F.col("path")).alias("path"),
         )
-        rows = rows.filter(F.col("up").isNull()).unionByName(climbed)
     return rows.select(
         F.col("id").alias(key), "depth", "root_id", "path", F.col("up").isNull().alias("complete")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions.compat import lookup, text_of
 from ledgertide.operators.ordered import numbered
 from ledgertide.sources.schemas import model_schema, raw_schema
+from ledgertide.sources.tables import line_total
 
 AS_OF_ORDERS = "2001-08-02"
 AS_OF_EVENTS = "2024-01-31"
@@ -63,6 +64,17 @@ def from_cents(value: Column, kind: str) -> Column:
     return (value.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few constant rows as a local relation, whose size the optimizer knows."""
+    def text(value):
+        if value is None:
+            return "NULL"
+        return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+    lines = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({columns})")
+
+
 class Model:
     """Model tables over one folder of raw tables."""
 
@@ -180,15 +192,15 @@ class Model:
         )
 
     def holidays(self) -> DataFrame:
-        rows = self.spark.createDataFrame(
-            HOLIDAYS, "holiday_id bigint, holiday_date string, holiday_name string, is_recurring string")
+        rows = literal_rows(self.spark, HOLIDAYS, "holiday_id, holiday_date, holiday_name, is_recurring")
+        rows = rows.withColumn("holiday_id", F.col("holiday_id").cast("bigint"))
         return rows.withColumn("holiday_date", F.col("holiday_date").cast("timestamp_ntz"))
 
     def promotions(self) -> DataFrame:
-        rows = self.spark.createDataFrame(
-            PROMOTIONS,
-            "promotion_id bigint, promotion_name string, discount_percent int, start_date string, end_date string, "
-            "minimum_order_amount int, maximum_discount int, applicable_category_id bigint")
+        rows = literal_rows(
+            self.spark, PROMOTIONS,
+            "promotion_id, promotion_name, discount_percent, start_date, end_date, minimum_order_amount, "
+            "maximum_discount, applicable_category_id")
         kinds = {f.name: f.dataType for f in model_schema("promotions")}
         return rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns])
 
@@ -335,13 +347,6 @@ class Model:
         )
 
 
-def line_total() -> Column:
-    """quantity * unit price * (1 - percent / 100), kept to cents."""
-    gross = F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")
-    rest = (F.lit(100).cast("decimal(5,2)") - F.col("discount_percent")) * F.lit("0.01").cast("decimal(3,2)")
-    return F.round(gross * rest, 2).cast("decimal(12,2)")
-
-
 def holiday_test(date: Column, holidays: list[tuple]) -> Column:
     """True on a listed day, or on the same month and day for recurring ones."""
     tests = []
