@@ -24,7 +24,7 @@ from ledgertide.functions.compat import micros
 from ledgertide.session import cut_lineage
 
 GROUP_ROWS = 20_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 def sort_columns(order: list) -> list[Column]:
@@ -41,8 +41,13 @@ def sort_columns(order: list) -> list[Column]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of the optimized plan; joins make it larger, never smaller."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables and literals that the plan reads, by Spark's statistics.
+
+    Joins here are many-to-one, so the rows of a result follow its inputs. The product of the
+    sides, which Spark assumes for a join it knows nothing about, would be far too large.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def large_groups(
@@ -51,8 +56,8 @@ def large_groups(
     """The keys with more rows than one task should sort, or None when there are none.
 
     At most rows / group_rows keys can qualify, so the result is small beside the input.
-    `bounded_by` names a table with at least as many rows as `df`: when its size estimate is
-    small, no group can be large and the counting job is not run.
+    When the plan reads little, no group can be large and the counting job is not run.
+    `bounded_by` names a table with at least as many rows as `df`, to be looked at instead.
     """
     if group_rows is None:
         if input_bytes(bounded_by if bounded_by is not None else df) < SMALL_INPUT_BYTES:
