@@ -12,106 +12,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.functions import rules
-from ledgertide.functions.compat import moment
+from ledgertide.functions.compat import parse_moment
 from ledgertide.operators.joins import parent_chains
 
 RESULT = "table_name string, rule string, kind string, checked bigint, violations bigint"
 
 
-def outside(column: str, domain: tuple) -> Column:
-    return ~F.col(column).isin(*domain)
-
-
-def row_rules(table: str, as_of) -> dict[str, tuple[str, Column]]:
-    """Rule name to (kind, test for a violation). NULL counts only for required columns."""
-    c = F.col
-    now = moment(as_of)
-    catalog = {
-        "customers": lambda: {
-            "segment domain": ("DOMAIN", outside("customer_segment", rules.SEGMENTS)),
-            "total spent not negative": ("RANGE", c("total_spent") < 0),
-            "key present": ("REQUIRED", c("customer_id").isNull()),
-            "name and email present": ("REQUIRED", c("customer_name").isNull() | c("email").isNull()),
-            "join date not in future": ("FUTURE", c("join_date") > now),
-        },
-        "products": lambda: {
-            "status domain": ("DOMAIN", outside("status", rules.PRODUCT_STATUSES)),
-            "price positive": ("RANGE", c("unit_price") <= 0),
-            "cost positive": ("RANGE", c("unit_cost") <= 0),
-            "stock not negative": ("RANGE", c("stock_quantity") < 0),
-            "reorder level not negative": ("RANGE", c("reorder_level") < 0),
-            "price covers cost": ("CROSS", c("unit_price") < c("unit_cost")),
-            "name present": ("REQUIRED", c("product_name").isNull()),
-        },
-        "orders": lambda: {
-            "status domain": ("DOMAIN", outside("status", rules.ORDER_STATUSES + rules.COMPUTED_ORDER_STATUSES)),
-            "total positive": ("RANGE", c("total_amount") <= 0),
-            "discount within half of total": (
-                "CROSS", c("discount_amount") > c("total_amount") * F.lit(rules.MAX_DISCOUNT_SHARE)),
-            "customer present": ("REQUIRED", c("customer_id").isNull()),
-            "order date not in future": ("FUTURE", c("order_date") > now),
-        },
-        "order_items": lambda: {
-            "quantity positive": ("RANGE", c("quantity") <= 0),
-            "price positive": ("RANGE", c("unit_price") <= 0),
-            "discount between 0 and 100": ("RANGE", ~c("discount_percent").between(0, 100)),
-        },
-        "payments": lambda: {
-            "method domain": ("DOMAIN", outside("payment_method", rules.PAYMENT_METHODS)),
-            "status domain": ("DOMAIN", outside("status", rules.PAYMENT_STATUSES)),
-            "amount positive": ("RANGE", c("amount") <= 0),
-        },
-        "shipments": lambda: {
-            "status domain": ("DOMAIN", outside("status", rules.SHIPMENT_STATUSES)),
-            "delivery not before shipping": ("CROSS", c("actual_delivery") < c("ship_date")),
-            "ship date not in future": ("FUTURE", c("ship_date") > now),
-        },
-        "employees": lambda: {
-            "department domain": ("DOMAIN", outside("department", rules.DEPARTMENTS)),
-            "active flag domain": ("DOMAIN", outside("is_active", ("Y", "N"))),
-            "not own manager": ("CROSS", c("manager_id") == c("employee_id")),
-            "hire date not in future": ("FUTURE", c("hire_date") > now),
-        },
-        "suppliers": lambda: {"payment terms domain": ("DOMAIN", outside("payment_terms", rules.PAYMENT_TERMS))},
-        "promotions": lambda: {
-            "discount between 1 and 100": ("RANGE", ~c("discount_percent").between(1, 100)),
-            "end after start": ("CROSS", c("end_date") <= c("start_date")),
-        },
-        "holidays": lambda: {
-            "recurring flag domain": ("DOMAIN", outside("is_recurring", ("Y", "N"))),
-            "not on a weekend": ("CROSS", F.dayofweek("holiday_date").isin(1, 7)),
-        },
-        "categories": lambda: {"not own parent": ("CROSS", c("parent_category_id") == c("category_id"))},
-        "audit_log": lambda: {
-            "action domain": ("DOMAIN", outside("action_type", rules.AUDIT_ACTIONS)),
-            "no old value on insert": ("CROSS", (c("action_type") == "INSERT") & c("old_value").isNotNull()),
-            "no new value on delete": ("CROSS", (c("action_type") == "DELETE") & c("new_value").isNotNull()),
-        },
-    }
-    return catalog[table]()
+def outside(column: str, domain: tuple) -> str:
+    return f"{column} NOT IN ({', '.join(repr(x) for x in domain)})"
+
+
+# Table to rule name to (kind, test for a violation). NULL counts only for required columns.
+# `:now` stands for the time of the check.
+ROW_RULES = {
+    "customers": {
+        "segment domain": ("DOMAIN", outside("customer_segment", rules.SEGMENTS)),
+        "total spent not negative": ("RANGE", "total_spent < 0"),
+        "key present": ("REQUIRED", "customer_id IS NULL"),
+        "name and email present": ("REQUIRED", "customer_name IS NULL OR email IS NULL"),
+        "join date not in future": ("FUTURE", "join_date > :now"),
+    },
+    "products": {
+        "status domain": ("DOMAIN", outside("status", rules.PRODUCT_STATUSES)),
+        "price positive": ("RANGE", "unit_price <= 0"),
+        "cost positive": ("RANGE", "unit_cost <= 0"),
+        "stock not negative": ("RANGE", "stock_quantity < 0"),
+        "reorder level not negative": ("RANGE", "reorder_level < 0"),
+        "price covers cost": ("CROSS", "unit_price < unit_cost"),
+        "name present": ("REQUIRED", "product_name IS NULL"),
+    },
+    "orders": {
+        "status domain": ("DOMAIN", outside("status", rules.ORDER_STATUSES + rules.COMPUTED_ORDER_STATUSES)),
+        "total positive": ("RANGE", "total_amount <= 0"),
+        "discount within half of total": ("CROSS", f"discount_amount > total_amount * {rules.MAX_DISCOUNT_SHARE}"),
+        "customer present": ("REQUIRED", "customer_id IS NULL"),
+        "order date not in future": ("FUTURE", "order_date > :now"),
+    },
+    "order_items": {
+        "quantity positive": ("RANGE", "quantity <= 0"),
+        "price positive": ("RANGE", "unit_price <= 0"),
+        "discount between 0 and 100": ("RANGE", "discount_percent NOT BETWEEN 0 AND 100"),
+    },
+    "payments": {
+        "method domain": ("DOMAIN", outside("payment_method", rules.PAYMENT_METHODS)),
+        "status domain": ("DOMAIN", outside("status", rules.PAYMENT_STATUSES)),
+        "amount positive": ("RANGE", "amount <= 0"),
+    },
+    "shipments": {
+        "status domain": ("DOMAIN", outside("status", rules.SHIPMENT_STATUSES)),
+        "delivery not before shipping": ("CROSS", "actual_delivery < ship_date"),
+        "ship date not in future": ("FUTURE", "ship_date > :now"),
+    },
+    "employees": {
+        "department domain": ("DOMAIN", outside("department", rules.DEPARTMENTS)),
+        "active flag domain": ("DOMAIN", outside("is_active", ("Y", "N"))),
+        "not own manager": ("CROSS", "manager_id = employee_id"),
+        "hire date not in future": ("FUTURE", "hire_date > :now"),
+    },
+    "suppliers": {"payment terms domain": ("DOMAIN", outside("payment_terms", rules.PAYMENT_TERMS))},
+    "promotions": {
+        "discount between 1 and 100": ("RANGE", "discount_percent NOT BETWEEN 1 AND 100"),
+        "end after start": ("CROSS", "end_date <= start_date"),
+    },
+    "holidays": {
+        "recurring flag domain": ("DOMAIN", outside("is_recurring", ("Y", "N"))),
+        "not on a weekend": ("CROSS", "dayofweek(holiday_date) IN (1, 7)"),
+    },
+    "categories": {"not own parent": ("CROSS", "parent_category_id = category_id")},
+    "audit_log": {
+        "action domain": ("DOMAIN", outside("action_type", rules.AUDIT_ACTIONS)),
+        "no old value on insert": ("CROSS", "action_type = 'INSERT' AND old_value IS NOT NULL"),
+        "no new value on delete": ("CROSS", "action_type = 'DELETE' AND new_value IS NOT NULL"),
+    },
+}
 
 
 def check_rows(table: str, df: DataFrame, as_of, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Every row rule of one table in one aggregate, one result row per rule."""
-    chosen = {n: r for n, r in row_rules(table, as_of).items() if kinds is None or r[0] in kinds}
-    counted = df.agg(
-        F.count(F.lit(1)).alias("checked"),
-        *[F.count_if(test).alias(f"v{i}") for i, (_, test) in enumerate(chosen.values())],
-    )
-    lines = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.lit(kind).alias("kind"), F.col(f"v{i}").alias("violations"))
-        for i, (name, (kind, _)) in enumerate(chosen.items())
-    ])
-    return counted.select(F.lit(table).alias("table_name"), "checked", F.explode(lines).alias("l")).select(
-        "table_name", "l.rule", "l.kind", "checked", "l.violations"
-    )
+    chosen = {n: r for n, r in ROW_RULES[table].items() if kinds is None or r[0] in kinds}
+    now = f"TIMESTAMP_NTZ '{parse_moment(as_of)}'"
+    tests = [f"count_if({test.replace(':now', now)}) AS v{i}" for i, (_, test) in enumerate(chosen.values())]
+    counted = df.agg(F.expr("count(1) AS checked"), *[F.expr(t) for t in tests])
+    lines = ", ".join(f"'{name}', '{kind}', v{i}" for i, (name, (kind, _)) in enumerate(chosen.items()))
+    return counted.selectExpr(
+        f"'{table}' AS table_name", "checked", f"stack({len(chosen)}, {lines}) AS (rule, kind, violations)"
+    ).select("table_name", "rule", "kind", "checked", "violations")
 
 
 def check_tables(tables: dict[str, DataFrame], as_of, kinds: tuple[str, ...] | None = None) -> DataFrame:
     parts = [
         check_rows(name, df, as_of, kinds)
         for name, df in tables.items()
-        if kinds is None or any(k in kinds for k, _ in row_rules(name, as_of).values())
+        if kinds is None or any(k in kinds for k, _ in ROW_RULES[name].values())
     ]
     return reduce(DataFrame.unionByName, parts)
 

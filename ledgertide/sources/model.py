@@ -7,12 +7,10 @@ columns reads only the raw columns behind them, and filters on keys and dates re
 from __future__ import annotations
 
 import os
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.functions.compat import lookup, text_of
 from ledgertide.operators.ordered import numbered
 from ledgertide.sources.schemas import model_schema, raw_schema
 from ledgertide.sources.tables import line_total
@@ -55,15 +53,6 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(raw_schema(name)).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def cents(value) -> Column:
-    """A two-digit double as whole cents."""
-    return (F.col(value).cast("decimal(12,2)") * F.lit(100)).cast("bigint")
-
-
-def from_cents(value: Column, kind: str) -> Column:
-    return (value.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
-
-
 def literal_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A few constant rows as a local relation, whose size the optimizer knows."""
     def text(value):
@@ -90,162 +79,134 @@ class Model:
     def customers(self) -> DataFrame:
         nations = self.raw("nation").select("n_nationkey", "n_name")
         base = self.raw("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        balance = F.col("c_acctbal")
-        return base.select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@mail.example")).alias("email"),
-            F.lit(None).cast("string").alias("phone"),
-            F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.concat(F.lit("Street "), F.col("c_custkey").cast("string")))
-            .alias("address"),
-            F.concat(F.lit("City "), F.col("c_nationkey").cast("string")).alias("city"),
-            F.coalesce("n_name", F.lit("USA")).alias("country"),
-            (F.lit("1994-01-01").cast("timestamp_ntz")
-             + F.make_dt_interval(days=(F.col("c_custkey") % 365).cast("int"))).alias("join_date"),
-            F.when(balance >= 7500, "PLATINUM").when(balance >= 5000, "GOLD").when(balance >= 2500, "SILVER")
-            .otherwise("BRONZE").alias("customer_segment"),
-            F.greatest(F.col("c_acctbal").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)")).alias("total_spent"),
+        return base.selectExpr(
+            "c_custkey AS customer_id",
+            "c_name AS customer_name",
+            "concat(lower(replace(c_name, '#', '.')), '@mail.example') AS email",
+            "CAST(NULL AS STRING) AS phone",
+            "if(c_mktsegment <> 'HOUSEHOLD', concat('Street ', c_custkey), NULL) AS address",
+            "concat('City ', c_nationkey) AS city",
+            "coalesce(n_name, 'USA') AS country",
+            "TIMESTAMP_NTZ '1994-01-01' + make_dt_interval(CAST(c_custkey % 365 AS INT)) AS join_date",
+            """CASE WHEN c_acctbal >= 7500 THEN 'PLATINUM' WHEN c_acctbal >= 5000 THEN 'GOLD'
+                    WHEN c_acctbal >= 2500 THEN 'SILVER' ELSE 'BRONZE' END AS customer_segment""",
+            "greatest(CAST(c_acctbal AS DECIMAL(12,2)), CAST(0 AS DECIMAL(12,2))) AS total_spent",
         )
 
     def regions(self) -> DataFrame:
-        """Customer id to region name, for regional revenue."""
+        """Customer id to region and country, for regional revenue."""
         return (
             self.raw("customer")
             .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(F.col("c_custkey").alias("customer_id"), F.col("r_name").alias("region"),
-                    F.col("n_name").alias("country"))
+            .selectExpr("c_custkey AS customer_id", "r_name AS region", "n_name AS country")
         )
 
-    @staticmethod
-    def _category_id() -> Column:
-        brand = F.substring("p_brand", 7, 4).cast("bigint")
-        return (lookup("p_type", CATEGORY_CODES, 0).cast("bigint") * 100 + brand)
-
     def products(self) -> DataFrame:
-        price = cents("p_retailprice")
-        cost = F.expr("(2 * cast(cast(p_retailprice as decimal(12,2)) * 100 as bigint) * (100 + p_size) + 200) div 400")
-        return self.raw("part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            self._category_id().alias("category_id"),
-            from_cents(price, "decimal(10,2)").alias("unit_price"),
-            from_cents(cost, "decimal(10,2)").alias("unit_cost"),
-            F.expr("p_partkey div 20").alias("supplier_id"),
-            F.col("p_size").cast("bigint").alias("stock_quantity"),
-            F.lit(10).cast("bigint").alias("reorder_level"),
-            F.when(F.col("p_brand") == "Brand#25", "DISCONTINUED").when(F.col("p_size") == 1, "OUT_OF_STOCK")
-            .otherwise("ACTIVE").alias("status"),
-            F.lit("1994-01-01").cast("timestamp_ntz").alias("created_date"),
+        cents = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 100 AS BIGINT)"
+        cost = f"(2 * {cents} * (100 + p_size) + 200) div 400"
+        return self.raw("part").selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            f"{CATEGORY_CODE} * 100 + CAST(substring(p_brand, 7) AS BIGINT) AS category_id",
+            "CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price",
+            f"CAST(CAST({cost} AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(10,2)) AS unit_cost",
+            "p_partkey div 20 AS supplier_id",
+            "CAST(p_size AS BIGINT) AS stock_quantity",
+            "CAST(10 AS BIGINT) AS reorder_level",
+            "CASE WHEN p_brand = 'Brand#25' THEN 'DISCONTINUED' WHEN p_size = 1 THEN 'OUT_OF_STOCK' ELSE 'ACTIVE' END"
+            " AS status",
+            "TIMESTAMP_NTZ '1994-01-01' AS created_date",
         )
 
     def categories(self) -> DataFrame:
         """A two-level tree below one root: catalog, type, type and brand."""
-        leaf = self.raw("part").select(
-            self._category_id().alias("category_id"),
-            F.concat_ws(" ", "p_type", "p_brand").alias("category_name"),
-            (lookup("p_type", CATEGORY_CODES, 0).cast("bigint") * 100).alias("parent_category_id"),
-            F.col("p_type"),
+        leaf = self.raw("part").selectExpr(
+            f"{CATEGORY_CODE} * 100 + CAST(substring(p_brand, 7) AS BIGINT) AS category_id",
+            "concat_ws(' ', p_type, p_brand) AS category_name",
+            f"{CATEGORY_CODE} * 100 AS parent_category_id",
+            "p_type",
         ).distinct()
-        middle = leaf.select(
-            F.col("parent_category_id").alias("category_id"),
-            F.col("p_type").alias("category_name"),
-            F.lit(0).cast("bigint").alias("parent_category_id"),
+        middle = leaf.selectExpr(
+            "parent_category_id AS category_id", "p_type AS category_name", "CAST(0 AS BIGINT) AS parent_category_id"
         ).distinct()
-        root = middle.groupBy().agg(
-            F.min(F.lit(0).cast("bigint")).alias("category_id"),
-            F.min(F.lit("CATALOG")).alias("category_name"),
-            F.min(F.lit(None).cast("bigint")).alias("parent_category_id"),
-        )
+        root = literal_rows(self.spark, [(0, "CATALOG", None)], "category_id, category_name, parent_category_id")
+        root = root.selectExpr("CAST(category_id AS BIGINT) AS category_id", "category_name",
+                               "CAST(parent_category_id AS BIGINT) AS parent_category_id")
         return leaf.drop("p_type").unionByName(middle).unionByName(root)
 
     def suppliers(self) -> DataFrame:
-        return (
-            self.raw("supplier")
-            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                F.col("s_suppkey").alias("supplier_id"),
-                F.col("s_name").alias("supplier_name"),
-                F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@supply.example")).alias("email"),
-                F.coalesce("n_name", F.lit("USA")).alias("country"),
-                F.lit("NET30").alias("payment_terms"),
-            )
+        nations = self.raw("nation").select("n_nationkey", "n_name")
+        return self.raw("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr(
+            "s_suppkey AS supplier_id",
+            "s_name AS supplier_name",
+            "concat(lower(replace(s_name, '#', '.')), '@supply.example') AS email",
+            "coalesce(n_name, 'USA') AS country",
+            "'NET30' AS payment_terms",
         )
 
     def employees(self) -> DataFrame:
         """Staff: one person per supplier contact; a tenth of the key is the manager."""
         nations = self.raw("nation").select("n_nationkey", "n_regionkey")
-        key = F.col("s_suppkey")
-        return (
-            self.raw("supplier")
-            .join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                key.alias("employee_id"),
-                F.replace("s_name", F.lit("Supplier"), F.lit("Employee")).alias("employee_name"),
-                lookup("n_regionkey", DEPARTMENT_OF_REGION, "OTHER").alias("department"),
-                F.when(key < 10, "MANAGER").otherwise("CLERK").alias("position"),
-                F.lit("1994-01-01").cast("timestamp_ntz").alias("hire_date"),
-                F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("."))), F.lit("@staff.example")).alias("email"),
-                F.when(key > 0, F.expr("s_suppkey div 10")).alias("manager_id"),
-                F.lit("Y").alias("is_active"),
-            )
+        return self.raw("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr(
+            "s_suppkey AS employee_id",
+            "replace(s_name, 'Supplier', 'Employee') AS employee_name",
+            f"{case('n_regionkey', DEPARTMENT_OF_REGION, 'OTHER')} AS department",
+            "if(s_suppkey < 10, 'MANAGER', 'CLERK') AS position",
+            "TIMESTAMP_NTZ '1994-01-01' AS hire_date",
+            "concat(lower(replace(s_name, '#', '.')), '@staff.example') AS email",
+            "if(s_suppkey > 0, s_suppkey div 10, NULL) AS manager_id",
+            "'Y' AS is_active",
         )
 
     def holidays(self) -> DataFrame:
         rows = literal_rows(self.spark, HOLIDAYS, "holiday_id, holiday_date, holiday_name, is_recurring")
-        rows = rows.withColumn("holiday_id", F.col("holiday_id").cast("bigint"))
-        return rows.withColumn("holiday_date", F.col("holiday_date").cast("timestamp_ntz"))
+        return rows.selectExpr("CAST(holiday_id AS BIGINT) AS holiday_id",
+                               "CAST(holiday_date AS TIMESTAMP_NTZ) AS holiday_date", "holiday_name", "is_recurring")
 
     def promotions(self) -> DataFrame:
         rows = literal_rows(
             self.spark, PROMOTIONS,
             "promotion_id, promotion_name, discount_percent, start_date, end_date, minimum_order_amount, "
             "maximum_discount, applicable_category_id")
-        kinds = {f.name: f.dataType for f in model_schema("promotions")}
-        return rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns])
+        kinds = {f.name: f.dataType.simpleString() for f in model_schema("promotions")}
+        return rows.selectExpr(*[f"CAST({c} AS {kinds[c]}) AS {c}" for c in rows.columns])
 
     # -- facts ------------------------------------------------------------------
 
     def orders(self) -> DataFrame:
-        state, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-        status = (
-            F.when(priority == "4-NOT SPECIFIED", "CANCELLED")
-            .when((state == "F") & (priority == "5-LOW"), "RETURNED")
-            .when(state == "F", "DELIVERED")
-            .when((state == "O") & (priority == "1-URGENT"), "SHIPPED")
-            .when(state == "O", "PENDING")
-            .otherwise("PROCESSING")
-        )
-        amount = F.col("o_totalprice").cast("decimal(12,2)")
-        tenth = F.round(amount * F.lit("0.10").cast("decimal(3,2)"), 2).cast("decimal(10,2)")
-        discount = F.when(priority == "2-HIGH", tenth).otherwise(F.lit(0).cast("decimal(10,2)"))
-        tax = F.round(amount * F.lit("0.08").cast("decimal(3,2)"), 2).cast("decimal(10,2)")
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("order_date"),
-            status.alias("status"),
-            amount.alias("total_amount"),
-            discount.alias("discount_amount"),
-            tax.alias("tax_amount"),
-            (amount - discount + tax).cast("decimal(12,2)").alias("net_amount"),
-            F.concat(F.lit("Dock "), F.col("o_custkey").cast("string")).alias("shipping_address"),
-            F.concat(F.lit("Desk "), F.col("o_custkey").cast("string")).alias("billing_address"),
-            F.expr("o_custkey div 15").alias("employee_id"),
+        amount = "CAST(o_totalprice AS DECIMAL(12,2))"
+        discount = (f"if(o_orderpriority = '2-HIGH', CAST(round({amount} * 0.10BD, 2) AS DECIMAL(10,2)), "
+                    "CAST(0 AS DECIMAL(10,2)))")
+        tax = f"CAST(round({amount} * 0.08BD, 2) AS DECIMAL(10,2))"
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "o_orderdate AS order_date",
+            """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'CANCELLED'
+                    WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'RETURNED'
+                    WHEN o_orderstatus = 'F' THEN 'DELIVERED'
+                    WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'SHIPPED'
+                    WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'PROCESSING' END AS status""",
+            f"{amount} AS total_amount",
+            f"{discount} AS discount_amount",
+            f"{tax} AS tax_amount",
+            f"CAST({amount} - {discount} + {tax} AS DECIMAL(12,2)) AS net_amount",
+            "concat('Dock ', o_custkey) AS shipping_address",
+            "concat('Desk ', o_custkey) AS billing_address",
+            "o_custkey div 15 AS employee_id",
         )
 
     def items(self) -> DataFrame:
         """Order lines without a surrogate key: enough for every sum."""
-        price = F.expr(
-            "(2 * cast(cast(l_extendedprice as decimal(12,2)) * 100 as bigint) + cast(l_quantity as bigint))"
-            " div (2 * cast(l_quantity as bigint))"
-        )
-        lines = self.raw("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            from_cents(price, "decimal(10,2)").alias("unit_price"),
-            (F.col("l_discount").cast("decimal(5,2)") * F.lit(100)).cast("decimal(5,2)").alias("discount_percent"),
+        price = ("(2 * CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) + CAST(l_quantity AS BIGINT))"
+                 " div (2 * CAST(l_quantity AS BIGINT))")
+        lines = self.raw("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "CAST(l_quantity AS INT) AS quantity",
+            f"CAST(CAST({price} AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(10,2)) AS unit_price",
+            "CAST(CAST(l_discount AS DECIMAL(5,2)) * 100 AS DECIMAL(5,2)) AS discount_percent",
             "l_linenumber", "l_suppkey", "l_tax", "l_shipdate",
         )
         return lines.withColumn("line_total", line_total())
@@ -255,105 +216,98 @@ class Model:
         # The product comes first so that even one very large order can be cut by ranges.
         order = ["product_id", "l_linenumber", "l_suppkey", "quantity", "unit_price", "discount_percent",
                  "l_tax", "l_shipdate"]
-        return (
-            numbered(self.items(), ["order_id"], order, "line_in_order")
-            .withColumn("order_item_id", F.col("order_id") * 1000 + F.col("line_in_order"))
-            .select("order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_percent",
-                    "line_total")
-        )
+        return numbered(self.items(), ["order_id"], order, "line_in_order").selectExpr(
+            "order_id * 1000 + line_in_order AS order_item_id", "order_id", "product_id", "quantity", "unit_price",
+            "discount_percent", "line_total")
 
     def payments(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").alias("payment_id"),
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").alias("payment_date"),
-            F.col("o_totalprice").cast("decimal(12,2)").alias("amount"),
-            lookup("o_orderpriority", PAYMENT_METHOD_OF_PRIORITY, "CHECK").alias("payment_method"),
-            F.concat(F.lit("TX"), F.col("o_orderkey").cast("string")).alias("transaction_id"),
-            lookup("o_orderstatus", PAYMENT_STATUS_OF_ORDER, "FAILED").alias("status"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS payment_id",
+            "o_orderkey AS order_id",
+            "o_orderdate AS payment_date",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+            f"{case('o_orderpriority', PAYMENT_METHOD_OF_PRIORITY, 'CHECK')} AS payment_method",
+            "concat('TX', o_orderkey) AS transaction_id",
+            f"{case('o_orderstatus', PAYMENT_STATUS_OF_ORDER, 'FAILED')} AS status",
         )
 
     def shipments(self) -> DataFrame:
-        return (
-            self.raw("lineitem")
-            .groupBy("l_orderkey")
-            .agg(F.min("l_shipdate").alias("ship_date"), F.max("l_shipdate").alias("actual_delivery"),
-                 F.min("l_linestatus").alias("first_status"))
-            .select(
-                F.col("l_orderkey").alias("shipment_id"),
-                F.col("l_orderkey").alias("order_id"),
-                "ship_date",
-                "actual_delivery",
-                F.concat(F.lit("TRK"), F.col("l_orderkey").cast("string")).alias("tracking_number"),
-                F.when(F.col("first_status") == "F", "DELIVERED").otherwise("PENDING").alias("status"),
-            )
-        )
+        per_order = self.raw("lineitem").groupBy("l_orderkey").agg(
+            F.expr("min(l_shipdate) AS ship_date"), F.expr("max(l_shipdate) AS actual_delivery"),
+            F.expr("min(l_linestatus) AS first_status"))
+        return per_order.selectExpr(
+            "l_orderkey AS shipment_id", "l_orderkey AS order_id", "ship_date", "actual_delivery",
+            "concat('TRK', l_orderkey) AS tracking_number",
+            "if(first_status = 'F', 'DELIVERED', 'PENDING') AS status")
 
     def purchases(self) -> DataFrame:
         """Purchase events as orders with a time of day, for hourly work."""
-        return (
-            self.raw("events")
-            .filter(F.col("event_type") == "purchase")
-            .select(
-                F.col("event_id").alias("order_id"),
-                F.col("user_id").alias("customer_id"),
-                F.col("ts").alias("order_date"),
-                F.when(F.col("value") < 1, "CANCELLED").when(F.col("value") < 40, "DELIVERED").otherwise("PENDING")
-                .alias("status"),
-                F.col("value").cast("decimal(12,2)").alias("net_amount"),
-            )
+        return self.raw("events").filter("event_type = 'purchase'").selectExpr(
+            "event_id AS order_id",
+            "user_id AS customer_id",
+            "ts AS order_date",
+            "CASE WHEN value < 1 THEN 'CANCELLED' WHEN value < 40 THEN 'DELIVERED' ELSE 'PENDING' END AS status",
+            "CAST(value AS DECIMAL(12,2)) AS net_amount",
         )
 
     def visits(self) -> DataFrame:
-        return self.raw("events").filter(F.col("event_type") == "view").select(F.col("ts").alias("visit_ts"))
+        return self.raw("events").filter("event_type = 'view'").selectExpr("ts AS visit_ts")
 
     # -- audit ------------------------------------------------------------------
 
     def audit(self) -> DataFrame:
-        events = self.raw("events")
-        ts, kind = F.col("ts"), F.col("event_type")
-        weekday = ~F.dayofweek("ts").isin(1, 7)
-        status = F.when(kind == "error", "ERROR").when((kind == "click") & weekday, "DENIED").otherwise("ALLOWED")
-        message = (
-            F.when((kind == "error") & (F.col("value") < 10), "missing permission on table")
-            .when((kind == "error") & (F.col("value") < 20), "access denied by policy")
-            .when(kind == "error", "lock timeout")
-            .when((kind == "click") & weekday, "employee not authorized on weekdays")
-        )
-        return events.select(
-            F.col("event_id").alias("audit_id"),
-            F.col("user_id").alias("employee_id"),
-            lookup("event_type", ACTION_OF_EVENT, "SELECT").alias("action_type"),
-            lookup("event_type", TABLE_OF_EVENT, "OTHER").alias("table_name"),
-            F.get_json_object("props", "$.k").alias("record_id"),
-            F.date_format("ts", "EEEE").alias("day_of_week"),
-            F.when(holiday_test(F.to_date("ts"), HOLIDAYS), "Y").otherwise("N").alias("is_holiday"),
-            F.when(weekday, "Y").otherwise("N").alias("is_weekday"),
-            status.alias("status"),
-            message.alias("error_message"),
-            F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("session_user"),
-            ts.alias("action_timestamp"),
-            F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")).alias("ip_address"),
+        weekday = "dayofweek(ts) NOT IN (1, 7)"
+        return self.raw("events").selectExpr(
+            "event_id AS audit_id",
+            "user_id AS employee_id",
+            f"{case('event_type', ACTION_OF_EVENT, 'SELECT')} AS action_type",
+            f"{case('event_type', TABLE_OF_EVENT, 'OTHER')} AS table_name",
+            "get_json_object(props, '$.k') AS record_id",
+            "date_format(ts, 'EEEE') AS day_of_week",
+            f"if({holiday_test('CAST(ts AS DATE)', HOLIDAYS)}, 'Y', 'N') AS is_holiday",
+            f"if({weekday}, 'Y', 'N') AS is_weekday",
+            f"""CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'click' AND {weekday} THEN 'DENIED'
+                     ELSE 'ALLOWED' END AS status""",
+            f"""CASE WHEN event_type = 'error' AND value < 10 THEN 'missing permission on table'
+                     WHEN event_type = 'error' AND value < 20 THEN 'access denied by policy'
+                     WHEN event_type = 'error' THEN 'lock timeout'
+                     WHEN event_type = 'click' AND {weekday} THEN 'employee not authorized on weekdays' END
+                AS error_message""",
+            "concat('U', user_id % 20) AS session_user",
+            "ts AS action_timestamp",
+            "concat('10.0.0.', user_id % 250) AS ip_address",
         )
 
     def actions(self) -> DataFrame:
-        return self.raw("events").select(
-            F.col("event_id").alias("action_id"),
-            F.col("user_id").alias("employee_id"),
-            F.col("ts").alias("action_date"),
-            lookup("event_type", ACTION_OF_EVENT, "SELECT").alias("action_type"),
-            text_of(F.lit("event "), "event_type").alias("description"),
-            F.col("value").cast("decimal(12,2)").alias("amount"),
+        return self.raw("events").selectExpr(
+            "event_id AS action_id",
+            "user_id AS employee_id",
+            "ts AS action_date",
+            f"{case('event_type', ACTION_OF_EVENT, 'SELECT')} AS action_type",
+            "concat('event ', event_type) AS description",
+            "CAST(value AS DECIMAL(12,2)) AS amount",
         )
 
 
-def holiday_test(date: Column, holidays: list[tuple]) -> Column:
+def case(column: str, table: dict, default: str) -> str:
+    """A fixed mapping as the text of a CASE expression."""
+    def literal(value):
+        return str(value) if isinstance(value, int) else f"'{value}'"
+
+    whens = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in table.items())
+    return f"CASE {column} {whens} ELSE {literal(default)} END"
+
+
+CATEGORY_CODE = f"CAST({case('p_type', CATEGORY_CODES, 0)} AS BIGINT)"
+
+
+def holiday_test(date: str, holidays: list[tuple]) -> str:
     """True on a listed day, or on the same month and day for recurring ones."""
     tests = []
     for _, on, _, recurring in holidays:
-        year, month, dom = (int(x) for x in on.split("-"))
+        year, month, day = (int(x) for x in on.split("-"))
         if recurring == "Y":
-            tests.append((F.month(date) == month) & (F.dayofmonth(date) == dom))
+            tests.append(f"(month({date}) = {month} AND day({date}) = {day})")
         else:
-            tests.append(date == F.lit(on).cast("date"))
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+            tests.append(f"{date} = DATE '{on}'")
+    return " OR ".join(tests) or "FALSE"
