@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from contract.model_sql import MODEL_SQL
+from ledgertide.session import tune
 from ledgertide.sources.model import Model
 
 QUERIES: dict[str, Callable] = {}
@@ -19,7 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Model], DataFrame]):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, folder: fn(Model(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Model(tune(spark), folder))
         if sql:
             ORACLE[name] = with_model(sql)
         return fn

@@ -77,8 +77,8 @@ def ratio(num, den, factor: int = 1, digits: int = 2) -> Column:
     Operands are widened to decimals so that the rounding does not depend on binary fractions.
     """
     num = as_col(num).cast("decimal(20,2)") * F.lit(factor)
-    den = F.nullif(as_col(den).cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
-    return F.round(num / den, digits)
+    den = as_col(den).cast("decimal(20,2)")
+    return F.when(den != 0, F.round(num / den, digits))
 
 
 def percent(num, den, digits: int = 2) -> Column:

@@ -57,13 +57,15 @@ def large_groups(
 
     At most rows / group_rows keys can qualify, so the result is small beside the input.
     When the plan reads little, no group can be large and the counting job is not run.
-    `bounded_by` names a table with at least as many rows as `df`, to be looked at instead.
+    `bounded_by` names a table whose groups are at least as large as those of `df`; being
+    nearer to the source, it is cheaper to look at and to count.
     """
+    source = bounded_by if bounded_by is not None and set(keys) <= set(bounded_by.columns) else df
     if group_rows is None:
         if input_bytes(bounded_by if bounded_by is not None else df) < SMALL_INPUT_BYTES:
             return None
         group_rows = GROUP_ROWS
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > group_rows)
+    counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > group_rows)
     counted = cut_lineage(counted)
     return None if counted.isEmpty() else counted
 
@@ -76,13 +78,21 @@ def _matching(df: DataFrame, hot: DataFrame, keys: list[str], how: str) -> DataF
     return df.join(marks, same, how)
 
 
+def divide(
+    df: DataFrame, keys: list[str], hot: DataFrame | None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of ordinary keys and rows of the keys in `hot`; None for a side without rows."""
+    if hot is None:
+        return df, None
+    return None if not keys else _matching(df, hot, keys, "left_anti"), _matching(df, hot, keys, "left_semi")
+
+
 def _split(df, keys, group_rows, bounded_by):
     hot = large_groups(df, keys, group_rows, bounded_by)
     if hot is None:
         return df, None, 0
     parts = ceil(hot.agg(F.sum("_rows")).first()[0] / (group_rows or GROUP_ROWS)) + 1
-    cold = None if not keys else _matching(df, hot, keys, "left_anti")
-    return cold, _matching(df, hot, keys, "left_semi"), parts
+    return *divide(df, keys, hot), parts
 
 
 def _union(cold: DataFrame | None, hot: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ledgertide.functions import rules
 from ledgertide.functions.compat import (
     average_of,
     day_start,
+    micros,
     minutes_between,
     moment,
     month_text,
@@ -177,14 +178,22 @@ def unusual_activity(
     )
 
 
+def _counts_by(audit: DataFrame, period: Column, name: str, *others: str) -> DataFrame:
+    """Status counts per period and further columns: the rows that distinct counts then run over."""
+    return audit.groupBy(period.alias(name), *others).agg(
+        F.count(F.lit(1)).alias("n"), *[_status_count(s).alias(s) for s in ("ALLOWED", "DENIED", "ERROR")]
+    )
+
+
 def daily_summary(audit: DataFrame) -> DataFrame:
     return (
-        audit.groupBy(day_start(TS).alias("audit_date"))
+        _counts_by(audit, day_start(TS), "audit_date", "employee_id", "session_user")
+        .groupBy("audit_date")
         .agg(
-            F.count(F.lit(1)).alias("total_entries"),
-            _status_count("ALLOWED").alias("allowed"),
-            _status_count("DENIED").alias("denied"),
-            _status_count("ERROR").alias("errors"),
+            F.sum("n").alias("total_entries"),
+            F.sum("ALLOWED").alias("allowed"),
+            F.sum("DENIED").alias("denied"),
+            F.sum("ERROR").alias("errors"),
             F.count_distinct("employee_id").alias("unique_employees"),
             F.count_distinct("session_user").alias("unique_users"),
         )
@@ -196,12 +205,13 @@ def daily_summary(audit: DataFrame) -> DataFrame:
 
 def monthly_compliance(audit: DataFrame) -> DataFrame:
     return (
-        audit.groupBy(month_text(TS).alias("month"))
+        _counts_by(audit, month_text(TS), "month", "employee_id", "table_name")
+        .groupBy("month")
         .agg(
-            F.count(F.lit(1)).alias("total_audits"),
-            _status_count("ALLOWED").alias("compliant"),
-            _status_count("DENIED").alias("non_compliant"),
-            _status_count("ERROR").alias("system_errors"),
+            F.sum("n").alias("total_audits"),
+            F.sum("ALLOWED").alias("compliant"),
+            F.sum("DENIED").alias("non_compliant"),
+            F.sum("ERROR").alias("system_errors"),
             F.count_distinct("employee_id").alias("employees_monitored"),
             F.count_distinct("table_name").alias("tables_monitored"),
         )
@@ -337,15 +347,21 @@ def activity_quartiles(employees: DataFrame, audit: DataFrame, group_rows: int |
 def first_last_audit(employees: DataFrame, audit: DataFrame) -> DataFrame:
     """First and last time and status beside every entry; employees without entries appear once.
 
-    The four values are aggregates, so they combine before the shuffle; only the join that
-    repeats them per entry touches every row, and an inner join can split a very large key.
+    The first step keeps the earliest and latest entry per employee and status as one number
+    (time, then audit id), which a hash aggregate combines before the shuffle. Only the join
+    that repeats the values per entry touches every row, and an inner join can split a very
+    large key.
     """
-    at = F.struct(TS, "audit_id")
-    ends = audit.groupBy("employee_id").agg(
-        F.min(TS).alias("first_audit_time"),
-        F.max(TS).alias("last_audit_time"),
-        F.min_by("status", at).alias("first_audit_status"),
-        F.max_by("status", at).alias("last_audit_status"),
+    place = micros(TS).cast("decimal(19,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("audit_id")
+    place = place.cast("decimal(38,0)")
+    per_status = audit.groupBy("employee_id", "status").agg(
+        F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts")
+    )
+    ends = per_status.groupBy("employee_id").agg(
+        F.min("first_ts").alias("first_audit_time"),
+        F.max("last_ts").alias("last_audit_time"),
+        F.min_by("status", "lo").alias("first_audit_status"),
+        F.max_by("status", "hi").alias("last_audit_status"),
     )
     staff = employees.select("employee_id", "employee_name").join(ends, "employee_id", "left")
     quiet = staff.filter(F.col("first_audit_time").isNull())

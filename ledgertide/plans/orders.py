@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.functions import rules
 from ledgertide.functions.compat import lookup, micros, money, number_text, text_of
-from ledgertide.operators.ordered import numbered, running_totals
+from ledgertide.operators.ordered import divide, large_groups, numbered, running_totals
 from ledgertide.sources.tables import zip_arrays
 
 HOUR = 3_600_000_000
@@ -106,7 +106,7 @@ def create_orders(
         F.col("shipping_address").alias("billing_address"),
     )
     rows = merged.join(orders.select("request_id", "order_id"), "request_id")
-    items = numbered(rows, [], ["order_id", "position"], "line", bounded_by=requests).select(
+    items = numbered(rows, [], ["order_id", "position"], "line").select(
         (F.col("line") + (first_item_id - 1)).alias("order_item_id"),
         "order_id",
         "product_id",
@@ -136,44 +136,22 @@ def allowed_change(old: Column, new: Column) -> Column:
 LONGEST_PATH = 4
 
 
-def apply_status_changes(
-    requests: DataFrame,
-    orders: DataFrame,
-    items: DataFrame,
-    shipments: DataFrame,
-    settle: Callable[[DataFrame], DataFrame] | None = None,
-) -> dict[str, DataFrame]:
-    """Decide every request in time order per order.
-
-    An order can change at most four times, as the transitions have no way back. So instead of
-    folding all requests of an order in one task, each round takes for every order the earliest
-    request that may follow its current status. Four such rounds are complete, and each is an
-    aggregate that combines before the shuffle, however many requests one order has.
-    """
-    asked = requests.select("order_id").distinct()
-    shipped = shipments.select("order_id").distinct().withColumn("has_shipment", F.lit(True))
-    state = (
-        orders.select("order_id", "customer_id", "order_date", F.col("status").alias("s0"))
-        .join(asked, "order_id", "left_semi")
-        .join(shipped, "order_id", "left")
-        .withColumn("has_shipment", F.coalesce("has_shipment", F.lit(False)))
-    )
+def _decide(requests: DataFrame, state: DataFrame, side=lambda df: df) -> DataFrame:
+    """Old status, outcome and message of each request; `side` may mark the states for broadcast."""
     at = F.struct("request_ts", "request_id")
     slim = requests.select("order_id", "new_status", at.alias("at"))
     elapsed = micros("at.request_ts") - micros("order_date")
-    free = (
-        ((F.col("new_status") != "SHIPPED") | F.col("has_shipment"))
-        & ((F.col("new_status") != "CANCELLED") | (elapsed <= rules.CANCEL_WINDOW_HOURS * HOUR))
+    free = ((F.col("new_status") != "SHIPPED") | F.col("has_shipment")) & (
+        (F.col("new_status") != "CANCELLED") | (elapsed <= rules.CANCEL_WINDOW_HOURS * HOUR)
     )
     kept = ["customer_id", "order_date", "has_shipment", "s0"]
     for step in range(1, LONGEST_PATH + 1):
-        now, since = F.col(f"s{step - 1}"), F.col(f"p{step - 1}") if step > 1 else None
-        opens = allowed_change(now, F.col("new_status")) & free
-        if since is not None:
-            opens = opens & (F.col("at") > since)
+        opens = allowed_change(F.col(f"s{step - 1}"), F.col("new_status")) & free
+        if step > 1:
+            opens = opens & (F.col("at") > F.col(f"p{step - 1}"))
         key = F.when(opens, F.col("at"))
         state = (
-            state.join(slim, "order_id")
+            slim.join(side(state), "order_id")
             .groupBy("order_id")
             .agg(
                 *[F.any_value(c).alias(c) for c in kept],
@@ -183,14 +161,12 @@ def apply_status_changes(
         )
         kept = kept + [f"p{step}", f"s{step}"]
 
-    seen = requests.withColumn("at", at).join(state, "order_id", "left")
-    old = F.col("s0")
-    changed = F.lit(False)
+    seen = requests.withColumn("at", at).join(side(state), "order_id", "left")
+    old, changed, new = F.col("s0"), F.lit(False), F.col("new_status")
     for step in range(1, LONGEST_PATH + 1):
         old = F.when(F.col(f"p{step}") < F.col("at"), F.col(f"s{step}")).otherwise(old)
         changed = changed | F.coalesce(F.col(f"p{step}") == F.col("at"), F.lit(False))
     hours = F.round(elapsed.cast("decimal(20,0)") / F.lit(HOUR).cast("decimal(12,0)"), 2)
-    new = F.col("new_status")
     message = (
         F.when(~new.isin(*rules.ORDER_STATUSES), words("Invalid status: {s}", s="new_status"))
         .when(F.col("customer_id").isNull(), words("Order ID {o} not found", o="order_id"))
@@ -202,14 +178,49 @@ def apply_status_changes(
         .when(new == "SHIPPED", F.lit("Cannot ship order without shipment record"))
         .otherwise(words("Order cannot be cancelled after 24 hours. Hours elapsed: {h}", h=number_text(hours)))
     )
-    results = (
+    same = (F.col("old_status") == new) & new.isin(*rules.ORDER_STATUSES)
+    return (
         seen.withColumn("old_status", old)
         .withColumn("changed", changed)
         .withColumn("message", message)
-        .withColumn("success", F.coalesce(F.col("changed") | (
-            (F.col("old_status") == new) & new.isin(*rules.ORDER_STATUSES)), F.lit(False)))
+        .withColumn("success", F.coalesce(F.col("changed") | same, F.lit(False)))
+        .select(*requests.columns, "at", "customer_id", "old_status", "changed", "success", "message")
     )
+
+
+def apply_status_changes(
+    requests: DataFrame,
+    orders: DataFrame,
+    items: DataFrame,
+    shipments: DataFrame,
+    group_rows: int | None = None,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """Decide every request in time order per order.
+
+    An order can change at most four times, as the transitions have no way back. So instead of
+    folding all requests of an order in one task, each round takes for every order the earliest
+    request that may follow its current status; four such rounds are complete.
+
+    Orders with a great many requests are few, so their states are broadcast: the requests stay
+    where they are and each round combines them before its shuffle.
+    """
+    asked = requests.select("order_id").distinct()
+    shipped = shipments.select("order_id").distinct().withColumn("has_shipment", F.lit(True))
+    state = (
+        orders.select("order_id", "customer_id", "order_date", F.col("status").alias("s0"))
+        .join(asked, "order_id", "left_semi")
+        .join(shipped, "order_id", "left")
+        .withColumn("has_shipment", F.coalesce("has_shipment", F.lit(False)))
+    )
+    hot = large_groups(requests, ["order_id"], group_rows)
+    plain, frequent = divide(requests, ["order_id"], hot)
+    results = _decide(plain, state)
+    if frequent is not None:
+        few = state.join(hot.select("order_id"), "order_id", "left_semi")
+        results = results.unionByName(_decide(frequent, few, F.broadcast))
     results = settle(results) if settle else results
+    new = F.col("new_status")
     done = results.filter("changed")
     restock = (
         done.filter(new == "CANCELLED").select("order_id")

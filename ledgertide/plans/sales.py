@@ -67,12 +67,15 @@ def customer_totals(orders: DataFrame) -> DataFrame:
 
 def customer_lifetime_value(customers: DataFrame, orders: DataFrame, as_of) -> DataFrame:
     spent = customer_totals(active(orders))
-    months = months_between(moment(as_of), "join_date")
-    value = F.coalesce("spent", F.lit(0)).cast("double") / F.col("months") * rules.LIFETIME_MONTHS
+    # A month of 31 days in whole seconds keeps the division exact.
+    month = 31 * 86400
+    seconds = F.round(months_between(moment(as_of), "join_date") * month).cast("decimal(12,0)")
+    scaled = F.coalesce("spent", F.lit(0)).cast("decimal(20,2)") * F.lit(rules.LIFETIME_MONTHS * month)
+    value = F.round(scaled.cast("decimal(30,2)") / F.col("seconds"), 2).cast("double")
     return (
-        customers.select("customer_id", months.alias("months"))
+        customers.select("customer_id", seconds.alias("seconds"))
         .join(spent, "customer_id", "left")
-        .select("customer_id", F.when(F.col("months") > 0, F.round(value, 2)).otherwise(0.0).alias("clv"))
+        .select("customer_id", F.when(F.col("seconds") > 0, value).otherwise(0.0).alias("clv"))
     )
 
 
@@ -405,13 +408,10 @@ def customer_ranking(customers: DataFrame, orders: DataFrame, limit: int = 5) ->
     named = spent.join(customers.select("customer_id", "customer_name"), "customer_id")
     everyone = named.agg(F.sum("total_spent")).scalar()
     best = named.orderBy(F.col("total_spent").desc(), "customer_id").limit(limit)
-    return best.select(
-        "customer_id",
-        "customer_name",
-        "total_spent",
-        F.rank().over(Window.orderBy(F.col("total_spent").desc())).cast("bigint").alias("customer_rank"),
-        percent("total_spent", everyone).alias("percent_of_total"),
+    placed = best.withColumn(
+        "customer_rank", F.rank().over(Window.orderBy(F.col("total_spent").desc())).cast("bigint")
     )
+    return placed.withColumn("percent_of_total", percent("total_spent", everyone))
 
 
 def customer_rank_stored(customers: DataFrame, limit: int = 5) -> DataFrame:

@@ -16,6 +16,17 @@ SETTINGS = {
 }
 
 
+# A join below a grouping on the same key may be split too when one key is very frequent.
+RUNTIME = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings that matter for uneven keys and can change in a running session."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and for the bench. A cluster brings its own session."""
     builder = (
@@ -25,7 +36,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | RUNTIME).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -99,6 +99,20 @@ def test_status_chain_and_effects(spark):
         ("UPDATE", "RETURNED"), ("UPDATE", "SHIPPED")]
 
 
+def test_many_status_requests_for_one_order(spark):
+    orders = table(spark, "orders", [order(1), order(2)])
+    shipments = table(spark, "shipments", [dict(shipment_id=1, order_id=1, status="PENDING")])
+    wishes = ["PENDING", "SHIPPED", "PROCESSING", "SHIPPED", "PROCESSING", "RETURNED", "DELIVERED"]
+    asks = status_requests(spark, [(i, f"2025-12-05 12:00:{i:02d}", 1, s, None) for i, s in enumerate(wishes)]
+                           + [(50, "2025-12-05 13:00:00", 2, "CANCELLED", None)])
+    items = table(spark, "order_items", [])
+    plain = jobs.apply_status_changes(asks, orders, items, shipments)
+    cut = jobs.apply_status_changes(asks, orders, items, shipments, group_rows=3)
+    for part in plain:
+        assert sorted(map(repr, plain[part].collect())) == sorted(map(repr, cut[part].collect())), part
+    assert dict(rows(plain["orders"])) == {1: "RETURNED", 2: "CANCELLED"}
+
+
 def test_daily_report_of_one_order(spark, goods, people):
     orders = table(spark, "orders", [order(12, 1001, total="3099.97", discount="310.00", tax="248.00")])
     items = table(spark, "order_items", [item(12, 12, 1, 1, "1299.99"), item(13, 12, 2, 2, "899.99")])

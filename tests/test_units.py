@@ -294,7 +294,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     import shutil
     import time
 
-    for n, stamp in enumerate(("2024-01-01 10:00:00", "2024-01-03 10:00:00", "2024-01-01 10:05:00")):
+    for n, stamp in enumerate(("2024-01-01 10:00:00", "2024-01-03 10:00:00", "2024-01-03 11:00:00", "2024-01-01 10:05:00")):
         spark.sql(base.format(i=n, ts=stamp)).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
         shutil.copyfile(next((tmp_path / f"w{n}").glob("part-*.parquet")), tmp_path / "in" / f"events-{n}.parquet")
         time.sleep(1.1)
@@ -304,7 +304,7 @@ def test_late_rows_are_counted(spark, tmp_path):
             return feeds.table_stream(spark, str(tmp_path / "in"), name, files_per_trigger=1)
 
     logged, query = feeds.drain(monitors.hourly_volume(Live(spark, "").audit()), "late", mode="update")
-    assert feeds.late_rows(query) == 1 and feeds.newest_per_key(logged, ["audit_hour"]).count() == 2
+    assert feeds.late_rows(query) == 1 and feeds.newest_per_key(logged, ["audit_hour"]).count() == 3
 
 
 def test_enforcement_writes_three_outputs(spark, sf, tmp_path):
