@@ -1,6 +1,7 @@
 """Streams run over the files that are there, compared with the same result asked in SQL."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contract.audit import decided_sql
 from contract.base import query
@@ -50,7 +51,8 @@ SELECT audit_id, employee_id, action_timestamp, n AS recent FROM (
   SELECT *, count(*) OVER (PARTITION BY employee_id ORDER BY action_timestamp
          RANGE BETWEEN INTERVAL 720 MINUTE PRECEDING AND CURRENT ROW) AS n FROM m_audit) WHERE n > 3""")
 def _(m):
-    rows, _q = feeds.drain(stateful.bursts(live(m).audit(), minutes=720, limit=3), "bursts")
+    rows, _q = feeds.drain(live(m).audit(), "bursts", make=stateful.bursts(minutes=720, limit=3),
+                           schema=StructType.fromDDL(stateful.BURST_ROWS))
     return rows.drop("batch_id")
 
 
@@ -59,7 +61,8 @@ SELECT audit_id, employee_id, action_timestamp FROM (
   SELECT *, lag(action_type, 2) OVER w || lag(action_type) OVER w || action_type AS path FROM m_audit
   WINDOW w AS (PARTITION BY employee_id ORDER BY action_timestamp, audit_id)) WHERE path = 'INSERTUPDATEDELETE'""")
 def _(m):
-    rows, _q = feeds.drain(stateful.sequences(live(m).audit()), "sequences")
+    rows, _q = feeds.drain(live(m).audit(), "sequences", make=stateful.sequences(),
+                           schema=StructType.fromDDL(stateful.SEQUENCE_ROWS))
     return rows.drop("batch_id")
 
 
@@ -130,13 +133,25 @@ def _(m):
     return rows.select("transaction_id")
 
 
-@query("gap_sessions", """
+SESSIONS = """
 WITH f AS (SELECT session_user, action_timestamp AS t, CASE WHEN action_timestamp >=
     lag(action_timestamp) OVER (PARTITION BY session_user ORDER BY action_timestamp) + INTERVAL 30 MINUTE
     OR lag(action_timestamp) OVER (PARTITION BY session_user ORDER BY action_timestamp) IS NULL THEN 1 ELSE 0 END AS fresh
   FROM m_audit),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_user ORDER BY t) AS s FROM f)
 SELECT session_user, min(t) AS session_start, max(t) + INTERVAL 30 MINUTE AS session_end, count(*) AS actions
-FROM g GROUP BY session_user, s""")
+FROM g GROUP BY session_user, s"""
+
+
+@query("gap_sessions", SESSIONS)
 def _(m):
     return monitors.gap_sessions(m.audit())
+
+
+@query("stream_gap_sessions", f"""
+SELECT * FROM ({SESSIONS})
+WHERE session_end <= (SELECT max(action_timestamp) - INTERVAL 1 HOUR FROM m_audit)""")
+def _(m):
+    # A session is given out once the watermark has passed its end.
+    rows, _q = feeds.drain(monitors.gap_sessions(live(m).audit()), "sessions")
+    return rows.drop("batch_id")

@@ -41,14 +41,21 @@ def start(stream: DataFrame, handler, checkpoint: str, mode: str = "append", onc
     return writer.start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", handler=None) -> tuple[DataFrame, StreamingQuery]:
-    """Run a stream over what is there now and return the logged rows with their batch id."""
+def drain(
+    stream: DataFrame, name: str, mode: str = "append", make=log_batches, schema: StructType | None = None
+) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream over what is there now and return the logged rows with their batch id.
+
+    `make` gets the target folder and returns the batch handler; `schema` is that of its rows
+    when they differ from the rows of the stream.
+    """
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    query = start(stream, handler or log_batches(f"{folder}/rows"), f"{folder}/checkpoint", mode, once=True)
+    query = start(stream, make(f"{folder}/rows"), f"{folder}/checkpoint", mode, once=True)
     query.awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
-    return spark.read.schema(schema).parquet(f"{folder}/rows"), query
+    fields = (schema or stream.schema).fields
+    logged = spark.read.schema(StructType([*fields, StructField("batch_id", LongType())]))
+    return logged.parquet(f"{folder}/rows"), query
 
 
 def newest_per_key(logged: DataFrame, keys: list[str]) -> DataFrame:

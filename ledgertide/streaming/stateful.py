@@ -1,88 +1,95 @@
-"""Stateful streams: bursts, action sequences and the order life cycle.
+"""Streams that remember: bursts, action sequences and the order life cycle.
 
-Python only walks the rows of one key in time order; Spark partitions, shuffles and keeps the
-state. Each state is a few values per key.
+Bursts and sequences run the batch operators over each micro-batch together with the few
+earlier rows that they still need, so an employee who fills the stream is cut the same way as
+in a batch. The order life cycle keeps one status per order in Spark's state store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgertide.functions import rules
+from ledgertide.operators.ordered import framed, trailing_count
+from ledgertide.session import cut_lineage
 
+TS = "action_timestamp"
+Step = Callable[[DataFrame], DataFrame]
 
-def _in_order(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(parts), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
 
+def with_memory(detect: Step, keep: Step) -> Callable[[str], Callable]:
+    """A handler that hands `detect` the new rows and those that `keep` held back before.
 
-def bursts(audit: DataFrame, minutes: int = rules.BURST_MINUTES, limit: int = rules.BURST_ACTIONS) -> DataFrame:
-    """Entries that make more than `limit` actions of an employee within the trailing minutes.
-
-    The state holds the times that are still in reach.
+    Kept rows are written under the batch id, so a repeated batch starts from the same memory.
     """
-    span = pd.Timedelta(minutes=minutes)
-
-    def walk(key, parts, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        rows = _in_order(parts, "action_timestamp", "audit_id")
-        counts = []
-        for at, peers in rows.groupby("action_timestamp", sort=True).size().items():
-            kept = [t for t in kept if t >= (at - span).value // 1000] + [at.value // 1000] * int(peers)
-            counts += [len(kept)] * int(peers)
-        state.update((kept,))
-        rows["recent"] = counts
-        yield rows.loc[rows["recent"] > limit, ["audit_id", "employee_id", "action_timestamp", "recent"]]
 
-    return (
-        audit.select("audit_id", "employee_id", "action_timestamp")
-        .groupBy("employee_id")
-        .applyInPandasWithState(
-            walk,
-            "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz, recent bigint",
-            "times array<bigint>",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    def make(target: str):
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            seen = batch.withColumn("fresh", F.lit(True))
+            if batch_id:
+                memory = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}-memory/{batch_id - 1}")
+                seen = seen.unionByName(memory.withColumn("fresh", F.lit(False)))
+            seen = cut_lineage(seen)
+            detect(seen).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            keep(seen).select(*batch.columns).write.mode("overwrite").parquet(f"{target}-memory/{batch_id}")
 
+        return handle
 
-def sequences(audit: DataFrame, pattern: tuple[str, str, str] = ("INSERT", "UPDATE", "DELETE")) -> DataFrame:
-    """Entries that complete the pattern; the state holds the last two actions."""
+    return make
 
-    def walk(key, parts, state: GroupState):
-        older, last = state.get if state.exists else (None, None)
-        rows = _in_order(parts, "action_timestamp", "audit_id")
-        hits = []
-        for action in rows["action_type"]:
-            hits.append((older, last, action) == pattern)
-            older, last = last, action
-        state.update((older, last))
-        yield rows.loc[hits, ["audit_id", "employee_id", "action_timestamp"]]
 
-    return (
-        audit.select("audit_id", "employee_id", "action_timestamp", "action_type")
-        .groupBy("employee_id")
-        .applyInPandasWithState(
-            walk,
-            "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz",
-            "older string, last string",
-            "append",
-            GroupStateTimeout.NoTimeout,
+def bursts(minutes: int = rules.BURST_MINUTES, limit: int = rules.BURST_ACTIONS, group_rows: int | None = None):
+    """Entries that make more than `limit` actions of an employee within the trailing minutes."""
+    span = minutes * 60_000_000
+
+    def detect(seen: DataFrame) -> DataFrame:
+        counted = trailing_count(seen, ["employee_id"], TS, span, "recent", group_rows)
+        return counted.filter(F.col("fresh") & (F.col("recent") > limit)).select(
+            "audit_id", "employee_id", TS, "recent")
+
+    def keep(seen: DataFrame) -> DataFrame:
+        latest = seen.groupBy("employee_id").agg(F.max(TS).alias("latest"))
+        return seen.join(latest, "employee_id").filter(
+            F.col(TS) >= F.col("latest") - F.expr(f"INTERVAL {minutes} MINUTES"))
+
+    return with_memory(detect, keep)
+
+
+def sequences(pattern: tuple[str, str, str] = ("INSERT", "UPDATE", "DELETE"), group_rows: int | None = None):
+    """Entries that complete the pattern; the last two actions of each employee are kept."""
+
+    def detect(seen: DataFrame) -> DataFrame:
+        near = framed(
+            seen, ["employee_id"], [TS, "audit_id"],
+            lambda spec: {f"back{n}": F.lag("action_type", n).over(spec) for n in (1, 2)},
+            before=2, group_rows=group_rows,
         )
-    )
+        hit = (F.col("back2") == pattern[0]) & (F.col("back1") == pattern[1]) & (F.col("action_type") == pattern[2])
+        return near.filter(F.col("fresh") & hit).select("audit_id", "employee_id", TS)
+
+    def keep(seen: DataFrame) -> DataFrame:
+        newest = Window.partitionBy("employee_id").orderBy(F.col(TS).desc(), F.col("audit_id").desc())
+        return seen.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= 2)
+
+    return with_memory(detect, keep)
 
 
 def order_life_cycle(requests: DataFrame, initial: str = "PENDING") -> DataFrame:
-    """Accept or refuse each requested status; the state is the current status of the order."""
+    """Accept or refuse each requested status; the state is the current status of the order.
+
+    Python walks the requests of one order in one micro-batch in time order; the size of a
+    micro-batch is set by the source.
+    """
     moves = rules.STATUS_TRANSITIONS
 
-    def walk(key, parts, state: GroupState):
+    def walk(key, parts: Iterator[pd.DataFrame], state: GroupState):
         now = state.get[0] if state.exists else initial
-        rows = _in_order(parts, "request_ts", "request_id")
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["request_ts", "request_id"], ignore_index=True)
         old, accepted = [], []
         for wanted in rows["new_status"]:
             old.append(now)
@@ -105,3 +112,8 @@ def order_life_cycle(requests: DataFrame, initial: str = "PENDING") -> DataFrame
             GroupStateTimeout.NoTimeout,
         )
     )
+
+
+# What the two handlers write.
+BURST_ROWS = "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz, recent bigint"
+SEQUENCE_ROWS = "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz"

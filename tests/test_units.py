@@ -271,14 +271,18 @@ def test_stream_in_several_batches(spark, sf, tmp_path):
             return feeds.table_stream(spark, str(tmp_path / "in"), name, files_per_trigger=1)
 
     live = Live(spark, sf).audit()
-    got, _ = feeds.drain(stateful.bursts(live, minutes=2000, limit=2), "bursts")
+    from pyspark.sql.types import StructType
+
+    got, _ = feeds.drain(live, "bursts", make=stateful.bursts(minutes=2000, limit=2, group_rows=40),
+                         schema=StructType.fromDDL(stateful.BURST_ROWS))
     from ledgertide.operators.ordered import trailing_count
 
     want = trailing_count(audit, ["employee_id"], "action_timestamp", 2000 * 60_000_000, "recent").filter("recent > 2")
     assert sorted(rows(got, "audit_id", "recent")) == sorted(rows(want, "audit_id", "recent"))
     assert {r.batch_id for r in got.select("batch_id").distinct().collect()} >= {1, 2}
 
-    got, _ = feeds.drain(stateful.sequences(live), "sequences")
+    got, _ = feeds.drain(live, "sequences", make=stateful.sequences(group_rows=40),
+                         schema=StructType.fromDDL(stateful.SEQUENCE_ROWS))
     want = a.suspicious_patterns(audit).filter("activity_pattern = 'SUSPICIOUS_PATTERN'")
     assert sorted(rows(got, "audit_id")) == sorted(rows(want, "audit_id"))
 
