@@ -408,6 +408,37 @@ def _(m):
     return inv.render_invoices(invoiced(m)["invoices"], inv.invoice_lines(m.keyed_items(), m.products()))
 
 
-@query("render_invoices_html")
+def html_sql():
+    number = "regexp_replace(regexp_replace(CAST(CAST(tax_percent AS DECIMAL(9,2)) AS VARCHAR), '\\.?0+$', ''), '^0\\.', '.')"
+
+    def safe(value):
+        return f"replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+    def row(label, column):
+        return f"'<tr><th>' || {label} || '</th><td>' || {DOLLARS.format(column)} || '</td></tr>'"
+
+    head = ["'<!DOCTYPE html>'", "'<html><head><title>Invoice ' || invoice_number || '</title></head><body>'",
+            "'<h1>INVOICE</h1>'", "'<p>Invoice #: ' || invoice_number || '</p>'", "'<p>Order #: ' || order_id || '</p>'",
+            "'<p>Date: ' || strftime(order_date, '%b %d, %Y') || '</p>'", "'<p>Status: ' || status || '</p>'",
+            f"'<section><h2>Bill To</h2><p>' || {safe('customer_name')} || '<br>' || {safe('email')} || '<br>' || "
+            "coalesce(address, '') || ', ' || city || ', ' || country || '</p></section>'",
+            f"'<section><h2>Ship To</h2><p>' || {safe('shipping_address')} || '</p></section>'",
+            "'<table><tr><th>#</th><th>Product</th><th>Quantity</th><th>Unit Price</th><th>Total</th></tr>'"]
+    foot = ["'</table><table>'", row("'Subtotal:'", "subtotal_amount"), row("'Discount:'", "disc"),
+            row(f"'Tax (' || {number} || '%):'", "tax"), row("'Total:'", "total"), row("'Amount Paid:'", "paid"),
+            row("'Balance Due:'", "balance_due"), "'</table>'", "'<p>Thank you for your business!</p>'",
+            "'<p>Please pay within 30 days.</p>'", "'<p>For questions, contact: sales@company.com</p>'", "'</body></html>'"]
+    cells = ["line_number", safe("product_name"), "quantity", DOLLARS.format("unit_price"), DOLLARS.format("line_total")]
+    body = "'<tr>' || " + " || ".join(f"'<td>' || {c} || '</td>'" for c in cells) + " || '</tr>'"
+    return f"""
+WITH {INVOICES.strip()},
+l AS (SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY order_item_id) AS line_number, product_name,
+      quantity, i.unit_price, line_total FROM m_keyed_items i JOIN m_products USING (product_id)),
+b AS (SELECT order_id, string_agg({body}, chr(10) ORDER BY line_number) AS body FROM l GROUP BY 1)
+SELECT invoice_number, order_id, concat_ws(chr(10), {", ".join(head)}, body, {", ".join(foot)}) AS document
+FROM inv JOIN b USING (order_id)"""
+
+
+@query("render_invoices_html", html_sql())
 def _(m):
     return inv.render_invoices(invoiced(m)["invoices"], inv.invoice_lines(m.keyed_items(), m.products()), "HTML")
