@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from contract.base import query, rdiv, sql_cents
+from contract.base import query, rdiv
 from ledgertide.plans import audit as a
 from ledgertide.sources.model import AS_OF_EVENTS as NOW
 

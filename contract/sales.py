@@ -240,7 +240,7 @@ def _(m):
         F.col("units_sold").alias("quantity")))
 
 
-def daily_sql(orders: str, with_items: bool) -> str:
+def daily_sql(orders: str) -> str:
     items = f"""prod AS (SELECT report_date, product_name, row_number() OVER (PARTITION BY report_date ORDER BY units DESC, product_name) AS n
   FROM (SELECT date_trunc('day', order_date)::TIMESTAMP AS report_date, product_name, sum(quantity) AS units
         FROM {orders} o JOIN m_items USING (order_id) JOIN m_products USING (product_id)
@@ -269,17 +269,17 @@ FROM days d LEFT JOIN (SELECT * FROM prod WHERE n = 1) p USING (report_date)
      LEFT JOIN (SELECT * FROM cust WHERE n = 1) c USING (report_date)"""
 
 
-@query("daily_revenue", daily_sql("m_orders", True))
+@query("daily_revenue", daily_sql("m_orders"))
 def _(m):
     return s.daily_revenue(m.orders(), m.items(), m.products(), m.customers())
 
 
-@query("daily_revenue_intraday", daily_sql("m_purchases", True))
+@query("daily_revenue_intraday", daily_sql("m_purchases"))
 def _(m):
     return s.daily_revenue(m.purchases(), m.items(), m.products(), m.customers())
 
 
-@query("daily_revenue_one_day", daily_sql("m_orders", True) + " WHERE report_date = TIMESTAMP '1998-10-03'")
+@query("daily_revenue_one_day", daily_sql("m_orders") + " WHERE report_date = TIMESTAMP '1998-10-03'")
 def _(m):
     return s.daily_revenue(m.orders(), m.items(), m.products(), m.customers(), dates=["1998-10-03"])
 

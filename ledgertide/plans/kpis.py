@@ -20,7 +20,8 @@ def monthly_revenue_yoy(orders: DataFrame) -> DataFrame:
     spine = sums.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(
         F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("month")
     )
-    filled = spine.join(sums, "month", "left").withColumn("revenue", F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)"))
+    revenue = F.coalesce("revenue", F.lit(0)).cast("decimal(22,2)")
+    filled = spine.join(sums, "month", "left").withColumn("revenue", revenue)
     by_month = Window.orderBy("month")
     return (
         filled.withColumn("revenue_last_year", F.lag("revenue", 12).over(by_month))
