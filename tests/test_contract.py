@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from contract import load
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = load()
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -46,3 +47,4 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
