@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence gets a logistic score of its hashed words; the document's score is their
-noisy-or, one minus the product of (1 - p). Only document labels are known, so the weights are trained on the noisy-or:
+A document is a bag of sentences. Each sentence gets a logistic score of its words, whose weights are sums over hashed
+features (the word, its first and last letters); the document's score is the sentences' noisy-or, one minus the product of (1 - p). Only document labels are known, so the weights are trained on the noisy-or:
 a toxic document pulls up the sentences that already look worst, a clean one pushes all of its sentences down. Scored
 documents also tell where their worst sentence is.
 
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from ledgertide.llm.work import whole
 
 #: Labelled documents of each label that the classifier is fitted on at most, and its hashed words.
-SAMPLE, BUCKETS = 3000, 1 << 18
-EPOCHS, RATE, LASSO, START = 60, 0.3, 2e-5, -5.0
+SAMPLE, BUCKETS = 3000, 1 << 20
+#: Lengths of the beginnings and ends of a word that are features beside the word.
+AFFIXES = (3, 4, 5)
+EPOCHS, RATE, LASSO, START = 100, 1.0, 1e-4, -10.0
 HELD_OUT = 5
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -39,8 +41,10 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % HELD_OUT == 0, F.lit(False))
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+def features(word: str) -> list[int]:
+    """Hashed features of a word."""
+    named = [word, *(f"{word[:n]}-" for n in AFFIXES if n < len(word)), *(f"-{word[-n:]}" for n in AFFIXES if n < len(word))]
+    return [zlib.crc32(name.encode()) & (BUCKETS - 1) for name in named]
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -63,7 +67,7 @@ class Model:
             def __missing__(self, word):
                 if len(self) > room:
                     self.clear()
-                found = self[word] = weights.get(bucket(word), 0.0)
+                found = self[word] = sum(weights.get(f, 0.0) for f in features(word))
                 return found
 
         known = Known()
@@ -82,32 +86,36 @@ class Model:
         return score
 
 
-def train(bags: list[list[list[int]]], labels: list[int], importance: list[float]) -> Model:
-    """Fit the weights to bags of sentences (lists of buckets), by Adagrad with an L1 shrinkage."""
-    used, index = np.unique(np.fromiter((w for bag in bags for s in bag for w in s), np.int64), return_inverse=True)
-    sentence_sizes = np.fromiter((len(s) for bag in bags for s in bag), np.int64)
-    of_sentence = np.repeat(np.arange(len(sentence_sizes)), sentence_sizes)
-    bag_sizes = np.fromiter(map(len, bags), np.int64)
-    of_bag = np.repeat(np.arange(len(bags)), bag_sizes)
+def train(bags: pa.Array, labels: list[int], importance: list[float]) -> Model:
+    """Fit the weights to bags of sentences (lists of lists of words), by Adagrad with an L1 shrinkage."""
+    in_bags = bags.flatten()
+    words = in_bags.flatten().dictionary_encode()
+    index = words.indices.to_numpy()
+    of_sentence = np.repeat(np.arange(len(in_bags)), in_bags.value_lengths().to_numpy())
+    of_bag = np.repeat(np.arange(len(bags)), bags.value_lengths().to_numpy())
+    made = [features(w) for w in words.dictionary.to_pylist()]
+    of_word = np.repeat(np.arange(len(made)), [len(x) for x in made])
+    used, feature = np.unique(np.fromiter((f for x in made for f in x), np.int64), return_inverse=True)
     y, c = np.array(labels, float), np.array(importance, float)
     c /= c.sum()
     w, b = np.zeros(len(used)), START
     seen_w, seen_b = np.full(len(used), 1e-8), 1e-8
     for _ in range(EPOCHS):
-        z = np.clip(b + np.bincount(of_sentence, w[index], len(sentence_sizes)), -30, 30)
+        by_word = np.bincount(of_word, w[feature], len(made))
+        z = np.clip(b + np.bincount(of_sentence, by_word[index], len(in_bags)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         dirty = -np.expm1(-np.bincount(of_bag, np.logaddexp(0, z), len(bags)))
         # derivative of the log loss by z: p for clean bags, -(1 - P) / P * p for toxic ones
         pull = np.where(y > 0, -(1 - dirty) / np.maximum(dirty, 1e-12), 1.0) * c
         by_z = pull[of_bag] * p
-        by_w = np.bincount(index, by_z[of_sentence], len(used))
+        by_w = np.bincount(feature, np.bincount(index, by_z[of_sentence], len(made))[of_word], len(used))
         by_b = by_z.sum()
         seen_w += by_w**2
         seen_b += by_b**2
         step = RATE / np.sqrt(seen_w)
         w -= step * by_w
         w = np.sign(w) * np.maximum(np.abs(w) - step * LASSO, 0)
-        b -= 0.1 * RATE / np.sqrt(seen_b) * by_b
+        b -= RATE / np.sqrt(seen_b) * by_b
     kept = w != 0
     return Model(dict(zip(used[kept].tolist(), w[kept].tolist(), strict=True)), float(b))
 
@@ -127,19 +135,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                [[bucket(w) for w in set(WORD.findall(s))] for _, _, s in sentences(text)]
+                [sorted(set(WORD.findall(s))) for _, _, s in sentences(text)]
                 for text in batch.column(1).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["toxic", "bag"])
 
     rows = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = rows.mapInArrow(bags, "toxic INT, bag ARRAY<ARRAY<INT>>").toArrow()
+    rows = rows.mapInArrow(bags, "toxic INT, bag ARRAY<ARRAY<STRING>>").toArrow()
     y = rows.column("toxic").to_pylist()
     if len(set(y)) < 2:
         share = counts[1] / total
         return Model({}, float(np.log(share / (1 - share))))
     drawn = {v: y.count(v) for v in (0, 1)}
-    return train(rows.column("bag").to_pylist(), y, [counts[v] / drawn[v] for v in y])
+    return train(rows.column("bag").combine_chunks(), y, [counts[v] / drawn[v] for v in y])
 
 
 SCORES = "score DOUBLE, sentence_start INT, sentence_end INT, sentence_score DOUBLE"
