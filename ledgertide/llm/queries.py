@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import exact_dedup, packing, toxicity, warc
+from ledgertide.llm import exact_dedup, licenses, mixing, packing, pii, topk, toxicity, warc
 from ledgertide.llm.work import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,38 @@ def op1(spark, folder):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op4_pii")
+def op4(spark, folder):
+    found = pii.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spelled(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+@query("op5_mixing")
+def op5(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"), mixing.Target(entropy=0.95))
+    return mixed.select("doc_id", "source", "tokens", "weight", "copy", "begin", "position")
+
+
+@query("op6_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""")
+def op6(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op7_licenses")
+def op7(spark, folder):
+    return licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op8_toxicity")
 def op8(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
