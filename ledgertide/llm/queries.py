@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import exact_dedup, licenses, mixing, packing, pii, topk, toxicity, warc
+import corpus_pipeline
+from ledgertide.llm import exact_dedup, jaccard_join, licenses, lm_scoring, mixing, packing, pii, topk, toxicity, warc
 from ledgertide.llm.work import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,17 @@ def op1(spark, folder):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op2_jaccard_join")
+def op2(spark, folder):
+    found = jaccard_join.similar(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_links")
+
+
+@query("op3_lm_scoring")
+def op3(spark, folder):
+    return lm_scoring.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op4_pii")
 def op4(spark, folder):
     found = pii.find(table(spark, folder, "documents"))
@@ -102,3 +114,8 @@ FROM q""")
 def op10(spark, folder):
     archive = warc.write_archive(table(spark, folder, "pages").select("page_id", "url", "html"))
     return warc.read_summary(archive)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

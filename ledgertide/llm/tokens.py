@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Words of Latin letters that stay one piece when lower-cased and normalised, with at most one mark behind them.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,])?")
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -20,37 +23,63 @@ class WordIds:
     """Ids of texts under a tokenizer that never joins characters across a blank.
 
     The tokenizer drops white space and splits at it, so a text's ids are those of its blank-separated words one after
-    the other, and each word is handed to the tokenizer once. At most `room` words are remembered.
+    the other, and each word is handed to the tokenizer once. About `room` words are remembered: their ids lie in one
+    array, where a word's number tells begin and size.
     """
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room, self.known = room, {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
+        self.room = room
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = found.ids
-        return [known[w] for w in words]
+    def learn(self, new: list[str]) -> None:
+        """Add words to the memory. Plain ones go through the tokenizer as one text, told apart by its word ends."""
+        found = [(w, m) for w in new if (m := PLAIN.fullmatch(w))]
+        plain = [w for w, _ in found]
+        parts = np.fromiter((1 + (m.lastindex is not None) for _, m in found), np.int64, len(found))
+        ids = np.array(self.encoded([" ".join(plain)])[0], np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == parts.sum():
+            sizes = np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+        else:
+            plain, ids, sizes = [], ids[:0], np.empty(0, np.int64)
+        have = set(plain)
+        rest = [w for w in new if w not in have]
+        each = self.encoded(rest)
+        own = np.fromiter(map(len, each), np.int64, len(each))
+        for word in (*plain, *rest):
+            self.known[word] = len(self.known)
+        self.sizes = np.concatenate([self.sizes, sizes, own])
+        self.flat = np.concatenate([self.flat, ids, np.array([k for x in each for k in x], np.uint32)])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin (one more than there are texts)."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
-        lengths = sizes[which]
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > self.room:
+            self.forget()
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum(self.sizes) - self.sizes
+        which = number[coded.indices.to_numpy()]
+        lengths = self.sizes[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(total)
-        return flat[at], np.concatenate([[0], ends])[bounds - bounds[0]]
+        return self.flat[at], np.concatenate([[0], ends])[bounds - bounds[0]]
