@@ -1,9 +1,9 @@
 """Licence scan with a positional index of rare words, in DataFrame functions only.
 
 The words of licence notices are looked up in all documents and counted, so each notice knows its rarest words; these, with
-their places in the notice, are the index. Of a document's words that are in the index the RARE ones with the highest
-inverse document frequency are looked up at every place where they stand; a place minus the place in the notice tells
-where the notice would begin, and words that agree on a beginning add up. A beginning that gathers SHARE of a notice's
+their places in the notice, are the index. A document's words of that kind, those of highest inverse document frequency
+among its licence words, are looked up at every place where they stand; a place minus the place in the notice tells where
+the notice would begin, and words that agree on a beginning add up. A beginning that gathers SHARE of a notice's
 weight is a candidate, and becomes a label when all key phrases of the notice stand in the words from there on.
 
 Fixed phrases are searched beside this and always count. Nothing is capped: every occurrence of the looked-up words is
@@ -15,6 +15,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
 ]
 
-#: Highest-IDF words looked up in a document, share of a notice's words in the index, and weight that makes a candidate.
-RARE, INDEXED, SHARE = 8, 0.6, 0.6
+#: Words of a notice in the index: this share of them, and so many at most; weight that makes a candidate.
+INDEXED, RARE, SHARE = 0.6, 8, 0.6
 
 
 def words_of(text: str | Column = "text") -> Column:
@@ -72,14 +74,12 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 def index_rows(known: dict[str, int], documents: int) -> tuple[dict[str, float], list[tuple[int, str, int]]]:
     """Weights of the indexed words, and postings (notice, word, place): each notice's rarest words."""
-    import math
-
     idf = {w: math.log((documents + 1) / (known.get(w, 0) + 1)) + 1e-3 for w in notice_words()}
     postings = []
     for k, (_, text, _) in enumerate(NOTICES):
         words = text.split()
         rarest = sorted(set(words), key=lambda w: (-idf[w], w))
-        rarest = set(rarest[: max(2, math.ceil(INDEXED * len(rarest)))])
+        rarest = set(rarest[: min(RARE, max(2, math.ceil(INDEXED * len(rarest))))])
         postings += [(k, w, place) for place, w in enumerate(words) if w in rarest]
     return {w: idf[w] for _, w, _ in postings}, postings
 
@@ -103,7 +103,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known, documents = frequencies(docs)
     idf, postings = index_rows(known, documents)
-    rare = F.array(*[F.lit(w) for w in sorted(idf)])
     by_weight = F.array(*[F.lit(w) for w in sorted(idf, key=lambda w: (-idf[w], w))])
 
     likely = "|".join(SEPARATOR.join(p.split()) for p in PHRASES)
@@ -113,7 +112,7 @@ def scan(docs: DataFrame) -> DataFrame:
     read = read.select(
         "*",
         # array_intersect keeps the order of its first argument: rarest words first
-        F.slice(F.array_intersect(by_weight, "words"), 1, RARE).alias("rarest") if idf else rare.alias("rarest"),
+        F.array_intersect(by_weight, "words").alias("rarest"),
         *[F.when(F.col("may_hold"), _places(p)).otherwise(none).alias(f"at_{label}") for p, label in PHRASES.items()],
     )
     every = F.concat(*[F.col(f"at_{label}") for label in PHRASES.values()])

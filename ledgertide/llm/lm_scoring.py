@@ -281,11 +281,11 @@ def scored_rows(docs: DataFrame, classes: Classes, model: Model) -> DataFrame:
             doc = np.repeat(np.arange(n), sizes)
             word = number[coded.indices.to_numpy()]
             rare = word < 0
-            logs = np.bincount(doc, logs_of[word], n) + end_log
+            logs = np.bincount(doc, logs_of[word], n).astype(float) + end_log
             found = np.bincount(doc, ~rare, n).astype(np.int64) + (known.documents > 0)
             last = (word < 0) | (word >= known.own)
             other = np.bincount(doc, last, n).astype(np.int64)
-            other_logs = np.bincount(doc, logs_of[word] * last, n)
+            other_logs = np.bincount(doc, logs_of[word] * last, n).astype(float)
             pair, times = np.unique(
                 doc[rare] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()[rare].astype(np.int64), return_counts=True
             )
