@@ -147,6 +147,18 @@ def _(m):
     return j.parent_chains(m.categories(), "category_id", "parent_category_id", "category_name")
 
 
+@query("product_halving_chain", """
+WITH RECURSIVE n AS (SELECT product_id, nullif(product_id // 2, 0) AS up, product_name FROM m_products),
+tree AS (
+  SELECT product_id, 1::BIGINT AS depth, product_id AS root_id, product_name AS path FROM n WHERE up IS NULL
+  UNION ALL SELECT c.product_id, depth + 1, root_id, path || ' / ' || c.product_name FROM n c JOIN tree t ON c.up = t.product_id)
+SELECT product_id, depth, root_id, path, TRUE AS complete FROM tree""")
+def _(m):
+    """Each product below the one with half its key: chains as deep as the keys have binary digits."""
+    nodes = m.products().selectExpr("product_id", "nullif(product_id div 2, 0) AS up", "product_name")
+    return j.parent_chains(nodes, "product_id", "up", "product_name")
+
+
 @query("manager_chain", chain_sql("m_employees", "employee_id", "manager_id", "employee_name"))
 def _(m):
     return j.parent_chains(m.employees(), "employee_id", "manager_id", "employee_name")

@@ -324,8 +324,8 @@ bill AS (SELECT o.*, c.customer_name, c.email, c.address, c.city, c.country, sub
     CAST(off100 * 10000 AS HUGEINT) AS off_micro
   FROM m_orders o JOIN t USING (order_id) JOIN m_customers c USING (customer_id) LEFT JOIN m_payments p USING (order_id)),
 exact AS (SELECT *, CAST(sub * 1000000 AS HUGEINT) - off_micro + CAST(tax_amount * 1000000 AS HUGEINT) AS due_micro,
-    'INV-' || strftime(order_date, '%Y%m') || '-' || CASE WHEN length(CAST(order_id AS VARCHAR)) > 6
-      THEN substr(CAST(order_id AS VARCHAR), 1, 6) ELSE lpad(CAST(order_id AS VARCHAR), 6, '0') END AS invoice_number FROM bill),
+    'INV-' || strftime(order_date, '%Y%m') || '-' || 
+      lpad(CAST(order_id AS VARCHAR), greatest(6, length(CAST(order_id AS VARCHAR))::INTEGER), '0') AS invoice_number FROM bill),
 inv AS (SELECT *, 999 + row_number() OVER (ORDER BY order_id) AS invoice_id,
     CAST(sub AS DECIMAL(22,2)) AS subtotal_amount,
     CAST(CENT_OFF / 100 AS DECIMAL(22,2)) AS disc, CAST(tax_amount AS DECIMAL(22,2)) AS tax,
@@ -371,7 +371,7 @@ DOLLARS = "('$' || format('{{:,.2f}}', CAST({} AS DOUBLE)))"
 
 
 def padded(value, width):
-    return f"lpad({value}, greatest({width}, 0), ' ')"
+    return f"lpad({value}, greatest({width}, length({value})::INTEGER), ' ')"
 
 
 def text_sql():
@@ -391,8 +391,8 @@ def text_sql():
             total("Total:", "total"), "''", "'Payment Summary:'", "'----------------'", total("Amount Paid:", "paid"),
             total("Balance Due:", "balance_due"), "'" + "=" * 50 + "'", "''", "'Thank you for your business!'",
             "'Please pay within 30 days.'", "'For questions, contact: sales@company.com'", "''"]
-    body = (f"lpad(CAST(line_number AS VARCHAR), 4, ' ') || '  ' || rpad(substr(product_name, 1, 30), 31, ' ') || '  ' "
-            f"|| lpad(CAST(quantity AS VARCHAR), 3, ' ') || '  ' || {padded(DOLLARS.format('unit_price'), 9)} || '  ' "
+    body = (f"{padded('CAST(line_number AS VARCHAR)', 4)} || '  ' || rpad(substr(product_name, 1, 30), 31, ' ') || '  ' "
+            f"|| {padded('CAST(quantity AS VARCHAR)', 3)} || '  ' || {padded(DOLLARS.format('unit_price'), 9)} || '  ' "
             f"|| {padded(DOLLARS.format('line_total'), 10)}")
     return f"""
 WITH {INVOICES.strip()},

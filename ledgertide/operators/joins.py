@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.functions.compat import trunc_to
+from ledgertide.session import cut_lineage
 
 
 def best_promotion(orders: DataFrame, items: DataFrame, products: DataFrame, promotions: DataFrame) -> DataFrame:
@@ -52,34 +53,48 @@ def best_promotion(orders: DataFrame, items: DataFrame, products: DataFrame, pro
     return offers.groupBy("order_id").agg(best.alias("_best")).select("order_id", "_best.*")
 
 
-def parent_chains(nodes: DataFrame, key: str, parent: str, label: str, levels: int = 6) -> DataFrame:
-    """Depth, root and path of every node, following parent pointers up to `levels` steps.
+def parent_chains(nodes: DataFrame, key: str, parent: str, label: str) -> DataFrame:
+    """Depth, root and path of every node, whatever the depth.
 
-    A root keeps its own key on the left side of each further join, so roots neither match nor
-    pile up in one task. A chain that is longer, runs in a circle or points to a missing parent
-    keeps `complete` = false.
+    Each round lets every node jump to the end of its ancestor's own jump, so a chain of n nodes takes log2(n) rounds.
+    First only ids climb, which finds the chains that reach a root; then those gather depth and path in the same way.
+    A chain that runs in a circle or points to a missing parent keeps `complete` = false, depth 1 and its own label.
     """
-    rows = nodes.select(
-        F.col(key).alias("id"),
-        F.col(parent).alias("up"),
-        F.lit(1).cast("bigint").alias("depth"),
-        F.col(key).alias("root_id"),
-        F.col(label).alias("path"),
+    rows = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"), F.col(label).alias("path"))
+    rows = cut_lineage(rows)
+    rounds = max(1, rows.count()).bit_length() + 1
+
+    climbing = rows.select("id", "up")
+    for _ in range(rounds):
+        climbing = cut_lineage(_jump(climbing, {}))
+        if climbing.filter(F.col("up").isNotNull()).isEmpty():
+            break
+    complete = climbing.filter(F.col("up").isNull()).select("id")
+    rooted = rows.join(complete, "id", "left_semi").select(
+        "id", "up", F.lit(1).cast("bigint").alias("depth"), F.col("id").alias("root_id"), "path"
     )
-    parents = nodes.select(
-        F.struct(F.lit(True).alias("climbs"), F.col(key).alias("id")).alias("p_key"),
-        F.col(key).alias("p_id"), F.col(parent).alias("p_up"), F.col(label).alias("p_label"),
+    gather = {
+        "depth": lambda own, above: own + above, "root_id": lambda own, above: above,
+        "path": lambda own, above: F.concat_ws(" / ", above, own),
+    }
+    while True:
+        rooted = cut_lineage(_jump(rooted, gather))
+        if rooted.filter(F.col("up").isNotNull()).isEmpty():
+            break
+    lost = rows.join(complete, "id", "left_anti").select(
+        "id", F.lit(1).cast("bigint").alias("depth"), F.col("id").alias("root_id"), "path"
     )
-    found = F.col("p_id").isNotNull()
-    for _ in range(levels):
-        step = F.struct(F.col("up").isNotNull().alias("climbs"), F.coalesce("up", "id").alias("id"))
-        rows = rows.join(parents, step == F.col("p_key"), "left").select(
-            "id",
-            F.when(found, F.col("p_up")).otherwise(F.col("up")).alias("up"),
-            F.when(found, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            F.coalesce("p_id", "root_id").alias("root_id"),
-            F.when(found, F.concat_ws(" / ", "p_label", "path")).otherwise(F.col("path")).alias("path"),
-        )
-    return rows.select(
-        F.col("id").alias(key), "depth", "root_id", "path", F.col("up").isNull().alias("complete")
+    return rooted.select("id", "depth", "root_id", "path", F.lit(True).alias("complete")).unionByName(
+        lost.withColumn("complete", F.lit(False))
+    ).withColumnRenamed("id", key)
+
+
+def _jump(rows: DataFrame, gather: dict) -> DataFrame:
+    """Every row that still climbs takes over the pointer of the row it points to; roots stay out of the join."""
+    above = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+    found = F.col("_id").isNotNull()
+    moved = rows.filter(F.col("up").isNotNull()).join(above, F.col("up") == F.col("_id"), "left").select(
+        "id", F.when(found, F.col("_up")).otherwise(F.col("up")).alias("up"),
+        *[F.when(found, join(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)).alias(c) for c, join in gather.items()],
     )
+    return moved.unionByName(rows.filter(F.col("up").isNull()))

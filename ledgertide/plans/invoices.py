@@ -62,7 +62,7 @@ def invoices(
         .withColumn("payment_status", F.coalesce("payment_status", F.lit("UNPAID")))
         .withColumn("invoice_number", text_of(
             F.lit("INV-"), F.date_format("order_date", "yyyyMM"), F.lit("-"),
-            F.lpad(F.col("order_id").cast("string"), 6, "0")))
+            _padded(F.col("order_id").cast("string"), 6, "0")))
         .withColumn("discount_amount", money(F.round("exact_discount", 2)))
         .withColumn("tax_amount", money(F.round("tax", 2)))
         .withColumn("total_amount", money(F.round(due, 2)))
@@ -95,8 +95,13 @@ LABEL_WIDTH, AMOUNT_WIDTH, TAX_GAP = 48, 13, 39
 CLOSING = ("Thank you for your business!", "Please pay within 30 days.", "For questions, contact: sales@company.com")
 
 
+def _padded(text: Column, width: int, mark: str = " ") -> Column:
+    """At least `width` characters; longer texts stay whole."""
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(mark))
+
+
 def _amount(value: str) -> Column:
-    return F.lpad(currency(value), AMOUNT_WIDTH, " ")
+    return _padded(currency(value), AMOUNT_WIDTH)
 
 
 def _labelled(label: str, value: str) -> Column:
@@ -128,11 +133,11 @@ def _text_head() -> list:
 def _text_line() -> Column:
     return F.concat_ws(
         "  ",
-        F.lpad(F.col("line_number").cast("string"), 4, " "),
+        _padded(F.col("line_number").cast("string"), 4),
         F.rpad(F.substring("product_name", 1, 30), 31, " "),
-        F.lpad(F.col("quantity").cast("string"), 3, " "),
-        F.lpad(currency("unit_price"), 9, " "),
-        F.lpad(currency("line_total"), 10, " "),
+        _padded(F.col("quantity").cast("string"), 3),
+        _padded(currency("unit_price"), 9),
+        _padded(currency("line_total"), 10),
     )
 
 

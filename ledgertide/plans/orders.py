@@ -133,7 +133,12 @@ def allowed_change(old: Column, new: Column) -> Column:
     return test
 
 
-LONGEST_PATH = 4
+def _longest_path(start: str) -> int:
+    """Changes on the longest way through the transition table."""
+    return max((1 + _longest_path(target) for target in rules.STATUS_TRANSITIONS.get(start, ())), default=0)
+
+
+LONGEST_PATH = max(map(_longest_path, rules.STATUS_TRANSITIONS))
 
 
 def _decide(requests: DataFrame, state: DataFrame, side=lambda df: df) -> DataFrame:
@@ -218,7 +223,7 @@ def apply_status_changes(
     results = _decide(plain, state)
     if frequent is not None:
         few = state.join(hot.select("order_id"), "order_id", "left_semi")
-        results = results.unionByName(_decide(frequent, few, F.broadcast))
+        results = results.unionByName(_decide(frequent, few))
     results = settle(results) if settle else results
     new = F.col("new_status")
     done = results.filter("changed")
@@ -279,6 +284,30 @@ def exchange_products(products: DataFrame) -> DataFrame:
     )
 
 
+def accepted_in_turn(requests: DataFrame) -> DataFrame:
+    """request_id, fits: requests of a line in time order, each accepted while it fits what the accepted ones left.
+
+    Which requests fit depends on each earlier decision. A request above the whole room never fits and is settled before
+    the shuffle; the others stream through their task in order, one number being all that is kept of a line.
+    """
+    never = requests.filter("units > room").select("request_id", F.lit(False).alias("fits"))
+
+    def fold(batches):
+        line, left = None, 0
+        for batch in batches:
+            fits = []
+            for order_id, product_id, units, room in batch[["order_id", "product_id", "units", "room"]].itertuples(index=False):
+                if (order_id, product_id) != line:
+                    line, left = (order_id, product_id), room
+                fits.append(units <= left)
+                left -= units if fits[-1] else 0
+            yield batch[["request_id"]].assign(fits=fits)
+
+    line = ["order_id", "product_id"]
+    dealt = requests.filter("units <= room").repartition(*line).sortWithinPartitions(*line, "request_ts", "request_id")
+    return never.unionByName(dealt.mapInPandas(fold, "request_id BIGINT, fits BOOLEAN"))
+
+
 def process_returns(
     requests: DataFrame,
     orders: DataFrame,
@@ -293,7 +322,8 @@ def process_returns(
     """Check, price and book a batch of returns.
 
     A return is checked against the ordered quantity. Once an order is returned as a whole, its
-    later requests fail. `strict` also counts the earlier valid requests of the same line.
+    later requests fail. `strict` checks against what is left of the line: its history and the requests accepted
+    before it count, rejected ones do not.
     """
     asked = requests.select("order_id").distinct()
     lines = items.join(asked, "order_id", "left_semi")
@@ -313,12 +343,13 @@ def process_returns(
         .join(swaps, "product_id", "left")
     )
     if returns is None:
-        rows = rows.withColumn("returned_before", F.lit(0).cast("bigint"))
+        rows = rows.withColumn("returned_before", F.lit(0).cast("bigint")).withColumn("line_before", F.lit(0).cast("bigint"))
     else:
-        past = returns.filter(F.col("status") == "PROCESSED").groupBy("order_id").agg(
-            F.sum("return_quantity").cast("bigint").alias("returned_before"))
-        rows = rows.join(past, "order_id", "left").withColumn(
-            "returned_before", F.coalesce("returned_before", F.lit(0)))
+        units = F.sum("return_quantity").cast("bigint")
+        done = returns.filter(F.col("status") == "PROCESSED")
+        for keys, name in ((["order_id"], "returned_before"), (["order_id", "product_id"], "line_before")):
+            past = done.groupBy(*keys).agg(units.alias(name))
+            rows = rows.join(past, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
     asked_units, ordered = F.col("return_quantity"), F.col("line.q")
     age = micros("request_ts") - micros("order_date")
@@ -345,14 +376,18 @@ def process_returns(
         .withColumn("_valid", F.col("_early").isNull() & ~F.col("_barred") & F.col("_late").isNull())
         .withColumn("_units", F.when(F.col("_valid"), asked_units).otherwise(0))
     )
+    if strict:
+        fits = accepted_in_turn(rows.filter("_valid").select(
+            "request_id", "order_id", "product_id", "request_ts", F.col("_units").cast("bigint").alias("units"),
+            (ordered - F.col("line_before")).cast("bigint").alias("room")))
+        rows = rows.join(fits, "request_id", "left").withColumn(
+            "_units", F.when(F.coalesce("fits", F.lit(False)), F.col("_units")).otherwise(0))
     rows = running_totals(rows, ["order_id"], ["request_ts", "request_id"], {"_sum": F.col("_units")}, group_rows,
                           bounded_by=requests)
     earlier = F.col("_sum") - F.col("_units")
     whole = (earlier > 0) & (F.col("returned_before") + earlier >= F.col("order_units"))
     if strict:
-        rows = running_totals(rows, ["order_id", "product_id"], ["request_ts", "request_id"],
-                              {"_line_sum": F.col("_units")}, group_rows, bounded_by=requests)
-        over = F.col("_valid") & (F.col("_line_sum") > ordered)
+        over = F.col("_valid") & ~F.coalesce("fits", F.lit(False))
         late = F.coalesce("_late", F.when(over, F.lit("Return quantity exceeds the quantity left")))
     else:
         late = F.col("_late")

@@ -230,7 +230,7 @@ def check_documented(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def check_hierarchy(categories: DataFrame, max_depth: int = rules.MAX_CATEGORY_DEPTH) -> DataFrame:
-    chains = parent_chains(categories, "category_id", "parent_category_id", "category_name", levels=max_depth)
+    chains = parent_chains(categories, "category_id", "parent_category_id", "category_name")
     bad = (F.col("depth") > max_depth) | ~F.col("complete")
     counted = chains.agg(F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("violations"))
     return _result(counted, "categories", f"at most {max_depth} levels", "HIERARCHY")

@@ -17,7 +17,12 @@ SETTINGS = {
 
 
 # A join below a grouping on the same key may be split too when one key is very frequent.
-RUNTIME = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+# Calendar arithmetic is on zone-free times and counts on a UTC session.
+RUNTIME = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -53,10 +58,11 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgertide-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgertide-"))
     return context.getCheckpointDir()
 
 

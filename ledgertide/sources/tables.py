@@ -74,25 +74,6 @@ def one_row(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 'X' AS dummy")
 
 
-def synthetic_orders(spark: SparkSession, rows: int, seed: int = 1) -> DataFrame:
-    """Order rows for trials: keys in turn, statuses by remainder, amounts drawn evenly."""
-    pick = F.col("id") % 4
-    amount = F.round(F.rand(seed) * 950 + 50, 2).cast("decimal(12,2)")
-    base = spark.range(1, rows + 1).select(
-        F.col("id").alias("order_id"),
-        (F.col("id") % 20 + 1001).alias("customer_id"),
-        (F.lit("2025-12-01").cast("timestamp_ntz") + F.make_dt_interval(days=-(F.col("id") % 30).cast("int")))
-        .alias("order_date"),
-        F.when(pick == 0, "DELIVERED").when(pick == 1, "PROCESSING").when(pick == 2, "SHIPPED").otherwise("PENDING")
-        .alias("status"),
-        amount.alias("total_amount"),
-        F.when(F.col("id") % 3 == 0, F.round(F.rand(seed + 1) * 50, 2)).otherwise(0).cast("decimal(10,2)")
-        .alias("discount_amount"),
-        F.lit(0).cast("decimal(10,2)").alias("tax_amount"),
-    )
-    return base.withColumn("net_amount", net_amount())
-
-
 # -- keys and updates -------------------------------------------------------------------
 
 
@@ -181,14 +162,25 @@ def read_version(spark: SparkSession, folder: str, table: str | None = None) ->
 
 
 def publish_batch(outputs: dict[str, DataFrame], folder: str, batch_id: str) -> dict[str, str]:
-    """Write every output of a job under one batch id; running the batch again replaces it."""
-    paths = {}
+    """Write every output of a job under one batch id; running the batch again replaces it.
+
+    The list of outputs is written last, so `read_batches` sees a batch whole or not at all.
+    """
+    paths = {name: f"{folder}/{name}/batch_id={batch_id}" for name in outputs}
     for name, df in outputs.items():
-        paths[name] = f"{folder}/{name}/batch_id={batch_id}"
         df.write.mode("overwrite").parquet(paths[name])
+    spark = next(iter(outputs.values())).sparkSession
+    listed = spark.createDataFrame(list(paths.items()), "name string, path string")
+    listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/_complete/batch_id={batch_id}")
     return paths
 
 
+def read_batches(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One output over all complete batches."""
+    listed = spark.read.parquet(f"{folder}/_complete").filter(F.col("name") == name)
+    return spark.read.option("basePath", f"{folder}/{name}").parquet(*[r.path for r in listed.collect()])
+
+
 def publish_if_clean(staged: DataFrame, checks: DataFrame, folder: str) -> str | None:
     """Publish a staged load only when no check reports a violation."""
     if not checks.filter(F.col("violations") > 0).isEmpty():
@@ -197,6 +189,6 @@ def publish_if_clean(staged: DataFrame, checks: DataFrame, folder: str) -> str |
 
 
 def write_archive(df: DataFrame, ts: str, folder: str) -> None:
-    """Archive by month, so that later reads prune to the months asked for."""
+    """Archive by month, so that later reads prune to the months asked for; other months stay as they are."""
     monthly = df.withColumn("archive_month", F.date_format(ts, "yyyy-MM"))
-    monthly.write.mode("overwrite").partitionBy("archive_month").parquet(folder)
+    monthly.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive_month").parquet(folder)

@@ -66,9 +66,16 @@ def newest_per_key(logged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped so far, from the query's own progress."""
-    dropped = 0
-    for progress in query.recentProgress:
+    """Rows that the watermark has dropped in this run, from the query's own progress.
+
+    Spark keeps the last `spark.sql.streaming.numRecentProgressUpdates` reports. Once earlier ones are gone the total
+    cannot be told any more, which is an error rather than a smaller number.
+    """
+    dropped, kept = 0, query.recentProgress
+    limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    if len(kept) >= limit:
+        raise RuntimeError("earlier progress is no longer kept; raise spark.sql.streaming.numRecentProgressUpdates")
+    for progress in kept:
         for state in progress["stateOperators"]:
             dropped += state["numRowsDroppedByWatermark"]
     return dropped

@@ -241,6 +241,28 @@ def test_strict_returns_and_history(spark, sold):
     assert dict(rows(out["orders"])) == {3: "RETURNED"}
 
 
+def strict_lines(spark, sold, asks, quantities, past=()):
+    """Decisions on an order 7 of lines (product, quantity)."""
+    own = dict(sold)
+    own["orders"] = sold["orders"].unionByName(table(spark, "orders", [order(7, status="DELIVERED")]))
+    own["items"] = sold["items"].unionByName(table(spark, "order_items", [
+        item(700 + p, 7, p, n, "10") for p, n in quantities.items()]))
+    history = table(spark, "returns", [dict(return_id=k, order_id=7, product_id=p, return_quantity=n, return_reason="x",
+                                            status="PROCESSED") for k, (p, n) in enumerate(past)]) if past else None
+    made = return_requests(spark, [(k, 7, p, n, "x", "REFUND") for k, (p, n) in enumerate(asks, 1)])
+    out = jobs.process_returns(made, returns=history, strict=True, **own)
+    return sorted(r[0] for r in rows(out["returns"], "request_id")), dict(rows(out["rejects"], "request_id", "reason"))
+
+
+def test_strict_counts_accepted_units_only(spark, sold):
+    kept, lost = strict_lines(spark, sold, [(2, 1), (2, 1), (5, 1)], {2: 1, 5: 1})
+    assert kept == [1, 3] and list(lost) == [2]
+    kept, lost = strict_lines(spark, sold, [(2, 2), (2, 2), (2, 1)], {2: 3})
+    assert kept == [1, 3] and lost == {2: "Return quantity exceeds the quantity left"}
+    kept, lost = strict_lines(spark, sold, [(2, 1), (5, 1)], {2: 1, 5: 2}, past=[(2, 1)])
+    assert kept == [2] and lost == {1: "Return quantity exceeds the quantity left"}
+
+
 def test_many_requests_for_one_order(spark, sold):
     """The cut into ranges gives the same decisions."""
     asks = return_requests(spark, [(i, 4, 2, 1, "x", "REFUND") for i in range(1, 30)])

@@ -75,8 +75,14 @@ def test_batches_archive_and_gate(spark, tmp_path):
     paths = t.publish_batch({"x": df}, str(tmp_path), "7")
     t.publish_batch({"x": df}, str(tmp_path), "7")
     assert spark.read.parquet(paths["x"]).count() == 5
+    with pytest.raises(Exception):
+        t.publish_batch({"x": df, "y": df.select(F.raise_error(F.lit("broken")).alias("y"))}, str(tmp_path), "8")
+    assert t.read_batches(spark, str(tmp_path), "x").count() == 5
     t.write_archive(df, "ts", str(tmp_path / "arch"))
     assert spark.read.parquet(str(tmp_path / "arch")).filter("archive_month = '2024-01'").count() == 5
+    later = df.withColumn("ts", F.expr("ts + interval 1 month"))
+    t.write_archive(later, "ts", str(tmp_path / "arch"))
+    assert spark.read.parquet(str(tmp_path / "arch")).count() == 10
     t.append(df, str(tmp_path / "log")), t.append(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 10
     bad = spark.createDataFrame([(1,)], "violations bigint")
@@ -91,8 +97,6 @@ def test_keys_columns_and_rows(spark):
     assert t.with_hash_key(df, ["x"], "k").select("k").distinct().count() == 2
     people = table(spark, "customers", [customer(1, "A")]).select("customer_id")
     assert rows(t.add_missing_columns(people, t.RETURN_HISTORY)) == [(1, D("0.00"), 0, None, D("0.00"))]
-    made = t.synthetic_orders(spark, 20)
-    assert made.count() == 20 and made.filter("net_amount <= 0 or status is null").isEmpty()
     assert t.one_row(spark).count() == 1
     zipped = t.zip_arrays(spark.sql("SELECT 1 AS r, array(5L, 6L) AS p, array(1L) AS q"), "p", "q", ["r"], ["p", "q"])
     assert sorted(rows(zipped)) == [(1, 0, 5, 1), (1, 1, 6, None)]
@@ -120,11 +124,18 @@ def test_parent_chains(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d"), (5, 6, "x"), (6, 5, "y"),
                                    (7, 99, "z")], "id bigint, up bigint, name string")
     out = {r.id: (r.depth, r.root_id, r.path, r.complete) for r in
-           parent_chains(nodes, "id", "up", "name", levels=3).collect()}
+           parent_chains(nodes, "id", "up", "name").collect()}
     assert out[1] == (1, 1, "a", True) and out[4] == (4, 1, "a / b / c / d", True)
     assert not out[5][3] and not out[7][3]
 
 
+def test_long_parent_chain(spark):
+    nodes = spark.range(1, 41).selectExpr("id", "nullif(id - 1, 0) AS up", "cast(id AS string) AS name")
+    out = {r.id: r for r in parent_chains(nodes, "id", "up", "name").collect()}
+    assert all(r.depth == k and r.root_id == 1 and r.complete for k, r in out.items())
+    assert out[40].path == " / ".join(map(str, range(1, 41)))
+
+
 # -- audit --------------------------------------------------------------------------------
 
 
