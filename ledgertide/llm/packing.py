@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ledgertide.llm.tokens import WordIds, tokenizer_path
+from ledgertide.llm.tokens import tokenizer_path, word_ids
 from ledgertide.llm.work import whole
 
 CAPACITY, END_ID = 2048, 1
 #: Longest piece of a rest, windows that a group fills, and how far a group stays below its windows, as a share.
 PIECE, WINDOWS, SLACK = 512, 128, 0.002
+#: Bytes of text that are tokenised together.
+GATHER = 4 << 20
 
 COLUMNS = "doc_id BIGINT, start BIGINT, length BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT"
 
@@ -109,6 +111,18 @@ def _rows(pieces: list[tuple], windows: list[list[int]], first: int) -> Iterator
             place += len(ids)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of several batches at once, about GATHER bytes: words that they share are looked up once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHER:
+            yield pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
+            held = []
+    if held:
+        yield pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
+
+
 def _record(rows: list[tuple], as_bytes: bool) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     arrays = [pa.array(c, pa.int64()) for c in columns[:6]]
@@ -133,12 +147,12 @@ def pack(
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, group = WordIds(path), _Group(capacity, piece, windows)
+        words, group = word_ids(path), _Group(capacity, piece, windows)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
-        for batch in batches:
-            ids, bounds = words.batch(batch.column(1))
-            for k, doc in enumerate(batch.column(0).to_pylist()):
+        for docs_, texts in _gathered(batches):
+            ids, bounds = words.batch(texts)
+            for k, doc in enumerate(docs_.to_pylist()):
                 own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(END_ID))
                 whole_ones = len(own) // capacity
                 for w in range(whole_ones):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words of Latin letters that stay one piece when lower-cased and normalised, with at most one mark behind them.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,])?")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -30,8 +31,14 @@ class WordIds:
     def __init__(self, path: str, room: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence as NoChange
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same vocabulary and merges for words that are lower-cased and split already
+        self.merges_only = Tokenizer.from_file(path)
+        self.merges_only.normalizer = NoChange([])
+        self.merges_only.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.room = room
@@ -42,15 +49,13 @@ class WordIds:
         self.sizes = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def encoded(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def learn(self, new: list[str]) -> None:
-        """Add words to the memory. Plain ones go through the tokenizer as one text, told apart by its word ends."""
-        found = [(w, m) for w in new if (m := PLAIN.fullmatch(w))]
-        plain = [w for w, _ in found]
-        parts = np.fromiter((1 + (m.lastindex is not None) for _, m in found), np.int64, len(found))
-        ids = np.array(self.encoded([" ".join(plain)])[0], np.uint32)
+        """Add words to the memory. Plain ones go through the merges as one text, told apart by the word ends."""
+        plain = list(filter(PLAIN.fullmatch, new))
+        marked = [w[-1] in ".," for w in plain]
+        parts = np.array(marked, np.int64) + 1
+        text = " ".join([f"{w[:-1]} {w[-1]}" if m else w for w, m in zip(plain, marked, strict=True)]).lower()
+        ids = np.array(self.merges_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) == parts.sum():
             sizes = np.diff(ends[np.cumsum(parts) - 1], prepend=0)
@@ -58,10 +63,10 @@ class WordIds:
             plain, ids, sizes = [], ids[:0], np.empty(0, np.int64)
         have = set(plain)
         rest = [w for w in new if w not in have]
-        each = self.encoded(rest)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
         own = np.fromiter(map(len, each), np.int64, len(each))
-        for word in (*plain, *rest):
-            self.known[word] = len(self.known)
+        first = len(self.known)
+        self.known.update(zip((*plain, *rest), range(first, first + len(new)), strict=True))
         self.sizes = np.concatenate([self.sizes, sizes, own])
         self.flat = np.concatenate([self.flat, ids, np.array([k for x in each for k in x], np.uint32)])
 
@@ -83,3 +88,9 @@ class WordIds:
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(total)
         return self.flat[at], np.concatenate([[0], ends])[bounds - bounds[0]]
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all tasks that a Python worker runs."""
+    return WordIds(path)
