@@ -328,14 +328,23 @@ def _(m):
     return a.split_changes(a.calendar_rule(order_changes(m), m.holidays()))["violations"]
 
 
-@query("rule_audit_rows", f"""
+def rule_audit_sql() -> str:
+    return f"""
 WITH {decided_sql('weekdays')}
-SELECT change_id, table_name, CASE WHEN error_message IS NULL THEN operation ELSE 'BLOCKED' END AS operation_type,
-       user_name, CASE WHEN error_message IS NULL THEN 'Y' ELSE 'N' END AS success_flag, error_message,
-       change_ts AS change_timestamp
-FROM decided WHERE error_message IS NOT NULL OR operation = 'INSERT'""")
+SELECT change_id, table_name, CASE WHEN error_message IS NULL THEN operation ELSE 'BLOCKED' END AS operation_type, user_name,
+       CASE WHEN operation <> 'INSERT' THEN 'Order: ' || o.order_id || ', Emp: ' || o.employee_id || ', Status: ' || o.status
+            || ', Total: ' || o.total_amount END AS old_values,
+       CASE WHEN operation = 'INSERT' AND error_message IS NULL THEN 'Employee ' || d.employee_id || ' INSERT check passed'
+            WHEN operation = 'INSERT' THEN 'Attempted INSERT: Emp ' || d.employee_id || ', Cust ' || d.customer_id
+            WHEN operation = 'UPDATE' THEN 'Order: ' || d.order_id || ', Emp: ' || d.employee_id || ', Status: '
+            || coalesce(o.status, '') END AS new_values,
+       CASE WHEN error_message IS NULL THEN 'Y' ELSE 'N' END AS success_flag, error_message, change_ts AS change_timestamp
+FROM decided d LEFT JOIN m_orders o ON o.order_id = d.order_id WHERE error_message IS NOT NULL OR operation = 'INSERT'"""
+
+
+@query("rule_audit_rows", rule_audit_sql())
 def _(m):
-    return a.split_changes(a.calendar_rule(order_changes(m), m.holidays()))["audit"]
+    return a.split_changes(a.calendar_rule(order_changes(m), m.holidays()), m.orders())["audit"]
 
 
 @query("batch_counts", f"""

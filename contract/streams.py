@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from contract.audit import decided_sql
+from contract.audit import decided_sql, rule_audit_sql
 from contract.base import query
 from ledgertide.sources.model import Model
 from ledgertide.streaming import enforcement, feeds, monitors, stateful
@@ -97,6 +97,15 @@ def live_changes(m):
         F.col("employee_id").alias("customer_id"))
 
 
+def enforced(m, part):
+    """One output of the rules over the changes as a stream."""
+    target = feeds.work_folder(m.spark, "enforced")
+    handler = enforcement.enforce(m.holidays(), target, orders=m.orders())
+    query_ = feeds.start(live_changes(m), handler, f"{target}/checkpoint", once=True)
+    query_.awaitTermination()
+    return m.spark.read.parquet(f"{target}/{part}").drop("batch_id")
+
+
 @query("stream_rule_violations", f"""
 WITH {decided_sql('weekdays')}
 SELECT change_id, 'WEEKDAY_HOLIDAY_RESTRICTION' AS rule_name, user_name, table_name, operation AS operation_type,
@@ -104,10 +113,18 @@ SELECT change_id, 'WEEKDAY_HOLIDAY_RESTRICTION' AS rule_name, user_name, table_n
             ELSE 'Order: ' || order_id || ', Emp: ' || employee_id END AS attempted_values, error_message
 FROM decided WHERE error_message IS NOT NULL""")
 def _(m):
-    target = feeds.work_folder(m.spark, "enforced")
-    query_ = feeds.start(live_changes(m), enforcement.enforce(m.holidays(), target), f"{target}/checkpoint", once=True)
-    query_.awaitTermination()
-    return m.spark.read.parquet(f"{target}/violations").drop("batch_id")
+    return enforced(m, "violations")
+
+
+@query("stream_rule_allowed", f"""
+WITH {decided_sql('weekdays')} SELECT * EXCLUDE (error_message) FROM decided WHERE error_message IS NULL""")
+def _(m):
+    return enforced(m, "allowed")
+
+
+@query("stream_rule_audit", rule_audit_sql())
+def _(m):
+    return enforced(m, "audit")
 
 
 @query("stream_batch_counts", f"""

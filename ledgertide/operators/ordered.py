@@ -1,20 +1,22 @@
 """Ordered windows that stay balanced when one group holds most of the rows.
 
 A window over ``PARTITION BY key ORDER BY ts`` sorts each key inside one task. That is the best
-plan while every key is of ordinary size, and it is the plan used here for such keys. Keys with
-more than ``group_rows`` rows (and whole-table windows, which are one group) take another way:
+plan for keys of ordinary size, and it is the plan used here for such keys. Keys with more than
+``group_rows`` rows, and windows over a whole table of any size, take another way:
 
 * the rows of those keys alone are range-partitioned on (key, order) and written once to the
   shared folder, so a place in the order becomes a count inside a part plus the counts before it;
 * functions that look at neighbours then run over blocks of consecutive places, each block
   carrying copies of the few rows it needs from the next or previous block.
 
-Both ways give the same rows; the tests force the second one and compare.
+Both ways give the same rows; the tests force the second one and compare. A query that uses
+several operators on one key looks for its frequent keys once, with `hot_groups`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from ledgertide.functions.compat import micros
 from ledgertide.session import cut_lineage
 
+#: Rows of a key that one task sorts, and consecutive places in a block.
 GROUP_ROWS = 20_000_000
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+BLOCK_ROWS = 1_000_000
 
 
 def sort_columns(order: list) -> list[Column]:
@@ -40,34 +43,19 @@ def sort_columns(order: list) -> list[Column]:
     return out
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables and literals that the plan reads, by Spark's statistics.
-
-    Joins here are many-to-one, so the rows of a result follow its inputs. The product of the
-    sides, which Spark assumes for a join it knows nothing about, would be far too large.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def large_groups(
     df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None
 ) -> DataFrame | None:
     """The keys with more rows than one task should sort, or None when there are none.
 
     At most rows / group_rows keys can qualify, so the result is small beside the input.
-    When the plan reads little, no group can be large and the counting job is not run.
     `bounded_by` names a table whose groups are at least as large as those of `df`; being
-    nearer to the source, it is cheaper to look at and to count.
+    nearer to the source, it is cheaper to count.
     """
     source = bounded_by if bounded_by is not None and set(keys) <= set(bounded_by.columns) else df
-    if group_rows is None:
-        if input_bytes(bounded_by if bounded_by is not None else df) < SMALL_INPUT_BYTES:
-            return None
-        group_rows = GROUP_ROWS
-    counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > group_rows)
-    counted = cut_lineage(counted)
-    return None if counted.isEmpty() else counted
+    counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = counted.filter(F.col("_rows") > (group_rows or GROUP_ROWS))
+    return None if counted.isEmpty() else cut_lineage(counted)
 
 
 def _matching(df: DataFrame, hot: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -87,47 +75,50 @@ def divide(
     return None if not keys else _matching(df, hot, keys, "left_anti"), _matching(df, hot, keys, "left_semi")
 
 
-def _split(df, keys, group_rows, bounded_by):
-    hot = large_groups(df, keys, group_rows, bounded_by)
-    if hot is None:
-        return df, None, 0
-    parts = ceil(hot.agg(F.sum("_rows")).first()[0] / (group_rows or GROUP_ROWS)) + 1
-    return *divide(df, keys, hot), parts
+@dataclass(frozen=True)
+class Hot:
+    """The frequent keys of a table (None: there are none) and the ranges to cut their rows into."""
+
+    keys: list[str]
+    found: DataFrame | None
+    parts: int
+
+    @property
+    def plain(self) -> bool:
+        """Whether one window per key will do."""
+        return bool(self.keys) and self.found is None
+
+    def divide(self, df: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        return divide(df, self.keys, self.found) if self.keys else (None, df)
+
+
+def hot_groups(
+    df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None
+) -> Hot:
+    """What the operators below need to know of the keys; a whole table needs no counting."""
+    if not keys:
+        return Hot(keys, None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = large_groups(df, keys, group_rows, bounded_by)
+    rows = found.agg(F.sum("_rows")).first()[0] if found is not None else 0
+    return Hot(keys, found, ceil(rows / (group_rows or GROUP_ROWS)) + 1)
 
 
 def _union(cold: DataFrame | None, hot: DataFrame) -> DataFrame:
     return hot if cold is None else cold.unionByName(hot.select(*cold.columns))
 
 
-def running_totals(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    totals: dict[str, Column],
-    group_rows: int | None = None,
-    bounded_by: DataFrame | None = None,
-) -> DataFrame:
-    """Inclusive running sums per key. The order must be total (end it with a unique column)."""
-    sort = sort_columns(order)
-    cold, hot, parts = _split(df, keys, group_rows, bounded_by)
-    kinds = {}
-
-    def plain(frame, spec):
-        for name, value in totals.items():
-            frame = frame.withColumn(name, F.sum(value).over(spec))
-        return frame
+def _summed(df: DataFrame, totals: dict[str, Column], spec: WindowSpec) -> DataFrame:
+    span = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *[F.sum(value).over(span).alias(name) for name, value in totals.items()])
 
-    span = (Window.unboundedPreceding, Window.currentRow)
-    if cold is not None:
-        cold = plain(cold, Window.partitionBy(*keys).orderBy(*sort).rowsBetween(*span))
-        kinds = {f.name: f.dataType for f in cold.schema}
-    if hot is None:
-        return cold
 
+def _ranged_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], parts: int) -> DataFrame:
+    """Running sums by ranges: those inside a part plus the sums of the parts before it."""
+    sort = sort_columns(order)
     ranged = cut_lineage(
-        hot.repartitionByRange(parts, *[F.col(k) for k in keys], *sort).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *sort).withColumn("_part", F.spark_partition_id())
     )
-    local = plain(ranged, Window.partitionBy(*keys, "_part").orderBy(*sort).rowsBetween(*span))
+    local = _summed(ranged, totals, Window.partitionBy(*keys, "_part").orderBy(*sort))
     sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_in_{n}") for n, v in totals.items()])
     # One row per key and part, so at most keys + parts rows are ordered here.
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,10 +129,29 @@ def running_totals(
     )
     same = [F.col("_part") == F.col("_k_part")] + [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     joined = local.join(offsets, same, "inner")
-    for name in totals:
-        value = F.col(name) + F.col(f"_before_{name}")
-        joined = joined.withColumn(name, value.cast(kinds[name]) if name in kinds else value)
-    return _union(cold, joined.select(*df.columns, *totals))
+    kinds = {f.name: f.dataType for f in local.schema}
+    return joined.select(
+        *df.columns, *[(F.col(n) + F.col(f"_before_{n}")).cast(kinds[n]).alias(n) for n in totals]
+    )
+
+
+def running_totals(
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    totals: dict[str, Column],
+    group_rows: int | None = None,
+    bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
+) -> DataFrame:
+    """Inclusive running sums per key. The order must be total (end it with a unique column)."""
+    hot = hot or hot_groups(df, keys, group_rows, bounded_by)
+    cold, frequent = hot.divide(df)
+    if cold is not None:
+        cold = _summed(cold, totals, Window.partitionBy(*keys).orderBy(*sort_columns(order)))
+    if frequent is None:
+        return cold
+    return _union(cold, _ranged_totals(frequent, keys, order, totals, hot.parts))
 
 
 def numbered(
@@ -151,9 +161,10 @@ def numbered(
     name: str,
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """ROW_NUMBER per key as a bigint."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, group_rows, bounded_by)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, group_rows, bounded_by, hot)
 
 
 def ranked(
@@ -164,11 +175,12 @@ def ranked(
     dense: str | None = None,
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """RANK and DENSE_RANK per key. Beyond the plain way, ties are counted once per value."""
-    hot = large_groups(df, keys, group_rows, bounded_by)
+    hot = hot or hot_groups(df, keys, group_rows, bounded_by)
     wanted = [n for n in (rank, dense) if n]
-    if hot is None:
+    if hot.plain:
         spec = Window.partitionBy(*keys).orderBy(*sort_columns(order))
         if rank:
             df = df.withColumn(rank, F.rank().over(spec).cast("bigint"))
@@ -180,7 +192,7 @@ def ranked(
     placed = running_totals(
         values, keys, order,
         {"_upto": F.col("_ties"), "_place": F.lit(1).cast("bigint")},
-        group_rows, bounded_by,
+        hot=hot,
     )
     given = {rank: F.col("_upto") - F.col("_ties") + 1, dense: F.col("_place")}
     table = placed.select(
@@ -198,12 +210,14 @@ def tiled(
     name: str,
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """NTILE: the first groups take one row more when the rows do not divide evenly."""
-    if large_groups(df, keys, group_rows, bounded_by) is None:
+    hot = hot or hot_groups(df, keys, group_rows, bounded_by)
+    if hot.plain:
         spec = Window.partitionBy(*keys).orderBy(*sort_columns(order))
         return df.withColumn(name, F.ntile(tiles).over(spec).cast("bigint"))
-    placed = numbered(df, keys, order, "_place", group_rows, bounded_by)
+    placed = numbered(df, keys, order, "_place", hot=hot)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if keys:
         sizes = sizes.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_rows")
@@ -227,22 +241,24 @@ def framed(
     after: int = 0,
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Window columns that look at most `before` rows back and `after` rows ahead.
 
     `build` gets a spec (partition and order) and returns the columns, for example
     ``{"previous": F.lag("x").over(spec)}``.
     """
-    cold, hot, _ = _split(df, keys, group_rows, bounded_by)
+    hot = hot or hot_groups(df, keys, group_rows, bounded_by)
+    cold, frequent = hot.divide(df)
     made = []
     if cold is not None:
         columns = build(Window.partitionBy(*keys).orderBy(*sort_columns(order)))
         made = list(columns)
         cold = cold.select("*", *[c.alias(n) for n, c in columns.items()])
-    if hot is None:
+    if frequent is None:
         return cold
-    size = max(group_rows or GROUP_ROWS, before + after + 1)
-    placed = numbered(hot, keys, order, "_place", group_rows, bounded_by)
+    size = max(group_rows or BLOCK_ROWS, before + after + 1)
+    placed = _ranged_totals(frequent, keys, order, {"_place": F.lit(1).cast("bigint")}, hot.parts)
     block, within = F.expr(f"(_place - 1) div {size}"), F.expr(f"(_place - 1) % {size}")
     own = F.struct(block.alias("block"), F.lit(True).alias("own"))
     copies = [own]
@@ -269,22 +285,24 @@ def trailing_count(
     name: str,
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """COUNT(*) over the trailing time span of the same key, peers included.
 
     Keys with many rows are cut into time slots of the span's length; a row also goes to the
     next slot, which therefore sees everything within reach.
     """
-    cold, hot, _ = _split(df, keys, group_rows, bounded_by)
+    hot = hot or hot_groups(df, keys, group_rows, bounded_by)
+    cold, frequent = hot.divide(df)
     at = micros(ts)
     reach = (-span_micros, 0)
     if cold is not None:
         spec = Window.partitionBy(*keys).orderBy(at).rangeBetween(*reach)
         cold = cold.withColumn(name, F.count(F.lit(1)).over(spec))
-    if hot is None:
+    if frequent is None:
         return cold
     slot = F.floor(at / F.lit(span_micros))
-    spread = hot.withColumn("_slot0", slot).withColumn(
+    spread = frequent.withColumn("_slot0", slot).withColumn(
         "_slot", F.explode(F.array(F.col("_slot0"), F.col("_slot0") + 1))
     )
     spec = Window.partitionBy(*keys, "_slot").orderBy(at).rangeBetween(*reach)

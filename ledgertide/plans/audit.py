@@ -28,7 +28,7 @@ from ledgertide.functions.compat import (
     text_of,
     trunc_to,
 )
-from ledgertide.operators.ordered import framed, numbered, ranked, tiled, trailing_count
+from ledgertide.operators.ordered import framed, hot_groups, numbered, ranked, tiled, trailing_count
 
 TS = "action_timestamp"
 
@@ -285,6 +285,7 @@ def employee_action_sequence(employees: DataFrame, actions: DataFrame, group_row
     """Actions numbered from the newest, with the neighbours in time order."""
     staff = employees.select("employee_id", "employee_name")
     rows = actions.select("employee_id", "action_id", "action_date", "action_type").join(staff, "employee_id")
+    hot = hot_groups(rows, ["employee_id"], group_rows, bounded_by=actions)
     near = framed(
         rows,
         ["employee_id"],
@@ -296,11 +297,9 @@ def employee_action_sequence(employees: DataFrame, actions: DataFrame, group_row
         before=1,
         after=1,
         group_rows=group_rows,
-        bounded_by=actions,
-    )
-    placed = numbered(
-        near, ["employee_id"], ["-action_date", "-action_id"], "action_sequence", group_rows, bounded_by=actions
+        hot=hot,
     )
+    placed = numbered(near, ["employee_id"], ["-action_date", "-action_id"], "action_sequence", hot=hot)
     return placed.select(
         "employee_id", "employee_name", "action_id", "action_date", "action_type", "action_sequence",
         "previous_action", "next_action",
@@ -377,6 +376,7 @@ def suspicious_patterns(
 ) -> DataFrame:
     """Insert, update, delete in a row; else a burst; else normal."""
     slim = audit.select("audit_id", "employee_id", TS, "action_type", "table_name", "status")
+    hot = hot_groups(slim, ["employee_id"], group_rows)
     near = framed(
         slim,
         ["employee_id"],
@@ -389,11 +389,9 @@ def suspicious_patterns(
         before=2,
         after=1,
         group_rows=group_rows,
-        bounded_by=audit,
-    )
-    counted = trailing_count(
-        near, ["employee_id"], TS, minutes * 60_000_000, "recent", group_rows=group_rows, bounded_by=audit
+        hot=hot,
     )
+    counted = trailing_count(near, ["employee_id"], TS, minutes * 60_000_000, "recent", hot=hot)
     sequence = (
         (F.col("action_type") == "DELETE") & (F.col("prev_action_1") == "UPDATE") & (F.col("prev_action_2") == "INSERT")
     )
@@ -538,14 +536,34 @@ def calendar_rule(
     )
 
 
-def split_changes(decided: DataFrame) -> dict[str, DataFrame]:
-    """Accepted changes, violations and audit rows of a decided batch."""
+def split_changes(decided: DataFrame, orders: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Accepted changes, violations and audit rows of a decided batch.
+
+    `orders` are the stored rows: blocked updates and deletes log what they would have changed.
+    """
     insert = F.col("operation") == "INSERT"
     attempted = F.when(
         insert, text_of(F.lit("Emp_ID: "), "employee_id", F.lit(", Cust_ID: "), "customer_id")
     ).otherwise(text_of(F.lit("Order: "), "order_id", F.lit(", Emp: "), "employee_id"))
     blocked = decided.filter(~F.col("allowed"))
     logged = decided.filter(~F.col("allowed") | (insert & F.col("employee_id").isNotNull()))
+    stored = ["order_id", "employee_id", "status", "total_amount"]
+    if orders is None:
+        logged = logged.select("*", *[F.lit(None).cast("string").alias(f"_old_{c}") for c in stored])
+    else:
+        held = orders.select(*[F.col(c).alias(f"_old_{c}") for c in stored])
+        logged = logged.join(held, F.col("order_id") == F.col("_old_order_id"), "left")
+    old_values = F.when(
+        ~insert & F.col("_old_order_id").isNotNull(),
+        text_of(F.lit("Order: "), "_old_order_id", F.lit(", Emp: "), "_old_employee_id", F.lit(", Status: "), "_old_status",
+                F.lit(", Total: "), "_old_total_amount"),
+    )
+    new_values = (
+        F.when(insert & F.col("allowed"), text_of(F.lit("Employee "), "employee_id", F.lit(" INSERT check passed")))
+        .when(insert, text_of(F.lit("Attempted INSERT: Emp "), "employee_id", F.lit(", Cust "), "customer_id"))
+        .when(F.col("operation") == "UPDATE",
+              text_of(F.lit("Order: "), "order_id", F.lit(", Emp: "), "employee_id", F.lit(", Status: "), "_old_status"))
+    )
     return {
         "allowed": decided.filter("allowed").drop("allowed", "error_message"),
         "violations": blocked.select(
@@ -562,6 +580,8 @@ def split_changes(decided: DataFrame) -> dict[str, DataFrame]:
             "table_name",
             F.when(F.col("allowed"), F.col("operation")).otherwise("BLOCKED").alias("operation_type"),
             "user_name",
+            old_values.alias("old_values"),
+            new_values.alias("new_values"),
             F.when(F.col("allowed"), "Y").otherwise("N").alias("success_flag"),
             "error_message",
             F.col("change_ts").alias("change_timestamp"),

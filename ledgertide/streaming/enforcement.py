@@ -8,7 +8,10 @@ from ledgertide.plans.audit import batch_counts, calendar_rule, split_changes
 from ledgertide.session import cut_lineage
 
 
-def enforce(holidays: DataFrame, target: str, blocked_days: str = "WEEKDAY", restrictions: DataFrame | None = None):
+def enforce(
+    holidays: DataFrame, target: str, blocked_days: str = "WEEKDAY", restrictions: DataFrame | None = None,
+    orders: DataFrame | None = None,
+):
     """A batch handler that writes allowed, violations and audit under the batch id.
 
     The decisions of a batch are settled once, so the three outputs always agree.
@@ -16,7 +19,7 @@ def enforce(holidays: DataFrame, target: str, blocked_days: str = "WEEKDAY", res
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         decided = cut_lineage(calendar_rule(batch, holidays, blocked_days, restrictions))
-        for name, part in split_changes(decided).items():
+        for name, part in split_changes(decided, orders).items():
             part.write.mode("overwrite").parquet(f"{target}/{name}/batch_id={batch_id}")
 
     return handle
