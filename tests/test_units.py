@@ -212,6 +212,12 @@ def test_calendar_rule(spark):
     assert ("Order: 103, Emp: 1",) in rows(parts["violations"], "attempted_values")
     assert sorted(rows(parts["audit"], "change_id", "operation_type")) == [
         (1, "BLOCKED"), (3, "BLOCKED"), (4, "BLOCKED"), (5, "INSERT")]
+    held = table(spark, "orders", [order(103, status="SHIPPED", employee_id=9)])
+    logged = a.split_changes(a.calendar_rule(changes(spark, CASES), holidays(spark)), held)["audit"]
+    values = {r.change_id: (r.old_values, r.new_values) for r in logged.collect()}
+    assert values[3] == ("Order: 103, Emp: 9, Status: SHIPPED, Total: 100.00", None)
+    assert values[1] == (None, "Attempted INSERT: Emp 1, Cust 7")
+    assert values[5][0] is None and values[5][1].endswith("INSERT check passed")
 
 
 def test_change_capture(spark):
