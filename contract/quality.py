@@ -1,10 +1,13 @@
 """Data-quality queries."""
 
 from contract.base import query
+from contract.orders import RETURNS, returned
 from ledgertide.plans import audit as a
 from ledgertide.plans import quality as q
+from ledgertide.session import cut_lineage
 from ledgertide.sources.model import AS_OF_ORDERS as NOW
 
+
 def changed_orders(m):
     orders = m.orders()
     return a.change_capture(
@@ -103,16 +106,51 @@ REFS = [("orders", "customer_id", "customers", "m_orders", "m_customers"),
         ("products", "supplier_id", "suppliers", "m_products", "m_suppliers"),
         ("payments", "order_id", "orders", "m_payments", "m_orders"),
         ("shipments", "order_id", "orders", "m_shipments", "m_orders"),
+        ("categories", "parent_category_id", "categories", "m_categories", "m_categories", "category_id"),
+        ("employees", "manager_id", "employees", "m_employees", "m_employees", "employee_id"),
+        ("promotions", "applicable_category_id", "categories", "m_promotions", "m_categories", "category_id"),
         ("employee_audit_log", "employee_id", "employees", "m_audit", "m_employees")]
-REFS_SQL = "\nUNION ALL\n".join(
-    line(t, f"{col} in {p}", "REFERENCE", f"""count({col}) AS checked, count({col}) FILTER (NOT EXISTS
-      (SELECT 1 FROM {pv} x WHERE x.{col} = c.{col})) AS violations FROM {cv} c""") for t, col, p, cv, pv in REFS)
+
+
+def refs_sql(references):
+    return "\nUNION ALL\n".join(
+        line(t, f"{col} in {p}", "REFERENCE", f"""count({col}) AS checked, count({col}) FILTER (NOT EXISTS
+      (SELECT 1 FROM {pv} x WHERE x.{key[0] if key else col} = c.{col})) AS violations FROM {cv} c""")
+        for t, col, p, cv, pv, *key in references)
+
+
+REFS_SQL = refs_sql(REFS)
 
 
 @query("quality_references", REFS_SQL)
 def _(m):
-    return q.check_references(tables(m, *[n for n in NAMES if n not in ("promotions", "holidays", "audit_log")],
-                                     "employee_audit_log"))
+    return q.check_references(tables(m, *[n for n in NAMES if n not in ("holidays", "audit_log")], "employee_audit_log"))
+
+
+@query("quality_returns", f"""
+WITH {RETURNS.strip()},
+exchanged AS (SELECT * FROM booked WHERE final_kind = 'EXCHANGE'),
+refunded AS (SELECT *, CASE final_kind WHEN 'REFUND' THEN 'ORIGINAL_PAYMENT' ELSE 'STORE_CREDIT' END AS refund_method
+  FROM booked WHERE refund > 0 AND final_kind IN ('REFUND', 'CREDIT'))
+""" + "\nUNION ALL\n".join(
+    [line(t, rule, kind, f"count(*) AS checked, count(*) FILTER ({test}) AS violations FROM {view}")
+     for t, view, rule, kind, test in (
+        ("returns", "booked", "type domain", "DOMAIN", "final_kind NOT IN ('REFUND','EXCHANGE','CREDIT')"),
+        ("returns", "booked", "status domain", "DOMAIN", "'PROCESSED' NOT IN ('PENDING','PROCESSED','DENIED','CANCELLED')"),
+        ("returns", "booked", "quantity positive", "RANGE", "q <= 0"),
+        ("refunds", "refunded", "method domain", "DOMAIN",
+         "refund_method NOT IN ('ORIGINAL_PAYMENT','STORE_CREDIT','CHECK')"),
+        ("refunds", "refunded", "status domain", "DOMAIN", "'COMPLETED' NOT IN ('PENDING','COMPLETED','FAILED')"),
+        ("exchanges", "exchanged", "status domain", "DOMAIN", "'PROCESSED' NOT IN ('PENDING','PROCESSED','CANCELLED')"),
+        ("exchanges", "exchanged", "products present", "REQUIRED", "product_id IS NULL OR other IS NULL"),
+        ("change_log", "booked", "change time not in future", "FUTURE", f"request_ts > {TODAY}"))]
+    + [refs_sql([("returns", "order_id", "orders", "booked", "m_orders"),
+                 ("returns", "product_id", "products", "booked", "m_products"),
+                 ("refunds", "return_id", "returns", "refunded", "booked"),
+                 ("exchanges", "return_id", "returns", "exchanged", "booked")])]))
+def _(m):
+    # Four outputs are checked, so the decided rows are written once.
+    return q.check_returns(returned(m, settle=cut_lineage), m.orders(), m.products(), NOW)
 
 
 UNIQUES = [("customers", "m_customers", "email"), ("suppliers", "m_suppliers", "email"),
@@ -174,7 +212,7 @@ def everything(m):
     known = tables(m)
     checks = q.check_all(known, NOW)
     log = {"employee_audit_log": m.audit(), "employees": known["employees"]}
-    return checks.unionByName(q.check_references(log))
+    return checks.unionByName(q.check_references(log, children=("employee_audit_log",)))
 
 
 @query("quality_all", ALL_SQL)

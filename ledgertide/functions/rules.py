@@ -44,6 +44,10 @@ PRODUCT_STATUSES = ("ACTIVE", "DISCONTINUED", "OUT_OF_STOCK")
 PAYMENT_METHODS = ("CREDIT_CARD", "DEBIT_CARD", "PAYPAL", "BANK_TRANSFER", "CASH", "CHECK")
 PAYMENT_STATUSES = ("PENDING", "COMPLETED", "FAILED", "REFUNDED", "PARTIALLY_REFUNDED")
 SHIPMENT_STATUSES = ("PENDING", "PROCESSING", "SHIPPED", "IN_TRANSIT", "DELIVERED", "RETURNED")
+RETURN_STATUSES = ("PENDING", "PROCESSED", "DENIED", "CANCELLED")
+REFUND_CHANNELS = ("ORIGINAL_PAYMENT", "STORE_CREDIT", "CHECK")
+REFUND_STATUSES = ("PENDING", "COMPLETED", "FAILED")
+EXCHANGE_STATUSES = ("PENDING", "PROCESSED", "CANCELLED")
 DEPARTMENTS = ("SALES", "WAREHOUSE", "FINANCE", "ADMIN", "IT")
 PAYMENT_TERMS = ("NET15", "NET30", "NET45", "NET60")
 AUDIT_ACTIONS = ("INSERT", "UPDATE", "DELETE", "NOTE")

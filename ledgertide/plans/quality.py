@@ -84,6 +84,20 @@ ROW_RULES = {
         "no old value on insert": ("CROSS", "action_type = 'INSERT' AND old_value IS NOT NULL"),
         "no new value on delete": ("CROSS", "action_type = 'DELETE' AND new_value IS NOT NULL"),
     },
+    "returns": {
+        "type domain": ("DOMAIN", outside("return_type", rules.RETURN_TYPES)),
+        "status domain": ("DOMAIN", outside("status", rules.RETURN_STATUSES)),
+        "quantity positive": ("RANGE", "return_quantity <= 0"),
+    },
+    "refunds": {
+        "method domain": ("DOMAIN", outside("refund_method", rules.REFUND_CHANNELS)),
+        "status domain": ("DOMAIN", outside("status", rules.REFUND_STATUSES)),
+    },
+    "exchanges": {
+        "status domain": ("DOMAIN", outside("status", rules.EXCHANGE_STATUSES)),
+        "products present": ("REQUIRED", "original_product_id IS NULL OR exchange_product_id IS NULL"),
+    },
+    "change_log": {"change time not in future": ("FUTURE", "change_timestamp > :now")},
 }
 
 
@@ -126,6 +140,11 @@ REFERENCES = (
     ("shipments", "order_id", "orders", "order_id"),
     ("returns", "order_id", "orders", "order_id"),
     ("returns", "product_id", "products", "product_id"),
+    ("refunds", "return_id", "returns", "return_id"),
+    ("exchanges", "return_id", "returns", "return_id"),
+    ("categories", "parent_category_id", "categories", "category_id"),
+    ("employees", "manager_id", "employees", "employee_id"),
+    ("promotions", "applicable_category_id", "categories", "category_id"),
     ("employee_audit_log", "employee_id", "employees", "employee_id"),
 )
 
@@ -142,11 +161,12 @@ def check_reference(child: DataFrame, column: str, parent: DataFrame, key: str)
     )
 
 
-def check_references(tables: dict[str, DataFrame]) -> DataFrame:
+def check_references(tables: dict[str, DataFrame], children: tuple[str, ...] | None = None) -> DataFrame:
+    """Every reference between the given tables, or only those of `children`."""
     parts = [
         _result(check_reference(tables[child], column, tables[parent], key), child, f"{column} in {parent}", "REFERENCE")
         for child, column, parent, key in REFERENCES
-        if child in tables and parent in tables
+        if child in (children or tables) and child in tables and parent in tables
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -236,9 +256,16 @@ def check_hierarchy(categories: DataFrame, max_depth: int = rules.MAX_CATEGORY_D
     return _result(counted, "categories", f"at most {max_depth} levels", "HIERARCHY")
 
 
+def check_returns(booked: dict[str, DataFrame], orders: DataFrame, products: DataFrame, as_of) -> DataFrame:
+    """Row rules, references and change times of what `process_returns` has booked."""
+    made = {name: booked[name] for name in ("returns", "refunds", "exchanges")}
+    return check_tables(made | {"change_log": booked["audit"]}, as_of).unionByName(
+        check_references(made | {"orders": orders, "products": products}, children=tuple(made)))
+
+
 def check_all(tables: dict[str, DataFrame], as_of) -> DataFrame:
     """Every check that the given tables allow."""
-    known = {t: df for t, df in tables.items() if t not in ("returns", "employee_audit_log")}
+    known = {t: df for t, df in tables.items() if t in ROW_RULES}
     return (
         check_tables(known, as_of)
         .unionByName(check_references(tables))

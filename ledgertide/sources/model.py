@@ -76,8 +76,12 @@ class Model:
 
     # -- dimensions -------------------------------------------------------------
 
+    def nations(self, column: str) -> DataFrame:
+        """One row per nation: a key known to be unique lets Spark drop the left join when the column is not read."""
+        return self.raw("nation").groupBy("n_nationkey").agg(F.max(column).alias(column))
+
     def customers(self) -> DataFrame:
-        nations = self.raw("nation").select("n_nationkey", "n_name")
+        nations = self.nations("n_name")
         base = self.raw("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         return base.selectExpr(
             "c_custkey AS customer_id",
@@ -136,7 +140,7 @@ class Model:
         return leaf.drop("p_type").unionByName(middle).unionByName(root)
 
     def suppliers(self) -> DataFrame:
-        nations = self.raw("nation").select("n_nationkey", "n_name")
+        nations = self.nations("n_name")
         return self.raw("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr(
             "s_suppkey AS supplier_id",
             "s_name AS supplier_name",
@@ -147,7 +151,7 @@ class Model:
 
     def employees(self) -> DataFrame:
         """Staff: one person per supplier contact; a tenth of the key is the manager."""
-        nations = self.raw("nation").select("n_nationkey", "n_regionkey")
+        nations = self.nations("n_regionkey")
         return self.raw("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr(
             "s_suppkey AS employee_id",
             "replace(s_name, 'Supplier', 'Employee') AS employee_name",

@@ -261,6 +261,36 @@ def test_documented_rules(spark):
         "amount within order net": 1, "price equals product price": 1, "free shipping above limit": 1}
 
 
+def test_returns_and_parents(spark):
+    sql = spark.sql
+    booked = {
+        "returns": sql("SELECT * FROM VALUES (1L, 1L, 1L, 2L, 'REFUND', 'PROCESSED'), (2L, 9L, 1L, 0L, 'GIFT', 'LOST') "
+                       "AS t(return_id, order_id, product_id, return_quantity, return_type, status)"),
+        "refunds": sql("SELECT * FROM VALUES (1L, 'CHECK', 'COMPLETED'), (3L, 'GOLD', 'DONE') AS t(return_id, refund_method, status)"),
+        "exchanges": sql("SELECT 2L AS return_id, 1L AS original_product_id, CAST(NULL AS BIGINT) AS exchange_product_id, "
+                         "'PENDING' AS status"),
+        "audit": sql("SELECT TIMESTAMP_NTZ '2025-12-06 00:00:00' AS change_timestamp"),
+    }
+    orders, goods = table(spark, "orders", [order(1)]), table(spark, "products", [product(1, "A")])
+    found = {(r.table_name, r.rule): r.violations for r in q.check_returns(booked, orders, goods, "2025-12-05").collect()}
+    assert found == {
+        ("returns", "type domain"): 1, ("returns", "status domain"): 1, ("returns", "quantity positive"): 1,
+        ("refunds", "method domain"): 1, ("refunds", "status domain"): 1, ("exchanges", "status domain"): 0,
+        ("exchanges", "products present"): 1, ("change_log", "change time not in future"): 1,
+        ("returns", "order_id in orders"): 1, ("returns", "product_id in products"): 0,
+        ("refunds", "return_id in returns"): 1, ("exchanges", "return_id in returns"): 0}
+    tree = table(spark, "categories", [dict(category_id=1, category_name="a", parent_category_id=None),
+                                       dict(category_id=2, category_name="b", parent_category_id=7)])
+    assert rows(q.check_references({"categories": tree}), "checked", "violations") == [(1, 1)]
+
+
+def test_country_is_joined_on_demand(spark, sf):
+    people = Model(spark, sf).customers()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_nationkey" not in plan(people.select("customer_id", "customer_segment"))
+    assert "n_nationkey" in plan(people.select("customer_id", "country"))
+
+
 # -- streams ------------------------------------------------------------------------------
 
 
