@@ -141,8 +141,8 @@ def _longest_path(start: str) -> int:
 LONGEST_PATH = max(map(_longest_path, rules.STATUS_TRANSITIONS))
 
 
-def _decide(requests: DataFrame, state: DataFrame, side=lambda df: df) -> DataFrame:
-    """Old status, outcome and message of each request; `side` may mark the states for broadcast."""
+def _decide(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """Old status, outcome and message of each request."""
     at = F.struct("request_ts", "request_id")
     slim = requests.select("order_id", "new_status", at.alias("at"))
     elapsed = micros("at.request_ts") - micros("order_date")
@@ -156,7 +156,7 @@ def _decide(requests: DataFrame, state: DataFrame, side=lambda df: df) -> DataFr
             opens = opens & (F.col("at") > F.col(f"p{step - 1}"))
         key = F.when(opens, F.col("at"))
         state = (
-            slim.join(side(state), "order_id")
+            slim.join(state, "order_id")
             .groupBy("order_id")
             .agg(
                 *[F.any_value(c).alias(c) for c in kept],
@@ -166,7 +166,7 @@ def _decide(requests: DataFrame, state: DataFrame, side=lambda df: df) -> DataFr
         )
         kept = kept + [f"p{step}", f"s{step}"]
 
-    seen = requests.withColumn("at", at).join(side(state), "order_id", "left")
+    seen = requests.withColumn("at", at).join(state, "order_id", "left")
     old, changed, new = F.col("s0"), F.lit(False), F.col("new_status")
     for step in range(1, LONGEST_PATH + 1):
         old = F.when(F.col(f"p{step}") < F.col("at"), F.col(f"s{step}")).otherwise(old)
@@ -207,8 +207,8 @@ def apply_status_changes(
     folding all requests of an order in one task, each round takes for every order the earliest
     request that may follow its current status; four such rounds are complete.
 
-    Orders with a great many requests are few, so their states are broadcast: the requests stay
-    where they are and each round combines them before its shuffle.
+    Orders with a great many requests are decided apart, so that Spark may broadcast their few
+    states by its own size check; each round then combines the requests before its shuffle.
     """
     asked = requests.select("order_id").distinct()
     shipped = shipments.select("order_id").distinct().withColumn("has_shipment", F.lit(True))
