@@ -1,13 +1,14 @@
 """Licence scan with a positional index of rare words, in DataFrame functions only.
 
-The words of licence notices are looked up in all documents and counted, so each notice knows its rarest words; these, with
-their places in the notice, are the index. A document's words of that kind, those of highest inverse document frequency
-among its licence words, are looked up at every place where they stand; a place minus the place in the notice tells where
-the notice would begin, and words that agree on a beginning add up. A beginning that gathers SHARE of a notice's
-weight is a candidate, and becomes a label when all key phrases of the notice stand in the words from there on.
+The words of licence notices are looked up in all documents and counted, so each notice knows its rarest words; these and
+the words of its key phrases, with their places in the notice, are the index. Documents that hold all key words of some
+notice (no other can get a label) are looked up at every place where an indexed word stands; a place minus the place in the
+notice tells where the notice would begin, and places of the index whose beginnings lie within SLACK words of each other add
+up, each once, so words put in or left out do no harm. A span of beginnings that gathers SHARE of a notice's weight is a
+candidate, and becomes a label when all key phrases of the notice stand in the words from there on.
 
 Fixed phrases are searched beside this and always count. Nothing is capped: every occurrence of the looked-up words is
-one row, and rows are summed per document, notice and beginning before the shuffle.
+one row, and rows are put together per document, notice and span before the shuffle.
 
 Edge cases: a null text counts as empty; a null doc_id is kept; equal rows are scanned each; an empty table gives an empty
 result; other columns are ignored.
@@ -29,7 +30,13 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 #: Notices: label, text, key phrases that must stand in it.
 NOTICES = [
+    ("mit", "under the mit license", ["mit license"]),
     ("mit", "released under the mit license", ["mit license"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the rights "
+            "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to "
+            "whom the software is furnished to do so subject to the following conditions",
+     ["hereby granted free of charge", "without restriction"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
             "documentation files to deal in the software without restriction", ["hereby granted free of charge", "without restriction"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
@@ -52,8 +59,9 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
 ]
 
-#: Words of a notice in the index: this share of them, and so many at most; weight that makes a candidate.
-INDEXED, RARE, SHARE = 0.6, 8, 0.6
+#: Words of a notice in the index beside its key words: this share of them, and so many at most; weight that makes a
+#: candidate; words by which beginnings may differ.
+INDEXED, RARE, SHARE, SLACK = 0.6, 8, 0.6, 6
 
 
 def words_of(text: str | Column = "text") -> Column:
@@ -73,13 +81,13 @@ def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def index_rows(known: dict[str, int], documents: int) -> tuple[dict[str, float], list[tuple[int, str, int]]]:
-    """Weights of the indexed words, and postings (notice, word, place): each notice's rarest words."""
+    """Weights of the indexed words, and postings (notice, word, place): each notice's rarest words and key words."""
     idf = {w: math.log((documents + 1) / (known.get(w, 0) + 1)) + 1e-3 for w in notice_words()}
     postings = []
-    for k, (_, text, _) in enumerate(NOTICES):
+    for k, (_, text, keys) in enumerate(NOTICES):
         words = text.split()
         rarest = sorted(set(words), key=lambda w: (-idf[w], w))
-        rarest = set(rarest[: min(RARE, max(2, math.ceil(INDEXED * len(rarest))))])
+        rarest = set(rarest[: min(RARE, max(2, math.ceil(INDEXED * len(rarest))))]) | set(" ".join(keys).split())
         postings += [(k, w, place) for place, w in enumerate(words) if w in rarest]
     return {w: idf[w] for _, w, _ in postings}, postings
 
@@ -119,7 +127,13 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, label) for label in PHRASES.values()]))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("rarest", F.col("words")[i]))
     hits = F.transform(places, lambda i: F.struct(i.alias("place"), F.col("words")[i].alias("word")))
-    candidate = F.size("rarest") >= 2
+    # every key phrase must stand in a document, so all of its words must
+    candidate = F.lit(False)
+    for words in sorted({" ".join(sorted(set(" ".join(keys).split()))) for _, _, keys in NOTICES}):
+        all_held = F.lit(True)
+        for w in sorted(words.split(), key=lambda w: (-idf[w], w)):
+            all_held = all_held & F.array_contains("rarest", w)
+        candidate = candidate | all_held
     rows = settle(
         read.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"),
@@ -142,22 +156,39 @@ def _notices(rows: DataFrame, idf: dict[str, float], postings: list[tuple[int, s
     """row, found (labels of notices), weight (the best share of a notice's weight)."""
     spark = rows.sparkSession
     total: dict[int, float] = {}
+    bits: dict[int, list[float]] = {}
+    rows_of_index = []
     for k, word, _ in postings:
         total[k] = total.get(k, 0.0) + idf[word]
-    index = spark.createDataFrame(
-        [(k, word, place, idf[word] / total[k]) for k, word, place in postings], "notice INT, word STRING, at INT, part DOUBLE"
-    )
+    for k, word, place in postings:
+        parts = bits.setdefault(k, [])
+        rows_of_index.append((k, word, place, len(parts) // 63, 1 << len(parts) % 63))
+        parts.append(idf[word] / total[k])
+    index = spark.createDataFrame(rows_of_index, "notice INT, word STRING, at INT, mask INT, bit BIGINT")
     hits = rows.where(F.col("hits").isNotNull()).select("row", F.explode("hits").alias("hit"))
     aligned = hits.select("row", F.col("hit.word").alias("word"), F.col("hit.place").alias("place"))
     aligned = aligned.join(F.broadcast(index), "word")  # the index is the fixed notices' words
-    aligned = aligned.groupBy("row", "notice", (F.col("place") - F.col("at")).alias("begin"))
-    likely = aligned.agg(F.sum("part").alias("weight")).where(F.col("weight") >= SHARE - 1e-9)
+    aligned = aligned.withColumn("begin", F.col("place") - F.col("at"))
+    # spans overlap by half: beginnings up to SLACK apart share one
+    span = F.floor(F.col("begin") / SLACK)
+    aligned = aligned.withColumn("span", F.explode(F.array(span - 1, span)))
+    masks = range(1 + max(r[3] for r in rows_of_index))
+    gathered = aligned.groupBy("row", "notice", "span").agg(
+        F.min("begin").alias("begin"), F.max("begin").alias("last_begin"),
+        *[F.coalesce(F.bit_or(F.when(F.col("mask") == m, F.col("bit"))), F.lit(0)).alias(f"mask{m}") for m in masks],
+    )
+    parts_of = F.create_map(*[x for k, parts in bits.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in parts]))])
+    seen = lambda i: F.element_at(F.array(*[F.col(f"mask{m}") for m in masks]), (F.floor(i / 63) + 1).cast("int"))
+    held_part = lambda p, i: F.when(F.getbit(seen(i), i % 63) == 1, p).otherwise(0.0)
+    weight = F.aggregate(F.transform(F.element_at(parts_of, F.col("notice")), held_part), F.lit(0.0), lambda x, y: x + y)
+    likely = gathered.withColumn("weight", weight).where(F.col("weight") >= SHARE - 1e-9)
 
     held = rows.where(F.col("words").isNotNull()).select("row", "words").join(likely, "row")
     label, verified = F.lit(None).cast("string"), F.lit(False)
     for k, (name, text, keys) in enumerate(NOTICES):
         first = F.greatest(F.col("begin"), F.lit(0))
-        window = F.slice("words", first + 1, len(text.split()) + F.least(F.col("begin"), F.lit(0)))
+        until = F.greatest(F.col("last_begin") + len(text.split()), first)
+        window = F.slice("words", first + 1, until - first)
         held_text = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
         here = F.col("notice") == k
         label = F.when(here, name).otherwise(label)

@@ -368,6 +368,35 @@ def test_licenses(docs, texts, spark):
     assert found[10**7 + 1].labels == found[10**7 + 4].labels == "mit" and found[10**7 + 2].labels == ""
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_licenses_real_wording(docs, spark):
+    """Unaltered texts, words put in, and the words' frequencies of other documents or of these alone."""
+    grant = MIT.split("Other")[1]
+    told = [MIT, grant, "licensed under the MIT License", "Licensed under the MIT License (MIT).", grant.replace(" (the \"Software\")", ""),
+            "This work is available under the terms of the MIT license", "x " * 50 + grant.replace("to any person", "to each and any person")]
+    other = ["mit", "mit einem licensed under the license of permission", grant.replace("without restriction", "with restriction")]
+    rows = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(told + other)], "doc_id BIGINT, text STRING")
+    for frame in (rows, rows.unionByName(docs.select("doc_id", "text"))):
+        found = by_doc(licenses.scan(frame))
+        assert [found[-1 - k].labels for k in range(len(told))] == ["mit"] * len(told)
+        assert [found[-1 - len(told) - k].labels for k in range(len(other))] == [""] * len(other)
+
+
 def test_licenses_awkward(awkward, nothing):
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(nothing).count() == 0
 
