@@ -28,6 +28,14 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: Terms of the Creative Commons licences after `by`, and how they are written in full.
+CC = {
+    "": [""], "sa": ["sharealike", "share alike"], "nd": ["noderivatives", "noderivs"], "nc": ["noncommercial", "non commercial"],
+    "nc sa": ["noncommercial sharealike", "non commercial share alike"], "nc nd": ["noncommercial noderivatives", "noncommercial noderivs"],
+}
+#: Words that behind a Creative Commons name make it another one.
+FURTHER = "nc|sa|nd|noncommercial|non|sharealike|share|noderivatives|noderivs"
+
 #: Notices: label, text, key phrases that must stand in it.
 NOTICES = [
     ("mit", "under the mit license", ["mit license"]),
@@ -52,10 +60,21 @@ NOTICES = [
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation",
      ["lesser general public license"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license",
-     ["creative commons attribution"]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation",
+     ["affero general public license"]),
+    ("epl", "under the terms of the eclipse public license", ["eclipse public license"]),
+    ("bsd", "under the bsd license", ["bsd license"]),
+    *[("bsd", f"{name} license", [name]) for k in "0234" for name in (f"bsd {k} clause", f"{k} clause bsd")],
+    ("zlib", "under the zlib license", ["zlib license"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+             "and redistribute it freely subject to the following restrictions",
+     ["granted to anyone to use this software", "alter it and redistribute it freely"]),
+    ("cc0", "under cc0", ["under cc0"]),
+    ("cc0", "cc0 1 0 universal", ["cc0 1 0"]),
+    ("cc0", "to the extent possible under law has waived all copyright and related or neighboring rights to this work",
+     ["waived all copyright and related or neighboring rights"]),
+    *[("cc-by" + "".join(f"-{t}" for t in terms.split()), text, [text]) for terms, names in CC.items()
+      for text in [f"cc by {terms}".strip(), *[f"creative commons attribution {n}".strip() for n in names]]],
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
 ]
 
@@ -187,13 +206,14 @@ def _notices(rows: DataFrame, idf: dict[str, float], postings: list[tuple[int, s
     label, verified = F.lit(None).cast("string"), F.lit(False)
     for k, (name, text, keys) in enumerate(NOTICES):
         first = F.greatest(F.col("begin"), F.lit(0))
-        until = F.greatest(F.col("last_begin") + len(text.split()), first)
+        until = F.greatest(F.col("last_begin") + len(text.split()) + SLACK, first)
         window = F.slice("words", first + 1, until - first)
         held_text = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
         here = F.col("notice") == k
         label = F.when(here, name).otherwise(label)
         for key in keys:
-            here = here & held_text.contains(f" {key} ")
+            held_key = held_text.rlike(f" {key} (?!({FURTHER}) )") if name.startswith("cc-by") else held_text.contains(f" {key} ")
+            here = here & held_key
         verified = F.when(F.col("notice") == k, here).otherwise(verified)
     told = held.where(verified).select("row", label.alias("label"), "weight").distinct()
     return told.groupBy("row").agg(

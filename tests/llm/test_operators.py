@@ -397,6 +397,33 @@ def test_licenses_real_wording(docs, spark):
         assert [found[-1 - len(told) - k].labels for k in range(len(other))] == [""] * len(other)
 
 
+CATALOGUE = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+    "as published by the Free Software Foundation, either version 3": "agpl,gpl",
+    "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication": "cc0", "released under CC0.": "cc0",
+    "To the extent possible under law, A. Other has waived all copyright and related or neighboring rights to this work.": "cc0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "Creative Commons Attribution-NonCommercial 4.0 International": "cc-by-nc",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported": "cc-by-nc-sa",
+    "Creative Commons Attribution-NonCommercial-NoDerivs 2.5 Generic": "cc-by-nc-nd",
+    "Creative Commons Attribution-NoDerivatives 4.0": "cc-by-nd", "Creative Commons Attribution 4.0 International": "cc-by",
+    "CC BY-SA 4.0": "cc-by,cc-by-sa", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa", "CC BY-ND 4.0": "cc-by,cc-by-nd",
+    "CC BY-NC": "cc-by,cc-by-nc", "CC-BY-NC-ND": "cc-by,cc-by-nc-nd", "CC BY 4.0": "cc-by",
+    "under the terms of the Eclipse Public License v2.0 which is available": "epl",
+    "BSD 3-Clause License": "bsd", "the 2-clause BSD license": "bsd", "under the BSD license": "bsd",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions:": "zlib",
+    "licensed under the zlib License": "zlib",
+}
+
+
+def test_licenses_catalogue(docs, spark):
+    rows = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(CATALOGUE)], "doc_id BIGINT, text STRING")
+    for frame in (rows, rows.unionByName(docs.select("doc_id", "text"))):
+        found = by_doc(licenses.scan(frame))
+        assert {t: found[-1 - k].labels for k, t in enumerate(CATALOGUE)} == CATALOGUE
+
+
 def test_licenses_awkward(awkward, nothing):
     assert licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(nothing).count() == 0
 
