@@ -1,23 +1,26 @@
 """Scoring by a log-bilinear language model trained with noise-contrastive estimation.
 
-Token counts are taken over all training documents. The WORDS most frequent words, the end of a text and one class for
-all other words are what the neural model predicts, from the two classes before: s(w | u, v) = (r_u A + r_v B) . q_w + b_w.
-Every task trains a copy on all of its documents, against noise drawn from the class frequencies, from the same start; the
-copies are averaged, weighted by tokens, in two groupings. Scores are normalised: the log of the sum over all classes is a
-matrix product for each pair of classes, worked out once per task. A word of the last class also pays its smoothed share
-among those words, so probabilities over all words add up to one.
+Token counts are taken over all training documents. Every word falls into a bucket, the end of a text into one of its own:
+frequent words have a bucket each, all others share hashed buckets; the number of buckets grows with the square root of the
+number of distinct words. The model predicts the bucket from the two buckets before, h = r_u A + r_v B, in two softmaxes of
+about the square root of the buckets each: the group (buckets of like rank), then the bucket within the group. A word in a
+hashed bucket also pays its smoothed share of the bucket's tokens, so probabilities over all words add up to one.
+
+Training is noise-contrastive in both softmaxes. It goes in ROUNDS rounds, each over its own part of the documents: every task
+trains a copy of the last average on all of its documents of the round, and the copies are averaged, weighted by tokens.
 
 Counts of the HEAD most frequent words travel with the tasks; the other words of a document meet their counts in a join on
-the word. The averaged weights are of fixed size; counts, their shuffle and the join grow with the corpus.
+the word. The averaged weights grow with the square root of the distinct words; counts, their shuffle and the join grow with the corpus.
 
 Edge cases: null and empty texts are the end token alone; a null doc_id counts as training; without training documents
-every count is 0 and the model is uniform over its classes; repeated rows count and are scored each; an empty table gives
+every count is 0 and the model is uniform over its buckets; repeated rows count and are scored each; an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +34,13 @@ from pyspark.sql import functions as F
 
 from ledgertide.llm.work import settle, whole
 
-#: Classes of single words, size of the vectors, noise words and tokens of a step, learning rate.
-WORDS, SIZE, NOISE, STEP, RATE = 512, 32, 48, 2048, 0.05
+#: Buckets for each square root of the distinct words and at least, size of the vectors, noise groups of a step, noise buckets of
+#: a token, tokens of a step, learning rate, rounds of training.
+BUCKETS, LEAST, SIZE, NOISE, NEAR, STEP, RATE, ROUNDS = 16, 512, 32, 48, 4, 2048, 0.05, 3
+#: Squared slopes that rows of single buckets start from.
+PAST = 1e-8
 #: Words whose counts travel with the tasks; partial averages of a parameter block; parameters in a block.
-HEAD, PARTIAL, CHUNK = 200_000, 64, 1024
+HEAD, PARTIAL, CHUNK = 200_000, 8, 4096
 #: Batches whose tokens are counted together.
 GATHER = 16
 
@@ -88,36 +94,62 @@ class Classes:
     documents: int
     tokens: int
     types: int
+    #: Tokens and distinct words of each hashed bucket.
+    hashed: np.ndarray | None = None
+    hashed_types: np.ndarray | None = None
+
+    @property
+    def half(self) -> int:
+        return max(LEAST, int(BUCKETS * math.sqrt(self.types))) // 2
 
     @property
     def own(self) -> int:
-        return min(WORDS, len(self.words))
+        return min(self.half, len(self.words))
 
     @property
     def end(self) -> int:
         return self.own
 
     @property
-    def other(self) -> int:
-        return self.own + 1
+    def shared(self) -> int:
+        """Hashed buckets."""
+        return min(self.half, max(1, self.types - self.own))
 
     @property
     def start(self) -> int:
-        return self.own + 2
+        return self.own + 1 + self.shared
+
+    def bucket(self, word: str) -> int:
+        """The hashed bucket of a word, from 0."""
+        return zlib.crc32(word.encode()) % self.shared
+
+    def fill(self, counts: DataFrame) -> None:
+        """Sum the words that have no bucket of their own by hashed bucket."""
+        found = counts.groupBy((F.crc32("word") % self.shared).cast("int").alias("k")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")
+        ).toArrow()  # at most a row per bucket
+        self.hashed, self.hashed_types = np.zeros(self.shared, np.int64), np.zeros(self.shared, np.int64)
+        at = found.column("k").to_numpy()
+        self.hashed[at], self.hashed_types[at] = found.column("n").to_numpy(), found.column("types").to_numpy()
+        of_own = np.array([self.bucket(w) for w in self.words[: self.own]], np.int64)
+        np.subtract.at(self.hashed, of_own, self.counts[: self.own])
+        np.subtract.at(self.hashed_types, of_own, 1)
 
     def frequencies(self) -> np.ndarray:
-        """Tokens of each class, at least a little."""
-        other = self.tokens - self.counts[: self.own].sum()
-        return np.maximum(np.array([*self.counts[: self.own], self.documents, other], float), 0.5)
+        """Tokens of each bucket, at least a little."""
+        return np.maximum(np.concatenate([self.counts[: self.own], [self.documents], self.hashed]).astype(float), 0.5)
 
-    def other_mass(self) -> float:
-        """What smoothed shares within the last class are divided by: its tokens, its types, one unseen type."""
-        return float(self.tokens - self.counts[: self.own].sum() + self.types - self.own + 1)
+    def shared_mass(self) -> np.ndarray:
+        """What smoothed shares within a hashed bucket are divided by: its tokens, its types, one unseen type."""
+        return (self.hashed + self.hashed_types + 1).astype(float)
 
     def sequence(self, coded: pa.DictionaryArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of each distinct word (-1: not in the head), then class, previous and second previous class per token."""
-        number = np.fromiter((self.number.get(w, -1) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        kind = np.where((number >= 0) & (number < self.own), number, self.other)
+        """Number of each distinct word (-1: not in the head), then bucket, previous and second previous bucket per token."""
+        words = coded.dictionary.to_pylist()
+        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        kind = number.copy()
+        for k in np.flatnonzero((number < 0) | (number >= self.own)):
+            kind[k] = self.own + 1 + self.bucket(words[k])
         ends = np.cumsum(sizes + 1) - 1
         now = np.full(int((sizes + 1).sum()), self.end, np.int64)
         word = np.ones(len(now), bool)
@@ -141,91 +173,158 @@ class Model:
 
     def __init__(self, frequencies: np.ndarray, values: np.ndarray | None = None):
         self.classes = n = len(frequencies)
-        d = SIZE
-        shapes = [(n + 1, d), (d, d), (d, d), (n, d), (n,)]
+        self.width = math.ceil(math.sqrt(n))
+        starts = np.arange(0, n, self.width)
+        self.groups, d = len(starts), SIZE
+        shapes = [(n + 1, d), (d, d), (d, d), (n, d), (n,), (self.groups, d), (self.groups,)]
         total = sum(math.prod(s) for s in shapes)
-        self.noise = frequencies / frequencies.sum()
+        self.frequencies = frequencies
+        self.mass = np.add.reduceat(frequencies, starts)
         if values is None:
             values = np.random.default_rng(7).normal(0, 0.1, total).astype(np.float32)
         self.values, self.parts, at = values, [], 0
         for shape in shapes:
             self.parts.append(values[at : at + math.prod(shape)].reshape(shape))
             at += math.prod(shape)
-        self.r, self.a, self.b, self.q, self.bias = self.parts
+        self.r, self.a, self.b, self.q, self.bias, self.group_q, self.group_bias = self.parts
+
+    def __reduce__(self):
+        return Model, (self.frequencies, self.values)
+
+    def copy(self) -> Model:
+        return Model(self.frequencies, self.values.copy())
 
     @classmethod
     def fresh(cls, frequencies: np.ndarray) -> Model:
-        """The model every task starts from: class frequencies, hardly any context."""
+        """The model training starts from: frequencies, hardly any context."""
         found = cls(frequencies)
-        found.bias[:] = np.log(found.noise)
+        found.bias[:] = np.log(found.near())
+        found.group_bias[:] = np.log(found.mass / found.mass.sum())
         found.a[:] += 0.5 * np.eye(SIZE, dtype=np.float32)
         found.b[:] += 0.5 * np.eye(SIZE, dtype=np.float32)
         return found
 
+    def near(self) -> np.ndarray:
+        """Share of each bucket in its group."""
+        return self.frequencies / self.mass[np.arange(self.classes) // self.width]
+
     def context(self, before: np.ndarray, second: np.ndarray) -> np.ndarray:
         return self.r[before] @ self.a + self.r[second] @ self.b
 
     def trainer(self, seed: int):
         """A function that takes steps of noise-contrastive estimation over tokens (Adagrad)."""
         random = np.random.default_rng(seed)
-        slope = np.zeros_like(self.values)
-        to_r, to_a, to_b, to_q, to_bias = Model(self.noise, slope).parts
-        seen = np.full_like(self.values, 1e-3)
+        seen = Model(self.frequencies, np.full_like(self.values, 1e-3))
+        for part in (seen.r, seen.q, seen.bias):  # a row that a step meets once has a slope of 1 / STEP of its token's
+            part[:] = PAST
         columns = np.arange(SIZE)
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-
-        def scatter(out, index, rows):
-            out += np.bincount((index[:, None] * SIZE + columns).ravel(), rows.ravel(), out.size).reshape(out.shape)
+        noise = self.mass / self.mass.sum()
+        log_noise, log_near = np.log(NOISE * noise).astype(np.float32), np.log(NEAR * self.near()).astype(np.float32)
+        reach = np.concatenate([[0.0], np.cumsum(self.frequencies)])
+
+        def move(part, past, slope):
+            past += slope**2
+            part -= RATE * slope / np.sqrt(past)
+
+        def move_rows(pairs, index, rows):
+            """Move the rows of a table that a step touches; each pair is a table and its past slopes."""
+            touched, at = np.unique(index, return_inverse=True)
+            for (part, past), values in zip(pairs, rows, strict=True):
+                if values.ndim == 1:
+                    slope = np.bincount(at, values, len(touched))
+                else:
+                    flat = (at[:, None] * SIZE + columns).ravel()
+                    slope = np.bincount(flat, values.ravel(), len(touched) * SIZE).reshape(-1, SIZE)
+                now = past[touched] + slope**2
+                past[touched] = now
+                part[touched] -= RATE * slope / np.sqrt(now)
+
+        def good_slope(x):
+            return -1 / (1 + np.exp(np.clip(x, -30, 30)))
+
+        def bad_slope(x):
+            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
         def step(now, before, second):
-            slope[:] = 0
-            h = self.context(before, second)
-            drawn = random.choice(self.classes, NOISE, p=self.noise)
-            good = np.einsum("ij,ij->i", h, self.q[now]) + self.bias[now] - log_noise[now]
-            bad = h @ self.q[drawn].T + self.bias[drawn] - log_noise[drawn]
-            by_good = -1 / (1 + np.exp(np.clip(good, -30, 30))) / len(now)
-            by_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / len(now)
-            by_h = by_good[:, None] * self.q[now] + by_bad @ self.q[drawn]
-            scatter(to_q, now, by_good[:, None] * h)
-            scatter(to_q, drawn, by_bad.T @ h)
-            to_bias[:] = np.bincount(now, by_good, self.classes) + np.bincount(drawn, by_bad.sum(0), self.classes)
-            to_a[:] = self.r[before].T @ by_h
-            to_b[:] = self.r[second].T @ by_h
-            scatter(to_r, before, by_h @ self.a.T)
-            scatter(to_r, second, by_h @ self.b.T)
-            seen[:] += slope**2
-            self.values -= RATE * slope / np.sqrt(seen)
+            n, h = len(now), self.context(before, second)
+            group = now // self.width
+            drawn = random.choice(self.groups, NOISE, p=noise)
+            good = good_slope(np.einsum("ij,ij->i", h, self.group_q[group]) + self.group_bias[group] - log_noise[group]) / n
+            bad = bad_slope(h @ self.group_q[drawn].T + self.group_bias[drawn] - log_noise[drawn]) / n
+            by_h = good[:, None] * self.group_q[group] + bad @ self.group_q[drawn]
+            # noise of the second softmax comes from the group of each token
+            low, high = group * self.width, np.minimum((group + 1) * self.width, self.classes)
+            at = reach[low][:, None] + random.random((n, NEAR)) * (reach[high] - reach[low])[:, None]
+            other = np.clip(np.searchsorted(reach, at, "right") - 1, low[:, None], high[:, None] - 1)
+            index = np.concatenate([now[:, None], other], 1)
+            q = self.q[index]
+            x = np.einsum("ij,ikj->ik", h, q) + self.bias[index] - log_near[index]
+            slope = np.concatenate([good_slope(x[:, :1]), bad_slope(x[:, 1:])], 1).astype(np.float32) / n
+            by_h = (by_h + np.einsum("ik,ikj->ij", slope, q)).astype(np.float32)
+
+            to_group = np.zeros_like(self.group_q)
+            np.add.at(to_group, drawn, bad.T @ h)
+            flat = (group[:, None] * SIZE + columns).ravel()
+            to_group += np.bincount(flat, (good[:, None] * h).ravel(), to_group.size).reshape(to_group.shape)
+            to_bias = np.bincount(group, good, self.groups) + np.bincount(drawn, bad.sum(0), self.groups)
+            to_a, to_b = self.r[before].T @ by_h, self.r[second].T @ by_h
+            to_r = np.concatenate([by_h @ self.a.T, by_h @ self.b.T])
+            move_rows(
+                [(self.q, seen.q), (self.bias, seen.bias)], index.ravel(),
+                [(slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE), slope.ravel()],
+            )
+            move_rows([(self.r, seen.r)], np.concatenate([before, second]), [to_r])
+            move(self.group_q, seen.group_q, to_group)
+            move(self.group_bias, seen.group_bias, to_bias)
+            move(self.a, seen.a, to_a)
+            move(self.b, seen.b, to_b)
 
         return step
 
     def scorer(self):
-        """A function from tokens to natural log-probabilities of their classes, normalised over all classes."""
-        width = self.classes + 1
-        sums = np.full(width * width, np.nan, np.float32)
+        """A function from tokens to natural log-probabilities of their buckets, normalised over all buckets."""
+
+        def own(h, at, q, bias):
+            z = h @ q.T + bias
+            top = z.max(1)
+            return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
 
         def score(now, before, second):
-            pair = before * width + second
-            new = np.unique(pair[np.isnan(sums[pair])])
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                z = self.context(part // width, part % width) @ self.q.T + self.bias
-                top = z.max(1)
-                sums[part] = top + np.log(np.exp(z - top[:, None]).sum(1))
-            h = self.context(before, second)
-            return np.einsum("ij,ij->i", h, self.q[now]) + self.bias[now] - sums[pair]
+            out = np.empty(len(now))
+            for k in range(0, len(now), 1 << 15):
+                part = slice(k, k + (1 << 15))
+                h, group = self.context(before[part], second[part]), now[part] // self.width
+                found = own(h, group, self.group_q, self.group_bias)
+                order = np.argsort(group, kind="stable")
+                bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
+                for g in np.flatnonzero(np.diff(bounds)):
+                    low, rows = g * self.width, order[bounds[g] : bounds[g + 1]]
+                    mine = slice(low, low + self.width)
+                    found[rows] += own(h[rows], now[part][rows] - low, self.q[mine], self.bias[mine])
+                out[part] = found
+            return out
 
         return score
 
 
 def train(docs: DataFrame, classes: Classes) -> Model:
-    """Train a copy per task on all its documents and average the copies."""
+    """Train in rounds over parts of the documents: a copy of the last average per task, then their average."""
+    model = Model.fresh(classes.frequencies())
+    part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % ROUNDS, F.lit(0))
+    for k in range(ROUNDS):
+        model = train_round(docs.where(part == k), classes, model, k)
+    return model
+
+
+def train_round(docs: DataFrame, classes: Classes, model: Model, number: int) -> Model:
+    """Train a copy of the model per task on all its documents and average the copies."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(classes)
+    sent = spark.sparkContext.broadcast((classes, model))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task = sent.value, TaskContext.get().partitionId()
-        model = Model.fresh(known.frequencies())
-        step, tokens = model.trainer(task), 0
+        (known, start), task = sent.value, TaskContext.get().partitionId()
+        model = start.copy()
+        step, tokens = model.trainer(task * ROUNDS + number), 0
         for batch in batches:
             if batch.num_rows:
                 _, now, before, second = known.sequence(*tokenise(batch.column(0)))
@@ -250,15 +349,15 @@ def train(docs: DataFrame, classes: Classes) -> Model:
     copies = docs.select(whole().alias("text")).mapInArrow(fit, kind)
     for keys in (["chunk", "part"], ["chunk"]):
         copies = copies.groupBy(*keys).applyInPandas(average, kind)
-    found = sorted(copies.select("chunk", "v").collect())  # of fixed size
-    if not found:
-        return Model.fresh(classes.frequencies())
-    return Model(classes.frequencies(), np.concatenate([np.array(r.v, np.float32) for r in found]))
+    found = copies.select("chunk", "v").toArrow().sort_by("chunk")  # one model
+    if not found.num_rows:
+        return model
+    return Model(model.frequencies, found.column("v").combine_chunks().flatten().to_numpy().astype(np.float32))
 
 
 ROW = (
     "row BIGINT, doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, other_logs DOUBLE, class_score DOUBLE, "
-    "n_other BIGINT, rare ARRAY<STRUCT<word: STRING, n: INT>>"
+    "rare ARRAY<STRUCT<word: STRING, n: INT>>"
 )
 
 
@@ -271,20 +370,21 @@ def scored_rows(docs: DataFrame, classes: Classes, model: Model) -> DataFrame:
         judge = model.scorer()
         row = TaskContext.get().partitionId() << 40
         logs_of = np.log10(np.append(known.counts, 0) + 1.0)  # the last one for words outside the head
-        end_log = math.log10(known.documents + 1)
+        end_log, log_mass = math.log10(known.documents + 1), np.log10(known.shared_mass())
         for batch in batches:
             n = batch.num_rows
             coded, sizes = tokenise(batch.column(2))
             number, now, before, second = known.sequence(coded, sizes)
             bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
             per_class = judge(now, before, second) / math.log(10) if n else np.empty(0)
+            shared = now > known.end
+            per_class[shared] -= log_mass[now[shared] - known.end - 1]
             doc = np.repeat(np.arange(n), sizes)
             word = number[coded.indices.to_numpy()]
             rare = word < 0
             logs = np.bincount(doc, logs_of[word], n).astype(float) + end_log
             found = np.bincount(doc, ~rare, n).astype(np.int64) + (known.documents > 0)
             last = (word < 0) | (word >= known.own)
-            other = np.bincount(doc, last, n).astype(np.int64)
             other_logs = np.bincount(doc, logs_of[word] * last, n).astype(float)
             pair, times = np.unique(
                 doc[rare] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()[rare].astype(np.int64), return_counts=True
@@ -299,8 +399,8 @@ def scored_rows(docs: DataFrame, classes: Classes, model: Model) -> DataFrame:
             sums = np.add.reduceat(per_class, bounds[:-1]) if n else np.empty(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(n)), batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(found),
-                 pa.array(logs), pa.array(other_logs), pa.array(sums.astype(float)), pa.array(other), lists],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "other_logs", "class_score", "n_other", "rare"],
+                 pa.array(logs), pa.array(other_logs), pa.array(sums.astype(float)), lists],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "other_logs", "class_score", "rare"],
             )
             row += n
 
@@ -317,6 +417,7 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(-head.column("n").to_numpy(), kind="stable")
     words = head.column("word").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
     classes = Classes(words, head.column("n").to_numpy()[order].astype(np.int64), documents, totals.n or 0, totals.types)
+    classes.fill(counts)
     model = train(learned, classes)
     rows = settle(scored_rows(docs, classes, model), "lm-rows")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
@@ -332,5 +433,5 @@ def score(docs: DataFrame) -> DataFrame:
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (all_logs - F.col("n_tokens") * math.log10(tokens + types + 1)).alias("base_score"),
-        (F.col("class_score") + other_logs - F.col("n_other") * math.log10(classes.other_mass())).alias("score"),
+        (F.col("class_score") + other_logs).alias("score"),
     )

@@ -201,6 +201,32 @@ def test_lm_scoring_awkward(awkward, nothing):
     assert lm_scoring.score(nothing).count() == 0
 
 
+def test_lm_rare_words_in_context(spark):
+    """Every word that follows one rare word only is better told by it than by its count, beyond the most frequent ones."""
+    random = np.random.default_rng(5)
+    pairs = random.integers(0, 1500, (6000, 40))
+    rows = [(k, " ".join(f"l{p} r{p}" for p in line)) for k, line in enumerate(pairs)]
+    df = queries.prepare(spark).createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(2)
+    out = [r for r in lm_scoring.score(df).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    assert gain > 0.5, gain
+
+
+def test_lm_all_words_add_up():
+    """Probabilities of all known words, the end and one unseen word for each bucket add up to one."""
+    words, counts = [f"w{k}" for k in range(3000)], np.arange(3000, 0, -1)
+    classes = lm_scoring.Classes(words, counts, 10, int(counts.sum()), len(words))
+    where = np.array([classes.bucket(w) for w in words[classes.own :]])
+    classes.hashed = np.bincount(where, counts[classes.own :], classes.shared).astype(np.int64)
+    classes.hashed_types = np.bincount(where, minlength=classes.shared)
+    assert classes.own < len(words)
+    model = lm_scoring.Model.fresh(classes.frequencies())
+    p = np.exp(model.scorer()(np.arange(classes.start), np.full(classes.start, 3), np.full(classes.start, 5)))
+    shares = np.bincount(where, counts[classes.own :] + 1, classes.shared) + 1
+    total = p[: classes.own + 1].sum() + (p[classes.own + 1 :] * shares / classes.shared_mass()).sum()
+    assert abs(total - 1) < 1e-4
+
+
 def test_lm_normalised():
     model = lm_scoring.Model.fresh(np.array([5.0, 3.0, 2.0, 1.0]))
     step = model.trainer(0)
