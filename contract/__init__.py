@@ -2,6 +2,6 @@
 
 
 def load():
-    from contract import audit, base, kpis, orders, quality, sales, streams  # noqa: F401
+    from contract import audit, base, kpis, orders, quality, sales, streams, tables  # noqa: F401
 
     return base.QUERIES, base.ORACLE

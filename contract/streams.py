@@ -1,10 +1,14 @@
 """Streams run over the files that are there, compared with the same result asked in SQL."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from contract.audit import decided_sql, rule_audit_sql
 from contract.base import query
+from ledgertide.functions.compat import micros
+from ledgertide.sources.keyed import KeyedTable
 from ledgertide.sources.model import Model
 from ledgertide.streaming import enforcement, feeds, monitors, stateful
 
@@ -46,14 +50,40 @@ def _(m):
     return feeds.newest_per_key(rows, ["employee_id", "window_start"])
 
 
+class WaveModel(Model):
+    """The model over events that arrive out of order, in many files.
+
+    Events come in `waves` files by time, those whose id is a multiple of `every` by `delay` waves later. A last file
+    with one row far ahead, of no employee, closes the stream.
+    """
+
+    def __init__(self, m, waves=8, every=5, delay=1, close=True):
+        super().__init__(m.spark, m.folder)
+        stored = m.raw("events")
+        ends = stored.agg(F.min(micros("ts")).alias("low"), F.max(micros("ts")).alias("high"), F.max("ts").alias("last"))
+        low, high, last = ends.first()
+        width = ((high or 0) - (low or 0)) // waves + 1
+        wave = F.floor((micros("ts") - (low or 0)) / width) + F.when(F.col("event_id") % every == 0, delay).otherwise(0)
+        self.folder_of_waves = feeds.work_folder(m.spark, "waves")
+        closing = {"ts": last + dt.timedelta(days=1000)} if close and last else None
+        feeds.in_waves(stored, wave, self.folder_of_waves, closing)
+        self.stored = stored
+
+    def raw(self, name):
+        return feeds.wave_stream(self.stored, self.folder_of_waves)
+
+
+#: More than any row of a WaveModel with its defaults is late.
+WAVE_LATE = "10 days"
+
+
 @query("stream_bursts", """
 SELECT audit_id, employee_id, action_timestamp, n AS recent FROM (
   SELECT *, count(*) OVER (PARTITION BY employee_id ORDER BY action_timestamp
          RANGE BETWEEN INTERVAL 720 MINUTE PRECEDING AND CURRENT ROW) AS n FROM m_audit) WHERE n > 3""")
 def _(m):
-    rows, _q = feeds.drain(live(m).audit(), "bursts", make=stateful.bursts(minutes=720, limit=3),
-                           schema=StructType.fromDDL(stateful.BURST_ROWS))
-    return rows.drop("batch_id")
+    found = stateful.bursts(WaveModel(m).audit(), minutes=720, limit=3, late=WAVE_LATE)
+    return feeds.drain(found, "bursts")[0].drop("batch_id")
 
 
 @query("stream_sequences", """
@@ -61,9 +91,18 @@ SELECT audit_id, employee_id, action_timestamp FROM (
   SELECT *, lag(action_type, 2) OVER w || lag(action_type) OVER w || action_type AS path FROM m_audit
   WINDOW w AS (PARTITION BY employee_id ORDER BY action_timestamp, audit_id)) WHERE path = 'INSERTUPDATEDELETE'""")
 def _(m):
-    rows, _q = feeds.drain(live(m).audit(), "sequences", make=stateful.sequences(),
-                           schema=StructType.fromDDL(stateful.SEQUENCE_ROWS))
-    return rows.drop("batch_id")
+    found = stateful.sequences(WaveModel(m).audit(), late=WAVE_LATE)
+    return feeds.drain(found, "sequences")[0].drop("batch_id")
+
+
+@query("stream_sequences_of_four", """
+SELECT audit_id, employee_id, action_timestamp FROM (
+  SELECT *, lag(action_type, 3) OVER w || lag(action_type, 2) OVER w || lag(action_type) OVER w || action_type AS path
+  FROM m_audit WINDOW w AS (PARTITION BY employee_id ORDER BY action_timestamp, audit_id))
+WHERE path = 'UPDATEINSERTUPDATEUPDATE'""")
+def _(m):
+    found = stateful.sequences(WaveModel(m).audit(), ("UPDATE", "INSERT", "UPDATE", "UPDATE"), late=WAVE_LATE)
+    return feeds.drain(found, "sequences")[0].drop("batch_id")
 
 
 @query("stream_order_life_cycle", """
@@ -82,13 +121,32 @@ def _(m):
     wish = (F.when(F.col("event_type") == "signup", "PROCESSING").when(F.col("event_type") == "view", "SHIPPED")
             .when(F.col("event_type") == "click", "DELIVERED").when(F.col("event_type") == "purchase", "RETURNED")
             .otherwise("CANCELLED"))
-    requests = live(m).raw("events").select(
+    requests = WaveModel(m).raw("events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("order_id"), F.col("ts").alias("request_ts"),
         wish.alias("new_status"))
-    rows, _q = feeds.drain(stateful.order_life_cycle(requests), "life-cycle")
+    statuses = KeyedTable(m.spark, feeds.work_folder(m.spark, "statuses"), "order_id")
+    statuses.create(m.spark.createDataFrame([], "order_id BIGINT, status STRING"))
+    rows, _q = feeds.drain(stateful.released_requests(requests, late=WAVE_LATE), "life-cycle", make=stateful.life_cycle(statuses),
+                           schema=StructType.fromDDL(stateful.LIFE_CYCLE_ROWS))
     return rows.drop("batch_id")
 
 
+@query("stream_late_rows", """
+WITH b AS (SELECT min(epoch_us(ts)) AS low, (max(epoch_us(ts)) - min(epoch_us(ts))) // 105 + 1 AS width FROM events),
+w AS (SELECT event_id, user_id, ts, (epoch_us(ts) - low) // width + CASE WHEN event_id % 11 = 0 THEN 6 ELSE 0 END AS wave
+      FROM events, b),
+t AS (SELECT wave, max(ts) AS latest FROM w GROUP BY wave),
+k AS (SELECT wave, max(latest) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark
+      FROM t)
+SELECT event_id, user_id, ts FROM w JOIN k USING (wave) WHERE ts <= mark""")
+def _(m):
+    # More micro-batches than Spark keeps progress reports of.
+    arriving = WaveModel(m, waves=105, every=11, delay=6, close=False).raw("events")
+    rows, _q = feeds.drain(arriving, "late", make=feeds.split_late("ts", "1 day"),
+                           schema=StructType([*arriving.schema.fields, StructField("late", IntegerType())]))
+    return rows.filter("late = 1").select("event_id", "user_id", "ts")
+
+
 def live_changes(m):
     return live(m).audit().filter(F.col("action_type") != "SELECT").select(
         F.col("audit_id").alias("change_id"), F.col("action_timestamp").alias("change_ts"),

@@ -141,17 +141,19 @@ def _longest_path(start: str) -> int:
 LONGEST_PATH = max(map(_longest_path, rules.STATUS_TRANSITIONS))
 
 
-def _decide(requests: DataFrame, state: DataFrame) -> DataFrame:
-    """Old status, outcome and message of each request."""
-    at = F.struct("request_ts", "request_id")
-    slim = requests.select("order_id", "new_status", at.alias("at"))
-    elapsed = micros("at.request_ts") - micros("order_date")
-    free = ((F.col("new_status") != "SHIPPED") | F.col("has_shipment")) & (
-        (F.col("new_status") != "CANCELLED") | (elapsed <= rules.CANCEL_WINDOW_HOURS * HOUR)
-    )
-    kept = ["customer_id", "order_date", "has_shipment", "s0"]
+def status_rounds(slim: DataFrame, state: DataFrame, free: Column | None = None) -> DataFrame:
+    """Per order the changes that its requests bring about, in time order.
+
+    `slim` holds order_id, new_status and at (a struct that orders the requests), `state` a row per order with its status
+    s0; `free` may hold a request back by what the state knows. Round k adds p<k> and s<k>: at which request the order
+    took its k-th new status, and which. No order changes more often than the longest path of statuses.
+    """
+    kept = [c for c in state.columns if c != "order_id"]
+    slim = slim.select("order_id", "new_status", "at")
     for step in range(1, LONGEST_PATH + 1):
-        opens = allowed_change(F.col(f"s{step - 1}"), F.col("new_status")) & free
+        opens = allowed_change(F.col(f"s{step - 1}"), F.col("new_status"))
+        if free is not None:
+            opens = opens & free
         if step > 1:
             opens = opens & (F.col("at") > F.col(f"p{step - 1}"))
         key = F.when(opens, F.col("at"))
@@ -165,12 +167,31 @@ def _decide(requests: DataFrame, state: DataFrame) -> DataFrame:
             )
         )
         kept = kept + [f"p{step}", f"s{step}"]
+    return state
 
-    seen = requests.withColumn("at", at).join(state, "order_id", "left")
-    old, changed, new = F.col("s0"), F.lit(False), F.col("new_status")
+
+def status_outcome() -> tuple[Column, Column, Column]:
+    """Of a request joined with the rounds: the status before it, whether it changed that, and the order's last status."""
+    old, changed, last = F.col("s0"), F.lit(False), F.col("s0")
     for step in range(1, LONGEST_PATH + 1):
         old = F.when(F.col(f"p{step}") < F.col("at"), F.col(f"s{step}")).otherwise(old)
         changed = changed | F.coalesce(F.col(f"p{step}") == F.col("at"), F.lit(False))
+        last = F.coalesce(F.col(f"s{step}"), last)
+    return old, changed, last
+
+
+def _decide(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """Old status, outcome and message of each request."""
+    at = F.struct("request_ts", "request_id")
+    elapsed = micros("at.request_ts") - micros("order_date")
+    free = ((F.col("new_status") != "SHIPPED") | F.col("has_shipment")) & (
+        (F.col("new_status") != "CANCELLED") | (elapsed <= rules.CANCEL_WINDOW_HOURS * HOUR)
+    )
+    state = status_rounds(requests.select("order_id", "new_status", at.alias("at")), state, free)
+
+    seen = requests.withColumn("at", at).join(state, "order_id", "left")
+    new = F.col("new_status")
+    old, changed, _ = status_outcome()
     hours = F.round(elapsed.cast("decimal(20,0)") / F.lit(HOUR).cast("decimal(12,0)"), 2)
     message = (
         F.when(~new.isin(*rules.ORDER_STATUSES), words("Invalid status: {s}", s="new_status"))

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgertide.session import shared_folder
 from ledgertide.sources.schemas import raw_schema
 
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """New files of one raw table as a stream with a fixed schema."""
@@ -51,8 +61,9 @@ def drain(
     """
     spark = stream.sparkSession
     folder = work_folder(spark, name)
-    query = start(stream, make(f"{folder}/rows"), f"{folder}/checkpoint", mode, once=True)
-    query.awaitTermination()
+    with keyed_state(spark):
+        query = start(stream, make(f"{folder}/rows"), f"{folder}/checkpoint", mode, once=True)
+        query.awaitTermination()
     fields = (schema or stream.schema).fields
     logged = spark.read.schema(StructType([*fields, StructField("batch_id", LongType())]))
     return logged.parquet(f"{folder}/rows"), query
@@ -65,17 +76,118 @@ def newest_per_key(logged: DataFrame, keys: list[str]) -> DataFrame:
     return logged.groupBy(*keys).agg(last).select(*keys, "_last.*")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped in this run, from the query's own progress.
+class ProgressTotals(StreamingQueryListener):
+    """Adds up every progress report as it comes, however many there are.
 
-    Spark keeps the last `spark.sql.streaming.numRecentProgressUpdates` reports. Once earlier ones are gone the total
-    cannot be told any more, which is an error rather than a smaller number.
+    Spark itself keeps the last `spark.sql.streaming.numRecentProgressUpdates` reports only.
     """
-    dropped, kept = 0, query.recentProgress
-    limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates"))
-    if len(kept) >= limit:
-        raise RuntimeError("earlier progress is no longer kept; raise spark.sql.streaming.numRecentProgressUpdates")
-    for progress in kept:
-        for state in progress["stateOperators"]:
-            dropped += state["numRowsDroppedByWatermark"]
-    return dropped
+
+    def __init__(self):
+        self.batches: dict[str, int] = {}
+        self.rows: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        run = str(progress.runId)
+        self.batches[run] = self.batches.get(run, 0) + 1
+        self.rows[run] = self.rows.get(run, 0) + progress.numInputRows
+        late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Reports come by another thread; after the end of the query's run none is missing."""
+        if not self._end(str(query.runId)).wait(seconds):
+            raise TimeoutError("the query has not ended")
+
+    def late_rows(self, query: StreamingQuery) -> int:
+        """Rows that the watermark has dropped in the whole run."""
+        self.wait(query)
+        return self.dropped.get(str(query.runId), 0)
+
+
+def split_late(ts: str, late: str):
+    """A batch handler that parts the rows behind the watermark from the others, and keeps both.
+
+    The watermark of a batch is the latest time of all batches before, less `late`. It is written under the batch id
+    with the rows, so a repeated batch is parted the same way. `target` gets on_time and late rows as folders late=0
+    and late=1 of each batch; rows without a time are on time.
+    """
+
+    def make(target: str):
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            spark = batch.sparkSession
+            known = "latest TIMESTAMP_NTZ"
+            latest = spark.read.schema(known).parquet(f"{target}-latest/{batch_id - 1}").first()[0] if batch_id else None
+            behind = F.lit(False)
+            if latest is not None:
+                mark = F.lit(latest).cast("timestamp_ntz") - F.expr(f"INTERVAL {late}")
+                behind = F.coalesce(F.col(ts) <= mark, behind)
+            seen = Observation()
+            marked = batch.observe(seen, F.max(F.col(ts).cast("timestamp_ntz")).alias("latest"))
+            marked.withColumn("late", behind.cast("int")).write.mode("overwrite").partitionBy("late").parquet(
+                f"{target}/batch_id={batch_id}")
+            newest = max((t for t in (latest, seen.get["latest"]) if t is not None), default=None)
+            spark.createDataFrame([(newest,)], known).coalesce(1).write.mode("overwrite").parquet(f"{target}-latest/{batch_id}")
+
+        return handle
+
+    return make
+
+
+def in_waves(rows: DataFrame, wave: Column, folder: str, closing: dict | None = None) -> int:
+    """Lay rows out as files that arrive one after the other, a file per wave (numbers from 0); returns their number.
+
+    `closing` adds a last file with one row of these values and NULL elsewhere: a row whose time lies far ahead moves
+    the watermark past all others. Files are told apart by their times, which a stream over the folder goes by.
+    """
+    spark = rows.sparkSession
+    rows.withColumn("wave", wave).repartition("wave").write.partitionBy("wave").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    waves = sorted(
+        (int(e.getPath().getName().split("=")[1]), e.getPath()) for e in system.listStatus(path) if "=" in e.getPath().getName()
+    )
+    if closing is not None:
+        last = waves[-1][0] + 1 if waves else 0
+        values = [F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]
+        target = f"{folder}/wave={last}"
+        spark.range(1).select(*values).coalesce(1).write.parquet(target)
+        waves.append((last, spark._jvm.org.apache.hadoop.fs.Path(target)))
+    for number, part in waves:
+        for entry in system.listStatus(part):
+            if entry.getPath().getName().endswith(".parquet"):
+                system.setTimes(entry.getPath(), 1_600_000_000_000 + 60_000 * number, -1)
+    return len(waves)
+
+
+def wave_stream(rows: DataFrame, folder: str, waves_per_batch: int = 1) -> DataFrame:
+    """The files of `in_waves` as a stream, in their order; `rows` gives the schema."""
+    reader = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", waves_per_batch)
+    return reader.option("recursiveFileLookup", "true").parquet(folder)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Settings under which a stream with keyed state and timers is started."""
+    before = {key: spark.conf.get(key, None) for key in KEYED_STATE}
+    for key, value in KEYED_STATE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -14,7 +14,7 @@ from ledgertide.functions import rules
 TS = "action_timestamp"
 
 
-def _timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
+def timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
@@ -28,7 +28,7 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 def hourly_volume(audit: DataFrame, late: str = "1 hour") -> DataFrame:
     return _plain(
-        _timed(audit, TS, late)
+        timed(audit, TS, late)
         .groupBy(F.window(TS, "1 hour").alias("w"))
         .agg(F.count(F.lit(1)).alias("audit_count"))
         .select(F.col("w.start").alias("audit_hour"), "audit_count")
@@ -38,7 +38,7 @@ def hourly_volume(audit: DataFrame, late: str = "1 hour") -> DataFrame:
 def bucket_activity(audit: DataFrame, width: str = "4 hours", late: str = "1 hour") -> DataFrame:
     """Actions of a user in fixed buckets of the day."""
     return _plain(
-        _timed(audit, TS, late)
+        timed(audit, TS, late)
         .groupBy("session_user", F.window(TS, width).alias("w"))
         .agg(F.min(TS).alias("session_start"), F.max(TS).alias("session_end"),
              F.count(F.lit(1)).alias("actions_per_session"))
@@ -50,7 +50,7 @@ def bucket_activity(audit: DataFrame, width: str = "4 hours", late: str = "1 hou
 def gap_sessions(audit: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of a user that end after a pause."""
     return _plain(
-        _timed(audit, TS, late)
+        timed(audit, TS, late)
         .groupBy("session_user", F.session_window(TS, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("actions"))
         .select("session_user", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "actions")
@@ -63,7 +63,7 @@ def busy_employees(
 ) -> DataFrame:
     """Employees above the hourly threshold in any sliding window."""
     return _plain(
-        _timed(audit, TS, late)
+        timed(audit, TS, late)
         .groupBy("employee_id", F.window(TS, width, slide).alias("w"))
         .agg(F.count(F.lit(1)).alias("actions"))
         .filter(F.col("actions") > threshold)
@@ -73,4 +73,4 @@ def busy_employees(
 
 def first_transactions(payments: DataFrame, ts: str = "payment_date", late: str = "1 day") -> DataFrame:
     """Payments without repeats of a transaction id within the watermark."""
-    return _plain(_timed(payments, ts, late).dropDuplicatesWithinWatermark(["transaction_id"]))
+    return _plain(timed(payments, ts, late).dropDuplicatesWithinWatermark(["transaction_id"]))

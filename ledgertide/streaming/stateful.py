@@ -1,119 +1,234 @@
-"""Streams that remember: bursts, action sequences and the order life cycle.
+"""Streams that remember, on Spark's keyed state (RocksDB) with event-time timers: bursts, sequences, the order life cycle.
 
-Bursts and sequences run the batch operators over each micro-batch together with the few
-earlier rows that they still need, so an employee who fills the stream is cut the same way as
-in a batch. The order life cycle keeps one status per order in Spark's state store.
+Rows may come in any order and in any number of micro-batches. A row waits in the state until the watermark has passed it
+(no earlier row can follow then), a timer releases it, and what is no longer needed leaves the state with it. Rows behind
+the watermark are dropped by Spark; `feeds.split_late` keeps them.
+
+* Bursts are keyed by employee and slot of the trailing span, each row also going to the next slot, so an employee who
+  fills the stream is many keys, and the state of a key ends with its slot.
+* Sequences keep, per employee, the rows ahead of the watermark and the last actions behind it.
+* Requests of the life cycle wait under (order, salt); the released ones are decided per micro-batch by the rounds of
+  `orders.status_rounds`, over all orders at once, from the statuses that a keyed table holds.
+
+Rows without a time wait for nothing and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgertide.functions import rules
-from ledgertide.operators.ordered import framed, trailing_count
+from ledgertide.functions.compat import micros
+from ledgertide.sources.keyed import KeyedTable
+from ledgertide.plans.orders import status_outcome, status_rounds
 from ledgertide.session import cut_lineage
+from ledgertide.streaming.monitors import timed
 
 TS = "action_timestamp"
-Step = Callable[[DataFrame], DataFrame]
+#: Keys over which the waiting requests of one order are dealt.
+SALTS = 16
 
 
-def with_memory(detect: Step, keep: Step) -> Callable[[str], Callable]:
-    """A handler that hands `detect` the new rows and those that `keep` held back before.
+def _micros(rows: DataFrame, ts: str) -> DataFrame:
+    return rows.filter(F.col(ts).isNotNull()).withColumn("us", micros(ts))
 
-    Kept rows are written under the batch id, so a repeated batch starts from the same memory.
-    """
 
-    def make(target: str):
-        def handle(batch: DataFrame, batch_id: int) -> None:
-            seen = batch.withColumn("fresh", F.lit(True))
-            if batch_id:
-                memory = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}-memory/{batch_id - 1}")
-                seen = seen.unionByName(memory.withColumn("fresh", F.lit(False)))
-            seen = cut_lineage(seen)
-            detect(seen).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-            keep(seen).select(*batch.columns).write.mode("overwrite").parquet(f"{target}-memory/{batch_id}")
+def _time(us: str = "us"):
+    return F.timestamp_micros(us).cast("timestamp_ntz")
 
-        return handle
 
-    return make
+def _tuples(frame: pd.DataFrame) -> list[tuple]:
+    return list(zip(*[frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in frame.columns], strict=True))
+
+
+class Waiting:
+    """Rows that wait for the watermark: a list state and a timer at the earliest of them."""
+
+    def __init__(self, handle: StatefulProcessorHandle, schema: str):
+        self.handle, self.rows = handle, handle.getListState("waiting", schema)
+
+    def add(self, frames: Iterator[pd.DataFrame], columns: list[str]) -> None:
+        first = None
+        for frame in frames:
+            if len(frame):
+                self.rows.appendList(_tuples(frame[columns]))
+                least = int(frame["us"].min())
+                first = least if first is None else min(first, least)
+        self._remind(first)
+
+    def _remind(self, us: int | None) -> None:
+        if us is not None:
+            self.handle.registerTimer(-(-us // 1000))
+
+    def due(self, watermark_ms: int) -> list[tuple]:
+        """Rows up to the watermark, in the order of their tuples; they leave the state."""
+        rows = sorted(self.rows.get())
+        until = sum(row[0] <= watermark_ms * 1000 for row in rows)
+        if until < len(rows):
+            self.rows.put([tuple(row) for row in rows[until:]])
+            self._remind(rows[until][0])
+        else:
+            self.rows.clear()
+        return rows[:until]
+
+
+class _Bursts(StatefulProcessor):
+    """Times of one employee in one slot and the slot before; told when the watermark has passed the slot."""
+
+    def __init__(self, span: int, limit: int):
+        self.span, self.limit = span, limit
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("times", "us BIGINT, audit_id BIGINT, own BOOLEAN")
 
-def bursts(minutes: int = rules.BURST_MINUTES, limit: int = rules.BURST_ACTIONS, group_rows: int | None = None):
-    """Entries that make more than `limit` actions of an employee within the trailing minutes."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            if len(frame):
+                self.rows.appendList(_tuples(frame[["us", "audit_id", "own"]]))
+        self.handle.registerTimer((key[1] + 1) * self.span // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.rows.get()), columns=["us", "audit_id", "own"]).sort_values("us", ignore_index=True)
+        self.rows.clear()
+        us = held["us"].to_numpy(np.int64)
+        recent = np.searchsorted(us, us, "right") - np.searchsorted(us, us - self.span, "left")
+        found = held.assign(recent=recent)[held["own"].astype(bool).to_numpy() & (recent > self.limit)]
+        if len(found):
+            yield found.assign(employee_id=key[0])[["audit_id", "employee_id", "us", "recent"]]
+
+    def close(self) -> None:
+        pass
+
+
+def bursts(
+    audit: DataFrame, minutes: int = rules.BURST_MINUTES, limit: int = rules.BURST_ACTIONS, late: str = "1 hour"
+) -> DataFrame:
+    """Entries that make more than `limit` actions of an employee within the trailing minutes, once their slot is over."""
     span = minutes * 60_000_000
+    slot = F.floor(F.col("us") / span).cast("bigint")
+    rows = timed(_micros(audit.select("audit_id", "employee_id", TS), TS), TS, late)
+    both = F.array(*[F.struct((slot + k).alias("slot"), F.lit(k == 0).alias("own")) for k in (0, 1)])
+    dealt = rows.withColumn("s", F.explode(both)).select("employee_id", "s.slot", "s.own", "us", "audit_id", TS)
+    told = dealt.groupBy("employee_id", "slot").transformWithStateInPandas(
+        _Bursts(span, limit), "audit_id BIGINT, employee_id BIGINT, us BIGINT, recent BIGINT", "append", "eventtime"
+    )
+    return told.select("audit_id", "employee_id", _time().alias(TS), "recent")
+
+
+class _Sequences(StatefulProcessor):
+    """Rows of one employee ahead of the watermark, and the last actions behind it."""
+
+    def __init__(self, pattern: tuple[str, ...]):
+        self.pattern = pattern
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = Waiting(handle, "us BIGINT, audit_id BIGINT, action STRING")
+        self.last = handle.getValueState("last", "actions ARRAY<STRING>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.add(rows, ["us", "audit_id", "action"])
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
+        if not due:
+            return
+        before = list(self.last.get()[0]) if self.last.exists() else []
+        path = before + [row[2] for row in due]
+        size = len(self.pattern)
+        actions = np.array(path, object)
+        hit = np.ones(max(0, len(path) - size + 1), bool)
+        for k, wanted in enumerate(self.pattern):
+            hit &= actions[k : k + len(hit)] == wanted
+        self.last.update((path[-(size - 1):] if size > 1 else [],))
+        # the row that ends a hit at place k of the path is row k + size - 1 - len(before) of those due
+        found = [due[k + size - 1 - len(before)] for k in np.flatnonzero(hit)]
+        if found:
+            yield pd.DataFrame({
+                "audit_id": [row[1] for row in found], "employee_id": key[0], "us": [row[0] for row in found],
+            })
+
+    def close(self) -> None:
+        pass
+
+
+def sequences(audit: DataFrame, pattern: tuple[str, ...] = ("INSERT", "UPDATE", "DELETE"), late: str = "1 hour") -> DataFrame:
+    """Entries that complete the pattern, a run of consecutive actions of an employee of any length."""
+    rows = timed(_micros(audit.select("audit_id", "employee_id", F.col("action_type").alias("action"), TS), TS), TS, late)
+    told = rows.groupBy("employee_id").transformWithStateInPandas(
+        _Sequences(tuple(pattern)), "audit_id BIGINT, employee_id BIGINT, us BIGINT", "append", "eventtime"
+    )
+    return told.select("audit_id", "employee_id", _time().alias(TS))
 
-    def detect(seen: DataFrame) -> DataFrame:
-        counted = trailing_count(seen, ["employee_id"], TS, span, "recent", group_rows)
-        return counted.filter(F.col("fresh") & (F.col("recent") > limit)).select(
-            "audit_id", "employee_id", TS, "recent")
 
-    def keep(seen: DataFrame) -> DataFrame:
-        latest = seen.groupBy("employee_id").agg(F.max(TS).alias("latest"))
-        return seen.join(latest, "employee_id").filter(
-            F.col(TS) >= F.col("latest") - F.expr(f"INTERVAL {minutes} MINUTES"))
+class _Release(StatefulProcessor):
+    """Requests of one order and salt, given out when the watermark has passed them."""
 
-    return with_memory(detect, keep)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = Waiting(handle, "us BIGINT, request_id BIGINT, new_status STRING")
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.add(rows, ["us", "request_id", "new_status"])
+        return iter([])
 
-def sequences(pattern: tuple[str, str, str] = ("INSERT", "UPDATE", "DELETE"), group_rows: int | None = None):
-    """Entries that complete the pattern; the last two actions of each employee are kept."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
+        if due:
+            yield pd.DataFrame(due, columns=["us", "request_id", "new_status"]).assign(order_id=key[0])
 
-    def detect(seen: DataFrame) -> DataFrame:
-        near = framed(
-            seen, ["employee_id"], [TS, "audit_id"],
-            lambda spec: {f"back{n}": F.lag("action_type", n).over(spec) for n in (1, 2)},
-            before=2, group_rows=group_rows,
-        )
-        hit = (F.col("back2") == pattern[0]) & (F.col("back1") == pattern[1]) & (F.col("action_type") == pattern[2])
-        return near.filter(F.col("fresh") & hit).select("audit_id", "employee_id", TS)
+    def close(self) -> None:
+        pass
 
-    def keep(seen: DataFrame) -> DataFrame:
-        newest = Window.partitionBy("employee_id").orderBy(F.col(TS).desc(), F.col("audit_id").desc())
-        return seen.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= 2)
 
-    return with_memory(detect, keep)
+def released_requests(requests: DataFrame, late: str = "1 hour") -> DataFrame:
+    """request_id, order_id, request_ts, new_status of requests that no earlier one can precede any more."""
+    columns = ["order_id", "request_id", "new_status", "request_ts"]
+    rows = timed(_micros(requests.select(*columns), "request_ts"), "request_ts", late)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int"))
+    told = salted.groupBy("order_id", "salt").transformWithStateInPandas(
+        _Release(), "us BIGINT, request_id BIGINT, new_status STRING, order_id BIGINT", "append", "eventtime"
+    )
+    return told.select("request_id", "order_id", _time().alias("request_ts"), "new_status")
 
 
-def order_life_cycle(requests: DataFrame, initial: str = "PENDING") -> DataFrame:
-    """Accept or refuse each requested status; the state is the current status of the order.
+def life_cycle(statuses: KeyedTable, initial: str = "PENDING"):
+    """A batch handler that decides released requests and keeps the orders' statuses in a keyed table.
 
-    Python walks the requests of one order in one micro-batch in time order; the size of a
-    micro-batch is set by the source.
+    All orders of a batch are decided together in as many rounds as a status path is long, each round one grouping
+    that combines before its shuffle. The table is changed under the name of the batch, so a repeated batch finds
+    the statuses it started from.
     """
-    moves = rules.STATUS_TRANSITIONS
-
-    def walk(key, parts: Iterator[pd.DataFrame], state: GroupState):
-        now = state.get[0] if state.exists else initial
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["request_ts", "request_id"], ignore_index=True)
-        old, accepted = [], []
-        for wanted in rows["new_status"]:
-            old.append(now)
-            accepted.append(wanted in moves.get(now, ()))
-            now = wanted if accepted[-1] else now
-        state.update((now,))
-        yield rows.assign(old_status=old, accepted=accepted)[
-            ["request_id", "order_id", "request_ts", "old_status", "new_status", "accepted"]
-        ]
-
-    return (
-        requests.select("request_id", "order_id", "request_ts", "new_status")
-        .groupBy("order_id")
-        .applyInPandasWithState(
-            walk,
-            "request_id bigint, order_id bigint, request_ts timestamp_ntz, old_status string, new_status string, "
-            "accepted boolean",
-            "status string",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+
+    def make(target: str):
+        def handle(batch: DataFrame, batch_id: int) -> None:
+            if batch_id and batch.isEmpty():
+                return
+            asked = cut_lineage(batch.select("request_id", "order_id", "new_status", F.struct("request_ts", "request_id").alias("at")))
+            known = statuses.before(f"batch-{batch_id}").select(F.col("order_id").alias("of"), "status")
+            state = asked.select("order_id").distinct().join(known, F.col("order_id") == F.col("of"), "left")
+            state = state.select("order_id", F.coalesce("status", F.lit(initial)).alias("s0"))
+            state = cut_lineage(status_rounds(asked, state))
+            old, accepted, now = status_outcome()
+            asked.join(state, "order_id").select(
+                "request_id", "order_id", F.col("at.request_ts").alias("request_ts"), old.alias("old_status"), "new_status",
+                accepted.alias("accepted"),
+            ).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            moved = state.filter(F.col("p1").isNotNull()).select("order_id", now.alias("status"))
+            statuses.change(moved, replace={"status": "status"}, insert=True, name=f"batch-{batch_id}")
+
+        return handle
+
+    return make
 
 
-# What the two handlers write.
-BURST_ROWS = "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz, recent bigint"
-SEQUENCE_ROWS = "audit_id bigint, employee_id bigint, action_timestamp timestamp_ntz"
+LIFE_CYCLE_ROWS = (
+    "request_id bigint, order_id bigint, request_ts timestamp_ntz, old_status string, new_status string, accepted boolean"
+)

@@ -294,70 +294,6 @@ def test_country_is_joined_on_demand(spark, sf):
 # -- streams ------------------------------------------------------------------------------
 
 
-def test_stream_in_several_batches(spark, sf, tmp_path):
-    """State carries over between micro-batches: three files in time order equal one batch."""
-    audit = Model(spark, sf).audit()
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    cut = [row[0] for row in events.orderBy("ts").select("ts").collect()]
-    bounds = [None, cut[300], cut[650], None]
-    for n in range(3):
-        part = events
-        if bounds[n]:
-            part = part.filter(F.col("ts") >= c.moment(bounds[n]))
-        if bounds[n + 1]:
-            part = part.filter(F.col("ts") < c.moment(bounds[n + 1]))
-        import shutil
-
-        part.coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
-        source = next((tmp_path / f"w{n}").glob("part-*.parquet"))
-        (tmp_path / "in").mkdir(exist_ok=True)
-        shutil.copy(source, tmp_path / "in" / f"events-{n}.parquet")
-
-    class Live(Model):
-        def raw(self, name):
-            return feeds.table_stream(spark, str(tmp_path / "in"), name, files_per_trigger=1)
-
-    live = Live(spark, sf).audit()
-    from pyspark.sql.types import StructType
-
-    got, _ = feeds.drain(live, "bursts", make=stateful.bursts(minutes=2000, limit=2, group_rows=40),
-                         schema=StructType.fromDDL(stateful.BURST_ROWS))
-    from ledgertide.operators.ordered import trailing_count
-
-    want = trailing_count(audit, ["employee_id"], "action_timestamp", 2000 * 60_000_000, "recent").filter("recent > 2")
-    assert sorted(rows(got, "audit_id", "recent")) == sorted(rows(want, "audit_id", "recent"))
-    assert {r.batch_id for r in got.select("batch_id").distinct().collect()} >= {1, 2}
-
-    got, _ = feeds.drain(live, "sequences", make=stateful.sequences(group_rows=40),
-                         schema=StructType.fromDDL(stateful.SEQUENCE_ROWS))
-    want = a.suspicious_patterns(audit).filter("activity_pattern = 'SUSPICIOUS_PATTERN'")
-    assert sorted(rows(got, "audit_id")) == sorted(rows(want, "audit_id"))
-
-    logged, query = feeds.drain(monitors.hourly_volume(live), "hourly", mode="update")
-    hours = feeds.newest_per_key(logged, ["audit_hour"])
-    assert hours.agg(F.sum("audit_count")).first()[0] == events.count()
-    assert feeds.late_rows(query) == 0
-
-
-def test_late_rows_are_counted(spark, tmp_path):
-    base = "SELECT {i}L AS event_id, TIMESTAMP_NTZ '{ts}' AS ts, 1L AS user_id, 'click' AS event_type, 1D AS value, '' AS props"
-    (tmp_path / "in").mkdir()
-    import shutil
-    import time
-
-    for n, stamp in enumerate(("2024-01-01 10:00:00", "2024-01-03 10:00:00", "2024-01-03 11:00:00", "2024-01-01 10:05:00")):
-        spark.sql(base.format(i=n, ts=stamp)).coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
-        shutil.copyfile(next((tmp_path / f"w{n}").glob("part-*.parquet")), tmp_path / "in" / f"events-{n}.parquet")
-        time.sleep(1.1)
-
-    class Live(Model):
-        def raw(self, name):
-            return feeds.table_stream(spark, str(tmp_path / "in"), name, files_per_trigger=1)
-
-    logged, query = feeds.drain(monitors.hourly_volume(Live(spark, "").audit()), "late", mode="update")
-    assert feeds.late_rows(query) == 1 and feeds.newest_per_key(logged, ["audit_hour"]).count() == 3
-
-
 def test_enforcement_writes_three_outputs(spark, sf, tmp_path):
     changes_df = changes(spark, CASES)
     handler = enforcement.enforce(holidays(spark), str(tmp_path))
