@@ -128,17 +128,26 @@ def read_records(archive: Archive) -> DataFrame:
 
 
 def read_summary(archive: Archive) -> DataFrame:
-    """Per page what its archived record says, sizes and digests taken from the stored bytes."""
+    """Per page what its archived record says: identifiers and type from the header, size and digest from the stored bytes.
+
+    Fails where a header and its payload or its side columns disagree. Digests are worked out once per stored payload,
+    so the payloads are not shuffled; `read_records` gives the records themselves.
+    """
     stored = read_payloads(archive).select(
         "sha256", F.length("payload").cast("long").alias("payload_bytes"),
         sha1_base32(F.col("payload")).alias("payload_digest"),
     )
     field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: (.*?)\r?$", 1)
-    said = archive.headers().withColumn("said", F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""))
-    joined = said.join(stored, "sha256")
-    digest = F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(
-        F.raise_error(F.lit("header and payload disagree"))
+    page = lambda name: F.regexp_extract(field(name), "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+    kind, named, first = field("WARC-Type"), page("WARC-Record-ID"), page("WARC-Refers-To")
+    full = (kind == "revisit") | (field("Content-Length") == F.col("payload_bytes").cast("string"))
+    agrees = (
+        (F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "") == F.col("payload_digest")) & full
+        & named.eqNullSafe(F.col("page_id")) & first.eqNullSafe(F.col("refers_to")) & (kind == F.col("record_type"))
     )
+    joined = archive.headers().join(stored, "sha256")
+    sound = F.when(agrees, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload disagree")))
     return joined.select(
-        "page_id", "payload_bytes", digest.alias("payload_digest"), field("WARC-Type").alias("record_type"), "refers_to"
+        named.alias("page_id"), "payload_bytes", sound.alias("payload_digest"), kind.alias("record_type"),
+        first.alias("refers_to"),
     )
