@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.llm.work import located, settle, whole, work_folder
+from ledgertide.llm.work import located, place_name, settle, whole, work_folder
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -34,8 +34,8 @@ STATE = {
 }
 #: Keys over which the rows of one digest are dealt for the byte check.
 SALTS = 16
-#: Bytes of slim rows in a micro-batch.
-BATCH_BYTES = 64 << 30
+#: Bytes of slim rows in a micro-batch: some five million rows, so large tables meet their keys again in the state.
+BATCH_BYTES = 256 << 20
 
 
 def sha256(text: Column) -> Column:
@@ -104,12 +104,13 @@ def find_copies(
 
     Of equal texts the row with the largest doc_id stays, and of those with the same doc_id the last one.
     """
-    return _find(located(docs, "__at"), digest, batch_bytes)
+    place = place_name(docs)
+    return _find(located(docs, place), place, digest, batch_bytes)
 
 
-def _find(placed: DataFrame, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _find(placed: DataFrame, place: str, digest: Callable[[Column], Column] = sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     spark = placed.sparkSession
-    rows = placed.select("doc_id", whole().alias("text"), F.col("__at").alias("at"))
+    rows = placed.select("doc_id", whole().alias("text"), F.col(place).alias("at"))
     rows = rows.withColumn("digest", digest(F.col("text")))
     folder = work_folder(spark, "dedup-feed")
     slim = rows.select("doc_id", "at", "digest")
@@ -136,6 +137,7 @@ def _find(placed: DataFrame, digest: Callable[[Column], Column] = sha256, batch_
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    rows = located(docs, "__at")
-    gone = _find(rows, **options).where(~F.col("kept")).select(F.col("at").alias("__at"))
-    return rows.join(gone, "__at", "left_anti").select(*docs.columns)
+    place = place_name(docs)
+    rows = located(docs, place)
+    gone = _find(rows, place, **options).where(~F.col("kept")).select(F.col("at").alias(place))
+    return rows.join(gone, place, "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.llm.components import components
-from ledgertide.llm.work import located, settle, whole
+from ledgertide.llm.work import located, place_name, settle, whole
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Hashes per class at most, members of a bucket whose pairs become rows, and classes in a block of a cluster.
@@ -192,7 +192,12 @@ def similar(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, at, class_id (smallest doc_id it is linked to, over any number of links),
     n_links (rows whose similarity is high enough), kept (one row of each class)."""
-    return _similar(located(docs, "__at"), n, similarity, recall, bucket, block)
+    place = place_name(docs)
+    return _similar(_slim(located(docs, place), place), n, similarity, recall, bucket, block)
+
+
+def _slim(rows: DataFrame, place: str) -> DataFrame:
+    return rows.select("doc_id", "text", F.col(place).alias("__at"))
 
 
 def _similar(rows, n=N, similarity=SIMILARITY, recall=RECALL, bucket=BUCKET, block=BLOCK) -> DataFrame:
@@ -258,6 +263,7 @@ def _similar(rows, n=N, similarity=SIMILARITY, recall=RECALL, bucket=BUCKET, blo
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay, one of each class, with all their columns."""
-    rows = located(docs, "__at")
-    gone = _similar(rows, **options).where(~F.col("kept")).select(F.col("at").alias("__at"))
-    return rows.join(gone, "__at", "left_anti").select(*docs.columns)
+    place = place_name(docs)
+    rows = located(docs, place)
+    gone = _similar(_slim(rows, place), **options).where(~F.col("kept")).select(F.col("at").alias(place))
+    return rows.join(gone, place, "left_anti").select(*docs.columns)

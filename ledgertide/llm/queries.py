@@ -64,7 +64,7 @@ def op4(spark, folder):
 @query("op5_mixing")
 def op5(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), mixing.Target(entropy=0.95))
-    return mixed.select("doc_id", "source", "tokens", "weight", "copy", "begin", "position")
+    return mixed.select("doc_id", "source", "tokens", "weight", "copy", "begin", "position", "entropy", "met")
 
 
 @query("op6_topk", """

@@ -38,6 +38,14 @@ def whole(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def place_name(df: DataFrame) -> str:
+    """A name for the place of a row that no column has, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, "__at"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def located(df: DataFrame, as_name: str) -> DataFrame:
     """Add the place of each row (file, row in the file) as a struct that tells even equal rows apart.
 

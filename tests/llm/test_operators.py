@@ -55,7 +55,7 @@ def by_doc(df):
 @pytest.mark.parametrize("name", [n for n in queries.ORACLE if queries.ORACLE[n]])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got = queries.QUERIES[name](spark, sf)
     want = con.execute(queries.ORACLE[name])
@@ -66,7 +66,7 @@ def test_sql(spark, sf, name):
 
 def test_registered():
     found = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert set(queries.QUERIES) <= set(found)
 
 
@@ -328,6 +328,53 @@ def test_mixing_entropy(spark):
     assert abs(entropy - 0.9 * math.log(len(weights))) < 1e-3
 
 
+@pytest.mark.parametrize("target", [0.95, 0.6, 0.2])
+def test_mixing_entropy_below_that_of_the_shares(spark, target):
+    """Sources of nearly equal shares: the exponent goes above 1 until the target is met."""
+    rows = [(k, "w " * (20 + k % 4), f"s{k % 4}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    mixed = mixing.mix(df, mixing.Target(entropy=target)).collect()
+    weights = {r.source: r.weight for r in mixed}
+    entropy = -sum(w * math.log(w) for w in weights.values()) / math.log(4)
+    assert {r.met for r in mixed} == {True} and entropy == pytest.approx(mixed[0].entropy, abs=5e-3)
+    assert target - 0.01 < entropy <= target + 1e-6
+    total = sum(len(t.split()) + 1 for _, t, _ in rows)
+    assert abs(sum(r.tokens for r in mixed) - total) < 4 * 25
+
+
+def test_mixing_target_out_of_reach(spark):
+    rows = [(k, "w w w", f"s{k % 4}") for k in range(40)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING"), mixing.Target(entropy=0.5)).collect()
+    assert {r.met for r in mixed} == {False} and len(mixed) == 40 and {round(r.weight, 9) for r in mixed} == {0.25}
+
+
+def test_mixing_keeps_its_order(spark):
+    """Rows of the written mix go by position; copies of a document are a pass apart."""
+    rows = [(k, f"text {k}", "large" if k % 10 else "small") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").repartition(3)
+    target = mixing.Target(entropy=0.98)
+    place = {}
+    for r in mixing.mix(df, target).collect():
+        place.setdefault(r.doc_id, []).append(r.position)
+    read = [r.doc_id for r in mixing.realise(df, target).withColumn("part", F.spark_partition_id()).collect()]
+    seen, at = Counter(), []
+    for doc_id in read:
+        at.append(sorted(place[doc_id])[seen[doc_id]])
+        seen[doc_id] += 1
+    assert at == sorted(at) and seen == Counter({d: len(p) for d, p in place.items()}) and max(seen.values()) > 1
+    assert all(a != b for a, b in zip(read, read[1:]))
+
+
+@pytest.mark.parametrize("name", ["__at", "__AT", "__at_turn", "_metadata"])
+def test_columns_that_clash_with_places(spark, name):
+    rows = [(k, f"one text of many words {k // 2} and more of them", f"s{k % 2}", f"kept {k}") for k in range(8)]
+    df = queries.prepare(spark).createDataFrame(rows, f"doc_id BIGINT, text STRING, source STRING, `{name}` STRING")
+    want = {(k, f"kept {k}") for k in range(8)}
+    for made in (exact_dedup.drop_copies(df), jaccard_join.drop_similar(df), mixing.realise(df, mixing.Target(repeat=2))):
+        got = {(r["doc_id"], r[name]) for r in made.collect()}
+        assert made.columns == df.columns and got and got <= want
+
+
 def test_mixing_awkward(awkward, nothing):
     taken = mixing.realise(awkward, mixing.Target(repeat=2))
     assert taken.columns == awkward.columns and taken.count() >= len(AWKWARD)
