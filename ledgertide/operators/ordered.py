@@ -6,6 +6,8 @@ plan for keys of ordinary size, and it is the plan used here for such keys. Keys
 
 * the rows of those keys alone are range-partitioned on (key, order) and written once to the
   shared folder, so a place in the order becomes a count inside a part plus the counts before it;
+* places in a whole table need no window at all: rows are written sorted, each with its number
+  inside its range, and one count per range does the rest; a rank is the first place of a value;
 * functions that look at neighbours then run over blocks of consecutive places, each block
   carrying copies of the few rows it needs from the next or previous block.
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgertide.functions.compat import micros
-from ledgertide.session import cut_lineage
+from ledgertide.session import cut_lineage, settle
 
 #: Rows of a key that one task sorts, and consecutive places in a block.
 GROUP_ROWS = 20_000_000
@@ -135,6 +137,32 @@ def _ranged_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str
     )
 
 
+#: How `monotonically_increasing_id` puts a part and a number inside it into one.
+PART_SHIFT = 33
+
+
+def _in_order(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """`placed`, and the number of rows."""
+    spark, sort = df.sparkSession, sort_columns(order)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+    rows = settle(ranged.withColumn("_mark", F.monotonically_increasing_id()), "placed")
+    part, inside = F.shiftright("_mark", PART_SHIFT), F.col("_mark").bitwiseAND(F.lit((1 << PART_SHIFT) - 1))
+    counts = rows.groupBy(part.alias("part")).agg((F.max(inside) + 1).alias("n")).collect()  # a row per part
+    before, starts = 0, []
+    for r in sorted(counts):
+        starts.append((r.part, before))
+        before += r.n
+    offsets = spark.createDataFrame(starts, "_part BIGINT, _before BIGINT")
+    place = (F.col("_before") + inside + 1).cast("bigint").alias(name)
+    return rows.withColumn("_part", part).join(offsets, "_part").select(*df.columns, place), before
+
+
+def placed(df: DataFrame, order: list, name: str) -> DataFrame:
+    """ROW_NUMBER over the whole table as a bigint. The order must be total (end it with a unique column)."""
+    return _in_order(df, order, name)[0]
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -164,6 +192,8 @@ def numbered(
     hot: Hot | None = None,
 ) -> DataFrame:
     """ROW_NUMBER per key as a bigint."""
+    if not keys:
+        return placed(df, order, name)
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, group_rows, bounded_by, hot)
 
 
@@ -176,8 +206,12 @@ def ranked(
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
     hot: Hot | None = None,
+    place: str | None = None,
 ) -> DataFrame:
-    """RANK and DENSE_RANK per key. Beyond the plain way, ties are counted once per value."""
+    """RANK and DENSE_RANK per key. Beyond the plain way, ties are counted once per value.
+
+    For a whole table `place` may name the column that `placed` has made under an order that begins with this one.
+    """
     hot = hot or hot_groups(df, keys, group_rows, bounded_by)
     wanted = [n for n in (rank, dense) if n]
     if hot.plain:
@@ -187,19 +221,25 @@ def ranked(
         if dense:
             df = df.withColumn(dense, F.dense_rank().over(spec).cast("bigint"))
         return df
-    columns = [c.lstrip("-") for c in order]
-    values = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_ties"))
-    placed = running_totals(
-        values, keys, order,
-        {"_upto": F.col("_ties"), "_place": F.lit(1).cast("bigint")},
-        hot=hot,
-    )
-    given = {rank: F.col("_upto") - F.col("_ties") + 1, dense: F.col("_place")}
-    table = placed.select(
-        *[F.col(c).alias(f"_v_{c}") for c in keys + columns], *[given[n].cast("bigint").alias(n) for n in wanted]
+    columns, kept = [c.lstrip("-") for c in order], df.columns
+    if keys:
+        values = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_ties"))
+        values = running_totals(
+            values, keys, order, {"_upto": F.col("_ties"), "_dense": F.lit(1).cast("bigint")}, hot=hot
+        ).withColumn("_first", F.col("_upto") - F.col("_ties") + 1)
+    else:
+        if not place:  # equal values lie in any order, so that many of them fill several ranges
+            place = "_at"
+            df = placed(df, [*order, F.xxhash64(*df.columns)], place)
+        values = df.groupBy(*columns).agg(F.min(place).alias("_first"))
+        if dense:
+            values = placed(values, ["_first"], "_dense")
+    given = {rank: "_first", dense: "_dense"}
+    table = values.select(
+        *[F.col(c).alias(f"_v_{c}") for c in keys + columns], *[F.col(given[n]).cast("bigint").alias(n) for n in wanted]
     )
     same = [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in keys + columns]
-    return df.join(table, same, "inner").select(*df.columns, *wanted)
+    return df.join(table, same, "inner").select(*kept, *wanted)
 
 
 def tiled(
@@ -217,19 +257,20 @@ def tiled(
     if hot.plain:
         spec = Window.partitionBy(*keys).orderBy(*sort_columns(order))
         return df.withColumn(name, F.ntile(tiles).over(spec).cast("bigint"))
-    placed = numbered(df, keys, order, "_place", hot=hot)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if keys:
+        rows = numbered(df, keys, order, "_place", hot=hot)
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         sizes = sizes.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_rows")
-        placed = placed.join(sizes, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "inner")
+        rows = rows.join(sizes, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys], "inner")
     else:
-        placed = placed.withColumn("_rows", F.lit(sizes.first()[0]))
+        rows, total = _in_order(df, order, "_place")
+        rows = rows.withColumn("_rows", F.lit(total).cast("bigint"))
     small, extra = F.expr(f"_rows div {tiles}"), F.expr(f"_rows % {tiles}")
     wide = extra * (small + 1)
     tile = F.when(F.col("_place") <= wide, F.ceil(F.col("_place") / (small + 1))).otherwise(
         extra + F.ceil((F.col("_place") - wide) / F.greatest(small, F.lit(1)))
     )
-    return placed.withColumn(name, tile.cast("bigint")).select(*df.columns, name)
+    return rows.withColumn(name, tile.cast("bigint")).select(*df.columns, name)
 
 
 def framed(
@@ -242,11 +283,12 @@ def framed(
     group_rows: int | None = None,
     bounded_by: DataFrame | None = None,
     hot: Hot | None = None,
+    place: str | None = None,
 ) -> DataFrame:
     """Window columns that look at most `before` rows back and `after` rows ahead.
 
     `build` gets a spec (partition and order) and returns the columns, for example
-    ``{"previous": F.lag("x").over(spec)}``.
+    ``{"previous": F.lag("x").over(spec)}``. For a whole table `place` may name the column that `placed` has made.
     """
     hot = hot or hot_groups(df, keys, group_rows, bounded_by)
     cold, frequent = hot.divide(df)
@@ -258,7 +300,10 @@ def framed(
     if frequent is None:
         return cold
     size = max(group_rows or BLOCK_ROWS, before + after + 1)
-    placed = _ranged_totals(frequent, keys, order, {"_place": F.lit(1).cast("bigint")}, hot.parts)
+    if keys:
+        rows = _ranged_totals(frequent, keys, order, {"_place": F.lit(1).cast("bigint")}, hot.parts)
+    else:
+        rows = frequent.withColumn("_place", F.col(place)) if place else placed(frequent, order, "_place")
     block, within = F.expr(f"(_place - 1) div {size}"), F.expr(f"(_place - 1) % {size}")
     own = F.struct(block.alias("block"), F.lit(True).alias("own"))
     copies = [own]
@@ -268,7 +313,7 @@ def framed(
         copies.append(
             F.when((within < after) & (block > 0), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))
         )
-    spread = placed.withColumn("_copy", F.explode(F.array_compact(F.array(*copies)))).withColumn(
+    spread = rows.withColumn("_copy", F.explode(F.array_compact(F.array(*copies)))).withColumn(
         "_block", F.col("_copy.block")
     )
     columns = build(Window.partitionBy(*keys, "_block").orderBy("_place"))

@@ -31,7 +31,7 @@ from ledgertide.functions.compat import (
     total,
     trunc_to,
 )
-from ledgertide.operators.ordered import framed, ranked
+from ledgertide.operators.ordered import framed, placed, ranked
 
 
 def active(orders: DataFrame) -> DataFrame:
@@ -304,8 +304,7 @@ def product_performance(
     keep = ["product_id", "product_name", "category_id"]
     sales = _product_sales(products, items, orders, exclude_inactive, keep)
     named = sales.join(categories.select("category_id", "category_name"), "category_id", "left").drop("category_id")
-    placed = ranked(named, [], ["-units_sold"], rank="sales_rank", bounded_by=products)
-    return placed.orderBy(F.col("units_sold").desc_nulls_last(), "product_id")
+    return ranked(named, [], ["-units_sold"], rank="sales_rank").orderBy(F.col("units_sold").desc_nulls_last(), "product_id")
 
 
 def top_performers(
@@ -430,15 +429,11 @@ def customer_rank_prev(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Every customer's rank by gross purchases and the spend of the customer just above."""
     spent = orders.groupBy("customer_id").agg(total("total_amount").alias("total_spent"))
     named = spent.join(customers.select("customer_id", "customer_name"), "customer_id")
-    placed = ranked(named, [], ["-total_spent"], rank="customer_rank", bounded_by=customers)
+    order = ["-total_spent", "customer_id"]
+    ranks = ranked(placed(named, order, "_at"), [], ["-total_spent"], rank="customer_rank", place="_at")
     return framed(
-        placed,
-        [],
-        ["-total_spent", "customer_id"],
-        lambda spec: {"prev_customer_spent": F.lag("total_spent").over(spec)},
-        before=1,
-        bounded_by=customers,
-    )
+        ranks, [], order, lambda spec: {"prev_customer_spent": F.lag("total_spent").over(spec)}, before=1, place="_at"
+    ).drop("_at")
 
 
 def order_moving_avg(orders: DataFrame, rows: int = 7) -> DataFrame:

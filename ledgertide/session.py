@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,6 +68,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it from there; columns without a type become strings."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    void = [f.name for f in df.schema if f.dataType.typeName() == "void"]
+    df = df.withColumns({c: F.col(c).cast("string") for c in void}) if void else df
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize `df` once, reliably, in the shared folder."""
     context = df.sparkSession.sparkContext
