@@ -121,7 +121,7 @@ def _(m):
     wish = (F.when(F.col("event_type") == "signup", "PROCESSING").when(F.col("event_type") == "view", "SHIPPED")
             .when(F.col("event_type") == "click", "DELIVERED").when(F.col("event_type") == "purchase", "RETURNED")
             .otherwise("CANCELLED"))
-    requests = WaveModel(m).raw("events").select(
+    requests = WaveModel(m, waves=4).raw("events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("order_id"), F.col("ts").alias("request_ts"),
         wish.alias("new_status"))
     statuses = KeyedTable(m.spark, feeds.work_folder(m.spark, "statuses"), "order_id")

@@ -6,6 +6,7 @@ joins, and uniqueness is one grouped count.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -263,14 +264,103 @@ def check_returns(booked: dict[str, DataFrame], orders: DataFrame, products: Dat
         check_references(made | {"orders": orders, "products": products}, children=tuple(made)))
 
 
+# -- all checks in one pass ---------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Check:
+    """One check of a plan: `how` is row (a test), unique, reference or rows (a least number of rows)."""
+
+    table: str
+    rule: str
+    kind: str
+    how: str
+    test: str = ""
+    columns: tuple[str, ...] = ()
+    parent: str = ""
+    parent_key: str = ""
+    least: int = 0
+
+
+def check_plan(tables: dict[str, DataFrame], thresholds: dict[str, int] | None = None) -> list[Check]:
+    """Every row rule, reference, uniqueness and row-count check that the given tables allow."""
+    plan = [
+        Check(t, name, kind, "row", test=test)
+        for t in tables for name, (kind, test) in ROW_RULES.get(t, {}).items()
+    ]
+    plan += [
+        Check(child, f"{column} in {parent}", "REFERENCE", "reference", columns=(column,), parent=parent, parent_key=key)
+        for child, column, parent, key in REFERENCES if child in tables and parent in tables
+    ]
+    plan += [Check(t, "unique " + ", ".join(cols), "UNIQUE", "unique", columns=cols) for t, cols in UNIQUE_KEYS if t in tables]
+    least = thresholds or ROW_THRESHOLDS
+    return plan + [Check(t, f"at least {n} rows", "ROWS", "rows", least=n) for t, n in least.items() if t in tables]
+
+
+def _key_text(columns: tuple[str, ...]) -> Column:
+    """The values of a key as one text, NULL where one of them is."""
+    first, *rest = [F.col(c).cast("string") for c in columns]
+    return F.concat(F.length(first).cast("string"), F.lit(":"), first, *rest) if rest else first
+
+
+def run_plan(tables: dict[str, DataFrame], plan: list[Check], as_of) -> DataFrame:
+    """The results of all checks of a plan, each table scanned once.
+
+    A row tells what it has to say to the checks of its table: a mark per rule that it breaks, its key per uniqueness
+    and reference check (also as the parent of other tables), and one mark for being there. One grouping by check and
+    key, summed up before its shuffle, then counts repeated keys and keys without a parent.
+    """
+    now = f"TIMESTAMP_NTZ '{parse_moment(as_of)}'"
+    nothing = F.lit(None).cast("string")
+
+    def mark(number: int, key: Column, parent: bool = False) -> Column:
+        return F.struct(F.lit(number).alias("number"), key.alias("key"), F.lit(parent).alias("parent"))
+
+    told = []
+    names = sorted({c.table for c in plan} | {c.parent for c in plan if c.parent})
+    there = {t: -1 - k for k, t in enumerate(names)}
+    for t in names:
+        marks = [mark(there[t], nothing)]
+        for number, check in enumerate(plan):
+            if check.table == t and check.how == "row":
+                marks.append(F.when(F.expr(check.test.replace(":now", now)), mark(number, nothing)))
+            if check.table == t and check.how in ("unique", "reference"):
+                key = _key_text(check.columns)
+                marks.append(F.when(key.isNotNull(), mark(number, key)))
+            if check.parent == t:
+                key = _key_text((check.parent_key,))
+                marks.append(F.when(key.isNotNull(), mark(number, key, True)))
+        told.append(tables[t].select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*"))
+    keys = reduce(DataFrame.unionByName, told).groupBy("number", "key").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.bool_or("parent").alias("known")
+    )
+    sums = keys.groupBy("number").agg(
+        F.sum("n").alias("n"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("repeated"),
+        F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("orphans"),
+    )  # a row per check
+    listed = tables[names[0]].sparkSession.createDataFrame(
+        [(k, there[c.table], c.table, c.rule, c.kind, c.how, c.least) for k, c in enumerate(plan)],
+        "number INT, there INT, table_name STRING, rule STRING, kind STRING, how STRING, least BIGINT",
+    )
+    one = sums.agg(F.map_from_entries(F.collect_list(F.struct("number", F.struct("n", "repeated", "orphans")))).alias("found"))
+    zero = F.lit(0).cast("bigint")
+    joined = listed.crossJoin(one).select(
+        "*", *[F.coalesce(F.element_at("found", F.col("number"))[c], zero).alias(f"_{c}") for c in ("n", "repeated", "orphans")],
+        F.coalesce(F.element_at("found", F.col("there"))["n"], zero).alias("_rows"),
+    )
+    own = F.col("how").isin("unique", "reference")
+    return joined.select(
+        "table_name", "rule", "kind", F.when(own, F.col("_n")).otherwise(F.col("_rows")).alias("checked"),
+        F.when(F.col("how") == "row", F.col("_n")).when(F.col("how") == "unique", F.col("_repeated"))
+        .when(F.col("how") == "reference", F.col("_orphans"))
+        .otherwise(F.when(F.col("_rows") >= F.col("least"), 0).otherwise(1)).cast("bigint").alias("violations"),
+    )
+
+
 def check_all(tables: dict[str, DataFrame], as_of) -> DataFrame:
-    """Every check that the given tables allow."""
-    known = {t: df for t, df in tables.items() if t in ROW_RULES}
+    """Every check that the given tables allow; a table is scanned once, or twice where a rule crosses tables."""
     return (
-        check_tables(known, as_of)
-        .unionByName(check_references(tables))
-        .unionByName(check_uniqueness(tables))
-        .unionByName(check_row_counts(tables))
+        run_plan(tables, check_plan(tables), as_of)
         .unionByName(check_documented(tables))
         .unionByName(check_hierarchy(tables["categories"]))
     )
@@ -286,56 +376,34 @@ def summary(results: DataFrame) -> DataFrame:
 
 def validation_report(tables: dict[str, DataFrame], as_of) -> DataFrame:
     """The sixteen named tests with their texts; references are really tested here."""
-    rows = check_row_counts(tables).select(
-        F.concat_ws(" ", F.upper("table_name"), F.lit("table has data")).alias("test"),
-        F.concat_ws(" ", F.col("checked").cast("string"), F.lit("rows")).alias("good"),
-        F.concat_ws(" ", F.col("checked").cast("string"), F.lit("rows")).alias("poor"),
-        "violations",
-    )
-
-    def line(df: DataFrame, test: str, good, poor) -> DataFrame:
-        return df.select(
-            F.lit(test).alias("test"),
-            (good if isinstance(good, Column) else F.lit(good)).alias("good"),
-            F.lit(poor).alias("poor"),
-            "violations",
-        )
-
-    def valid(noun: str) -> Column:
-        count = (F.col("checked") - F.col("violations")).cast("string")
-        return F.concat_ws(" ", F.lit("All"), count, F.lit(noun), F.lit("valid"))
-
-    def reference(child: str, column: str, parent: str) -> DataFrame:
-        return check_reference(tables[child], column, tables[parent], column)
-
-    def rule(table: str, name: str) -> DataFrame:
-        return check_rows(table, tables[table], as_of).filter(F.col("rule") == name)
-
-    parts = [
-        rows,
-        line(reference("orders", "customer_id", "customers"), "Orders reference valid customers", valid("orders"),
-             "Unknown customers found"),
-        line(reference("order_items", "order_id", "orders"), "Order items reference valid orders", valid("items"),
-             "Unknown orders found"),
-        line(reference("order_items", "product_id", "products"), "Order items reference valid products",
-             valid("items"), "Unknown products found"),
-        line(check_unique(tables["customers"], ("email",)), "Customer emails are unique", "All unique",
-             "Duplicates found"),
-        line(rule("orders", "total positive"), "Order amounts are positive", "All > 0", "Negative found"),
-        line(rule("orders", "status domain"), "Order status values valid", "All valid", "Invalid found"),
-        line(rule("orders", "discount within half of total"), "Discounts within 50% limit", "All within limit",
-             "Exceeds limit"),
-        line(rule("products", "price covers cost"), "Product price >= cost", "All valid", "Price < cost"),
-        line(rule("customers", "segment domain"), "Customer segments valid", "All valid", "Invalid segments"),
-        line(rule("customers", "key present"), "No NULL primary keys", "All PKs populated", "NULL PKs found"),
-        line(rule("customers", "name and email present"), "Required fields populated", "All required filled",
-             "Missing data"),
-        line(rule("orders", "order date not in future"), "Date fields valid", "All dates valid", "Invalid dates"),
+    lines = [
+        (t, f"at least {least} rows", f"{t.upper()} table has data", "", " rows", None) for t, least in ROW_THRESHOLDS.items()
+    ] + [
+        ("orders", "customer_id in customers", "Orders reference valid customers", "All ", " orders valid", "Unknown customers found"),
+        ("order_items", "order_id in orders", "Order items reference valid orders", "All ", " items valid", "Unknown orders found"),
+        ("order_items", "product_id in products", "Order items reference valid products", "All ", " items valid",
+         "Unknown products found"),
+        ("customers", "unique email", "Customer emails are unique", "All unique", None, "Duplicates found"),
+        ("orders", "total positive", "Order amounts are positive", "All > 0", None, "Negative found"),
+        ("orders", "status domain", "Order status values valid", "All valid", None, "Invalid found"),
+        ("orders", "discount within half of total", "Discounts within 50% limit", "All within limit", None, "Exceeds limit"),
+        ("products", "price covers cost", "Product price >= cost", "All valid", None, "Price < cost"),
+        ("customers", "segment domain", "Customer segments valid", "All valid", None, "Invalid segments"),
+        ("customers", "key present", "No NULL primary keys", "All PKs populated", None, "NULL PKs found"),
+        ("customers", "name and email present", "Required fields populated", "All required filled", None, "Missing data"),
+        ("orders", "order date not in future", "Date fields valid", "All dates valid", None, "Invalid dates"),
     ]
+    wanted = {(t, rule) for t, rule, *_ in lines}
+    found = run_plan(tables, [c for c in check_plan(tables) if (c.table, c.rule) in wanted], as_of)
+    texts = found.sparkSession.createDataFrame(
+        lines, "table_name STRING, rule STRING, test STRING, before STRING, after STRING, poor STRING"
+    )
+    count = (F.col("checked") - F.when(F.col("kind") == "ROWS", 0).otherwise(F.col("violations"))).cast("string")
+    good = F.when(F.col("after").isNull(), F.col("before")).otherwise(F.concat("before", count, "after"))
     passed = F.col("violations") == 0
-    return reduce(DataFrame.unionByName, parts).select(
+    return texts.join(found, ["table_name", "rule"]).select(
         "test",
-        F.when(passed, F.col("good")).otherwise(F.col("poor")).alias("result"),
+        F.when(passed, good).otherwise(F.coalesce("poor", good)).alias("result"),
         F.when(passed, "PASS").otherwise("FAIL").alias("status"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 import uuid
 from contextlib import contextmanager
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgertide.session import shared_folder
+from ledgertide.sources.keyed import CommitLog
 from ledgertide.sources.schemas import raw_schema
 
 KEYED_STATE = {
@@ -122,26 +124,27 @@ class ProgressTotals(StreamingQueryListener):
 def split_late(ts: str, late: str):
     """A batch handler that parts the rows behind the watermark from the others, and keeps both.
 
-    The watermark of a batch is the latest time of all batches before, less `late`. It is written under the batch id
-    with the rows, so a repeated batch is parted the same way. `target` gets on_time and late rows as folders late=0
+    The watermark of a batch is the latest time of all batches before, less `late`. It is committed under the batch id,
+    so a repeated batch is parted the same way. `target` gets on_time and late rows as folders late=0
     and late=1 of each batch; rows without a time are on time.
     """
 
     def make(target: str):
         def handle(batch: DataFrame, batch_id: int) -> None:
-            spark = batch.sparkSession
-            known = "latest TIMESTAMP_NTZ"
-            latest = spark.read.schema(known).parquet(f"{target}-latest/{batch_id - 1}").first()[0] if batch_id else None
+            marks = CommitLog(batch.sparkSession, f"{target}-marks")
+            done = marks.find(f"batch-{batch_id}")
+            number = done - 1 if done else marks.newest()
+            latest = marks.read(number)["latest"] if number else None
             behind = F.lit(False)
             if latest is not None:
                 mark = F.lit(latest).cast("timestamp_ntz") - F.expr(f"INTERVAL {late}")
                 behind = F.coalesce(F.col(ts) <= mark, behind)
             seen = Observation()
-            marked = batch.observe(seen, F.max(F.col(ts).cast("timestamp_ntz")).alias("latest"))
+            marked = batch.observe(seen, F.max(F.col(ts).cast("timestamp_ntz")).cast("string").alias("latest"))
             marked.withColumn("late", behind.cast("int")).write.mode("overwrite").partitionBy("late").parquet(
                 f"{target}/batch_id={batch_id}")
-            newest = max((t for t in (latest, seen.get["latest"]) if t is not None), default=None)
-            spark.createDataFrame([(newest,)], known).coalesce(1).write.mode("overwrite").parquet(f"{target}-latest/{batch_id}")
+            newest = max((t for t in (latest, seen.get["latest"]) if t is not None), default=None, key=dt.datetime.fromisoformat)
+            marks.commit(f"batch-{batch_id}", lambda _number, _last: {"latest": newest})
 
         return handle
 

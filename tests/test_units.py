@@ -248,6 +248,28 @@ def test_quality_finds_faults(spark):
     assert not q.publishable(q.check_hierarchy(deep))
 
 
+def test_all_checks_in_one_pass(spark, tmp_path):
+    """The plan finds what the single checks find, and reads each table once."""
+    given = {
+        "customers": table(spark, "customers", [customer(1, "A", "IRON", join="2030-01-01"), customer(1, None), customer(2, "B")]),
+        "orders": table(spark, "orders", [order(1, 5), order(2, 5), order(3, 1, discount="60"), order(4, None, total="-1")]),
+        "products": table(spark, "products", [product(1, "A", price="1.00"), product(2, None, stock=-1)]),
+        "order_items": table(spark, "order_items", [item(1, 1, 1, 1, "9.00"), item(2, 1, 1, 0, "9.00"), item(3, 9, 7, 1, "9.00")]),
+    }
+    stored = {}
+    for name, df in given.items():
+        df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    as_of = "2025-12-05 12:00:00"
+    found = q.run_plan(stored, q.check_plan(stored), as_of)
+    single = q.check_tables(given, as_of).unionByName(q.check_references(given)).unionByName(
+        q.check_uniqueness(given)).unionByName(q.check_row_counts(given))
+    assert sorted(rows(found)) == sorted(rows(single)) and found.filter("violations > 0").count() > 10
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == len(given)
+    none = {name: df.limit(0) for name, df in given.items()}
+    assert {r.violations for r in q.run_plan(none, q.check_plan(none), as_of).filter("kind <> 'ROWS'").collect()} == {0}
+
+
 def test_documented_rules(spark):
     tables = {
         "orders": table(spark, "orders", [order(1, total="100", tax="8")]),
