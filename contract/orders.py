@@ -250,6 +250,50 @@ def _(m):
     return returned(m)["returns"]
 
 
+@query("process_returns_strict", """
+WITH RECURSIVE lines AS (SELECT order_id, product_id, quantity AS had FROM m_keyed_items
+  QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY order_item_id) = 1),
+past AS (SELECT order_id, product_id, count(*) AS done FROM m_keyed_items WHERE order_item_id % 4 = 0 GROUP BY ALL),
+req AS (SELECT order_item_id * 10 + k AS request_id, order_date + to_days(CAST(quantity % 20 + 5 * k AS INTEGER)) AS ts, order_id,
+    product_id, 1 + (quantity * (k + 1)) % 7 AS q, o.status FROM m_keyed_items JOIN m_orders o USING (order_id), range(3) AS r(k)),
+checked AS (SELECT r.*, coalesce(a.done, 0) AS done, l.had, CASE WHEN p.status <> 'ACTIVE'
+      THEN 'Product ' || p.product_name || ' is ' || p.status || ' and cannot be returned'
+    WHEN q > l.had THEN 'Return quantity (' || q || ') exceeds original quantity (' || l.had || ')' END AS late,
+    r.status NOT IN ('DELIVERED', 'SHIPPED') AS barred
+  FROM req r JOIN lines l USING (order_id, product_id) JOIN m_products p USING (product_id)
+  LEFT JOIN past a USING (order_id, product_id)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY order_id, product_id ORDER BY ts, request_id) AS n
+  FROM checked WHERE late IS NULL AND NOT barred),
+fold AS (SELECT order_id, product_id, 0::BIGINT AS n, any_value(had - done) AS room, NULL::BIGINT AS request_id, FALSE AS fits
+  FROM turns GROUP BY ALL
+  UNION ALL SELECT t.order_id, t.product_id, t.n, CASE WHEN t.q <= f.room THEN f.room - t.q ELSE f.room END, t.request_id,
+    t.q <= f.room FROM fold f JOIN turns t ON t.order_id = f.order_id AND t.product_id = f.product_id AND t.n = f.n + 1),
+counted AS (SELECT c.*, fits, coalesce(sum(CASE WHEN fits THEN q ELSE 0 END) OVER (PARTITION BY c.order_id ORDER BY ts, c.request_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM checked c LEFT JOIN fold f USING (request_id)),
+sizes AS (SELECT order_id, sum(quantity) AS units FROM m_keyed_items GROUP BY 1),
+before AS (SELECT order_id, sum(done) AS done_before FROM past GROUP BY 1)
+SELECT request_id, CASE WHEN barred THEN 'Order status (' || status || ') is not eligible for return'
+    WHEN prior > 0 AND prior + coalesce(done_before, 0) >= units THEN 'Order status (RETURNED) is not eligible for return'
+    WHEN late IS NOT NULL THEN late WHEN NOT fits THEN 'Return quantity exceeds the quantity left' END AS reason
+FROM counted JOIN sizes USING (order_id) LEFT JOIN before USING (order_id)""")
+def _(m):
+    # Every line comes back in three requests; some lines have a unit returned before.
+    items = m.keyed_items()
+    thrice = items.join(m.orders().select("order_id", "order_date"), "order_id").withColumn(
+        "k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    asked = thrice.select(
+        (F.col("order_item_id") * 10 + F.col("k")).alias("request_id"), "order_id", "product_id",
+        (F.col("order_date") + F.make_dt_interval(days=(F.col("quantity") % 20 + 5 * F.col("k")).cast("int"))).alias("request_ts"),
+        (1 + (F.col("quantity") * (F.col("k") + 1)) % 7).cast("bigint").alias("return_quantity"),
+        F.lit("Defective").alias("return_reason"), F.lit("REFUND").alias("return_type"), F.lit("desk").alias("processed_by"),
+        F.lit(None).cast("string").alias("notes"))
+    status = F.when(F.col("order_item_id") % 4 == 0, "PROCESSED").otherwise("DENIED")
+    history = items.select("order_id", "product_id", F.lit(1).cast("bigint").alias("return_quantity"), status.alias("status"))
+    out = o.process_returns(asked, m.orders(), items, m.products(), returns=history, strict=True)
+    done = out["returns"].select("request_id", F.lit(None).cast("string").alias("reason"))
+    return done.unionByName(out["rejects"].select("request_id", "reason"))
+
+
 @query("return_refunds", f"""
 WITH {RETURNS.strip()}
 SELECT return_id, order_id, request_ts AS refund_date, refund AS refund_amount,

@@ -12,6 +12,7 @@ written once to the shared folder, and every output starts from them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import rules
 from ledgertide.functions.compat import lookup, micros, money, number_text, text_of
 from ledgertide.operators.ordered import divide, large_groups, numbered, running_totals
+from ledgertide.session import settle as settled
 from ledgertide.sources.tables import zip_arrays
 
 HOUR = 3_600_000_000
@@ -306,27 +308,25 @@ def exchange_products(products: DataFrame) -> DataFrame:
 
 
 def accepted_in_turn(requests: DataFrame) -> DataFrame:
-    """request_id, fits: requests of a line in time order, each accepted while it fits what the accepted ones left.
+    """request_id of the requests that fit: those of a line in time order, each while it fits what the accepted ones left.
 
-    Which requests fit depends on each earlier decision. A request above the whole room never fits and is settled before
-    the shuffle; the others stream through their task in order, one number being all that is kept of a line.
+    Decided in rounds over all lines at once. A round takes the earliest open request of each line, which fits as all
+    that do not are no longer open, and closes the requests that no longer fit what it leaves (that never grows again).
+    Each round is a minimum per line, combined before its shuffle; there are as many as requests of a line are accepted.
     """
-    never = requests.filter("units > room").select("request_id", F.lit(False).alias("fits"))
-
-    def fold(batches):
-        line, left = None, 0
-        for batch in batches:
-            fits = []
-            for order_id, product_id, units, room in batch[["order_id", "product_id", "units", "room"]].itertuples(index=False):
-                if (order_id, product_id) != line:
-                    line, left = (order_id, product_id), room
-                fits.append(units <= left)
-                left -= units if fits[-1] else 0
-            yield batch[["request_id"]].assign(fits=fits)
-
     line = ["order_id", "product_id"]
-    dealt = requests.filter("units <= room").repartition(*line).sortWithinPartitions(*line, "request_ts", "request_id")
-    return never.unionByName(dealt.mapInPandas(fold, "request_id BIGINT, fits BOOLEAN"))
+    at = F.struct("request_ts", "request_id", "units")
+    waiting = settled(requests.filter("units <= room").select(*line, at.alias("at"), F.col("room").alias("left")), "returns-open")
+    taken = []
+    while not waiting.isEmpty():
+        first = settled(waiting.groupBy(*line).agg(F.min("at").alias("first")), "returns-first")
+        taken.append(first.select("first.request_id"))
+        waiting = waiting.join(first, line).withColumn("left", F.col("left") - F.col("first.units"))
+        waiting = settled(
+            waiting.filter((F.col("at") > F.col("first")) & (F.col("at.units") <= F.col("left"))).drop("first"), "returns-open"
+        )
+    none = requests.select("request_id").limit(0)
+    return reduce(DataFrame.unionByName, taken, none)
 
 
 def process_returns(
@@ -401,7 +401,7 @@ def process_returns(
         fits = accepted_in_turn(rows.filter("_valid").select(
             "request_id", "order_id", "product_id", "request_ts", F.col("_units").cast("bigint").alias("units"),
             (ordered - F.col("line_before")).cast("bigint").alias("room")))
-        rows = rows.join(fits, "request_id", "left").withColumn(
+        rows = rows.join(fits.withColumn("fits", F.lit(True)), "request_id", "left").withColumn(
             "_units", F.when(F.coalesce("fits", F.lit(False)), F.col("_units")).otherwise(0))
     rows = running_totals(rows, ["order_id"], ["request_ts", "request_id"], {"_sum": F.col("_units")}, group_rows,
                           bounded_by=requests)
