@@ -104,6 +104,27 @@ def _(m):
     return a.unusual_activity(m.audit(), NOW)
 
 
+@query("activity_parts", """
+WITH r AS (SELECT *, count(*) OVER (PARTITION BY employee_id) AS n FROM m_audit WHERE action_timestamp >= TIMESTAMP '2024-01-24'),
+p AS (SELECT *, coalesce(sum(length(action_type) + 2) OVER (PARTITION BY employee_id ORDER BY action_timestamp, audit_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM r WHERE n > 5)
+SELECT employee_id, CAST(begins // 40 + 1 AS BIGINT) AS part, count(*) AS actions,
+       string_agg(CASE WHEN begins > 0 THEN ', ' ELSE '' END || action_type, '' ORDER BY action_timestamp, audit_id) AS action_sequence
+FROM p GROUP BY 1, 2""")
+def _(m):
+    return a.activity_parts(m.audit(), NOW, span=dt.timedelta(days=7), part_chars=40)
+
+
+@query("action_runs", """
+WITH b AS (SELECT *, coalesce(action_type <> lag(action_type) OVER w, TRUE) AS begins FROM m_audit
+           WINDOW w AS (PARTITION BY employee_id ORDER BY action_timestamp, audit_id)),
+r AS (SELECT *, sum(begins::BIGINT) OVER (PARTITION BY employee_id ORDER BY action_timestamp, audit_id) AS run FROM b)
+SELECT employee_id, run::BIGINT AS run, any_value(action_type) AS action_type, count(*) AS actions,
+       min(action_timestamp) AS first_action, max(action_timestamp) AS last_action FROM r GROUP BY employee_id, run""")
+def _(m):
+    return a.action_runs(m.audit())
+
+
 @query("daily_summary", f"""
 SELECT date_trunc('day', action_timestamp)::TIMESTAMP AS audit_date, min(dayname(action_timestamp)) AS day_name,
        count(*) AS total_entries, {SHARE.format("ALLOWED")} AS allowed, {SHARE.format("DENIED")} AS denied,

@@ -28,7 +28,7 @@ from ledgertide.functions.compat import (
     text_of,
     trunc_to,
 )
-from ledgertide.operators.ordered import framed, hot_groups, numbered, ranked, tiled, trailing_count
+from ledgertide.operators.ordered import framed, hot_groups, numbered, ranked, running_totals, tiled, trailing_count
 
 TS = "action_timestamp"
 
@@ -178,6 +178,49 @@ def unusual_activity(
     )
 
 
+def activity_parts(
+    audit: DataFrame, as_of, span: dt.timedelta = dt.timedelta(hours=1), threshold: int = rules.HOURLY_ACTIONS,
+    part_chars: int = 100_000, group_rows: int | None = None,
+) -> DataFrame:
+    """The action lists of `unusual_activity` in numbered parts: employee_id, part (from 1), actions, action_sequence.
+
+    The parts of an employee joined one after the other are the whole list. Where an action stands comes from a running
+    sum of the lengths before it, so a list of any length is cut without being put together; a part holds the actions
+    that begin in its stretch of `part_chars` characters, so it is longer than that by less than one action.
+    """
+    recent = _after(audit, as_of, span).select("audit_id", "employee_id", TS, "action_type")
+    busy = recent.groupBy("employee_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+    busy = busy.select(F.col("employee_id").alias("_busy"))
+    rows = recent.join(busy, F.col("employee_id").eqNullSafe(F.col("_busy")), "left_semi")
+    length = F.coalesce(F.length("action_type"), F.lit(0)) + F.when(F.col("action_type").isNull(), 0).otherwise(2)
+    placed = running_totals(rows, ["employee_id"], [TS, "audit_id"], {"_upto": length.cast("bigint")}, group_rows)
+    placed = placed.withColumn("_begin", F.col("_upto") - length).withColumn(
+        "part", (F.floor(F.col("_begin") / part_chars) + 1).cast("bigint"))
+    token = F.when(F.col("_begin") > 0, F.concat(F.lit(", "), F.col("action_type"))).otherwise(F.col("action_type"))
+    return placed.withColumn("_token", token).groupBy("employee_id", "part").agg(
+        F.count("action_type").alias("actions"),
+        F.expr(f"listagg(_token, '') WITHIN GROUP (ORDER BY {TS}, audit_id)").alias("action_sequence"),
+    ).filter(F.col("actions") > 0)
+
+
+def action_runs(audit: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Consecutive equal actions of an employee as one row: run (from 1), action_type, actions, first and last time."""
+    rows = audit.select("audit_id", "employee_id", TS, "action_type")
+    order = [TS, "audit_id"]
+    hot = hot_groups(rows, ["employee_id"], group_rows)
+    near = framed(
+        rows, ["employee_id"], order,
+        lambda spec: {"_before": F.lag(F.struct("action_type")).over(spec)},
+        before=1, group_rows=group_rows, hot=hot,
+    )
+    begins = F.col("_before").isNull() | ~F.col("_before.action_type").eqNullSafe(F.col("action_type"))
+    placed = running_totals(near, ["employee_id"], order, {"run": begins.cast("bigint")}, group_rows, hot=hot)
+    return placed.groupBy("employee_id", "run").agg(
+        F.any_value("action_type").alias("action_type"), F.count(F.lit(1)).alias("actions"),
+        F.min(TS).alias("first_action"), F.max(TS).alias("last_action"),
+    )
+
+
 def _counts_by(audit: DataFrame, period: Column, name: str, *others: str) -> DataFrame:
     """Status counts per period and further columns: the rows that distinct counts then run over."""
     return audit.groupBy(period.alias(name), *others).agg(

@@ -7,6 +7,7 @@ a key with very many orders is already combined on the map side.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -374,7 +375,7 @@ def top_products_by_category(products: DataFrame, categories: DataFrame, items:
 def bulk_update_prices(products: DataFrame, category_id: int, pct) -> tuple[DataFrame, DataFrame]:
     """New product rows and a one-row count of the changed ones."""
     hit = F.col("category_id") == category_id
-    factor = F.lit(1 + float(pct) / 100).cast("decimal(9,6)")
+    factor = F.lit(1 + Decimal(str(pct)) / 100).cast("decimal(9,6)")
     changed = products.withColumn(
         "unit_price",
         F.when(hit, F.round(F.col("unit_price") * factor, 2).cast("decimal(10,2)")).otherwise(F.col("unit_price")),

@@ -89,3 +89,21 @@ def test_running_totals(rows):
 
 def test_small_inputs_are_not_counted(rows):
     assert o.large_groups(rows, ["k"]) is None
+
+
+def test_long_lists_in_parts(rows):
+    """Parts of a list of any length, cut the same way for frequent keys; put together they are the whole list."""
+    from ledgertide.plans import audit as a
+
+    log = rows.select(F.col("id").alias("audit_id"), F.when(F.col("k") == "hot", 1).otherwise(F.col("v") + 2).cast("bigint").alias(
+        "employee_id"), F.col("ts").alias("action_timestamp"), F.element_at(F.array(*map(F.lit, ("INSERT", "UPDATE", "DELETE"))),
+        (F.col("q") % 3 + 1).cast("int")).alias("action_type"))
+    whole = {r.employee_id: r.action_sequence for r in a.unusual_activity(log, "1970-01-01 01:00:00").collect()}
+    for size in (20, None):
+        joined = {}
+        parts = a.activity_parts(log, "1970-01-01 01:00:00", part_chars=100, group_rows=size)
+        for r in parts.orderBy("employee_id", "part").collect():
+            assert len(r.action_sequence) < 108
+            joined[r.employee_id] = joined.get(r.employee_id, "") + r.action_sequence
+        assert joined == whole and len(whole[1]) > 1000
+        same(a.action_runs(log, group_rows=size), a.action_runs(log))

@@ -1,12 +1,13 @@
 """Calendar and text semantics, sources, sinks, quality checks, audit fixtures and streams."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgertide.functions import compat as c
-from ledgertide.operators.joins import best_promotion, parent_chains
+from ledgertide.operators.joins import active_on, best_promotion, parent_chains
 from ledgertide.plans import audit as a
 from ledgertide.plans import quality as q
 from ledgertide.sources import tables as t
@@ -120,6 +121,32 @@ def test_promotions(spark):
     assert sorted(rows(out, "order_id", "promotion_id", "promotion_discount")) == [(1, 1, D("15.00")), (3, 2, D("5.00"))]
 
 
+def test_interval_index(spark):
+    """Intervals of all lengths, empty and open ones, against every pair."""
+    draw = random.Random(4)
+    day = lambda k: None if k is None else str(dt.datetime(2024, 1, 1) + dt.timedelta(days=k))
+    made = [(k, draw.choice([None, *range(-900, 900)]), draw.choice([None, *range(-900, 900)])) for k in range(150)]
+    made += [(200, 5, 5), (201, 6, 5), (202, None, None), (203, 0, None), (204, None, 0), (205, -1000, 1000)]
+    spans = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in made], "id INT, a STRING, b STRING").select(
+        "id", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+    asked = spark.range(-1200, 1200, 7).select(F.expr("CAST(id AS INT)").alias("k")).withColumn(
+        "_day", F.datediff(F.expr("date_add(DATE '2024-01-01', k)"), F.lit("0001-01-01").cast("date")))
+    found = active_on(asked.select("_day").distinct(), spans, "a", "b").join(asked, "_day")
+    want = {(k, i) for k in range(-1200, 1200, 7) for i, a, b in made if (a is None or a <= k) and (b is None or k <= b)}
+    got = [(r.k, r.id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_open_promotions(spark):
+    orders = table(spark, "orders", [order(1, date="2025-06-01", total="100"), order(2, date="1990-01-01", total="100")])
+    items = table(spark, "order_items", [item(1, 1, 1, 1, "90.00")])
+    goods = table(spark, "products", [product(1, "A", category=1)])
+    promos = table(spark, "promotions", [dict(promotion_id=1, promotion_name="Open", discount_percent=5, start_date="2025-01-01"),
+                                         dict(promotion_id=2, promotion_name="Old", discount_percent=9, end_date="2000-01-01")])
+    out = best_promotion(orders, items, goods, promos)
+    assert sorted(rows(out, "order_id", "promotion_id", "promotion_discount")) == [(1, 1, D("5.00")), (2, 2, D("9.00"))]
+
+
 def test_parent_chains(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d"), (5, 6, "x"), (6, 5, "y"),
                                    (7, 99, "z")], "id bigint, up bigint, name string")
