@@ -177,8 +177,7 @@ def realise(docs: DataFrame, target: Target) -> DataFrame:
     place = place_name(docs)
     rows = located(docs, place)
     taken = plan(_slim(rows, place), target)
-    taken = taken.select(F.col("at").alias(place), F.struct("position", "copy", "at").alias("_turn"))
-    turn = place + "_turn"
-    taken = taken.withColumnRenamed("_turn", turn)
+    turn = place_name(docs, "__turn")
+    taken = taken.select(F.col("at").alias(place), F.struct("position", "copy", "at").alias(turn))
     mixed = rows.join(taken, place).repartitionByRange(turn).sortWithinPartitions(turn)
     return mixed.select(*docs.columns)

@@ -38,9 +38,9 @@ def whole(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def place_name(df: DataFrame) -> str:
+def place_name(df: DataFrame, name: str = "__at") -> str:
     """A name for the place of a row that no column has, whatever its case."""
-    taken, name = {c.lower() for c in df.columns}, "__at"
+    taken = {c.lower() for c in df.columns}
     while name in taken:
         name += "_"
     return name

@@ -365,7 +365,7 @@ def test_mixing_keeps_its_order(spark):
     assert all(a != b for a, b in zip(read, read[1:]))
 
 
-@pytest.mark.parametrize("name", ["__at", "__AT", "__at_turn", "_metadata"])
+@pytest.mark.parametrize("name", ["__at", "__AT", "__turn", "_metadata"])
 def test_columns_that_clash_with_places(spark, name):
     rows = [(k, f"one text of many words {k // 2} and more of them", f"s{k % 2}", f"kept {k}") for k in range(8)]
     df = queries.prepare(spark).createDataFrame(rows, f"doc_id BIGINT, text STRING, source STRING, `{name}` STRING")
