@@ -12,7 +12,7 @@ from ledgertide.plans import audit as a
 from ledgertide.plans import quality as q
 from ledgertide.sources import tables as t
 from ledgertide.sources.model import Model
-from ledgertide.streaming import enforcement, feeds, monitors, stateful
+from ledgertide.streaming import enforcement
 from tests.helpers import D, customer, item, order, product, rows, table
 
 
