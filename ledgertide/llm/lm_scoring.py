@@ -9,8 +9,8 @@ hashed bucket also pays its smoothed share of the bucket's tokens, so probabilit
 Training is noise-contrastive in both softmaxes. It goes in ROUNDS rounds, each over its own part of the documents: every task
 trains a copy of the last average on all of its documents of the round, and the copies are averaged, weighted by tokens.
 
-Counts of the HEAD most frequent words travel with the tasks; the other words of a document meet their counts in a join on
-the word. The averaged weights grow with the square root of the distinct words; counts, their shuffle and the join grow with the corpus.
+Texts are read into bucket numbers once; training and scoring read those. Counts of the HEAD most frequent words travel with the
+tasks; the other words of a document meet their counts in a join on the word. The averaged weights grow with the square root of the distinct words; counts, their shuffle and the join grow with the corpus.
 
 Edge cases: null and empty texts are the end token alone; a null doc_id counts as training; without training documents
 every count is 0 and the model is uniform over its buckets; repeated rows count and are scored each; an empty table gives
@@ -32,17 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.llm.work import settle, whole
+from ledgertide.llm.work import BATCH_ROWS, settle, whole
 
 #: Buckets for each square root of the distinct words and at least, size of the vectors, noise groups of a step, noise buckets of
-#: a token, tokens of a step, learning rate, rounds of training.
-BUCKETS, LEAST, SIZE, NOISE, NEAR, STEP, RATE, ROUNDS = 16, 512, 32, 48, 4, 2048, 0.05, 3
+#: a group in a step, tokens of a step, learning rate, rounds of training.
+BUCKETS, LEAST, SIZE, NOISE, NEAR, STEP, RATE, ROUNDS = 16, 512, 32, 48, 16, 4096, 0.12, 3
 #: Squared slopes that rows of single buckets start from.
 PAST = 1e-8
-#: Words whose counts travel with the tasks; partial averages of a parameter block; parameters in a block.
-HEAD, PARTIAL, CHUNK = 200_000, 8, 4096
-#: Batches whose tokens are counted together.
-GATHER = 16
+#: Words whose counts travel with the tasks; copies averaged in a group; parameters in a block.
+HEAD, FAN, CHUNK = 200_000, 64, 1 << 16
+#: Batches whose tokens are counted together; tokens that are trained on or scored together; bytes of text read together.
+GATHER, GATHERED, TEXT_BYTES = 16, 1 << 16, 4 << 20
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -50,7 +50,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(text) % 7 == 2, F.lit(False))
 
 
-def tokenise(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts in a row with A-Z lower-cased, and how many each text has."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     words, sizes = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False)
@@ -59,7 +59,7 @@ def tokenise(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         mask = filled.to_numpy(zero_copy_only=False)
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[mask], minlength=len(sizes))
         words = words.filter(filled)
-    return words.dictionary_encode(), sizes
+    return words, sizes
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             words, _ = tokenise(batch.column(0))
-            held.append(words.dictionary_decode())
+            held.append(words)
             if len(held) >= GATHER:
                 yield told()
         if held:
@@ -143,29 +143,20 @@ class Classes:
         """What smoothed shares within a hashed bucket are divided by: its tokens, its types, one unseen type."""
         return (self.hashed + self.hashed_types + 1).astype(float)
 
-    def sequence(self, coded: pa.DictionaryArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number of each distinct word (-1: not in the head), then bucket, previous and second previous bucket per token."""
-        words = coded.dictionary.to_pylist()
-        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
-        kind = number.copy()
-        for k in np.flatnonzero((number < 0) | (number >= self.own)):
-            kind[k] = self.own + 1 + self.bucket(words[k])
-        ends = np.cumsum(sizes + 1) - 1
-        now = np.full(int((sizes + 1).sum()), self.end, np.int64)
-        word = np.ones(len(now), bool)
-        word[ends] = False
-        now[word] = kind[coded.indices.to_numpy()]
-        before = np.concatenate([[self.start], now[:-1]])
-        before[np.concatenate([[0], ends[:-1] + 1])] = self.start
-        second = np.concatenate([[self.start], before[:-1]])
-        second[np.concatenate([[0], ends[:-1] + 1])] = self.start
-        return number, now, before, second
+    def kinds_of_head(self) -> np.ndarray:
+        """Buckets of the words that travel with the tasks."""
+        hashed = [self.own + 1 + self.bucket(w) for w in self.words[self.own :]]
+        return np.concatenate([np.arange(self.own), np.array(hashed, np.int64)]).astype(np.int32)
 
-    @property
-    def number(self) -> dict[str, int]:
-        if not hasattr(self, "_number"):
-            self._number = {w: k for k, w in enumerate(self.words)}
-        return self._number
+
+def context_of(now: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Previous and second previous bucket of every token of documents of the given sizes."""
+    begins = np.cumsum(sizes) - sizes
+    before = np.concatenate([[start], now[:-1]])
+    before[begins] = start
+    second = np.concatenate([[start], before[:-1]])
+    second[begins] = start
+    return before, second
 
 
 class Model:
@@ -212,12 +203,15 @@ class Model:
         return self.r[before] @ self.a + self.r[second] @ self.b
 
     def trainer(self, seed: int):
-        """A function that takes steps of noise-contrastive estimation over tokens (Adagrad)."""
+        """A function that takes steps of noise-contrastive estimation over tokens (Adagrad).
+
+        The tokens of a step are sorted by bucket, so those of one group lie together: they share the noise drawn for their
+        group, and all products are of dense matrices.
+        """
         random = np.random.default_rng(seed)
         seen = Model(self.frequencies, np.full_like(self.values, 1e-3))
         for part in (seen.r, seen.q, seen.bias):  # a row that a step meets once has a slope of 1 / STEP of its token's
             part[:] = PAST
-        columns = np.arange(SIZE)
         noise = self.mass / self.mass.sum()
         log_noise, log_near = np.log(NOISE * noise).astype(np.float32), np.log(NEAR * self.near()).astype(np.float32)
         reach = np.concatenate([[0.0], np.cumsum(self.frequencies)])
@@ -226,54 +220,95 @@ class Model:
             past += slope**2
             part -= RATE * slope / np.sqrt(past)
 
-        def move_rows(pairs, index, rows):
-            """Move the rows of a table that a step touches; each pair is a table and its past slopes."""
-            touched, at = np.unique(index, return_inverse=True)
-            for (part, past), values in zip(pairs, rows, strict=True):
-                if values.ndim == 1:
-                    slope = np.bincount(at, values, len(touched))
-                else:
-                    flat = (at[:, None] * SIZE + columns).ravel()
-                    slope = np.bincount(flat, values.ravel(), len(touched) * SIZE).reshape(-1, SIZE)
-                now = past[touched] + slope**2
-                past[touched] = now
-                part[touched] -= RATE * slope / np.sqrt(now)
-
-        def good_slope(x):
-            return -1 / (1 + np.exp(np.clip(x, -30, 30)))
-
-        def bad_slope(x):
-            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        small = np.uint16 if self.classes < 1 << 16 else np.int64  # sorted by digits where it can be
+
+        def runs(ordered):
+            """Where each run of equal numbers starts."""
+            return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+        def add_up(index, rows):
+            """The numbers in index and the sum of the rows of each."""
+            index = index.astype(small)
+            order = np.argsort(index, kind="stable")
+            ordered = index.take(order)
+            at = runs(ordered)
+            return ordered[at].astype(np.int64), np.add.reduceat(rows.take(order, 0), at, axis=0)
+
+        def move_rows(part, past, touched, slope):
+            now = past.take(touched, 0)
+            now += slope * slope
+            past[touched] = now
+            np.sqrt(now, out=now)
+            slope *= RATE
+            slope /= now
+            part[touched] -= slope
+
+        def slopes(x, sign, n):
+            """Slope of the loss of good (-1) or bad (1) pairs at x, in the place of x."""
+            np.clip(x, -30, 30, out=x)
+            x *= -sign
+            np.exp(x, out=x)
+            x += 1
+            return np.divide(np.float32(sign / n), x, out=x)
 
         def step(now, before, second):
-            n, h = len(now), self.context(before, second)
-            group = now // self.width
+            n, order = len(now), np.argsort(now.astype(small), kind="stable")
+            now, before, second = now.take(order), before.take(order), second.take(order)
+            r_before, r_second = self.r.take(before, 0), self.r.take(second, 0)
+            h, group = r_before @ self.a, now // self.width
+            h += r_second @ self.b
             drawn = random.choice(self.groups, NOISE, p=noise)
-            good = good_slope(np.einsum("ij,ij->i", h, self.group_q[group]) + self.group_bias[group] - log_noise[group]) / n
-            bad = bad_slope(h @ self.group_q[drawn].T + self.group_bias[drawn] - log_noise[drawn]) / n
-            by_h = good[:, None] * self.group_q[group] + bad @ self.group_q[drawn]
-            # noise of the second softmax comes from the group of each token
-            low, high = group * self.width, np.minimum((group + 1) * self.width, self.classes)
-            at = reach[low][:, None] + random.random((n, NEAR)) * (reach[high] - reach[low])[:, None]
+            own_q, drawn_q, bias = self.group_q.take(group, 0), self.group_q[drawn], self.group_bias - log_noise
+            good = slopes(np.einsum("ij,ij->i", h, own_q) + bias[group], -1, n)
+            bad = h @ drawn_q.T
+            bad += bias[drawn]
+            bad = slopes(bad, 1, n)
+            own_q *= good[:, None]
+            by_h = bad @ drawn_q
+            by_h += own_q
+            first = runs(group)
+            there, last = group[first], np.append(first[1:], n)
+            bounds = list(zip(first.tolist(), last.tolist(), strict=True))
+            to_group, to_bias = np.zeros_like(self.group_q), np.zeros_like(self.group_bias)
+            for g, (i, j) in zip(there.tolist(), bounds, strict=True):
+                np.matmul(good[i:j], h[i:j], out=to_group[g])
+            to_bias[there] = np.add.reduceat(good, first)
+            drawn_once = np.zeros((self.groups, NOISE), np.float32)
+            drawn_once[drawn, np.arange(NOISE)] = 1
+            to_group += drawn_once @ (bad.T @ h)
+            to_bias += drawn_once @ bad.sum(0)
+
+            # second softmax: the noise of a group comes from that group
+            q, bias = self.q.take(now, 0), self.bias - log_near
+            good = slopes(np.einsum("ij,ij->i", h, q) + bias[now], -1, n)
+            q *= good[:, None]
+            by_h += q
+            low, high = there * self.width, np.minimum((there + 1) * self.width, self.classes)
+            at = np.sort(random.random((len(there), NEAR)), 1) * (reach[high] - reach[low])[:, None] + reach[low][:, None]
             other = np.clip(np.searchsorted(reach, at, "right") - 1, low[:, None], high[:, None] - 1)
-            index = np.concatenate([now[:, None], other], 1)
-            q = self.q[index]
-            x = np.einsum("ij,ikj->ik", h, q) + self.bias[index] - log_near[index]
-            slope = np.concatenate([good_slope(x[:, :1]), bad_slope(x[:, 1:])], 1).astype(np.float32) / n
-            by_h = (by_h + np.einsum("ik,ikj->ij", slope, q)).astype(np.float32)
-
-            to_group = np.zeros_like(self.group_q)
-            np.add.at(to_group, drawn, bad.T @ h)
-            flat = (group[:, None] * SIZE + columns).ravel()
-            to_group += np.bincount(flat, (good[:, None] * h).ravel(), to_group.size).reshape(to_group.shape)
-            to_bias = np.bincount(group, good, self.groups) + np.bincount(drawn, bad.sum(0), self.groups)
-            to_a, to_b = self.r[before].T @ by_h, self.r[second].T @ by_h
-            to_r = np.concatenate([by_h @ self.a.T, by_h @ self.b.T])
-            move_rows(
-                [(self.q, seen.q), (self.bias, seen.bias)], index.ravel(),
-                [(slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE), slope.ravel()],
-            )
-            move_rows([(self.r, seen.r)], np.concatenate([before, second]), [to_r])
+            other_q = self.q[other]
+            bad = np.repeat(bias[other], last - first, axis=0)
+            to_other = np.empty_like(other_q)
+            for k, (i, j) in enumerate(bounds):
+                bad[i:j] += h[i:j] @ other_q[k].T
+            bad = slopes(bad, 1, n)
+            for k, (i, j) in enumerate(bounds):
+                np.matmul(bad[i:j].T, h[i:j], out=to_other[k])
+                by_h[i:j] += bad[i:j] @ other_q[k]
+            own = runs(now)
+            np.multiply(good[:, None], h, out=q)
+            to_own, own_bias = np.add.reduceat(q, own, axis=0), np.add.reduceat(good, own)
+            other, kept = other.ravel(), runs(other.ravel())
+            to_other = np.add.reduceat(to_other.reshape(-1, SIZE), kept, axis=0)
+            other_bias = np.add.reduceat(np.add.reduceat(bad, first, axis=0).ravel(), kept)
+
+            to_a, to_b = r_before.T @ by_h, r_second.T @ by_h
+            contexts = [(*add_up(where, by_h), by.T.copy()) for where, by in ((before, self.a), (second, self.b))]
+            for touched, by_row, by_bias in ((now[own], to_own, own_bias), (other[kept], to_other, other_bias)):
+                move_rows(self.q, seen.q, touched, by_row)
+                move_rows(self.bias, seen.bias, touched, by_bias)
+            for touched, by_row, by in contexts:
+                move_rows(self.r, seen.r, touched, by_row @ by)
             move(self.group_q, seen.group_q, to_group)
             move(self.group_bias, seen.group_bias, to_bias)
             move(self.a, seen.a, to_a)
@@ -283,59 +318,146 @@ class Model:
 
     def scorer(self):
         """A function from tokens to natural log-probabilities of their buckets, normalised over all buckets."""
-
-        def own(h, at, q, bias):
-            z = h @ q.T + bias
-            top = z.max(1)
-            return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        of_group = np.column_stack([self.group_q, self.group_bias]).T.copy()
+        of_bucket = np.column_stack([self.q, self.bias])
+
+        def own(h, at, weights):
+            z = h @ weights
+            mine = z[np.arange(len(z)), at]
+            with np.errstate(over="ignore"):
+                total = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
+            found = mine - np.log(np.maximum(total, np.float32(1e-38)))
+            for k in np.flatnonzero(~((total > 1e-30) & (total < 1e30))):  # beyond what floats hold
+                z = h[k] @ weights
+                found[k] = mine[k] - z.max() - np.log(np.exp(z - z.max()).sum())
+            return found
 
         def score(now, before, second):
             out = np.empty(len(now))
-            for k in range(0, len(now), 1 << 15):
-                part = slice(k, k + (1 << 15))
-                h, group = self.context(before[part], second[part]), now[part] // self.width
-                found = own(h, group, self.group_q, self.group_bias)
-                order = np.argsort(group, kind="stable")
-                bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
+            for k in range(0, len(now), GATHERED):
+                part = slice(k, k + GATHERED)
+                order = np.argsort(now[part], kind="stable")
+                sorted_now = now[part][order]
+                h = self.context(before[part][order], second[part][order])
+                h, group = np.column_stack([h, np.ones(len(h), np.float32)]), sorted_now // self.width
+                found, bounds = np.empty(len(h)), np.searchsorted(group, np.arange(self.groups + 1))
+                for i in range(0, len(h), 1024):
+                    found[i : i + 1024] = own(h[i : i + 1024], group[i : i + 1024], of_group)
                 for g in np.flatnonzero(np.diff(bounds)):
-                    low, rows = g * self.width, order[bounds[g] : bounds[g + 1]]
-                    mine = slice(low, low + self.width)
-                    found[rows] += own(h[rows], now[part][rows] - low, self.q[mine], self.bias[mine])
-                out[part] = found
+                    rows, low = slice(bounds[g], bounds[g + 1]), g * self.width
+                    found[rows] += own(h[rows], sorted_now[rows] - low, of_bucket[low : low + self.width].T)
+                out[part][order] = found
             return out
 
         return score
 
 
-def train(docs: DataFrame, classes: Classes) -> Model:
+def gathered(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until the column holds `least` bytes; rows are not cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+CODED = (
+    "row BIGINT, doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, other_logs DOUBLE, "
+    "rare ARRAY<STRUCT<word: STRING, n: INT>>, kinds BINARY"
+)
+
+
+def coded_rows(docs: DataFrame, classes: Classes) -> DataFrame:
+    """Per document the buckets of its tokens (32-bit numbers), sums over words in the head, and the words outside the head."""
+    sent = docs.sparkSession.sparkContext.broadcast((classes, pa.array(classes.words, pa.string()), classes.kinds_of_head()))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, head, kinds_of_head = sent.value
+        row = TaskContext.get().partitionId() << 40
+        logs_of = np.log10(np.append(known.counts, 0) + 1.0)  # the last one for words outside the head
+        end_log = math.log10(known.documents + 1)
+        for batch in gathered(batches, 2, TEXT_BYTES):
+            n = batch.num_rows
+            words, sizes = tokenise(batch.column(2))
+            number = pc.fill_null(pc.index_in(words, head), -1).to_numpy(zero_copy_only=False)
+            doc, rare = np.repeat(np.arange(n), sizes), number < 0
+            other = words.filter(pa.array(rare)).dictionary_encode()
+            kind = np.append(kinds_of_head, np.int32(0))[number]
+            hashed = [known.own + 1 + known.bucket(w) for w in other.dictionary.to_pylist()]
+            of_other = other.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            kind[rare] = np.array(hashed, np.int32)[of_other]
+            logs = np.bincount(doc, logs_of[number], n).astype(float) + end_log
+            found = np.bincount(doc, ~rare, n).astype(np.int64) + (known.documents > 0)
+            other_logs = np.bincount(doc, logs_of[number] * (rare | (number >= known.own)), n).astype(float)
+            types = max(1, len(other.dictionary))
+            pair, times = np.unique(doc[rare] * types + of_other, return_counts=True)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(pair // types, np.arange(n + 1)), pa.int32()),
+                pa.StructArray.from_arrays(
+                    [other.dictionary.take(pa.array(pair % types)), pa.array(times, pa.int32())], ["word", "n"]
+                ),
+            )
+            ends = np.cumsum(sizes + 1)
+            now = np.full(int(ends[-1]), known.end, "<i4")
+            is_word = np.ones(len(now), bool)
+            is_word[ends - 1] = False
+            now[is_word] = kind
+            bounds = np.concatenate([[0], ends * 4]).tolist()
+            stored = now.tobytes()
+            whole_batch = pa.RecordBatch.from_arrays(
+                [pa.array(row + np.arange(n)), batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(found),
+                 pa.array(logs), pa.array(other_logs), lists,
+                 pa.array([stored[i:j] for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "other_logs", "rare", "kinds"],
+            )
+            for k in range(0, n, BATCH_ROWS):
+                yield whole_batch.slice(k, BATCH_ROWS)
+            row += n
+
+    return docs.select("doc_id", held_out().alias("held_out"), whole().alias("text")).mapInArrow(code, CODED)
+
+
+def tokens_of(column: pa.Array, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the documents, then bucket, previous and second previous bucket of each token."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 4
+    now = np.frombuffer(b"".join(column.to_pylist()), "<i4").astype(np.int64)
+    return sizes, now, *context_of(now, sizes, start)
+
+
+def train(coded: DataFrame, classes: Classes) -> Model:
     """Train in rounds over parts of the documents: a copy of the last average per task, then their average."""
     model = Model.fresh(classes.frequencies())
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % ROUNDS, F.lit(0))
+    learned = coded.where(~F.col("held_out"))
     for k in range(ROUNDS):
-        model = train_round(docs.where(part == k), classes, model, k)
+        model = train_round(learned.where(part == k).select("kinds"), classes, model, k)
     return model
 
 
-def train_round(docs: DataFrame, classes: Classes, model: Model, number: int) -> Model:
-    """Train a copy of the model per task on all its documents and average the copies."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((classes, model))
+def train_round(kinds: DataFrame, classes: Classes, model: Model, number: int) -> Model:
+    """Train a copy of the model per task on all its documents and average the copies, at most FAN of them in a group."""
+    spark = kinds.sparkSession
+    sent, first = spark.sparkContext.broadcast(model), classes.start
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, start), task = sent.value, TaskContext.get().partitionId()
-        model = start.copy()
+        model, task = sent.value.copy(), TaskContext.get().partitionId()
         step, tokens = model.trainer(task * ROUNDS + number), 0
-        for batch in batches:
-            if batch.num_rows:
-                _, now, before, second = known.sequence(*tokenise(batch.column(0)))
-                for k in range(0, len(now), STEP):
-                    step(now[k : k + STEP], before[k : k + STEP], second[k : k + STEP])
-                tokens += len(now)
+        for batch in gathered(batches, 0, GATHERED * 4):
+            _, now, before, second = tokens_of(batch.column(0), first)
+            for k in range(0, len(now), STEP):
+                step(now[k : k + STEP], before[k : k + STEP], second[k : k + STEP])
+            tokens += len(now)
         if tokens:
             chunks = [model.values[k : k + CHUNK] for k in range(0, len(model.values), CHUNK)]
             n = len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int32()), pa.array([task % PARTIAL] * n, pa.int32()), pa.array([tokens] * n, pa.int64()),
+                [pa.array(range(n), pa.int32()), pa.array([task // FAN] * n, pa.int32()), pa.array([tokens] * n, pa.int64()),
                  pa.array(chunks, pa.list_(pa.float32()))],
                 ["chunk", "part", "n", "v"],
             )
@@ -343,11 +465,11 @@ def train_round(docs: DataFrame, classes: Classes, model: Model, number: int) ->
     def average(rows: pd.DataFrame) -> pd.DataFrame:
         n = rows["n"].to_numpy()
         v = (np.stack(rows["v"].to_numpy()) * n[:, None]).sum(0) / n.sum()
-        return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1], "n": n.sum(), "v": [v.astype(np.float32)]})
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "part": rows["part"][:1] // FAN, "n": n.sum(), "v": [v.astype(np.float32)]})
 
     kind = "chunk INT, part INT, n BIGINT, v ARRAY<FLOAT>"
-    copies = docs.select(whole().alias("text")).mapInArrow(fit, kind)
-    for keys in (["chunk", "part"], ["chunk"]):
+    copies = kinds.mapInArrow(fit, kind)
+    for keys in (["chunk", "part"], ["chunk", "part"], ["chunk"]):
         copies = copies.groupBy(*keys).applyInPandas(average, kind)
     found = copies.select("chunk", "v").toArrow().sort_by("chunk")  # one model
     if not found.num_rows:
@@ -355,56 +477,25 @@ def train_round(docs: DataFrame, classes: Classes, model: Model, number: int) ->
     return Model(model.frequencies, found.column("v").combine_chunks().flatten().to_numpy().astype(np.float32))
 
 
-ROW = (
-    "row BIGINT, doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, logs DOUBLE, other_logs DOUBLE, class_score DOUBLE, "
-    "rare ARRAY<STRUCT<word: STRING, n: INT>>"
-)
-
+def class_scores(coded: DataFrame, classes: Classes, model: Model) -> DataFrame:
+    """The coded rows with class_score (log10 of the buckets, and shares of hashed ones) instead of their buckets."""
+    coded = coded.drop("rare")
+    sent = coded.sparkSession.sparkContext.broadcast((model, np.log10(classes.shared_mass()), classes.end, classes.start))
+    kept = [c for c in coded.columns if c != "kinds"]
 
-def scored_rows(docs: DataFrame, classes: Classes, model: Model) -> DataFrame:
-    """Per document what the task can tell: sums over words in the head, class scores, and the words outside the head."""
-    sent = docs.sparkSession.sparkContext.broadcast((classes, model))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = sent.value
-        judge = model.scorer()
-        row = TaskContext.get().partitionId() << 40
-        logs_of = np.log10(np.append(known.counts, 0) + 1.0)  # the last one for words outside the head
-        end_log, log_mass = math.log10(known.documents + 1), np.log10(known.shared_mass())
-        for batch in batches:
-            n = batch.num_rows
-            coded, sizes = tokenise(batch.column(2))
-            number, now, before, second = known.sequence(coded, sizes)
-            bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-            per_class = judge(now, before, second) / math.log(10) if n else np.empty(0)
-            shared = now > known.end
-            per_class[shared] -= log_mass[now[shared] - known.end - 1]
-            doc = np.repeat(np.arange(n), sizes)
-            word = number[coded.indices.to_numpy()]
-            rare = word < 0
-            logs = np.bincount(doc, logs_of[word], n).astype(float) + end_log
-            found = np.bincount(doc, ~rare, n).astype(np.int64) + (known.documents > 0)
-            last = (word < 0) | (word >= known.own)
-            other_logs = np.bincount(doc, logs_of[word] * last, n).astype(float)
-            pair, times = np.unique(
-                doc[rare] * max(1, len(coded.dictionary)) + coded.indices.to_numpy()[rare].astype(np.int64), return_counts=True
-            )
-            of_doc, which = pair // max(1, len(coded.dictionary)), pair % max(1, len(coded.dictionary))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(of_doc, np.arange(n + 1)), pa.int32()),
-                pa.StructArray.from_arrays(
-                    [coded.dictionary.take(pa.array(which)), pa.array(times, pa.int32())], ["word", "n"]
-                ),
-            )
-            sums = np.add.reduceat(per_class, bounds[:-1]) if n else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + np.arange(n)), batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(found),
-                 pa.array(logs), pa.array(other_logs), pa.array(sums.astype(float)), lists],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "other_logs", "class_score", "rare"],
-            )
-            row += n
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, log_mass, end, start = sent.value
+        score = model.scorer()
+        for batch in gathered(batches, len(kept), GATHERED * 4):
+            sizes, now, before, second = tokens_of(batch.column(len(kept)), start)
+            per_class = score(now, before, second) / math.log(10)
+            shared = now > end
+            per_class[shared] -= log_mass[now[shared] - end - 1]
+            sums = np.add.reduceat(per_class, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums)], [*kept, "class_score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), whole().alias("text")).mapInArrow(score, ROW)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.select(*kept).schema) + ", class_score DOUBLE"
+    return coded.select(*kept, "kinds").mapInArrow(judge, kind)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -418,9 +509,9 @@ def score(docs: DataFrame) -> DataFrame:
     words = head.column("word").combine_chunks().take(pa.array(order)).to_pylist() if len(order) else []
     classes = Classes(words, head.column("n").to_numpy()[order].astype(np.int64), documents, totals.n or 0, totals.types)
     classes.fill(counts)
-    model = train(learned, classes)
-    rows = settle(scored_rows(docs, classes, model), "lm-rows")
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
+    coded = settle(coded_rows(docs, classes), "lm-coded")
+    rows = settle(class_scores(coded, classes, train(coded, classes)), "lm-rows")
+    rare = coded.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     rare = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_logs"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),

@@ -201,6 +201,41 @@ def test_lm_scoring_awkward(awkward, nothing):
     assert lm_scoring.score(nothing).count() == 0
 
 
+def test_lm_scores_by_hand(docs, texts):
+    """Buckets and scores of whole documents against a model written out word by word."""
+    counts = Counter()
+    for i, t in texts.items():
+        if not is_out(i, 7, 2):
+            counts.update(t.encode().lower().split())
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    words, learned = [w.decode() for w in order], sum(not is_out(i, 7, 2) for i in texts)
+    known = lm_scoring.Classes(words[:2000], np.array([counts[w] for w in order[:2000]]), learned, sum(counts.values()), len(order))
+    hashed = Counter(known.bucket(w) for w in words[known.own :])
+    known.hashed_types = np.array([hashed[k] for k in range(known.shared)])
+    known.hashed = np.zeros(known.shared, np.int64)
+    for w in order[known.own :]:
+        known.hashed[known.bucket(w.decode())] += counts[w]
+    model = lm_scoring.Model.fresh(known.frequencies())
+    some = docs.where("doc_id % 20 = 0")
+    coded = lm_scoring.coded_rows(some, known)
+    found = {r.doc_id: r.class_score for r in lm_scoring.class_scores(coded, known, model).collect()}
+    r, a, b, q, bias, group_q, group_bias = (p.astype(float) for p in model.parts)
+    number = {w: k for k, w in enumerate(words[: known.own])}
+    assert len(found) == some.count() > 5
+    for doc, got in found.items():
+        want, u, v = 0.0, known.start, known.start
+        for w in [*texts[doc].encode().lower().split(), None]:
+            k = known.end if w is None else number.get(w.decode(), known.end + 1 + known.bucket(w.decode()))
+            h, g = r[u] @ a + r[v] @ b, k // model.width
+            z, mine = group_q @ h + group_bias, slice(g * model.width, (g + 1) * model.width)
+            y = q[mine] @ h + bias[mine]
+            want += z[g] - np.log(np.exp(z).sum()) + y[k % model.width] - np.log(np.exp(y).sum())
+            if k > known.end:
+                want -= np.log(known.shared_mass()[k - known.end - 1])
+            u, v = k, u
+        assert math.isclose(got, want / math.log(10), rel_tol=1e-5)
+
+
 def test_lm_rare_words_in_context(spark):
     """Every word that follows one rare word only is better told by it than by its count, beyond the most frequent ones."""
     random = np.random.default_rng(5)
