@@ -10,6 +10,7 @@ from contract.orders import CHANGES, changed
 from ledgertide.plans import quality
 from ledgertide.sources import tables
 from ledgertide.sources.keyed import KeyedTable, KeyRanges
+from ledgertide.sources.keyfilter import KeyFilter
 from ledgertide.streaming.feeds import work_folder
 
 
@@ -98,3 +99,27 @@ def _(m):
         if target:
             published.append(m.spark.read.parquet(target).select(F.lit(name).alias("load"), "product_id", "product_name"))
     return reduce(DataFrame.unionByName, published)
+
+
+@query("staged_keys", """
+WITH days AS (SELECT max(order_date) - INTERVAL 90 DAY AS start FROM m_orders),
+staged AS (SELECT order_id, order_date < start AS there FROM m_orders, days WHERE order_date >= start - INTERVAL 30 DAY
+  UNION ALL SELECT order_id, false FROM m_orders, days WHERE order_date >= start + INTERVAL 60 DAY)
+SELECT CASE WHEN bool_or(there) THEN 'exists' ELSE 'repeated' END AS finding, order_id, count(*) AS staged_rows
+FROM staged GROUP BY order_id HAVING count(*) > 1 OR bool_or(there)
+UNION ALL
+SELECT 'orphan', order_id, count(*) FROM m_items JOIN m_orders USING (order_id), days WHERE order_date >= start GROUP BY order_id""")
+def _(m):
+    # History ends 90 days before the last order. The staged orders replay its last month and send the newest orders twice;
+    # the lines of all orders are staged before the new orders are.
+    orders = m.orders().select("order_id", "order_date")
+    start = F.lit(orders.agg(F.max("order_date") - F.expr("INTERVAL 90 DAY")).first()[0])
+    history = KeyedTable(m.spark, work_folder(m.spark, "history"), "order_id")
+    history.create(orders.filter(F.col("order_date") < start), files=16)
+    held = KeyFilter(history)
+    newest = orders.filter(F.col("order_date") >= start + F.expr("INTERVAL 60 DAY"))
+    staged = orders.filter(F.col("order_date") >= start - F.expr("INTERVAL 30 DAY")).unionByName(newest)
+    found = held.repeated(staged).select(
+        F.when(F.col("exists"), "exists").otherwise("repeated").alias("finding"), "order_id", "staged_rows")
+    lost = held.orphans(m.items(), "order_id").select(F.lit("orphan").alias("finding"), "order_id", "staged_rows")
+    return found.unionByName(lost)

@@ -4,7 +4,9 @@ import threading
 
 import pytest
 
+from ledgertide.sources import keyfilter
 from ledgertide.sources.keyed import CommitLog, KeyedTable, KeyRanges
+from ledgertide.sources.keyfilter import KeyFilter
 from tests.helpers import rows
 
 
@@ -86,3 +88,47 @@ def test_commit_lost_to_another(spark, tmp_path):
 
     assert log.commit("second", late) == (2, {"x": 11, "name": "second"}) and calls == [0, 1]
     assert log.find("first") == 1 and log.find("third") is None
+
+
+def test_filter_prunes_and_is_exact(spark, prices):
+    held = KeyFilter(prices)
+    asked = spark.createDataFrame([(5,), (6,), (1234,), (None,), (5000,), (-1,), (5,)], "id BIGINT")
+    assert sorted(rows(held.present(asked))) == [(5,), (6,), (1234,)]
+    assert sorted(rows(held.repeated(asked), "id", "staged_rows", "exists")) == [(5, 2, True), (6, 1, True), (1234, 1, True)]
+    assert sorted(rows(held.orphans(asked, "id"))) == [(-1, 1), (5000, 1)]
+    assert len(held.files_of(held.possible(spark.createDataFrame([(5,), (6,), (1234,)], "id BIGINT")))) == 2  # of 200 files
+    far = spark.range(10_000, 30_000)
+    assert 0 <= held.possible(far).count() < 4000 and held.present(far).count() == 0
+    assert held.possible(spark.range(4000)).count() == 4000  # none is lost
+
+
+def test_filter_follows_versions(spark, prices, monkeypatch):
+    monkeypatch.setattr(keyfilter, "MERGE_AFTER", 2)
+    held = KeyFilter(prices)
+    first = held.refresh()
+    assert held.refresh() == first and len(first["bitmaps"]) == 1
+    prices.change(spark.createDataFrame([(9000, 1)], "id BIGINT, p BIGINT"), replace={"price": "p"}, insert=True)
+    new = spark.createDataFrame([(9000,), (7,)], "id BIGINT")
+    assert rows(held.present(new, version=1)) == [(7,)] and sorted(rows(held.present(new))) == [(7,), (9000,)]
+    read = spark.read.parquet(held.log.read(2)["files"][0])
+    assert read.count() == 1  # only the new file was read
+    more = spark.range(9001, 20_000).selectExpr("id", "1L AS p")
+    prices.change(more, replace={"price": "p"}, insert=True)
+    grown = held.refresh()
+    assert grown["parts"] > 2 * first["parts"] and len(grown["bitmaps"]) == 1  # built anew with more parts
+    for key in (30_000, 30_001):
+        prices.change(spark.createDataFrame([(key, 1)], "id BIGINT, p BIGINT"), replace={"price": "p"}, insert=True)
+        last = held.refresh()
+    assert len(last["bitmaps"]) == 1 and last["parts"] == grown["parts"]  # merged
+    assert held.present(spark.range(8990, 30_010)).count() == 11_002
+
+
+def test_filter_of_texts_and_empty_tables(spark, tmp_path):
+    names = KeyedTable(spark, str(tmp_path / "names"), "name")
+    names.create(spark.createDataFrame([("b", 1), ("a", 2), ("é", 3)], "name STRING, n INT"), files=2)
+    asked = spark.createDataFrame([("a",), ("é",), ("c",), ("",)], "name STRING")
+    assert sorted(rows(KeyFilter(names).present(asked))) == [("a",), ("é",)]
+    none = KeyedTable(spark, str(tmp_path / "none"), "name")
+    none.create(spark.createDataFrame([], "name STRING, n INT"))
+    assert KeyFilter(none).present(asked).count() == 0 and KeyFilter(none).orphans(asked, "name").count() == 4
+    assert KeyFilter(names).present(asked.limit(0)).count() == 0
