@@ -141,21 +141,45 @@ def _ranged_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str
 PART_SHIFT = 33
 
 
-def _in_order(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
-    """`placed`, and the number of rows."""
-    spark, sort = df.sparkSession, sort_columns(order)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _ranges(df: DataFrame, order: list) -> DataFrame:
+    """Rows sorted by ranges, numbered inside their range."""
+    sort = sort_columns(order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-    rows = settle(ranged.withColumn("_mark", F.monotonically_increasing_id()), "placed")
-    part, inside = F.shiftright("_mark", PART_SHIFT), F.col("_mark").bitwiseAND(F.lit((1 << PART_SHIFT) - 1))
-    counts = rows.groupBy(part.alias("part")).agg((F.max(inside) + 1).alias("n")).collect()  # a row per part
-    before, starts = 0, []
+    return ranged.withColumn("_mark", F.monotonically_increasing_id())
+
+
+def _counted(rows: DataFrame, marks: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """Stored rows with, for each mark, the place it stands for under the name given; and the number of places of each."""
+    part = F.shiftright(next(iter(marks)), PART_SHIFT)
+    inside = {mark: F.col(mark).bitwiseAND(F.lit((1 << PART_SHIFT) - 1)) for mark in marks}
+    counts = rows.groupBy(part.alias("part")).agg(*[(F.max(c) + 1).alias(mark) for mark, c in inside.items()]).collect()  # a row per part
+    before, starts = [0] * len(marks), []
     for r in sorted(counts):
-        starts.append((r.part, before))
-        before += r.n
-    offsets = spark.createDataFrame(starts, "_part BIGINT, _before BIGINT")
-    place = (F.col("_before") + inside + 1).cast("bigint").alias(name)
-    return rows.withColumn("_part", part).join(offsets, "_part").select(*df.columns, place), before
+        starts.append((r[0], *before))
+        before = [b + n for b, n in zip(before, r[1:], strict=True)]
+    fields = ["_part BIGINT", *[f"_before{mark} BIGINT" for mark in marks]]
+    offsets = rows.sparkSession.createDataFrame(starts, ", ".join(fields))
+    places = [(F.col(f"_before{mark}") + c + 1).cast("bigint").alias(marks[mark]) for mark, c in inside.items()]
+    kept = [c for c in rows.columns if c not in marks]
+    return rows.withColumn("_part", part).join(offsets, "_part").select(*kept, *places), before
+
+
+def _in_order(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """`placed`, and the number of rows."""
+    rows, totals = _counted(settle(_ranges(df, order), "placed"), {"_mark": name})
+    return rows, totals[0]
+
+
+def placed_parts(df: DataFrame, order: list, parts: str, name: str, number: str) -> DataFrame:
+    """A row per element of the array column `parts`: the fields of the element, the place of its row, its own number.
+
+    `placed` and, in the same sorted write, the ROW_NUMBER of the elements over the whole table. No array may be empty:
+    such a row would take no place.
+    """
+    rows = _ranges(df, order).select("_mark", F.explode(parts).alias("_element")).select("_mark", "_element.*")
+    rows = settle(rows.withColumn("_number", F.monotonically_increasing_id()), "placed")
+    return _counted(rows, {"_mark": name, "_number": number})[0]
 
 
 def placed(df: DataFrame, order: list, name: str) -> DataFrame:

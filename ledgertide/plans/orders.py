@@ -6,20 +6,21 @@ request time (ties by request id). Each job returns the accepted effects and the
 DataFrames; writing them is the caller's step, so one batch is published or dropped as a whole.
 
 A caller that writes several outputs passes `settle=cut_lineage`: the decided rows are then
-written once to the shared folder, and every output starts from them.
+written once to the shared folder, and every output starts from them. Outputs of `create_orders` and
+`process_returns` are made when they are asked for, as numbering writes its sorted rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgertide.functions import rules
 from ledgertide.functions.compat import lookup, micros, money, number_text, text_of
-from ledgertide.operators.ordered import divide, large_groups, numbered, running_totals
+from ledgertide.operators.ordered import divide, large_groups, numbered, placed_parts, running_totals
 from ledgertide.session import settle as settled
 from ledgertide.sources.tables import zip_arrays
 
@@ -37,6 +38,22 @@ def words(template: str, **values) -> Column:
     return text_of(*parts, F.lit(rest))
 
 
+class Outputs(Mapping):
+    """The outputs of a job by name, each made when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers = {name: cache(make) for name, make in makers.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 # -- new orders -------------------------------------------------------------------------
 
 
@@ -49,7 +66,7 @@ def create_orders(
     first_order_id: int = 1,
     first_item_id: int = 1,
     settle: Callable[[DataFrame], DataFrame] | None = None,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Price the requested products and lay out order and line rows.
 
     `discount_percent` is one number for every order or a mapping from customer segment.
@@ -58,17 +75,17 @@ def create_orders(
     priced = lines.join(
         products.select("product_id", F.col("unit_price").cast("decimal(10,2)").alias("unit_price")), "product_id", "left"
     )
-    merged = priced.groupBy("request_id", "product_id").agg(
-        F.min("position").alias("position"), F.count(F.lit(1)).alias("times"),
-        F.min("quantity").alias("least"), F.sum("quantity").alias("quantity"), F.max("unit_price").alias("unit_price"),
-    )
     amount = F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")
-    sums = merged.groupBy("request_id").agg(
+    given = F.col("quantity").isNotNull()
+    # A product without any quantity is bad; one that is named twice is told as repeated.
+    bare, counted = F.collect_set(F.when(~given, F.col("product_id"))), F.collect_set(F.when(given, F.col("product_id")))
+    sums = priced.groupBy("request_id").agg(
         F.sum(amount).cast("decimal(12,2)").alias("total_amount"),
-        F.max(F.col("least").isNull() | (F.col("least") <= 0)).alias("bad_quantity"),
+        (F.coalesce(F.max(F.col("quantity") <= 0), F.lit(False)) | (F.size(F.array_except(bare, counted)) > 0)).alias("bad_quantity"),
         F.max(F.col("product_id").isNotNull() & F.col("unit_price").isNull()).alias("unknown_product"),
         F.max(F.col("product_id").isNull()).alias("no_product"),
-        F.max((F.col("times") > 1) & F.col("product_id").isNotNull()).alias("repeated"),
+        (F.count("product_id") > F.size(F.collect_set("product_id"))).alias("repeated"),
+        F.sort_array(F.collect_list(F.struct("position", "product_id", "quantity", "unit_price"))).alias("lines"),
     )
     if isinstance(discount_percent, dict):
         rate = lookup("customer_segment", {k: float(v) for k, v in discount_percent.items()}, 0.0)
@@ -93,9 +110,8 @@ def create_orders(
     total = F.col("total_amount")
     discount = F.round(total * F.col("rate") / 100, 2).cast("decimal(10,2)")
     tax = F.round(total * F.lit(tax_rate), 2).cast("decimal(10,2)")
-    placed = numbered(good, [], ["request_ts", "request_id"], "place", bounded_by=requests)
-    orders = placed.select(
-        "request_id",
+    turn = ["request_ts", "request_id"]
+    orders = lambda: numbered(good.drop("lines"), [], turn, "place", bounded_by=requests).select(
         (F.col("place") + (first_order_id - 1)).alias("order_id"),
         "customer_id",
         F.col("request_ts").alias("order_date"),
@@ -107,21 +123,20 @@ def create_orders(
         "shipping_address",
         F.col("shipping_address").alias("billing_address"),
     )
-    rows = merged.join(orders.select("request_id", "order_id"), "request_id")
-    items = numbered(rows, [], ["order_id", "position"], "line").select(
-        (F.col("line") + (first_item_id - 1)).alias("order_item_id"),
-        "order_id",
+    items = lambda: placed_parts(good.select(*turn, "lines"), turn, "lines", "place", "number").select(
+        (F.col("number") + (first_item_id - 1)).alias("order_item_id"),
+        (F.col("place") + (first_order_id - 1)).alias("order_id"),
         "product_id",
         F.col("quantity").cast("int").alias("quantity"),
         "unit_price",
         F.lit(0).cast("decimal(5,2)").alias("discount_percent"),
         money(amount).cast("decimal(12,2)").alias("line_total"),
     )
-    return {
-        "orders": orders.drop("request_id"),
-        "items": items,
-        "rejects": judged.filter(F.col("reason").isNotNull()).select("request_id", "customer_id", "reason"),
-    }
+    return Outputs(
+        orders=orders,
+        items=items,
+        rejects=lambda: judged.filter(F.col("reason").isNotNull()).select("request_id", "customer_id", "reason"),
+    )
 
 
 # -- status changes ---------------------------------------------------------------------
@@ -308,24 +323,25 @@ def exchange_products(products: DataFrame) -> DataFrame:
 
 
 def accepted_in_turn(requests: DataFrame) -> DataFrame:
-    """request_id of the requests that fit: those of a line in time order, each while it fits what the accepted ones left.
+    """order_id, request_id of the requests that fit: those of a line in time order, each while it fits what the accepted ones left.
 
     Decided in rounds over all lines at once. A round takes the earliest open request of each line, which fits as all
     that do not are no longer open, and closes the requests that no longer fit what it leaves (that never grows again).
     Each round is a minimum per line, combined before its shuffle; there are as many as requests of a line are accepted.
+    `requests` is read by two of them, so it should be a stored table.
     """
     line = ["order_id", "product_id"]
     at = F.struct("request_ts", "request_id", "units")
-    waiting = settled(requests.filter("units <= room").select(*line, at.alias("at"), F.col("room").alias("left")), "returns-open")
+    waiting = requests.filter("units <= room").select(*line, at.alias("at"), F.col("room").alias("left"))
     taken = []
     while not waiting.isEmpty():
         first = settled(waiting.groupBy(*line).agg(F.min("at").alias("first")), "returns-first")
-        taken.append(first.select("first.request_id"))
+        taken.append(first.select("order_id", "first.request_id"))
         waiting = waiting.join(first, line).withColumn("left", F.col("left") - F.col("first.units"))
         waiting = settled(
             waiting.filter((F.col("at") > F.col("first")) & (F.col("at.units") <= F.col("left"))).drop("first"), "returns-open"
         )
-    none = requests.select("request_id").limit(0)
+    none = requests.select("order_id", "request_id").limit(0)
     return reduce(DataFrame.unionByName, taken, none)
 
 
@@ -339,7 +355,7 @@ def process_returns(
     first_return_id: int = 1000,
     group_rows: int | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Check, price and book a batch of returns.
 
     A return is checked against the ordered quantity. Once an order is returned as a whole, its
@@ -349,19 +365,20 @@ def process_returns(
     asked = requests.select("order_id").distinct()
     lines = items.join(asked, "order_id", "left_semi")
     first_line = lines.groupBy("order_id", "product_id").agg(
-        F.min_by(F.struct(F.col("quantity").alias("q"), F.col("line_total").alias("t")), "order_item_id").alias("line")
+        F.min("order_item_id").alias("line"), F.min_by("quantity", "order_item_id").alias("ordered"),
+        F.min_by("line_total", "order_item_id").alias("line_total"),
     )
     sizes = lines.groupBy("order_id").agg(F.sum("quantity").cast("bigint").alias("order_units"))
     heads = orders.select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"))
-    goods = products.select("product_id", "product_name", F.col("status").alias("product_status"))
-    swaps = exchange_products(products)
+    goods = products.select("product_id", "product_name", F.col("status").alias("product_status")).join(
+        exchange_products(products), "product_id", "left")
 
+    # Products come first, while the rows are short; all that follows needs the rows of an order in one place.
     rows = (
-        requests.join(heads, "order_id", "left")
+        requests.join(goods, "product_id", "left")
+        .join(heads, "order_id", "left")
         .join(sizes, "order_id", "left")
         .join(first_line, ["order_id", "product_id"], "left")
-        .join(goods, "product_id", "left")
-        .join(swaps, "product_id", "left")
     )
     if returns is None:
         rows = rows.withColumn("returned_before", F.lit(0).cast("bigint")).withColumn("line_before", F.lit(0).cast("bigint"))
@@ -372,60 +389,57 @@ def process_returns(
             past = done.groupBy(*keys).agg(units.alias(name))
             rows = rows.join(past, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
-    asked_units, ordered = F.col("return_quantity"), F.col("line.q")
+    asked_units, ordered = F.col("return_quantity"), F.col("ordered")
     age = micros("request_ts") - micros("order_date")
     days = F.round(age.cast("decimal(20,0)") / F.lit(DAY).cast("decimal(12,0)"), 0).cast("bigint")
-    before_status = F.when(asked_units <= 0, F.lit("Return quantity must be greater than 0")).when(
-        F.col("customer_id").isNull(), words("Order ID {o} not found", o="order_id"))
-    after_status = (
-        F.when(age > rules.RETURN_WINDOW_DAYS * DAY,
-               words("Return period expired. Order is {d} days old (max {m} days)", d=days,
-                     m=F.lit(rules.RETURN_WINDOW_DAYS)))
-        .when(F.col("product_status").isNull(), words("Product ID {p} not found", p="product_id"))
-        .when(F.col("product_status") != "ACTIVE",
-              words("Product {n} is {s} and cannot be returned", n="product_name", s="product_status"))
-        .when(F.col("line").isNull(), words("Product {n} was not found in order {o}", n="product_name", o="order_id"))
-        .when(asked_units > ordered,
-              words("Return quantity ({q}) exceeds original quantity ({o})", q="return_quantity", o=ordered))
-        .when(~F.col("return_type").isin(*rules.RETURN_TYPES), words("Invalid return type: {t}", t="return_type"))
-    )
-    barred = ~F.col("order_status").isin(*rules.RETURNABLE_STATUSES)
-    rows = (
-        rows.withColumn("_early", before_status)
-        .withColumn("_late", after_status)
-        .withColumn("_barred", F.coalesce(barred, F.lit(False)))
-        .withColumn("_valid", F.col("_early").isNull() & ~F.col("_barred") & F.col("_late").isNull())
-        .withColumn("_units", F.when(F.col("_valid"), asked_units).otherwise(0))
-    )
+    before_status = [
+        (asked_units <= 0, F.lit("Return quantity must be greater than 0")),
+        (F.col("customer_id").isNull(), words("Order ID {o} not found", o="order_id")),
+    ]
+    after_status = [
+        (age > rules.RETURN_WINDOW_DAYS * DAY,
+         words("Return period expired. Order is {d} days old (max {m} days)", d=days, m=F.lit(rules.RETURN_WINDOW_DAYS))),
+        (F.col("product_status").isNull(), words("Product ID {p} not found", p="product_id")),
+        (F.col("product_status") != "ACTIVE",
+         words("Product {n} is {s} and cannot be returned", n="product_name", s="product_status")),
+        (F.col("line").isNull(), words("Product {n} was not found in order {o}", n="product_name", o="order_id")),
+        (asked_units > ordered,
+         words("Return quantity ({q}) exceeds original quantity ({o})", q="return_quantity", o=ordered)),
+        (~F.col("return_type").isin(*rules.RETURN_TYPES), words("Invalid return type: {t}", t="return_type")),
+    ]
+    barred = F.coalesce(~F.col("order_status").isin(*rules.RETURNABLE_STATUSES), F.lit(False))
+    broken = [F.coalesce(test, F.lit(False)) for test, _ in before_status + after_status]
+    rows = rows.withColumn("_valid", ~reduce(Column.__or__, broken, barred)).withColumn(
+        "_units", F.when(F.col("_valid"), asked_units).otherwise(0))
     if strict:
+        # Several jobs read these rows, so they are joined and written once.
+        rows = settled(rows, "returns-asked")
         fits = accepted_in_turn(rows.filter("_valid").select(
             "request_id", "order_id", "product_id", "request_ts", F.col("_units").cast("bigint").alias("units"),
             (ordered - F.col("line_before")).cast("bigint").alias("room")))
-        rows = rows.join(fits.withColumn("fits", F.lit(True)), "request_id", "left").withColumn(
+        fits = fits.repartition("order_id").withColumn("fits", F.lit(True))
+        rows = rows.repartition("order_id").join(fits, ["order_id", "request_id"], "left").withColumn(
             "_units", F.when(F.coalesce("fits", F.lit(False)), F.col("_units")).otherwise(0))
     rows = running_totals(rows, ["order_id"], ["request_ts", "request_id"], {"_sum": F.col("_units")}, group_rows,
                           bounded_by=requests)
     earlier = F.col("_sum") - F.col("_units")
-    whole = (earlier > 0) & (F.col("returned_before") + earlier >= F.col("order_units"))
+    whole = F.coalesce((earlier > 0) & (F.col("returned_before") + earlier >= F.col("order_units")), F.lit(False))
     if strict:
         over = F.col("_valid") & ~F.coalesce("fits", F.lit(False))
-        late = F.coalesce("_late", F.when(over, F.lit("Return quantity exceeds the quantity left")))
-    else:
-        late = F.col("_late")
-    status_text = F.when(F.coalesce(whole, F.lit(False)), F.lit("RETURNED")).otherwise(F.col("order_status"))
-    reason = F.coalesce(
-        "_early",
-        F.when(F.col("_barred") | F.coalesce(whole, F.lit(False)),
-               words("Order status ({s}) is not eligible for return", s=status_text)),
-        late,
-    )
+        after_status.append((over, F.lit("Return quantity exceeds the quantity left")))
+    status_text = F.when(whole, F.lit("RETURNED")).otherwise(F.col("order_status"))
+    ineligible = (barred | whole, words("Order status ({s}) is not eligible for return", s=status_text))
+    reason = F.coalesce(*[F.when(test, text) for test, text in [*before_status, ineligible, *after_status]])
     judged = rows.withColumn("reason", reason)
-    judged = settle(judged) if settle else judged
+    if settle:
+        judged = settle(judged)
+    elif strict:
+        judged = settled(judged, "returns-judged")
 
     accepted = judged.filter(F.col("reason").isNull())
     swap = F.col("exchange_product_id")
     kind = F.when((F.col("return_type") == "EXCHANGE") & swap.isNull(), F.lit("REFUND")).otherwise(F.col("return_type"))
-    line_value = F.col("line.t").cast("decimal(12,2)")
+    line_value = F.col("line_total").cast("decimal(12,2)")
     fee = F.lit(0).cast("decimal(3,2)")
     rate = F.when(F.lit(False), fee)
     for pattern, share in rules.RESTOCKING_FEES:
@@ -439,40 +453,43 @@ def process_returns(
         .withColumn("restocking_fee", F.round(fee, 2).cast("decimal(10,2)"))
         .withColumn("swap", F.when(F.col("kind") == "EXCHANGE", swap))
     )
-    placed = numbered(priced, [], ["request_ts", "request_id"], "_place", bounded_by=requests).withColumn(
-        "return_id", F.col("_place") + (first_return_id - 1)
-    )
-    paid = placed.filter((F.col("refund_amount") > 0) & F.col("kind").isin(*rules.REFUND_METHODS))
-    units = placed.groupBy("order_id").agg(
+
+    @cache
+    def placed() -> DataFrame:
+        return numbered(priced, [], ["request_ts", "request_id"], "_place", bounded_by=requests).withColumn(
+            "return_id", F.col("_place") + (first_return_id - 1)
+        )
+
+    units = priced.groupBy("order_id").agg(
         F.sum("return_quantity").alias("now"), F.any_value("returned_before").alias("before"),
         F.any_value("order_units").alias("order_units"),
     )
     left = F.col("order_units") - F.col("now") - F.col("before")
-    return {
-        "returns": placed.select(
+    return Outputs(
+        returns=lambda: placed().select(
             "return_id", "request_id", "order_id", "product_id", F.col("request_ts").alias("return_date"),
             "return_quantity", "return_reason", F.col("kind").alias("return_type"), "refund_amount", "restocking_fee",
             F.lit("PROCESSED").alias("status"), "processed_by", F.col("swap").alias("exchange_product_id"), "notes",
         ),
-        "refunds": paid.select(
+        refunds=lambda: placed().filter((F.col("refund_amount") > 0) & F.col("kind").isin(*rules.REFUND_METHODS)).select(
             "return_id", "order_id", F.col("request_ts").alias("refund_date"), "refund_amount",
             lookup("kind", rules.REFUND_METHODS, "CHECK").alias("refund_method"), F.lit("COMPLETED").alias("status"),
             "processed_by",
         ),
-        "exchanges": placed.filter(F.col("kind") == "EXCHANGE").select(
+        exchanges=lambda: placed().filter(F.col("kind") == "EXCHANGE").select(
             "return_id", F.col("product_id").alias("original_product_id"), F.col("swap").alias("exchange_product_id"),
             F.col("request_ts").alias("exchange_date"), F.lit("PROCESSED").alias("status"), "processed_by",
         ),
-        "stock": placed.groupBy("product_id").agg(F.sum("return_quantity").alias("stock_delta")),
-        "customers": placed.groupBy("customer_id").agg(
+        stock=lambda: priced.groupBy("product_id").agg(F.sum("return_quantity").alias("stock_delta")),
+        customers=lambda: priced.groupBy("customer_id").agg(
             F.count(F.lit(1)).alias("returns_delta"),
             money(F.sum("refund_amount")).alias("refund_delta"),
             money(F.sum(F.when(F.col("kind") == "CREDIT", F.col("refund_amount")).otherwise(0))).alias("credit_delta"),
             F.max("request_ts").alias("last_return_date"),
         ),
-        "orders": units.select(
+        orders=lambda: units.select(
             "order_id", F.when(left <= 0, "RETURNED").otherwise("PARTIALLY_RETURNED").alias("status")),
-        "audit": placed.select(
+        audit=lambda: placed().select(
             F.lit("RETURNS").alias("table_name"),
             F.col("return_id").cast("string").alias("record_id"),
             F.lit("INSERT").alias("action_type"),
@@ -481,5 +498,5 @@ def process_returns(
             F.col("processed_by").alias("changed_by"),
             F.col("request_ts").alias("change_timestamp"),
         ),
-        "rejects": judged.filter(F.col("reason").isNotNull()).select("request_id", "order_id", "product_id", "reason"),
-    }
+        rejects=lambda: judged.filter(F.col("reason").isNotNull()).select("request_id", "order_id", "product_id", "reason"),
+    )

@@ -19,9 +19,11 @@ SETTINGS = {
 
 
 # A join below a grouping on the same key may be split too when one key is very frequent.
+# Rows that lie together by one key stay there for a join on that key and another one.
 # Calendar arithmetic is on zone-free times and counts on a UTC session.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
