@@ -1,14 +1,17 @@
-"""Streams that remember, on Spark's keyed state (RocksDB) with event-time timers: bursts, sequences, the order life cycle.
+"""Streams that remember, on Spark's keyed state (RocksDB): bursts, sequences, the order life cycle.
 
-Rows may come in any order and in any number of micro-batches. A row waits in the state until the watermark has passed it
-(no earlier row can follow then), a timer releases it, and what is no longer needed leaves the state with it. Rows behind
-the watermark are dropped by Spark; `feeds.split_late` keeps them.
+Rows may come in any order and in any number of micro-batches. `released` groups them by their event time, so that Spark holds
+a row until the watermark has passed it (no earlier row can follow then) and gives it out in that micro-batch, whose rows all
+lie behind those of the batches before. Rows behind the watermark are dropped by Spark; `feeds.split_late` keeps them.
 
-* Bursts are keyed by employee and slot of the trailing span, each row also going to the next slot, so an employee who
-  fills the stream is many keys, and the state of a key ends with its slot.
-* Sequences keep, per employee, the rows ahead of the watermark and the last actions behind it.
-* Requests of the life cycle wait under (order, salt); the released ones are decided per micro-batch by the rounds of
-  `orders.status_rounds`, over all orders at once, from the statuses that a keyed table holds.
+What has to be remembered of released rows lies in the state of `BUCKETS` keys: a task meets many employees in one call, and
+the calls of a micro-batch do not grow in number with the rows.
+
+* Bursts are dealt by employee and slot of the trailing span, each row also going to the next slot, so an employee who
+  fills the stream is in many buckets, and rows leave the state with their slot.
+* Sequences keep the last actions of each employee.
+* Released requests of the life cycle are decided per micro-batch by the rounds of `orders.status_rounds`, over all orders at
+  once, from the statuses that a keyed table holds.
 
 Rows without a time wait for nothing and are left out.
 """
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,78 +34,88 @@ from ledgertide.session import cut_lineage
 from ledgertide.streaming.monitors import timed
 
 TS = "action_timestamp"
-#: Keys over which the waiting requests of one order are dealt.
-SALTS = 16
+#: Keys over which employees are dealt.
+BUCKETS = 1024
 
 
-def _micros(rows: DataFrame, ts: str) -> DataFrame:
-    return rows.filter(F.col(ts).isNotNull()).withColumn("us", micros(ts))
+def released(rows: DataFrame, key: str, ts: str, values: list[str], late: str) -> DataFrame:
+    """Rows that no earlier one can precede any more: key, time and values."""
+    held = timed(rows.select(key, ts, *values).filter(F.col(ts).isNotNull()), ts, late)
+    held = held.groupBy(key, ts).agg(F.collect_list(F.struct(*values)).alias("held"))
+    return held.select(key, ts, F.explode("held").alias("held")).select(key, ts, "held.*")
 
 
-def _time(us: str = "us"):
-    return F.timestamp_micros(us).cast("timestamp_ntz")
+def _numbers(rows: DataFrame) -> DataFrame:
+    """Entries as whole numbers without NULL, as pandas would make floats of them."""
+    return rows.select(
+        F.coalesce("employee_id", F.lit(0)).alias("employee"), F.col("employee_id").isNull().cast("bigint").alias("nobody"),
+        micros(F.col(TS).cast("timestamp_ntz")).alias("us"), F.coalesce("audit_id", F.lit(0)).alias("entry"),
+        F.col("audit_id").isNull().cast("bigint").alias("unnamed"), *[c for c in rows.columns if c not in ("employee_id", "audit_id")],
+    )
 
 
-def _tuples(frame: pd.DataFrame) -> list[tuple]:
-    return list(zip(*[frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in frame.columns], strict=True))
+def _bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-class Waiting:
-    """Rows that wait for the watermark: a list state and a timer at the earliest of them."""
+def _told(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(
+        F.when(F.col("unnamed") == 0, F.col("entry")).alias("audit_id"), F.when(F.col("nobody") == 0, F.col("employee")).alias("employee_id"),
+        F.timestamp_micros("us").cast("timestamp_ntz").alias(TS), *more,
+    )
 
-    def __init__(self, handle: StatefulProcessorHandle, schema: str):
-        self.handle, self.rows = handle, handle.getListState("waiting", schema)
 
-    def add(self, frames: Iterator[pd.DataFrame], columns: list[str]) -> None:
-        first = None
-        for frame in frames:
-            if len(frame):
-                self.rows.appendList(_tuples(frame[columns]))
-                least = int(frame["us"].min())
-                first = least if first is None else min(first, least)
-        self._remind(first)
+class _Held:
+    """Whole numbers in columns, kept as one value of a key."""
 
-    def _remind(self, us: int | None) -> None:
-        if us is not None:
-            self.handle.registerTimer(-(-us // 1000))
+    def __init__(self, handle: StatefulProcessorHandle, columns: list[str]):
+        self.columns, self.value = columns, handle.getValueState("held", "numbers BINARY")
 
-    def due(self, watermark_ms: int) -> list[tuple]:
-        """Rows up to the watermark, in the order of their tuples; they leave the state."""
-        rows = sorted(self.rows.get())
-        until = sum(row[0] <= watermark_ms * 1000 for row in rows)
-        if until < len(rows):
-            self.rows.put([tuple(row) for row in rows[until:]])
-            self._remind(rows[until][0])
+    def with_new(self, frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """Held rows, in their order, and new ones; the column `new` tells them apart."""
+        new = pd.concat([frame[self.columns] for frame in frames], ignore_index=True).astype(np.int64).assign(new=True)
+        if not self.value.exists():
+            return new
+        kept = np.frombuffer(bytes(self.value.get()[0]), np.int64).reshape(-1, len(self.columns))
+        return pd.concat([pd.DataFrame(kept, columns=self.columns).assign(new=False), new], ignore_index=True)
+
+    def keep(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.value.update((np.ascontiguousarray(rows[self.columns].to_numpy(np.int64)).tobytes(),))
         else:
-            self.rows.clear()
-        return rows[:until]
+            self.value.clear()
+
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether a row of sorted rows is the first of its keys."""
+    values = rows[keys].to_numpy()
+    return np.r_[True, (values[1:] != values[:-1]).any(axis=1)] if len(rows) else np.zeros(0, bool)
 
 
 class _Bursts(StatefulProcessor):
-    """Times of one employee in one slot and the slot before; told when the watermark has passed the slot."""
+    """Times of employees in a slot and the slot before."""
+
+    GROUP = ["employee", "nobody", "slot"]
 
     def __init__(self, span: int, limit: int):
         self.span, self.limit = span, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("times", "us BIGINT, audit_id BIGINT, own BOOLEAN")
+        self.held = _Held(handle, [*self.GROUP, "us", "entry", "unnamed"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            if len(frame):
-                self.rows.appendList(_tuples(frame[["us", "audit_id", "own"]]))
-        self.handle.registerTimer((key[1] + 1) * self.span // 1000)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.rows.get()), columns=["us", "audit_id", "own"]).sort_values("us", ignore_index=True)
-        self.rows.clear()
-        us = held["us"].to_numpy(np.int64)
-        recent = np.searchsorted(us, us, "right") - np.searchsorted(us, us - self.span, "left")
-        found = held.assign(recent=recent)[held["own"].astype(bool).to_numpy() & (recent > self.limit)]
+        frame = self.held.with_new(rows).sort_values([*self.GROUP, "us"], ignore_index=True)
+        # Times since the start of the slot before; a group's times lie apart from those of all others.
+        since = frame["us"].to_numpy() - (frame["slot"].to_numpy() - 1) * self.span
+        place = (np.cumsum(_starts(frame, self.GROUP)) - 1) * (2 * self.span) + since
+        own = frame["new"].to_numpy(bool) & (since >= self.span)
+        recent = np.searchsorted(place, place[own], "right") - np.searchsorted(place, place[own] - self.span, "left")
+        found = frame[own].assign(recent=recent)
+        found = found[found["recent"] > self.limit]
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.held.keep(frame[((frame["slot"] + 1) * self.span > passed) & (frame["us"] >= passed - self.span)])
         if len(found):
-            yield found.assign(employee_id=key[0])[["audit_id", "employee_id", "us", "recent"]]
+            yield found[["entry", "unnamed", "employee", "nobody", "us", "recent"]]
 
     def close(self) -> None:
         pass
@@ -111,50 +124,44 @@ class _Bursts(StatefulProcessor):
 def bursts(
     audit: DataFrame, minutes: int = rules.BURST_MINUTES, limit: int = rules.BURST_ACTIONS, late: str = "1 hour"
 ) -> DataFrame:
-    """Entries that make more than `limit` actions of an employee within the trailing minutes, once their slot is over."""
+    """Entries that make more than `limit` actions of an employee within the trailing minutes, once the watermark has passed them."""
     span = minutes * 60_000_000
-    slot = F.floor(F.col("us") / span).cast("bigint")
-    rows = timed(_micros(audit.select("audit_id", "employee_id", TS), TS), TS, late)
-    both = F.array(*[F.struct((slot + k).alias("slot"), F.lit(k == 0).alias("own")) for k in (0, 1)])
-    dealt = rows.withColumn("s", F.explode(both)).select("employee_id", "s.slot", "s.own", "us", "audit_id", TS)
-    told = dealt.groupBy("employee_id", "slot").transformWithStateInPandas(
-        _Bursts(span, limit), "audit_id BIGINT, employee_id BIGINT, us BIGINT, recent BIGINT", "append", "eventtime"
+    rows = _numbers(released(audit, "employee_id", TS, ["audit_id"], late))
+    slots = F.array(*[F.floor(F.col("us") / span).cast("bigint") + k for k in (0, 1)])
+    dealt = rows.withColumn("slot", F.explode(slots)).withColumn("bucket", _bucket("employee", "slot"))
+    told = dealt.groupBy("bucket").transformWithStateInPandas(
+        _Bursts(span, limit), "entry BIGINT, unnamed BIGINT, employee BIGINT, nobody BIGINT, us BIGINT, recent BIGINT", "append",
+        "eventtime",
     )
-    return told.select("audit_id", "employee_id", _time().alias(TS), "recent")
+    return _told(told, "recent")
 
 
 class _Sequences(StatefulProcessor):
-    """Rows of one employee ahead of the watermark, and the last actions behind it."""
+    """The last actions of employees, as their places among the actions of the pattern (0: none of them)."""
+
+    WHO = ["employee", "nobody"]
 
-    def __init__(self, pattern: tuple[str, ...]):
+    def __init__(self, pattern: list[int]):
         self.pattern = pattern
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = Waiting(handle, "us BIGINT, audit_id BIGINT, action STRING")
-        self.last = handle.getValueState("last", "actions ARRAY<STRING>")
+        self.held = _Held(handle, [*self.WHO, "us", "unnamed", "entry", "code"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.waiting.add(rows, ["us", "audit_id", "action"])
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
-        if not due:
-            return
-        before = list(self.last.get()[0]) if self.last.exists() else []
-        path = before + [row[2] for row in due]
-        size = len(self.pattern)
-        actions = np.array(path, object)
-        hit = np.ones(max(0, len(path) - size + 1), bool)
-        for k, wanted in enumerate(self.pattern):
-            hit &= actions[k : k + len(hit)] == wanted
-        self.last.update((path[-(size - 1):] if size > 1 else [],))
-        # the row that ends a hit at place k of the path is row k + size - 1 - len(before) of those due
-        found = [due[k + size - 1 - len(before)] for k in np.flatnonzero(hit)]
-        if found:
-            yield pd.DataFrame({
-                "audit_id": [row[1] for row in found], "employee_id": key[0], "us": [row[0] for row in found],
-            })
+        # Held rows are behind all new ones.
+        frame = self.held.with_new(rows).sort_values([*self.WHO, "us", "unnamed", "entry", "code"], ignore_index=True)
+        first = _starts(frame, self.WHO)
+        at, size = np.arange(len(frame)), len(self.pattern)
+        start = np.maximum.accumulate(np.where(first, at, 0))
+        code = frame["code"].to_numpy()
+        hit = frame["new"].to_numpy(bool) & (at - start >= size - 1)
+        for back, wanted in enumerate(reversed(self.pattern)):
+            hit &= np.roll(code, back) == wanted
+        sizes = np.bincount(np.cumsum(first) - 1)
+        after = start + np.repeat(sizes, sizes) - 1 - at
+        self.held.keep(frame[after < size - 1])
+        if hit.any():
+            yield frame[hit][["entry", "unnamed", "employee", "nobody", "us"]]
 
     def close(self) -> None:
         pass
@@ -162,41 +169,23 @@ class _Sequences(StatefulProcessor):
 
 def sequences(audit: DataFrame, pattern: tuple[str, ...] = ("INSERT", "UPDATE", "DELETE"), late: str = "1 hour") -> DataFrame:
     """Entries that complete the pattern, a run of consecutive actions of an employee of any length."""
-    rows = timed(_micros(audit.select("audit_id", "employee_id", F.col("action_type").alias("action"), TS), TS), TS, late)
-    told = rows.groupBy("employee_id").transformWithStateInPandas(
-        _Sequences(tuple(pattern)), "audit_id BIGINT, employee_id BIGINT, us BIGINT", "append", "eventtime"
+    codes = {action: k for k, action in enumerate(sorted(set(pattern)), 1)}
+    code = F.lit(0)
+    for action, k in codes.items():
+        code = F.when(F.col("action_type") == action, k).otherwise(code)
+    rows = _numbers(released(audit, "employee_id", TS, ["audit_id", "action_type"], late))
+    told = rows.withColumn("code", code.cast("bigint")).withColumn("bucket", _bucket("employee")).groupBy(
+        "bucket").transformWithStateInPandas(
+        _Sequences([codes[a] for a in pattern]), "entry BIGINT, unnamed BIGINT, employee BIGINT, nobody BIGINT, us BIGINT", "append",
+        "eventtime",
     )
-    return told.select("audit_id", "employee_id", _time().alias(TS))
-
-
-class _Release(StatefulProcessor):
-    """Requests of one order and salt, given out when the watermark has passed them."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = Waiting(handle, "us BIGINT, request_id BIGINT, new_status STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.waiting.add(rows, ["us", "request_id", "new_status"])
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
-        if due:
-            yield pd.DataFrame(due, columns=["us", "request_id", "new_status"]).assign(order_id=key[0])
-
-    def close(self) -> None:
-        pass
+    return _told(told)
 
 
 def released_requests(requests: DataFrame, late: str = "1 hour") -> DataFrame:
     """request_id, order_id, request_ts, new_status of requests that no earlier one can precede any more."""
-    columns = ["order_id", "request_id", "new_status", "request_ts"]
-    rows = timed(_micros(requests.select(*columns), "request_ts"), "request_ts", late)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int"))
-    told = salted.groupBy("order_id", "salt").transformWithStateInPandas(
-        _Release(), "us BIGINT, request_id BIGINT, new_status STRING, order_id BIGINT", "append", "eventtime"
-    )
-    return told.select("request_id", "order_id", _time().alias("request_ts"), "new_status")
+    told = released(requests, "order_id", "request_ts", ["request_id", "new_status"], late)
+    return told.select("request_id", "order_id", F.col("request_ts").cast("timestamp_ntz").alias("request_ts"), "new_status")
 
 
 def life_cycle(statuses: KeyedTable, initial: str = "PENDING"):

@@ -1,10 +1,13 @@
 """Jobs do for an output what that output needs, and once."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgertide.operators.ordered import placed_parts
 from ledgertide.plans import orders as jobs
+from ledgertide.streaming import feeds, monitors, stateful
 from tests.helpers import customer, item, order, product, rows, table
 
 
@@ -85,3 +88,29 @@ def test_places_of_parts(spark):
     df = df.select("k", F.transform("n", lambda x: F.struct(F.col("k").alias("of"), x.alias("n"))).alias("parts"))
     got = sorted(rows(placed_parts(df, ["k"], "parts", "place", "number"), "of", "n", "place", "number"))
     assert [g[3] for g in got] == list(range(1, 6001)) and all(of == place for of, _, place, _ in got)
+
+
+def test_busy_employees_keep_two_state_rows(spark, tmp_path):
+    """Every sliding window of the batch form, from two state rows a row instead of one per window."""
+    made = [(k, k % 3, dt.datetime(2024, 1, 1, 22) + dt.timedelta(seconds=k * k * 7 % 20000)) for k in range(300)]
+    df = spark.createDataFrame(made, "audit_id BIGINT, employee_id BIGINT, action_timestamp TIMESTAMP_NTZ")
+    folder = str(tmp_path / "rows")
+    df.write.parquet(folder)
+    live = monitors.busy_employees(spark.readStream.schema(df.schema).parquet(folder), threshold=7, width="20 minutes")
+    assert "1200000000" in live._jdf.queryExecution().analyzed().toString()  # windows move by their width
+    logged, _ = feeds.drain(live, "busy", mode="update")
+    got = feeds.newest_per_key(logged, ["employee_id", "window_start"])
+    want = df.groupBy("employee_id", F.window("action_timestamp", "20 minutes", "5 minutes").alias("w")).agg(
+        F.count("*").alias("actions")).filter("actions > 7").select("employee_id", "w.start", "actions")
+    assert sorted(rows(got, "employee_id", "window_start", "actions")) == sorted(rows(want)) != []
+
+
+def test_keyed_streams_call_per_bucket(spark):
+    """Released rows meet their state by bucket: as many keys as BUCKETS, however many employees and slots there are."""
+    live = spark.readStream.format("rate").load().selectExpr(
+        "value AS audit_id", "value AS employee_id", "value AS order_id", "value AS request_id", "'x' AS action_type",
+        "'x' AS new_status", "CAST(timestamp AS TIMESTAMP_NTZ) AS action_timestamp", "CAST(timestamp AS TIMESTAMP_NTZ) AS request_ts")
+    for told in (stateful.bursts(live), stateful.sequences(live)):
+        plan = told._jdf.queryExecution().analyzed().toString()
+        assert "bucket" in plan and "collect_list" in plan
+    assert "TransformWithState" not in stateful.released_requests(live)._jdf.queryExecution().analyzed().toString()
