@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable
+from functools import cache
 from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgertide.operators.ordered import numbered
+from ledgertide.session import settle
 from ledgertide.sources.tables import apply_changes
 
 
@@ -158,10 +160,13 @@ class KeyedTable:
         """Add to columns or replace them for the keys of `changes` (a row per key); returns the number of the version.
 
         With `insert`, keys that are not there yet become rows, columns that are not replaced NULL. A change of a name
-        that is done already does nothing.
+        that is done already does nothing. The changes are worked out once and stored, as several jobs read them.
         """
+        add, replace = add or {}, replace or {}
+        needed = dict.fromkeys([self.key, *add.values(), *replace.values()])
+        stored = cache(lambda: settle(changes.select(*needed), "changes"))
         return self.log.commit(
-            name or uuid.uuid4().hex, lambda number, last: self._changed(number, last, changes, add or {}, replace or {}, insert)
+            name or uuid.uuid4().hex, lambda number, last: self._changed(number, last, stored(), add, replace, insert)
         )[0]
 
     def compact(self, files: int) -> int:

@@ -132,3 +132,17 @@ def test_filter_of_texts_and_empty_tables(spark, tmp_path):
     none.create(spark.createDataFrame([], "name STRING, n INT"))
     assert KeyFilter(none).present(asked).count() == 0 and KeyFilter(none).orphans(asked, "name").count() == 4
     assert KeyFilter(names).present(asked.limit(0)).count() == 0
+
+
+def test_changes_are_worked_out_once(spark, prices):
+    made = spark.sparkContext.accumulator(0)
+
+    def raised(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    changes = spark.range(10, 13).selectExpr("id", "id AS up").mapInPandas(raised, "id BIGINT, up BIGINT")
+    prices.change(changes, add={"price": "up"}, name="raise")
+    assert made.value == 3 and sorted(rows(prices.read().filter("price <> id * 2"), "price")) == [(30,), (33,), (36,)]
+    assert prices.change(changes, add={"price": "up"}, name="raise") == 2 and made.value == 3  # done already: not even read
