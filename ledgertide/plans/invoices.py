@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgertide.functions import rules
 from ledgertide.functions.compat import currency, money, number_text, ratio, text_of
 from ledgertide.operators.ordered import numbered
+from ledgertide.plans.orders import Outputs
 from ledgertide.plans.sales import gross
 
 
@@ -23,9 +26,10 @@ def invoices(
     payments: DataFrame,
     include_tax: bool = True,
     first_invoice_id: int = 1000,
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """One invoice row per order, and the orders that cannot be invoiced.
 
+    `unnumbered` are the invoices without invoice_id: printed documents do not show it, and numbering sorts the whole table.
     A stored tax amount wins; without one, 8 % of the subtotal is taken when `include_tax` is set.
     """
     known = items.join(products.select("product_id"), "product_id", "left_semi")
@@ -69,13 +73,13 @@ def invoices(
         .withColumn("balance_due", money(F.round(due - F.col("paid_amount"), 2)))
         .withColumn("tax_percent", ratio("tax_amount", "subtotal_amount", 100))
     )
-    placed = numbered(priced, [], ["order_id"], "_place", bounded_by=orders).withColumn(
-        "invoice_id", F.col("_place") + (first_invoice_id - 1)
+    amounts = priced.drop("reason", "stored_tax", "exact_discount", "tax")
+    return Outputs(
+        invoices=lambda: numbered(amounts, [], ["order_id"], "_place", bounded_by=orders)
+        .withColumn("invoice_id", F.col("_place") + (first_invoice_id - 1)).drop("_place"),
+        unnumbered=lambda: amounts,
+        rejects=lambda: heads.filter(F.col("reason").isNotNull()).select("order_id", "reason"),
     )
-    return {
-        "invoices": placed.drop("_place", "reason", "stored_tax", "exact_discount", "tax"),
-        "rejects": heads.filter(F.col("reason").isNotNull()).select("order_id", "reason"),
-    }
 
 
 def invoice_lines(items: DataFrame, products: DataFrame, group_rows: int | None = None) -> DataFrame:

@@ -281,6 +281,19 @@ def test_settled_outputs_agree(spark, sold):
     assert all(sorted(map(repr, a[n].collect())) == sorted(map(repr, b[n].collect())) for n in a)
 
 
+def test_printing_numbers_no_invoices(spark):
+    goods = table(spark, "products", [product(1, "A")])
+    items = table(spark, "order_items", [item(1, 1, 1, 1, "50.00"), item(2, 2, 1, 3, "5.00")])
+    people, orders = table(spark, "customers", [customer(1, "C")]), table(spark, "orders", [order(1), order(2)])
+    out = inv.invoices(orders, items, goods, people, table(spark, "payments", []))
+    lines = inv.invoice_lines(items, goods)
+    for form in ("TEXT", "HTML"):
+        plain = inv.render_invoices(out["unnumbered"], lines, form)
+        assert not plain.inputFiles()  # no sorted copy of the invoices was written
+        assert sorted(rows(plain)) == sorted(rows(inv.render_invoices(out["invoices"], lines, form)))
+    assert "invoice_id" not in out["unnumbered"].columns
+
+
 def test_cancelled_orders_stay_in_product_sales(spark):
     goods = table(spark, "products", [product(1, "A"), product(2, "Unsold")])
     cats = table(spark, "categories", [dict(category_id=1, category_name="C")])
