@@ -4,7 +4,7 @@ from contract.base import query
 from contract.orders import RETURNS, returned
 from ledgertide.plans import audit as a
 from ledgertide.plans import quality as q
-from ledgertide.session import cut_lineage
+from ledgertide.session import settle
 from ledgertide.sources.model import AS_OF_ORDERS as NOW
 
 
@@ -150,7 +150,7 @@ refunded AS (SELECT *, CASE final_kind WHEN 'REFUND' THEN 'ORIGINAL_PAYMENT' ELS
                  ("exchanges", "return_id", "returns", "exchanged", "booked")])]))
 def _(m):
     # Four outputs are checked, so the decided rows are written once.
-    return q.check_returns(returned(m, settle=cut_lineage), m.orders(), m.products(), NOW)
+    return q.check_returns(returned(m, settle=lambda judged: settle(judged, "returns-judged")), m.orders(), m.products(), NOW)
 
 
 UNIQUES = [("customers", "m_customers", "email"), ("suppliers", "m_suppliers", "email"),

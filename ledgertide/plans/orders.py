@@ -366,19 +366,20 @@ def process_returns(
     lines = items.join(asked, "order_id", "left_semi")
     first_line = lines.groupBy("order_id", "product_id").agg(
         F.min("order_item_id").alias("line"), F.min_by("quantity", "order_item_id").alias("ordered"),
-        F.min_by("line_total", "order_item_id").alias("line_total"),
+        F.min_by("line_total", "order_item_id").alias("line_total"), F.sum("quantity").alias("units"),
     )
-    sizes = lines.groupBy("order_id").agg(F.sum("quantity").cast("bigint").alias("order_units"))
+    sizes = first_line.groupBy("order_id").agg(F.sum("units").cast("bigint").alias("order_units"))
     heads = orders.select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"))
     goods = products.select("product_id", "product_name", F.col("status").alias("product_status")).join(
         exchange_products(products), "product_id", "left")
 
-    # Products come first, while the rows are short; all that follows needs the rows of an order in one place.
+    # Only the two keys go to the products; all else needs the rows of an order in one place, where requests stay.
+    named = requests.select("order_id", "product_id").distinct().join(goods, "product_id").repartition("order_id")
     rows = (
-        requests.join(goods, "product_id", "left")
-        .join(heads, "order_id", "left")
+        requests.join(heads, "order_id", "left")
         .join(sizes, "order_id", "left")
-        .join(first_line, ["order_id", "product_id"], "left")
+        .join(first_line.drop("units"), ["order_id", "product_id"], "left")
+        .join(named, ["order_id", "product_id"], "left")
     )
     if returns is None:
         rows = rows.withColumn("returned_before", F.lit(0).cast("bigint")).withColumn("line_before", F.lit(0).cast("bigint"))
@@ -429,14 +430,16 @@ def process_returns(
         after_status.append((over, F.lit("Return quantity exceeds the quantity left")))
     status_text = F.when(whole, F.lit("RETURNED")).otherwise(F.col("order_status"))
     ineligible = (barred | whole, words("Order status ({s}) is not eligible for return", s=status_text))
-    reason = F.coalesce(*[F.when(test, text) for test, text in [*before_status, ineligible, *after_status]])
-    judged = rows.withColumn("reason", reason)
+    # The first rule that a request breaks; its text is made for rejects only.
+    tests = [*before_status, ineligible, *after_status]
+    judged = rows.withColumn("_broken", F.coalesce(*[F.when(test, F.lit(k)) for k, (test, _) in enumerate(tests)]))
+    reason = F.coalesce(*[F.when(F.col("_broken") == k, text) for k, (_, text) in enumerate(tests)])
     if settle:
         judged = settle(judged)
     elif strict:
         judged = settled(judged, "returns-judged")
 
-    accepted = judged.filter(F.col("reason").isNull())
+    accepted = judged.filter(F.col("_broken").isNull())
     swap = F.col("exchange_product_id")
     kind = F.when((F.col("return_type") == "EXCHANGE") & swap.isNull(), F.lit("REFUND")).otherwise(F.col("return_type"))
     line_value = F.col("line_total").cast("decimal(12,2)")
@@ -498,5 +501,6 @@ def process_returns(
             F.col("processed_by").alias("changed_by"),
             F.col("request_ts").alias("change_timestamp"),
         ),
-        rejects=lambda: judged.filter(F.col("reason").isNotNull()).select("request_id", "order_id", "product_id", "reason"),
+        rejects=lambda: judged.filter(F.col("_broken").isNotNull()).select(
+            "request_id", "order_id", "product_id", reason.alias("reason")),
     )

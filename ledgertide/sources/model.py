@@ -7,11 +7,12 @@ columns reads only the raw columns behind them, and filters on keys and dates re
 from __future__ import annotations
 
 import os
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.operators.ordered import numbered
+from ledgertide.operators.ordered import Hot, hot_groups, numbered
 from ledgertide.sources.schemas import model_schema, raw_schema
 from ledgertide.sources.tables import line_total
 
@@ -215,12 +216,17 @@ class Model:
         )
         return lines.withColumn("line_total", line_total())
 
+    @cached_property
+    def large_orders(self) -> Hot:
+        """The orders with more lines than one task should sort, looked for once."""
+        return hot_groups(self.items(), ["order_id"])
+
     def keyed_items(self) -> DataFrame:
         """Order lines with a key: order id times 1000 plus the place of the line in its order."""
         # The product comes first so that even one very large order can be cut by ranges.
         order = ["product_id", "l_linenumber", "l_suppkey", "quantity", "unit_price", "discount_percent",
                  "l_tax", "l_shipdate"]
-        numbered_lines = numbered(self.items().drop("line_total"), ["order_id"], order, "line_in_order")
+        numbered_lines = numbered(self.items().drop("line_total"), ["order_id"], order, "line_in_order", hot=self.large_orders)
         # The total is worked out behind the shuffle, so that all who read keyed lines in a query share one shuffle.
         return numbered_lines.withColumn("line_total", line_total()).selectExpr(
             "order_id * 1000 + line_in_order AS order_item_id", "order_id", "product_id", "quantity", "unit_price",

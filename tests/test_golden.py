@@ -294,6 +294,25 @@ def test_printing_numbers_no_invoices(spark):
     assert "invoice_id" not in out["unnumbered"].columns
 
 
+def test_accepted_returns_read_no_names(spark, sold, tmp_path):
+    sold["products"].write.parquet(str(tmp_path / "goods"))
+    goods = spark.read.schema(sold["products"].schema).parquet(str(tmp_path / "goods"))
+    asks = return_requests(spark, [(1, 3, 2, 1, "x", "REFUND"), (2, 4, 9, 1, "x", "CREDIT")])
+    out = jobs.process_returns(asks, **(sold | {"products": goods}))
+    read = {n: "product_name" in out[n]._jdf.queryExecution().executedPlan().toString() for n in ("customers", "rejects")}
+    assert read == {"customers": False, "rejects": True}  # names are shown in reasons only
+    assert rows(out["rejects"], "reason") == [("Product Old is DISCONTINUED and cannot be returned",)]
+
+
+def test_returns_of_repeated_and_missing_products(spark, sold):
+    goods = sold["products"].unionByName(sold["products"].filter("product_id = 2"))
+    asks = return_requests(spark, [(1, 3, 2, 1, "x", "REFUND"), (2, 4, None, 1, "x", "CREDIT"), (2, 4, None, 1, "x", "CREDIT")])
+    out = jobs.process_returns(asks, **(sold | {"products": goods}))
+    assert rows(out["rejects"].filter("request_id = 2"), "reason") == [("Product ID  not found",)] * 2
+    ids = out["returns"].select("request_id").unionByName(out["rejects"].select("request_id"))
+    assert sorted(rows(ids)) == [(1,)] * 4 + [(2,)] * 2  # the product is there twice, and each of them finds two to exchange for
+
+
 def test_cancelled_orders_stay_in_product_sales(spark):
     goods = table(spark, "products", [product(1, "A"), product(2, "Unsold")])
     cats = table(spark, "categories", [dict(category_id=1, category_name="C")])

@@ -114,3 +114,13 @@ def test_keyed_streams_call_per_bucket(spark):
         plan = told._jdf.queryExecution().analyzed().toString()
         assert "bucket" in plan and "collect_list" in plan
     assert "TransformWithState" not in stateful.released_requests(live)._jdf.queryExecution().analyzed().toString()
+
+
+def test_large_orders_are_looked_for_once(spark, sf, monkeypatch):
+    from ledgertide.sources import model
+
+    looked = []
+    monkeypatch.setattr(model, "hot_groups", lambda *a, find=model.hot_groups: looked.append(a) or find(*a))
+    m = model.Model(spark, sf)
+    first, second = m.keyed_items(), m.keyed_items()
+    assert len(looked) == 1 and first.exceptAll(second).isEmpty()
