@@ -345,6 +345,16 @@ def accepted_in_turn(requests: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, taken, none)
 
 
+#: What the outputs with a return_id show of an accepted request, besides its time and id.
+NUMBERED = {
+    "returns": ("order_id", "product_id", "return_quantity", "return_reason", "kind", "refund_amount", "restocking_fee",
+                "processed_by", "swap", "notes"),
+    "refunds": ("order_id", "kind", "refund_amount", "processed_by"),
+    "exchanges": ("product_id", "kind", "swap", "processed_by"),
+    "audit": ("return_quantity", "product_name", "refund_amount", "processed_by"),
+}
+
+
 def process_returns(
     requests: DataFrame,
     orders: DataFrame,
@@ -355,12 +365,14 @@ def process_returns(
     first_return_id: int = 1000,
     group_rows: int | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
+    only: str | None = None,
 ) -> Mapping[str, DataFrame]:
     """Check, price and book a batch of returns.
 
     A return is checked against the ordered quantity. Once an order is returned as a whole, its
     later requests fail. `strict` checks against what is left of the line: its history and the requests accepted
-    before it count, rejected ones do not.
+    before it count, rejected ones do not. `only` names the one output that will be asked for: columns that others show are
+    not sorted to number it.
     """
     asked = requests.select("order_id").distinct()
     lines = items.join(asked, "order_id", "left_semi")
@@ -459,7 +471,9 @@ def process_returns(
 
     @cache
     def placed() -> DataFrame:
-        return numbered(priced, [], ["request_ts", "request_id"], "_place", bounded_by=requests).withColumn(
+        shown = NUMBERED.get(only) or dict.fromkeys(c for columns in NUMBERED.values() for c in columns)
+        booked = priced.select("request_ts", "request_id", *shown)
+        return numbered(booked, [], ["request_ts", "request_id"], "_place", bounded_by=requests).withColumn(
             "return_id", F.col("_place") + (first_return_id - 1)
         )
 

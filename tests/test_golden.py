@@ -281,19 +281,6 @@ def test_settled_outputs_agree(spark, sold):
     assert all(sorted(map(repr, a[n].collect())) == sorted(map(repr, b[n].collect())) for n in a)
 
 
-def test_printing_numbers_no_invoices(spark):
-    goods = table(spark, "products", [product(1, "A")])
-    items = table(spark, "order_items", [item(1, 1, 1, 1, "50.00"), item(2, 2, 1, 3, "5.00")])
-    people, orders = table(spark, "customers", [customer(1, "C")]), table(spark, "orders", [order(1), order(2)])
-    out = inv.invoices(orders, items, goods, people, table(spark, "payments", []))
-    lines = inv.invoice_lines(items, goods)
-    for form in ("TEXT", "HTML"):
-        plain = inv.render_invoices(out["unnumbered"], lines, form)
-        assert not plain.inputFiles()  # no sorted copy of the invoices was written
-        assert sorted(rows(plain)) == sorted(rows(inv.render_invoices(out["invoices"], lines, form)))
-    assert "invoice_id" not in out["unnumbered"].columns
-
-
 def test_accepted_returns_read_no_names(spark, sold, tmp_path):
     sold["products"].write.parquet(str(tmp_path / "goods"))
     goods = spark.read.schema(sold["products"].schema).parquet(str(tmp_path / "goods"))
@@ -304,6 +291,18 @@ def test_accepted_returns_read_no_names(spark, sold, tmp_path):
     assert rows(out["rejects"], "reason") == [("Product Old is DISCONTINUED and cannot be returned",)]
 
 
+def test_one_return_output_sorts_its_columns_only(spark, sold):
+    asks = return_requests(spark, [(1, 3, 2, 1, "x", "REFUND"), (2, 4, 2, 1, "x", "CREDIT"), (3, 4, 6, 1, "x", "EXCHANGE")])
+    shared = jobs.process_returns(asks, **sold)
+    for name in ("returns", "refunds", "exchanges", "audit"):
+        alone = jobs.process_returns(asks, only=name, **sold)[name]
+        assert alone.schema == shared[name].schema
+        assert sorted(map(repr, alone.collect())) == sorted(map(repr, shared[name].collect()))
+    refunds = jobs.process_returns(asks, only="refunds", **sold)["refunds"]
+    stored = spark.read.parquet(*[f for f in refunds.inputFiles() if "placed-" in f]).columns
+    assert not {"product_name", "notes", "return_reason"} & set(stored)
+
+
 def test_returns_of_repeated_and_missing_products(spark, sold):
     goods = sold["products"].unionByName(sold["products"].filter("product_id = 2"))
     asks = return_requests(spark, [(1, 3, 2, 1, "x", "REFUND"), (2, 4, None, 1, "x", "CREDIT"), (2, 4, None, 1, "x", "CREDIT")])
@@ -313,6 +312,19 @@ def test_returns_of_repeated_and_missing_products(spark, sold):
     assert sorted(rows(ids)) == [(1,)] * 4 + [(2,)] * 2  # the product is there twice, and each of them finds two to exchange for
 
 
+def test_printing_numbers_no_invoices(spark):
+    goods = table(spark, "products", [product(1, "A")])
+    items = table(spark, "order_items", [item(1, 1, 1, 1, "50.00"), item(2, 2, 1, 3, "5.00")])
+    people, orders = table(spark, "customers", [customer(1, "C")]), table(spark, "orders", [order(1), order(2)])
+    out = inv.invoices(orders, items, goods, people, table(spark, "payments", []))
+    lines = inv.invoice_lines(items, goods)
+    for form in ("TEXT", "HTML"):
+        plain = inv.render_invoices(out["unnumbered"], lines, form)
+        assert not plain.inputFiles()  # no sorted copy of the invoices was written
+        assert sorted(rows(plain)) == sorted(rows(inv.render_invoices(out["invoices"], lines, form)))
+    assert "invoice_id" not in out["unnumbered"].columns
+
+
 def test_cancelled_orders_stay_in_product_sales(spark):
     goods = table(spark, "products", [product(1, "A"), product(2, "Unsold")])
     cats = table(spark, "categories", [dict(category_id=1, category_name="C")])
