@@ -41,8 +41,11 @@ BUCKETS, LEAST, SIZE, NOISE, NEAR, STEP, RATE, ROUNDS = 16, 512, 32, 48, 16, 409
 PAST = 1e-8
 #: Words whose counts travel with the tasks; copies averaged in a group; parameters in a block.
 HEAD, FAN, CHUNK = 200_000, 64, 1 << 16
-#: Batches whose tokens are counted together; tokens that are trained on or scored together; bytes of text read together.
+#: Batches whose tokens are counted together; tokens that are trained on together; bytes of text read together.
 GATHER, GATHERED, TEXT_BYTES = 16, 1 << 16, 4 << 20
+#: Tokens scored together; tokens for each bucket from which exponentials are tabled, buckets or groups in a table at once; rows
+#: beyond which a run is summed by itself; tokens in a product of scoring, and of training, so that they stay in the cache.
+SCORED, TABLED, ACROSS, LONG, AT_ONCE, NEARBY = 1 << 20, 4, 64, 8, 1024, 1024
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -165,6 +168,7 @@ class Model:
     def __init__(self, frequencies: np.ndarray, values: np.ndarray | None = None):
         self.classes = n = len(frequencies)
         self.width = math.ceil(math.sqrt(n))
+        self.small = np.uint16 if n < 1 << 16 else np.int64  # sorted by digits where it can be
         starts = np.arange(0, n, self.width)
         self.groups, d = len(starts), SIZE
         shapes = [(n + 1, d), (d, d), (d, d), (n, d), (n,), (self.groups, d), (self.groups,)]
@@ -178,6 +182,7 @@ class Model:
             self.parts.append(values[at : at + math.prod(shape)].reshape(shape))
             at += math.prod(shape)
         self.r, self.a, self.b, self.q, self.bias, self.group_q, self.group_bias = self.parts
+        self.ab = values[self.r.size : self.r.size + 2 * d * d].reshape(2 * d, d)  # a over b
 
     def __reduce__(self):
         return Model, (self.frequencies, self.values)
@@ -199,14 +204,11 @@ class Model:
         """Share of each bucket in its group."""
         return self.frequencies / self.mass[np.arange(self.classes) // self.width]
 
-    def context(self, before: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return self.r[before] @ self.a + self.r[second] @ self.b
-
     def trainer(self, seed: int):
         """A function that takes steps of noise-contrastive estimation over tokens (Adagrad).
 
         The tokens of a step are sorted by bucket, so those of one group lie together: they share the noise drawn for their
-        group, and all products are of dense matrices.
+        group, and all products are of dense matrices, groups of like size in one call.
         """
         random = np.random.default_rng(seed)
         seen = Model(self.frequencies, np.full_like(self.values, 1e-3))
@@ -214,95 +216,108 @@ class Model:
             part[:] = PAST
         noise = self.mass / self.mass.sum()
         log_noise, log_near = np.log(NOISE * noise).astype(np.float32), np.log(NEAR * self.near()).astype(np.float32)
-        reach = np.concatenate([[0.0], np.cumsum(self.frequencies)])
+        reach, up_to = np.concatenate([[0.0], np.cumsum(self.frequencies)]), np.cumsum(noise)
+        up_to /= up_to[-1]
 
         def move(part, past, slope):
             past += slope**2
             part -= RATE * slope / np.sqrt(past)
 
-        small = np.uint16 if self.classes < 1 << 16 else np.int64  # sorted by digits where it can be
-
-        def runs(ordered):
-            """Where each run of equal numbers starts."""
-            return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-
         def add_up(index, rows):
             """The numbers in index and the sum of the rows of each."""
-            index = index.astype(small)
+            index = index.astype(self.small)
             order = np.argsort(index, kind="stable")
             ordered = index.take(order)
             at = runs(ordered)
-            return ordered[at].astype(np.int64), np.add.reduceat(rows.take(order, 0), at, axis=0)
+            by_size, found = run_sums(at, rows.take(order, 0))
+            return ordered[at[by_size]].astype(np.int64), found
 
         def move_rows(part, past, touched, slope):
             now = past.take(touched, 0)
             now += slope * slope
-            past[touched] = now
+            put_rows(past, touched, now)
             np.sqrt(now, out=now)
             slope *= RATE
             slope /= now
-            part[touched] -= slope
+            moved = part.take(touched, 0)
+            moved -= slope
+            put_rows(part, touched, moved)
 
-        def slopes(x, sign, n):
-            """Slope of the loss of good (-1) or bad (1) pairs at x, in the place of x."""
-            np.clip(x, -30, 30, out=x)
-            x *= -sign
-            np.exp(x, out=x)
+        def slopes(x, size):
+            """size / (1 + exp(x)) in the place of x: slope of the loss of good pairs at x (size < 0) and bad ones at -x."""
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
             x += 1
-            return np.divide(np.float32(sign / n), x, out=x)
+            return np.divide(np.float32(size), x, out=x)
 
         def step(now, before, second):
-            n, order = len(now), np.argsort(now.astype(small), kind="stable")
+            n, order = len(now), np.argsort(now.astype(self.small), kind="stable")
             now, before, second = now.take(order), before.take(order), second.take(order)
-            r_before, r_second = self.r.take(before, 0), self.r.take(second, 0)
-            h, group = r_before @ self.a, now // self.width
-            h += r_second @ self.b
-            drawn = random.choice(self.groups, NOISE, p=noise)
-            own_q, drawn_q, bias = self.group_q.take(group, 0), self.group_q[drawn], self.group_bias - log_noise
-            good = slopes(np.einsum("ij,ij->i", h, own_q) + bias[group], -1, n)
-            bad = h @ drawn_q.T
-            bad += bias[drawn]
-            bad = slopes(bad, 1, n)
-            own_q *= good[:, None]
-            by_h = bad @ drawn_q
-            by_h += own_q
+            context, group = np.column_stack([before, second]), now // self.width
+            both, by_h = np.empty((n, 2 * SIZE), np.float32), np.empty((n, SIZE), np.float32)
+            padded, good = np.zeros((n + 1, SIZE), np.float32), np.empty(n, np.float32)  # the row of zeros fills up blocks
+            h = padded[:n]
+            drawn = np.searchsorted(up_to, random.random(NOISE), "right")
+            minus_q, bias = -self.group_q[drawn], self.group_bias - log_noise
+            to_drawn, of_drawn = np.zeros((NOISE, SIZE), np.float32), np.zeros(NOISE, np.float32)
+            for k in range(0, n, NEARBY):
+                part = slice(k, k + NEARBY)
+                at_h, at_group = h[part], group[part]
+                both[part] = self.r.take(context[part], 0).reshape(-1, 2 * SIZE)
+                np.matmul(both[part], self.ab, out=at_h)
+                own_q = self.group_q.take(at_group, 0)
+                good[part] = slopes(np.einsum("ij,ij->i", at_h, own_q) + bias[at_group], -1 / n)
+                bad = at_h @ minus_q.T
+                bad -= bias[drawn]
+                bad = slopes(bad, 1 / n)
+                own_q *= good[part, None]
+                np.subtract(own_q, bad @ minus_q, out=by_h[part])
+                to_drawn += bad.T @ at_h
+                of_drawn += np.ones(len(bad), np.float32) @ bad
             first = runs(group)
-            there, last = group[first], np.append(first[1:], n)
-            bounds = list(zip(first.tolist(), last.tolist(), strict=True))
+            there, sizes = group[first], np.diff(first, append=n)
             to_group, to_bias = np.zeros_like(self.group_q), np.zeros_like(self.group_bias)
-            for g, (i, j) in zip(there.tolist(), bounds, strict=True):
-                np.matmul(good[i:j], h[i:j], out=to_group[g])
             to_bias[there] = np.add.reduceat(good, first)
             drawn_once = np.zeros((self.groups, NOISE), np.float32)
             drawn_once[drawn, np.arange(NOISE)] = 1
-            to_group += drawn_once @ (bad.T @ h)
-            to_bias += drawn_once @ bad.sum(0)
+            good_of_group = np.append(good, np.float32(0))
 
             # second softmax: the noise of a group comes from that group
             q, bias = self.q.take(now, 0), self.bias - log_near
-            good = slopes(np.einsum("ij,ij->i", h, q) + bias[now], -1, n)
+            good = slopes(np.einsum("ij,ij->i", h, q) + bias[now], -1 / n)
             q *= good[:, None]
             by_h += q
             low, high = there * self.width, np.minimum((there + 1) * self.width, self.classes)
             at = np.sort(random.random((len(there), NEAR)), 1) * (reach[high] - reach[low])[:, None] + reach[low][:, None]
             other = np.clip(np.searchsorted(reach, at, "right") - 1, low[:, None], high[:, None] - 1)
-            other_q = self.q[other]
-            bad = np.repeat(bias[other], last - first, axis=0)
-            to_other = np.empty_like(other_q)
-            for k, (i, j) in enumerate(bounds):
-                bad[i:j] += h[i:j] @ other_q[k].T
-            bad = slopes(bad, 1, n)
-            for k, (i, j) in enumerate(bounds):
-                np.matmul(bad[i:j].T, h[i:j], out=to_other[k])
-                by_h[i:j] += bad[i:j] @ other_q[k]
+            minus_q, minus_bias = -self.q.take(other, 0), -bias[other]
+            to_other, to_other_bias = np.empty_like(minus_q), np.empty_like(minus_bias)
+            by_near = np.empty((n + 1, SIZE), np.float32)
+            for k in alike(sizes):
+                place = np.arange(sizes[k[-1]])
+                tokens = np.where(place < sizes[k][:, None], first[k][:, None] + place, n)
+                at_h, at_q = padded.take(tokens, 0), minus_q.take(k, 0)
+                bad = at_h @ at_q.transpose(0, 2, 1)
+                bad += minus_bias[k][:, None]
+                bad = slopes(bad, 1 / n)
+                bad_t = bad.transpose(0, 2, 1)
+                to_other[k] = bad_t @ at_h
+                to_other_bias[k] = (bad_t @ (tokens < n).astype(np.float32)[:, :, None])[:, :, 0]
+                to_group[there[k]] = (good_of_group.take(tokens)[:, None] @ at_h)[:, 0]
+                put_rows(by_near, tokens.ravel(), (bad @ at_q).reshape(-1, SIZE))
+            by_h -= by_near[:n]
+            to_group += drawn_once @ to_drawn
+            to_bias += drawn_once @ of_drawn
             own = runs(now)
             np.multiply(good[:, None], h, out=q)
-            to_own, own_bias = np.add.reduceat(q, own, axis=0), np.add.reduceat(good, own)
-            other, kept = other.ravel(), runs(other.ravel())
-            to_other = np.add.reduceat(to_other.reshape(-1, SIZE), kept, axis=0)
-            other_bias = np.add.reduceat(np.add.reduceat(bad, first, axis=0).ravel(), kept)
-
-            to_a, to_b = r_before.T @ by_h, r_second.T @ by_h
+            by_size, to_own = run_sums(own, q)
+            own, own_bias = own[by_size], np.add.reduceat(good, own)[by_size]
+            other = other.ravel()
+            kept = runs(other)
+            by_size, to_other = run_sums(kept, to_other.reshape(-1, SIZE))
+            kept, other_bias = kept[by_size], np.add.reduceat(to_other_bias.ravel(), kept)[by_size]
+
+            to_ab = both.T @ by_h
             contexts = [(*add_up(where, by_h), by.T.copy()) for where, by in ((before, self.a), (second, self.b))]
             for touched, by_row, by_bias in ((now[own], to_own, own_bias), (other[kept], to_other, other_bias)):
                 move_rows(self.q, seen.q, touched, by_row)
@@ -311,47 +326,117 @@ class Model:
                 move_rows(self.r, seen.r, touched, by_row @ by)
             move(self.group_q, seen.group_q, to_group)
             move(self.group_bias, seen.group_bias, to_bias)
-            move(self.a, seen.a, to_a)
-            move(self.b, seen.b, to_b)
+            move(self.ab, seen.ab, to_ab)
 
         return step
 
     def scorer(self):
-        """A function from tokens to natural log-probabilities of their buckets, normalised over all buckets."""
-        of_group = np.column_stack([self.group_q, self.group_bias]).T.copy()
-        of_bucket = np.column_stack([self.q, self.bias])
+        """A function from tokens to natural log-probabilities of their buckets, normalised over all buckets.
 
-        def own(h, at, weights):
-            z = h @ weights
-            mine = z[np.arange(len(z)), at]
-            with np.errstate(over="ignore"):
-                total = np.exp(z, out=z) @ np.ones(z.shape[1], np.float32)
-            found = mine - np.log(np.maximum(total, np.float32(1e-38)))
-            for k in np.flatnonzero(~((total > 1e-30) & (total < 1e30))):  # beyond what floats hold
-                z = h[k] @ weights
-                found[k] = mine[k] - z.max() - np.log(np.exp(z - z.max()).sum())
+        A sum of exp((x + y) q) over many tokens is taken from the exponentials of xq and yq, worked out once for every
+        bucket before and second before, where those are far from the ends of what floats hold.
+        """
+        of_before, of_second = self.r @ self.a, self.r @ self.b
+
+        def context(before, second):
+            found = of_before.take(before, 0)
+            found += of_second.take(second, 0)
             return found
 
+        def totals(before, second, weights, bias):
+            """Log of the sum over weights for each token."""
+            n, total = len(before), np.zeros(len(before), np.float32)
+            if n > TABLED * len(of_before):
+                for k in range(0, weights.shape[1], ACROSS):
+                    x, y = of_before @ weights[:, k : k + ACROSS], of_second @ weights[:, k : k + ACROSS]
+                    y += bias[k : k + ACROSS]
+                    if max(-x.min(), x.max(), -y.min(), y.max()) > 40:
+                        break
+                    np.exp(x, out=x)
+                    np.exp(y, out=y)
+                    for i in range(0, n, AT_ONCE):
+                        part = slice(i, i + AT_ONCE)
+                        total[part] += np.einsum("ij,ij->i", x.take(before[part], 0), y.take(second[part], 0))
+                else:
+                    return np.log(total)
+            weights, shares = np.ascontiguousarray(weights), np.exp(bias)
+            z = np.empty((AT_ONCE, weights.shape[1]), np.float32)
+            with np.errstate(over="ignore"):
+                for i in range(0, n, AT_ONCE):
+                    part = slice(i, i + AT_ONCE)
+                    h = context(before[part], second[part])
+                    at_z = np.matmul(h, weights, out=z[: len(h)])
+                    np.matmul(np.exp(at_z, out=at_z), shares, out=total[part])
+            beyond = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # what floats do not hold
+            total[beyond] = 1
+            out = np.log(total)
+            for k in beyond:
+                z = (of_before[before[k]] + of_second[second[k]]) @ weights + bias
+                out[k] = z.max() + np.log(np.exp(z - z.max()).sum())
+            return out
+
         def score(now, before, second):
             out = np.empty(len(now))
-            for k in range(0, len(now), GATHERED):
-                part = slice(k, k + GATHERED)
-                order = np.argsort(now[part], kind="stable")
-                sorted_now = now[part][order]
-                h = self.context(before[part][order], second[part][order])
-                h, group = np.column_stack([h, np.ones(len(h), np.float32)]), sorted_now // self.width
-                found, bounds = np.empty(len(h)), np.searchsorted(group, np.arange(self.groups + 1))
-                for i in range(0, len(h), 1024):
-                    found[i : i + 1024] = own(h[i : i + 1024], group[i : i + 1024], of_group)
+            for k in range(0, len(now), SCORED):
+                part = slice(k, k + SCORED)
+                order = np.argsort(now[part].astype(self.small), kind="stable")
+                sorted_now, x, y = now[part][order], before[part][order], second[part][order]
+                group, found = sorted_now // self.width, np.empty(len(order))
+                for i in range(0, len(found), AT_ONCE):
+                    rows = slice(i, i + AT_ONCE)
+                    q = self.group_q.take(group[rows], 0) + self.q.take(sorted_now[rows], 0)
+                    found[rows] = np.einsum("ij,ij->i", context(x[rows], y[rows]), q)
+                found += self.group_bias[group] + self.bias[sorted_now]
+                found -= totals(x, y, self.group_q.T, self.group_bias)
+                bounds = np.searchsorted(group, np.arange(self.groups + 1))
                 for g in np.flatnonzero(np.diff(bounds)):
-                    rows, low = slice(bounds[g], bounds[g + 1]), g * self.width
-                    found[rows] += own(h[rows], sorted_now[rows] - low, of_bucket[low : low + self.width].T)
+                    rows, those = slice(bounds[g], bounds[g + 1]), slice(g * self.width, (g + 1) * self.width)
+                    found[rows] -= totals(x[rows], y[rows], self.q[those].T, self.bias[those])
                 out[part][order] = found
             return out
 
         return score
 
 
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def run_sums(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs, longest first, and the sum of the rows of each: long runs one by one, the others row by row."""
+    sizes = np.diff(starts, append=len(rows))
+    shorter = len(rows) - sizes
+    by_size = np.argsort(shorter.astype(np.uint16) if len(rows) < 1 << 16 else shorter, kind="stable")
+    starts, sizes = starts[by_size], sizes[by_size]
+    found = rows.take(starts, 0)
+    ones = np.ones(sizes[0], rows.dtype)
+    longer = np.searchsorted(-sizes, -np.arange(1, LONG + 1))  # runs of more than so many rows
+    for k, (i, n) in enumerate(zip(starts[: longer[-1]].tolist(), sizes[: longer[-1]].tolist(), strict=True)):
+        np.matmul(ones[:n], rows[i : i + n], out=found[k])
+    for k, n in enumerate(longer[:-1].tolist(), 1):
+        found[longer[-1] : n] += rows.take(starts[longer[-1] : n] + k, 0)
+    return by_size, found
+
+
+def alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the sizes, put together where they differ by less than half and a few; the largest of each comes last."""
+    order = np.argsort(sizes, kind="stable")
+    ordered, at = sizes[order], 0
+    while at < len(order):
+        to = int(np.searchsorted(ordered, ordered[at] * 1.5 + 4, "right"))
+        yield order[at:to]
+        at = to
+
+
+def put_rows(part: np.ndarray, touched: np.ndarray, rows: np.ndarray) -> None:
+    """part[touched] = rows, each row copied as one item."""
+    if part.ndim > 1:
+        whole_row = f"V{part.itemsize * part.shape[1]}"
+        part, rows = part.view(whole_row)[:, 0], np.ascontiguousarray(rows).view(whole_row)[:, 0]
+    part[touched] = rows
+
+
 def gathered(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until the column holds `least` bytes; rows are not cut."""
     held: list[pa.RecordBatch] = []
@@ -379,6 +464,7 @@ def coded_rows(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, head, kinds_of_head = sent.value
+        own, first, shared = known.own, known.own + 1, known.shared
         row = TaskContext.get().partitionId() << 40
         logs_of = np.log10(np.append(known.counts, 0) + 1.0)  # the last one for words outside the head
         end_log = math.log10(known.documents + 1)
@@ -389,12 +475,12 @@ def coded_rows(docs: DataFrame, classes: Classes) -> DataFrame:
             doc, rare = np.repeat(np.arange(n), sizes), number < 0
             other = words.filter(pa.array(rare)).dictionary_encode()
             kind = np.append(kinds_of_head, np.int32(0))[number]
-            hashed = [known.own + 1 + known.bucket(w) for w in other.dictionary.to_pylist()]
+            hashed = [first + zlib.crc32(w) % shared for w in other.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
             of_other = other.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             kind[rare] = np.array(hashed, np.int32)[of_other]
             logs = np.bincount(doc, logs_of[number], n).astype(float) + end_log
             found = np.bincount(doc, ~rare, n).astype(np.int64) + (known.documents > 0)
-            other_logs = np.bincount(doc, logs_of[number] * (rare | (number >= known.own)), n).astype(float)
+            other_logs = np.bincount(doc, logs_of[number] * (rare | (number >= own)), n).astype(float)
             types = max(1, len(other.dictionary))
             pair, times = np.unique(doc[rare] * types + of_other, return_counts=True)
             lists = pa.ListArray.from_arrays(
@@ -486,7 +572,7 @@ def class_scores(coded: DataFrame, classes: Classes, model: Model) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, log_mass, end, start = sent.value
         score = model.scorer()
-        for batch in gathered(batches, len(kept), GATHERED * 4):
+        for batch in gathered(batches, len(kept), SCORED * 4):
             sizes, now, before, second = tokens_of(batch.column(len(kept)), start)
             per_class = score(now, before, second) / math.log(10)
             shared = now > end

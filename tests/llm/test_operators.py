@@ -273,6 +273,50 @@ def test_lm_normalised():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_lm_scores_from_tables(monkeypatch):
+    """Many tokens share the exponentials of their contexts; the scores are those of a few tokens at once and of plain sums."""
+    random, n = np.random.default_rng(3), 40
+    model = lm_scoring.Model.fresh(np.arange(n, 0, -1.0))
+    now, before, second = random.integers(0, n, (3, 20_000))
+    model.trainer(0)(now[:4000], before[:4000], second[:4000])
+
+    def plain(k):
+        r, a, b, q, bias, group_q, group_bias = (p.astype(float) for p in model.parts)
+        h, g = r[before[k]] @ a + r[second[k]] @ b, now[k] // model.width
+        those = slice(g * model.width, (g + 1) * model.width)
+        z, y = group_q @ h + group_bias, q[those] @ h + bias[those]
+        return sum(x[i] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, i in ((z, g), (y, now[k] % model.width)))
+
+    made, exp = [], np.exp
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "exp", lambda x, *args, **named: (made.append(np.size(x)), exp(x, *args, **named))[1])
+        found = model.scorer()(now, before, second)
+    assert sum(made) < len(now)  # a softmax for each token takes more than ten times as many
+    few = np.concatenate([model.scorer()(now[k : k + 20], before[k : k + 20], second[k : k + 20]) for k in range(0, 2000, 20)])
+    assert np.allclose(found[:2000], few, atol=1e-4) and np.allclose(found[:200], [plain(k) for k in range(200)], atol=1e-4)
+    for size in (30, 3000):  # logits that tables, and then floats, do not hold
+        model.q[:] *= size
+        model.group_q[:] *= size
+        far = model.scorer()(now, before, second)
+        assert np.allclose(far[:200], [plain(k) for k in range(200)], rtol=1e-4, atol=1e-2)
+
+
+def test_lm_sums_of_runs():
+    random = np.random.default_rng(4)
+    for top in (1, 5, 500):
+        index = np.sort((random.random(3000) ** 3 * top).astype(int))
+        rows, want = random.normal(size=(3000, 4)).astype(np.float32), np.zeros((top, 4))
+        np.add.at(want, index, rows)
+        starts = lm_scoring.runs(index)
+        by_size, sums = lm_scoring.run_sums(starts, rows)
+        assert sorted(by_size.tolist()) == list(range(len(starts)))
+        assert np.allclose(sums, want[index[starts[by_size]]], atol=1e-3)
+    sizes = random.integers(1, 900, 100)
+    put = list(lm_scoring.alike(sizes))
+    assert sorted(np.concatenate(put).tolist()) == list(range(100))
+    assert all(sizes[k].max() == sizes[k[-1]] <= 1.5 * sizes[k[0]] + 4 for k in put)
+
+
 # 4
 
 def brute_base(text):
