@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def differencing(sizes: list[int], parts: int) -> list[list[int]]:
         own, rest = len(a) - over, len(b) - over
         merged = [*zip(a[:own], of_a[:own], strict=True), *zip(b[:rest], of_b[:rest], strict=True)]
         merged += [(a[own + i] + b[-1 - i], (of_a[own + i], of_b[-1 - i])) for i in range(over)]
-        merged.sort(key=lambda x: -x[0])
+        merged.sort(key=itemgetter(0), reverse=True)
         sums, trees = [x[0] for x in merged], [x[1] for x in merged]
         spread = sums[0] - (sums[-1] if len(sums) == parts else 0)
         heapq.heappush(heap, (-spread, count, sums, trees))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of Latin letters that stay one piece when lower-cased and normalised, with at most one mark behind them.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")
+#: Words of Latin letters that stay one piece when lower-cased and normalised, and marks that are a piece of their own behind them.
+PLAIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ȹ]+"), ".,!?;:#$%&*"
+#: Stems and marks in one text.
+TOGETHER = 100
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,7 +31,7 @@ class WordIds:
     array, where a word's number tells begin and size.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence as NoChange
@@ -45,49 +48,67 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes = np.empty(0, np.int64)
+        self.known: dict[str, int] = {"": 0}
+        self.sizes = np.zeros(1, np.int64)
         self.flat = np.empty(0, np.uint32)
 
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def ids_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers, one word after the other, and how many each has."""
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at], sizes
+
     def learn(self, new: list[str]) -> None:
-        """Add words to the memory. Plain ones go through the merges as one text, told apart by the word ends."""
-        plain = list(filter(PLAIN.fullmatch, new))
-        marked = [w[-1] in ".," for w in plain]
-        parts = np.array(marked, np.int64) + 1
-        text = " ".join([f"{w[:-1]} {w[-1]}" if m else w for w, m in zip(plain, marked, strict=True)]).lower()
-        ids = np.array(self.merges_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        """Add words to the memory. A plain word is its lower-cased stem and its marks; stems and marks that are not known go
+        through the merges, many in one text, told apart by the word ends."""
+        plain, pieces, rest = [], [], []
+        for word in new:
+            stem = word.rstrip(MARKS)
+            if PLAIN.fullmatch(stem):
+                plain.append(word)
+                pieces += (stem.lower(), word[len(stem) :])
+            else:
+                rest.append(word)
+        unmet = [x for x in dict.fromkeys(pieces) if x not in self.known]
+        texts = [" ".join(unmet[k : k + TOGETHER]) for k in range(0, len(unmet), TOGETHER)]
+        ids = _flat([x.ids for x in self.merges_only.encode_batch_fast(texts, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) == parts.sum():
-            sizes = np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+        if len(ends) == len(unmet):
+            self.add(unmet, np.diff(ends, prepend=0), ids)
+            which = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            rest = [word for word in rest if word not in self.known]  # marks by themselves
+            made = np.array([word not in self.known for word in plain], bool)
+            ids, sizes = self.ids_of(which.reshape(-1, 2)[made].ravel())
+            self.add([word for word, own in zip(plain, made.tolist(), strict=True) if own], sizes.reshape(-1, 2).sum(1), ids)
         else:
-            plain, ids, sizes = [], ids[:0], np.empty(0, np.int64)
-        have = set(plain)
-        rest = [w for w in new if w not in have]
+            rest = new
         each = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        own = np.fromiter(map(len, each), np.int64, len(each))
-        first = len(self.known)
-        self.known.update(zip((*plain, *rest), range(first, first + len(new)), strict=True))
-        self.sizes = np.concatenate([self.sizes, sizes, own])
-        self.flat = np.concatenate([self.flat, ids, np.array([k for x in each for k in x], np.uint32)])
+        self.add(rest, np.fromiter(map(len, each), np.int64, len(each)), _flat(each))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin (one more than there are texts)."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > self.room:
             self.forget()
-        if new := [w for w in words if w not in self.known]:
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(unmet := np.flatnonzero(number < 0)):
+            new = words[unmet].tolist()
             self.learn(new)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        starts = np.cumsum(self.sizes) - self.sizes
-        which = number[coded.indices.to_numpy()]
-        lengths = self.sizes[which]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(total)
-        return self.flat[at], np.concatenate([[0], ends])[bounds - bounds[0]]
+            number[unmet] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        ids, sizes = self.ids_of(number[coded.indices.to_numpy()])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+
+
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.uint32)
 
 
 @cache

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -639,6 +640,37 @@ def test_packing_words(spark):
     check_pieces(packing.pack(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect(), dict(rows))
 
 
+def test_packing_stems():
+    """A stem meets the tokenizer once, in whatever case and with whatever marks; ids are those of the whole word."""
+    words = tokens.WordIds(tokens.tokenizer_path(), room=40)
+    met = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **named):
+            met.extend(w for t in texts for w in t.split())
+            return self.tokenizer.encode_batch_fast(texts, **named)
+
+    words.tokenizer, words.merges_only, whole = Counted(words.tokenizer), Counted(words.merges_only), words.tokenizer
+    text = "Stem stem, STEM### stem.$$$ sTEM stem,, Ärger ärger% Ȼa ȼa; Ɓi ɓi! ... ### x's 1st stem1, ,stem straße. i\u0307, \u212bb &amp; a-b"
+
+    def check(text):
+        ids, bounds = words.batch(pa.array([text, "", text]))
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and bounds.tolist() == [0, len(want), len(want), 2 * len(want)]
+
+    check(text)
+    assert met.count("stem") == met.count("ärger") == met.count("###") == 1 and "STEM###" not in met
+    check(text)
+    assert met.count("stem") == 1
+    letters = [chr(k) for k in range(33, 0x250) if not chr(k).isspace()]
+    check(" ".join(f"{a}{b}" for a in letters for b in ("", "x,", ".", "#x#", "!;*")))
+    check(text)  # the memory began anew
+    assert met.count("stem") == 2
+
+
 def test_packing_awkward(awkward, nothing):
     found = packing.pack(awkward, as_bytes=True).collect()
     assert sum(r.start == 0 for r in found) == len(AWKWARD) and all(len(r.ids) == 4 * r.length for r in found)
