@@ -30,6 +30,9 @@ from ledgertide.session import cut_lineage, settle
 #: Rows of a key that one task sorts, and consecutive places in a block.
 GROUP_ROWS = 20_000_000
 BLOCK_ROWS = 1_000_000
+#: Buckets of keys that are counted before any key is, and crowded ones that are looked up by a list.
+BUCKETS = 1 << 16
+LISTED = 1000
 
 
 def sort_columns(order: list) -> list[Column]:
@@ -46,17 +49,27 @@ def sort_columns(order: list) -> list[Column]:
 
 
 def large_groups(
-    df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None
+    df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame | None:
     """The keys with more rows than one task should sort, or None when there are none.
 
     At most rows / group_rows keys can qualify, so the result is small beside the input.
     `bounded_by` names a table whose groups are at least as large as those of `df`; being
-    nearer to the source, it is cheaper to count.
+    nearer to the source, it is cheaper to count. `counted` holds the keys and their `_rows` where that is known; else
+    buckets of keys are counted first, of which there are far fewer, and keys only where their bucket is large enough.
     """
-    source = bounded_by if bounded_by is not None and set(keys) <= set(bounded_by.columns) else df
-    counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    counted = counted.filter(F.col("_rows") > (group_rows or GROUP_ROWS))
+    large = F.col("_rows") > (group_rows or GROUP_ROWS)
+    if counted is None:
+        source = bounded_by if bounded_by is not None and set(keys) <= set(bounded_by.columns) else df
+        rows, bucket = F.count(F.lit(1)).alias("_rows"), F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+        crowded = source.groupBy(bucket.alias("_bucket")).agg(rows).filter(large).limit(LISTED + 1).collect()
+        if not crowded:
+            return None
+        if len(crowded) <= LISTED:
+            source = source.filter(bucket.isin([r[0] for r in crowded]))
+        counted = source.groupBy(*keys).agg(rows)
+    counted = counted.filter(large)
     return None if counted.isEmpty() else cut_lineage(counted)
 
 
@@ -95,12 +108,13 @@ class Hot:
 
 
 def hot_groups(
-    df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None
+    df: DataFrame, keys: list[str], group_rows: int | None = None, bounded_by: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> Hot:
     """What the operators below need to know of the keys; a whole table needs no counting."""
     if not keys:
         return Hot(keys, None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = large_groups(df, keys, group_rows, bounded_by)
+    found = large_groups(df, keys, group_rows, bounded_by, counted)
     rows = found.agg(F.sum("_rows")).first()[0] if found is not None else 0
     return Hot(keys, found, ceil(rows / (group_rows or GROUP_ROWS)) + 1)
 
@@ -158,8 +172,10 @@ def _counted(rows: DataFrame, marks: dict[str, str]) -> tuple[DataFrame, list[in
     for r in sorted(counts):
         starts.append((r[0], *before))
         before = [b + n for b, n in zip(before, r[1:], strict=True)]
-    fields = ["_part BIGINT", *[f"_before{mark} BIGINT" for mark in marks]]
-    offsets = rows.sparkSession.createDataFrame(starts, ", ".join(fields))
+    fields = ["_part", *[f"_before{mark}" for mark in marks]]
+    # As constants, whose size is known, so that the rows stay where they are.
+    lines = ", ".join(f"({', '.join(f'{n}L' for n in start)})" for start in starts or [(0,) * len(fields)])
+    offsets = rows.sparkSession.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(fields)})")
     places = [(F.col(f"_before{mark}") + c + 1).cast("bigint").alias(marks[mark]) for mark, c in inside.items()]
     kept = [c for c in rows.columns if c not in marks]
     return rows.withColumn("_part", part).join(offsets, "_part").select(*kept, *places), before

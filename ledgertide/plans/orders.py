@@ -12,7 +12,7 @@ written once to the shared folder, and every output starts from them. Outputs of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from ledgertide.functions import rules
 from ledgertide.functions.compat import lookup, micros, money, number_text, text_of
-from ledgertide.operators.ordered import divide, large_groups, numbered, placed_parts, running_totals
+from ledgertide.operators.ordered import divide, hot_groups, large_groups, numbered, placed_parts, running_totals
 from ledgertide.session import settle as settled
 from ledgertide.sources.tables import zip_arrays
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+#: Requests of an order whose lines are folded where they lie; a fold takes as many steps as the square of a line's requests.
+FOLD_ROWS = 5_000
 
 
 def words(template: str, **values) -> Column:
@@ -322,29 +324,66 @@ def exchange_products(products: DataFrame) -> DataFrame:
     )
 
 
+LINE = ["order_id", "product_id"]
+
+
+def _turn(units: Column | str = "_units") -> Column:
+    """What orders the requests of a line; those alike in it are one request that came twice."""
+    return F.struct("request_ts", "request_id", units).alias("at")
+
+
 def accepted_in_turn(requests: DataFrame) -> DataFrame:
-    """order_id, request_id of the requests that fit: those of a line in time order, each while it fits what the accepted ones left.
+    """Line and `at` of the requests that fit: those of a line in time order, each while it fits what the accepted ones left.
 
     Decided in rounds over all lines at once. A round takes the earliest open request of each line, which fits as all
     that do not are no longer open, and closes the requests that no longer fit what it leaves (that never grows again).
     Each round is a minimum per line, combined before its shuffle; there are as many as requests of a line are accepted.
     `requests` is read by two of them, so it should be a stored table.
     """
-    line = ["order_id", "product_id"]
-    at = F.struct("request_ts", "request_id", "units")
-    waiting = requests.filter("units <= room").select(*line, at.alias("at"), F.col("room").alias("left"))
+    waiting = requests.filter("_units <= room").select(*LINE, _turn(), F.col("room").alias("left"))
     taken = []
     while not waiting.isEmpty():
-        first = settled(waiting.groupBy(*line).agg(F.min("at").alias("first")), "returns-first")
-        taken.append(first.select("order_id", "first.request_id"))
-        waiting = waiting.join(first, line).withColumn("left", F.col("left") - F.col("first.units"))
+        first = settled(waiting.groupBy(*LINE).agg(F.min("at").alias("first")), "returns-first")
+        taken.append(first.select(*LINE, F.col("first").alias("at")))
+        waiting = waiting.join(first, LINE).withColumn("left", F.col("left") - F.col("first._units"))
         waiting = settled(
-            waiting.filter((F.col("at") > F.col("first")) & (F.col("at.units") <= F.col("left"))).drop("first"), "returns-open"
+            waiting.filter((F.col("at") > F.col("first")) & (F.col("at._units") <= F.col("left"))).drop("first"), "returns-open"
         )
-    none = requests.select("order_id", "request_id").limit(0)
+    none = requests.select(*LINE, _turn()).limit(0)
     return reduce(DataFrame.unionByName, taken, none)
 
 
+def fitting_by_rounds(rows: DataFrame) -> DataFrame:
+    """`fits` of the requests of a few orders that have a great many; the rows are stored, as several jobs read them."""
+    rows = settled(rows, "returns-frequent")
+    fits = accepted_in_turn(rows.filter("_valid")).repartition("order_id").withColumn("fits", F.lit(True))
+    rows = rows.withColumn("at", _turn()).repartition("order_id").join(fits, [*LINE, "at"], "left").drop("at")
+    return rows.withColumn("fits", F.col("fits").isNotNull() & F.col("request_id").isNotNull())
+
+
+def fitting_by_fold(rows: DataFrame) -> DataFrame:
+    """`fits` as `accepted_in_turn` decides it, from the rows of a line in one place: no row is moved or stored."""
+    line = Window.partitionBy(*LINE)
+    candidate = F.col("_valid") & (F.col("_units") <= F.col("room"))
+    rows = rows.withColumn("_wish", F.when(candidate, _turn())).withColumn(
+        "_wishes", F.collect_set("_wish").over(line)).withColumn("_wished", F.sum("_wish._units").over(line))
+
+    def take(state: Column, wish: Column) -> Column:
+        fits = wish["_units"] <= state["left"]
+        return F.struct(
+            F.when(fits, state["left"] - wish["_units"]).otherwise(state["left"]).alias("left"),
+            F.when(fits, F.concat(state["taken"], F.array(wish))).otherwise(state["taken"]).alias("taken"),
+        )
+
+    kind = rows.schema["_wishes"].dataType
+    start = F.struct(F.col("room").alias("left"), F.array().cast(kind).alias("taken"))
+    taken = F.aggregate(F.sort_array("_wishes"), start, take, lambda state: state["taken"])
+    # Most lines have room for all their requests.
+    fits = F.when(F.col("_wish").isNull() | F.col("request_id").isNull(), False).when(F.col("_wished") <= F.col("room"), True).otherwise(
+        F.array_contains(taken, F.col("_wish")))
+    return rows.withColumn("fits", fits).drop("_wish", "_wishes", "_wished")
+
+
 #: What the outputs with a return_id show of an accepted request, besides its time and id.
 NUMBERED = {
     "returns": ("order_id", "product_id", "return_quantity", "return_reason", "kind", "refund_amount", "restocking_fee",
@@ -353,6 +392,10 @@ NUMBERED = {
     "exchanges": ("product_id", "kind", "swap", "processed_by"),
     "audit": ("return_quantity", "product_name", "refund_amount", "processed_by"),
 }
+#: Columns of the output `returns`, and where one is called otherwise before.
+RETURN_COLUMNS = ("return_id", "request_id", "order_id", "product_id", "return_date", "return_quantity", "return_reason", "return_type",
+                  "refund_amount", "restocking_fee", "status", "processed_by", "exchange_product_id", "notes")
+RETURN_SOURCES = {"return_date": "request_ts", "return_type": "kind", "exchange_product_id": "swap"}
 
 
 def process_returns(
@@ -366,41 +409,45 @@ def process_returns(
     group_rows: int | None = None,
     settle: Callable[[DataFrame], DataFrame] | None = None,
     only: str | None = None,
+    return_columns: Sequence[str] = RETURN_COLUMNS,
 ) -> Mapping[str, DataFrame]:
     """Check, price and book a batch of returns.
 
     A return is checked against the ordered quantity. Once an order is returned as a whole, its
     later requests fail. `strict` checks against what is left of the line: its history and the requests accepted
-    before it count, rejected ones do not. `only` names the one output that will be asked for: columns that others show are
-    not sorted to number it.
+    before it count, rejected ones do not. `only` names the one output with a return_id that will be asked for: columns that
+    others show are not sorted to number it. `return_columns` are the columns that the output `returns` is to have.
     """
-    asked = requests.select("order_id").distinct()
+    if strict:
+        # Requests by order are counted once: which orders are asked for, and which have many.
+        counted = settled(requests.groupBy("order_id").agg(F.count(F.lit(1)).alias("_rows")), "returns-asked")
+        asked = counted.select("order_id")
+    else:
+        asked = requests.select("order_id").distinct()
     lines = items.join(asked, "order_id", "left_semi")
     first_line = lines.groupBy("order_id", "product_id").agg(
         F.min("order_item_id").alias("line"), F.min_by("quantity", "order_item_id").alias("ordered"),
-        F.min_by("line_total", "order_item_id").alias("line_total"), F.sum("quantity").alias("units"),
+        F.min_by("line_total", "order_item_id").alias("line_total"),
     )
-    sizes = first_line.groupBy("order_id").agg(F.sum("units").cast("bigint").alias("order_units"))
+    sizes = lines.groupBy("order_id").agg(F.sum("quantity").cast("bigint").alias("order_units"))
     heads = orders.select("order_id", "customer_id", "order_date", F.col("status").alias("order_status"))
     goods = products.select("product_id", "product_name", F.col("status").alias("product_status")).join(
         exchange_products(products), "product_id", "left")
 
     # Only the two keys go to the products; all else needs the rows of an order in one place, where requests stay.
     named = requests.select("order_id", "product_id").distinct().join(goods, "product_id").repartition("order_id")
-    rows = (
-        requests.join(heads, "order_id", "left")
-        .join(sizes, "order_id", "left")
-        .join(first_line.drop("units"), ["order_id", "product_id"], "left")
-        .join(named, ["order_id", "product_id"], "left")
-    )
-    if returns is None:
-        rows = rows.withColumn("returned_before", F.lit(0).cast("bigint")).withColumn("line_before", F.lit(0).cast("bigint"))
-    else:
-        units = F.sum("return_quantity").cast("bigint")
+    # What is known by order comes first, then what is known by line, so that each needs one sort.
+    facts = [(["order_id"], heads), (["order_id"], sizes), (LINE, first_line), (LINE, named)]
+    before = {"returned_before": ["order_id"], "line_before": LINE}
+    if returns is not None:
         done = returns.filter(F.col("status") == "PROCESSED")
-        for keys, name in ((["order_id"], "returned_before"), (["order_id", "product_id"], "line_before")):
-            past = done.groupBy(*keys).agg(units.alias(name))
-            rows = rows.join(past, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        units = F.sum("return_quantity").cast("bigint")
+        facts += [(keys, done.groupBy(*keys).agg(units.alias(name))) for name, keys in before.items()]
+    rows = requests
+    for keys, known in sorted(facts, key=lambda fact: len(fact[0])):
+        rows = rows.join(known, keys, "left")
+    zero = F.lit(0).cast("bigint")
+    rows = rows.withColumns({name: zero if returns is None else F.coalesce(name, zero) for name in before})
 
     asked_units, ordered = F.col("return_quantity"), F.col("ordered")
     age = micros("request_ts") - micros("order_date")
@@ -424,32 +471,38 @@ def process_returns(
     broken = [F.coalesce(test, F.lit(False)) for test, _ in before_status + after_status]
     rows = rows.withColumn("_valid", ~reduce(Column.__or__, broken, barred)).withColumn(
         "_units", F.when(F.col("_valid"), asked_units).otherwise(0))
+    turn, sums = ["request_ts", "request_id"], {"_sum": F.col("_units")}
     if strict:
-        # Several jobs read these rows, so they are joined and written once.
-        rows = settled(rows, "returns-asked")
-        fits = accepted_in_turn(rows.filter("_valid").select(
-            "request_id", "order_id", "product_id", "request_ts", F.col("_units").cast("bigint").alias("units"),
-            (ordered - F.col("line_before")).cast("bigint").alias("room")))
-        fits = fits.repartition("order_id").withColumn("fits", F.lit(True))
-        rows = rows.repartition("order_id").join(fits, ["order_id", "request_id"], "left").withColumn(
-            "_units", F.when(F.coalesce("fits", F.lit(False)), F.col("_units")).otherwise(0))
-    rows = running_totals(rows, ["order_id"], ["request_ts", "request_id"], {"_sum": F.col("_units")}, group_rows,
-                          bounded_by=requests)
+        many = large_groups(requests, ["order_id"], min(group_rows or FOLD_ROWS, FOLD_ROWS), counted=counted)
+        hot = hot_groups(requests, ["order_id"], group_rows, counted=counted)
+        rows = rows.withColumn("room", (ordered - F.col("line_before")).cast("bigint")).withColumn(
+            "_units", F.col("_units").cast("bigint"))
+        sides = zip(divide(rows, ["order_id"], many), (fitting_by_fold, fitting_by_rounds))
+        decided = [decide(side) for side, decide in sides if side is not None]
+        decided = [side.withColumn("_units", F.when(F.col("fits"), F.col("_units")).otherwise(0)) for side in decided]
+        rows = reduce(DataFrame.unionByName, [running_totals(side, ["order_id"], turn, sums, hot=hot) for side in decided])
+    else:
+        rows = running_totals(rows, ["order_id"], turn, sums, group_rows, bounded_by=requests)
     earlier = F.col("_sum") - F.col("_units")
     whole = F.coalesce((earlier > 0) & (F.col("returned_before") + earlier >= F.col("order_units")), F.lit(False))
     if strict:
-        over = F.col("_valid") & ~F.coalesce("fits", F.lit(False))
+        over = F.col("_valid") & ~F.col("fits")
         after_status.append((over, F.lit("Return quantity exceeds the quantity left")))
     status_text = F.when(whole, F.lit("RETURNED")).otherwise(F.col("order_status"))
-    ineligible = (barred | whole, words("Order status ({s}) is not eligible for return", s=status_text))
-    # The first rule that a request breaks; its text is made for rejects only.
+    ineligible = (barred | whole, words("Order status ({s}) is not eligible for return", s="order_status"))
+    # The first rule that a request breaks; its text is made for rejects only, from what the columns left here say.
     tests = [*before_status, ineligible, *after_status]
-    judged = rows.withColumn("_broken", F.coalesce(*[F.when(test, F.lit(k)) for k, (test, _) in enumerate(tests)]))
+    judged = rows.withColumn("_broken", F.coalesce(*[F.when(test, F.lit(k)) for k, (test, _) in enumerate(tests)])).withColumn(
+        "order_status", status_text).drop("line", "line_before", "room", "fits", "_valid", "_units", "_sum")
     reason = F.coalesce(*[F.when(F.col("_broken") == k, text) for k, (_, text) in enumerate(tests)])
     if settle:
         judged = settle(judged)
     elif strict:
-        judged = settled(judged, "returns-judged")
+        # Rejects are stored with their keys and reason, accepted requests with all else.
+        keys = ("request_id", *LINE, "_broken")
+        booked = [F.when(F.col("_broken").isNull(), F.col(c)).alias(c) for c in judged.columns if c not in keys]
+        judged = settled(judged.select(*keys, *booked, reason.alias("_reason")), "returns-judged")
+        reason = F.col("_reason")
 
     accepted = judged.filter(F.col("_broken").isNull())
     swap = F.col("exchange_product_id")
@@ -471,7 +524,9 @@ def process_returns(
 
     @cache
     def placed() -> DataFrame:
-        shown = NUMBERED.get(only) or dict.fromkeys(c for columns in NUMBERED.values() for c in columns)
+        wanted = {RETURN_SOURCES.get(c, c) for c in return_columns}
+        needed = NUMBERED | {"returns": [c for c in NUMBERED["returns"] if c in wanted]}
+        shown = needed[only] if only in needed else dict.fromkeys(c for columns in needed.values() for c in columns)
         booked = priced.select("request_ts", "request_id", *shown)
         return numbered(booked, [], ["request_ts", "request_id"], "_place", bounded_by=requests).withColumn(
             "return_id", F.col("_place") + (first_return_id - 1)
@@ -483,11 +538,9 @@ def process_returns(
     )
     left = F.col("order_units") - F.col("now") - F.col("before")
     return Outputs(
-        returns=lambda: placed().select(
-            "return_id", "request_id", "order_id", "product_id", F.col("request_ts").alias("return_date"),
-            "return_quantity", "return_reason", F.col("kind").alias("return_type"), "refund_amount", "restocking_fee",
-            F.lit("PROCESSED").alias("status"), "processed_by", F.col("swap").alias("exchange_product_id"), "notes",
-        ),
+        returns=lambda: placed().select(*[
+            F.lit("PROCESSED").alias(c) if c == "status" else F.col(RETURN_SOURCES.get(c, c)).alias(c) for c in return_columns
+        ]),
         refunds=lambda: placed().filter((F.col("refund_amount") > 0) & F.col("kind").isin(*rules.REFUND_METHODS)).select(
             "return_id", "order_id", F.col("request_ts").alias("refund_date"), "refund_amount",
             lookup("kind", rules.REFUND_METHODS, "CHECK").alias("refund_method"), F.lit("COMPLETED").alias("status"),

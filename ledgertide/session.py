@@ -71,11 +71,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it from there; columns without a type become strings."""
+    """Write `df` once as Parquet in the shared folder and read it from there; columns without a type become strings.
+
+    Such tables are read a few times at most and lie beside the shuffles of their job, so they are packed tightly.
+    """
     folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     void = [f.name for f in df.schema if f.dataType.typeName() == "void"]
     df = df.withColumns({c: F.col(c).cast("string") for c in void}) if void else df
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

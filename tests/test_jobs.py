@@ -124,3 +124,47 @@ def test_large_orders_are_looked_for_once(spark, sf, monkeypatch):
     m = model.Model(spark, sf)
     first, second = m.keyed_items(), m.keyed_items()
     assert len(looked) == 1 and first.exceptAll(second).isEmpty()
+
+
+def test_strict_returns_fold_in_place(spark, sold, monkeypatch):
+    """Requests of ordinary orders are neither stored before they are judged nor moved for a round; both ways decide alike."""
+    stored = {}
+    real = jobs.settled
+    monkeypatch.setattr(jobs, "settled", lambda df, name: stored.setdefault(name, df.columns) and real(df, name))
+    lines = [item(k, k // 3, k % 3, 2 + k % 5, "10.00") for k in range(30)]
+    own = sold | dict(
+        orders=table(spark, "orders", [order(k, status="DELIVERED") for k in range(10)]),
+        items=table(spark, "order_items", lines), products=table(spark, "products", [product(k, f"P{k}") for k in range(3)]))
+    made = [dict(request_id=k, request_ts=f"2025-12-08 10:00:{k * 7 % 60:02d}", order_id=k % 30 // 3, product_id=k % 3,
+                 return_quantity=1 + k * 5 % 4, return_reason="x", return_type="REFUND", processed_by="ann") for k in range(180)]
+    made += made[:40]  # a request that comes twice takes its room once
+    asked = table(spark, "return_requests", made)
+
+    def judged(**more):
+        out = jobs.process_returns(asked, strict=True, **own, **more)
+        return sorted(rows(out["returns"], "request_id", "return_quantity")), sorted(rows(out["rejects"], "request_id", "reason"))
+
+    folded = judged()
+    assert stored == {"returns-asked": ["order_id", "_rows"], "returns-judged": stored["returns-judged"]}
+    assert "_sum" not in stored["returns-judged"]
+    assert judged(group_rows=5) == folded and "returns-first" in stored
+    assert {reason for _, reason in folded[1]} >= {"Return quantity exceeds the quantity left"} and len(folded[0]) + len(folded[1]) == 220
+
+
+def test_returns_with_the_columns_asked_for(spark, sold):
+    out = jobs.process_returns(asks(spark, (1, 1, 2), (2, 2, 1)), only="returns", return_columns=["request_id", "return_type", "status"], **sold)
+    assert out["returns"].columns == ["request_id", "return_type", "status"]
+    assert rows(out["returns"]) == [(1, "REFUND", "PROCESSED")] and rows(out["rejects"], "request_id") == [(2,)]
+
+
+def test_large_groups_count_buckets_first(spark, monkeypatch):
+    from ledgertide.operators import ordered
+
+    df = spark.range(400).selectExpr("nullif(floor(sqrt(id)), 3) AS k", "id")
+    monkeypatch.setattr(ordered, "BUCKETS", 7)
+    for limit in (1, 20, 35):
+        want = {r[0]: r[1] for r in df.groupBy("k").count().collect() if r[1] > limit}
+        assert {r[0]: r[1] for r in ordered.large_groups(df, ["k"], limit).collect()} == want
+    assert ordered.large_groups(df, ["k"], 400) is None
+    counted = spark.createDataFrame([(1, 5), (2, 9)], "k BIGINT, _rows BIGINT")
+    assert rows(ordered.large_groups(df, ["k"], 6, counted=counted)) == [(2, 9)]
