@@ -160,12 +160,13 @@ def _longest_path(start: str) -> int:
 LONGEST_PATH = max(map(_longest_path, rules.STATUS_TRANSITIONS))
 
 
-def status_rounds(slim: DataFrame, state: DataFrame, free: Column | None = None) -> DataFrame:
+def status_rounds(slim: DataFrame, state: DataFrame, free: Column | None = None, hint: str | None = None) -> DataFrame:
     """Per order the changes that its requests bring about, in time order.
 
     `slim` holds order_id, new_status and at (a struct that orders the requests), `state` a row per order with its status
     s0; `free` may hold a request back by what the state knows. Round k adds p<k> and s<k>: at which request the order
-    took its k-th new status, and which. No order changes more often than the longest path of statuses.
+    took its k-th new status, and which. No order changes more often than the longest path of statuses. `hint` says how to
+    join the two where Spark cannot know their sizes.
     """
     kept = [c for c in state.columns if c != "order_id"]
     slim = slim.select("order_id", "new_status", "at")
@@ -177,7 +178,7 @@ def status_rounds(slim: DataFrame, state: DataFrame, free: Column | None = None)
             opens = opens & (F.col("at") > F.col(f"p{step - 1}"))
         key = F.when(opens, F.col("at"))
         state = (
-            slim.join(state, "order_id")
+            slim.join(state.hint(hint) if hint else state, "order_id")
             .groupBy("order_id")
             .agg(
                 *[F.any_value(c).alias(c) for c in kept],

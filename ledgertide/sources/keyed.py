@@ -121,6 +121,15 @@ class CommitLog:
                 return last + 1, content
 
 
+#: Rows that Spark may broadcast if it finds their files small; those of a key and a short text take a few bytes each there.
+FEW_ROWS = 100_000
+
+
+def _sized(rows: DataFrame, count: int) -> DataFrame:
+    """Rows of which there are `count`, for a join: packed files do not tell how much memory a broadcast of them takes."""
+    return rows if count <= FEW_ROWS else rows.hint("merge")
+
+
 class KeyedTable:
     def __init__(self, spark: SparkSession, folder: str, key: str):
         self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
@@ -182,28 +191,29 @@ class KeyedTable:
 
         Files whose range misses the span of the changes are left out by the list; of the others only the key is read.
         """
-        span = changes.agg(F.min(self.key).alias("low"), F.max(self.key).alias("high")).first()
+        span = changes.agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(self.key).alias("rows")).first()
         listed = self.files(version).filter((F.col("high") >= F.lit(span.low)) & (F.col("low") <= F.lit(span.high)))
         near = [r.file for r in listed.select("file").collect()]
         if not near:
             return []
         held = self._placed(self.spark.read.schema(self._schema(version)).parquet(*near))
-        hit = held.join(changes.select(self.key), self.key, "left_semi").select("file").distinct()
+        hit = held.join(_sized(changes.select(self.key), span.rows), self.key, "left_semi").select("file").distinct()
         return [r.file for r in hit.collect()]
 
     def _changed(self, number, last, changes, add, replace, insert) -> dict:
         schema = StructType.fromJson(last["schema"])
         touched = self.touched(number, changes)
         old = self.spark.read.schema(schema).parquet(*touched) if touched else self.spark.createDataFrame([], schema)
-        fresh = apply_changes(old, self.key, changes, add, replace)
+        gone = self.spark.createDataFrame([(f,) for f in touched], "file STRING")
+        fresh = apply_changes(old, self.key, _sized(changes, changes.count()), add, replace)
         if insert:
             taken = {self.key: self.key} | replace
-            new = changes.join(old.select(self.key), self.key, "left_anti").select(*[
+            held = self.files(number).join(gone, "file", "left_semi").agg(F.sum("rows")).first()[0] or 0
+            new = changes.join(_sized(old.select(self.key), held), self.key, "left_anti").select(*[
                 (F.col(taken[f.name]) if f.name in taken else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
             ])
             fresh = fresh.unionByName(new)
         written = self._written(fresh, max(1, len(touched)))
-        gone = self.spark.createDataFrame([(f,) for f in touched], "file STRING")
         kept = self.files(number).join(gone, "file", "left_anti")
         return self._content(schema, kept.unionByName(written))
 

@@ -4,7 +4,7 @@ import threading
 
 import pytest
 
-from ledgertide.sources import keyfilter
+from ledgertide.sources import keyed, keyfilter
 from ledgertide.sources.keyed import CommitLog, KeyedTable, KeyRanges
 from ledgertide.sources.keyfilter import KeyFilter
 from tests.helpers import rows
@@ -146,3 +146,19 @@ def test_changes_are_worked_out_once(spark, prices):
     prices.change(changes, add={"price": "up"}, name="raise")
     assert made.value == 3 and sorted(rows(prices.read().filter("price <> id * 2"), "price")) == [(30,), (33,), (36,)]
     assert prices.change(changes, add={"price": "up"}, name="raise") == 2 and made.value == 3  # done already: not even read
+
+
+def test_changes_of_many_rows_are_not_broadcast(spark, prices, monkeypatch):
+    """What a broadcast takes goes by rows, not by the bytes of a packed file; the result is the same either way."""
+    few = keyed._sized(spark.range(3), 3)
+    many = keyed._sized(spark.range(3), keyed.FEW_ROWS + 1)
+    plan = lambda df: spark.range(9).join(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+    asked = []
+    monkeypatch.setattr(keyed, "FEW_ROWS", 10)
+    monkeypatch.setattr(keyed, "_sized", lambda df, count, real=keyed._sized: asked.append(count) or real(df, count))
+    changes = spark.range(3990, 4010).selectExpr("id", "CAST(id AS STRING) AS label")
+    prices.change(changes, replace={"name": "label"}, insert=True)
+    assert asked == [20, 20, 20]  # the changes twice, and the rows of the file that holds their keys
+    assert sorted(rows(prices.read().filter("name <> 'x'"), "id", "name")) == [(k, str(k)) for k in range(3990, 4010)]
+    assert prices.read().count() == 4010

@@ -161,3 +161,20 @@ def test_no_events(spark, tmp_path):
     feeds.in_waves(df, F.lit(0), folder, {"action_timestamp": at(0)})
     for found in (stateful.bursts, stateful.sequences):
         assert feeds.drain(found(feeds.wave_stream(df, folder)), "none")[0].count() == 0
+
+
+def test_life_cycle_broadcasts_no_rows_of_orders(spark, tmp_path, monkeypatch):
+    """Rows that a small last file releases look small to Spark, however many there are."""
+    plans, real = [], stateful.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df)
+
+    monkeypatch.setattr(stateful, "cut_lineage", noted)
+    statuses = KeyedTable(spark, str(tmp_path / "statuses"), "order_id")
+    statuses.create(spark.createDataFrame([(1, "PENDING")], "order_id BIGINT, status STRING"))
+    batch = spark.sql("SELECT 1L AS request_id, 1L AS order_id, TIMESTAMP_NTZ '2024-01-01' AS request_ts, 'PROCESSING' AS new_status")
+    stateful.life_cycle(statuses)(str(tmp_path / "rows"))(batch, 0)
+    assert "SortMergeJoin" in plans[1] and not any("Broadcast" in plan for plan in plans)
+    assert rows(statuses.read()) == [(1, "PROCESSING")]
